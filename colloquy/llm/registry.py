@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maxscore, mixing, packing, simhash, substring
+from . import bradley_terry, maxscore, mixing, ngram_lm, outliers, packing, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,22 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search_table(table(spark, sf_dir, "embeddings"))
 
 
+def op4_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bradley_terry.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
@@ -35,7 +47,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_maxscore_top_k, op7_substring_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences)
+    found = (op2_ngram_lm_score, op3_maxscore_top_k, op4_bradley_terry_quality, op5_robust_outliers, op7_substring_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences)
     return {f.__name__: f for f in found}
 
 

@@ -79,7 +79,6 @@ def repeat(docs: DataFrame, **params) -> DataFrame:
     rows = rows.withColumn("__share", share).withColumn("__whole", F.floor(F.col("__share") / F.col("__words")).cast("int")).withColumn("__part", (F.col("__share") % F.col("__words")).cast("int"))
     copies = F.concat(F.array_repeat(F.col("__words").cast("int"), F.col("__whole")), F.when(F.col("__part") > 0, F.array(F.col("__part"))).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("__n", F.explode(copies))
-    cut = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*+", 0)
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__n")), " ")
     text = F.when(F.col("__n") == F.col("__words"), F.col("text")).otherwise(part)
     out = rows.withColumn("__text", text)

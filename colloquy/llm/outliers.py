@@ -146,3 +146,9 @@ def judge(docs: DataFrame, quantile: float = 0.9999, widen: float = 1.5, least_r
     distance = F.when(~F.col("base_failed"), _distance())
     limit = widen * chi2_quantile(len(VECTOR), quantile)
     return judged.select(*base, (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= limit)).alias("kept"), distance.alias("distance"))
+
+
+def keep_good(docs: DataFrame, **params) -> DataFrame:
+    """The documents that judge() keeps; rows with one doc_id stay if any of them is kept."""
+    kept = judge(docs, **params).where("kept").select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bradley_terry, maxscore, mixing, ngram_lm, outliers, packing, simhash, substring
+from . import bradley_terry, html_extract, maxscore, mixing, ngram_lm, outliers, packing, pii, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op6_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
@@ -47,7 +55,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_ngram_lm_score, op3_maxscore_top_k, op4_bradley_terry_quality, op5_robust_outliers, op7_substring_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences)
+    found = (op1_html_min_cut, op2_ngram_lm_score, op3_maxscore_top_k, op4_bradley_terry_quality, op5_robust_outliers, op6_pii_contexts, op7_substring_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences)
     return {f.__name__: f for f in found}
 
 

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import Words, mix64, powers, slices, words
 
 WINDOW = 20
 _ROLL = np.uint64(0xD1342543DE82EF95)
-_PLACE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<i4")])
+_NULL_ID = -(2**63) + 1
 
 
 def window_hashes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,24 +48,28 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(own[0]), own[1], own[2]
 
 
-def by_document(bucket: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, doc_id, ats) of places, one for each document."""
-    order = np.lexsort((at, doc))
-    bucket, doc, at = bucket[order], doc[order], at[order].astype("<i4")
-    edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ats = [x.tobytes() for x in np.split(at, edge[1:])] if len(doc) else []
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int64)), pa.array(doc[edge]), pa.array(ats, pa.binary())], names=["bucket", "doc_id", "blob"])
+def parted(doc: np.ndarray, at: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """Places packed by the part of their document, so that a row tells many documents."""
+    ids, which = np.unique(doc, return_inverse=True)
+    part = np.fromiter((zlib.crc32(str(i).encode()) % parts for i in ids.tolist()), np.int64, len(ids))[which]
+    order = np.lexsort((at, doc, part))
+    part, doc, at = part[order], doc[order], at[order]
+    some, edge = np.unique(part, return_index=True)
+    edge = np.append(edge, len(part))
+    return some.tolist(), [packed(np.zeros(b - a, np.uint64), doc[a:b], at[a:b]) for a, b in zip(edge, edge[1:])]
 
 
-def repeats(docs: DataFrame, window: int, slice_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, blob): first words, as 32-bit numbers, of windows that also start at an earlier place.
+def part_of(parts: int) -> Column:
+    return (F.crc32(F.col("doc_id").cast("string")) % parts).alias("part")
 
-    Each slice of texts tells its windows' hashes with their places, sorted and packed by hash bucket; there are
-    buckets in proportion to the text. A hash that a slice holds again needs no counting elsewhere: its later
-    places are told at once and only the first goes to the bucket, so no hash has more rows than there are slices.
+
+def repeats(docs: DataFrame, window: int, buckets: int, slice_bytes: int = 4 << 20) -> DataFrame:
+    """(part, blob): packed places of windows that also start at an earlier place, by part of their documents.
+
+    Each slice of texts tells its windows' hashes with their places, sorted and packed by hash bucket. A hash
+    that a slice holds again needs no counting elsewhere: its later places are told at once and only the first
+    goes to the bucket, so no hash has more rows than there are slices.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", slice_bytes):
@@ -77,17 +83,19 @@ def repeats(docs: DataFrame, window: int, slice_bytes: int = 4 << 20, bucket_byt
             same = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
             run = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else same.astype(int)
             later = same & ((doc != doc[run]) | (at != at[run]))
-            yield by_document(np.abs(doc[later] % buckets), doc[later], at[later])
+            parts, found = parted(doc[later], at[later], buckets)
             h, doc, at = h[~same], doc[~same], at[~same]
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(edge))
             blobs = [packed(h[a:b], doc[a:b], at[a:b]) for a, b in zip(edge[some], edge[some + 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([None] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "blob"])
+            keys = [*some.tolist(), *parts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([False] * len(some) + [True] * len(parts)), pa.array(blobs + found, pa.binary())], names=["bucket", "told", "blob"])
 
-    def counted(t: pa.Table) -> pa.Table:
-        told = t.filter(t["doc_id"].is_valid()).select(["doc_id", "blob"])
-        blobs = t.filter(t["doc_id"].is_null())["blob"].to_pylist()
+    def counted(key, t: pa.Table) -> pa.Table:
+        told = t.filter(t["told"])
+        told = pa.table({"part": pa.array([key[0].as_py()] * len(told), pa.int64()), "blob": told["blob"]})
+        blobs = t.filter(pa.compute.invert(t["told"]))["blob"].to_pylist()
         if not blobs:
             return told
         h, doc, at = (np.concatenate(x) for x in zip(*map(unpacked, blobs)))
@@ -100,14 +108,14 @@ def repeats(docs: DataFrame, window: int, slice_bytes: int = 4 << 20, bucket_byt
         same = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
         run = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else same.astype(int)
         later = same & ((doc != doc[run]) | (at != at[run]))
-        found = by_document(doc[later], doc[later], at[later])
-        return pa.concat_tables([told, pa.table([found.column(1), found.column(2)], names=["doc_id", "blob"])])
+        parts, found = parted(doc[later], at[later], buckets)
+        return pa.concat_tables([told, pa.table({"part": pa.array(parts, pa.int64()), "blob": pa.array(found, pa.binary())})])
 
-    rows = docs.mapInArrow(hashed, "bucket long, doc_id long, blob binary")
-    return rows.groupBy("bucket").applyInArrow(counted, "doc_id long, blob binary")
+    rows = docs.mapInArrow(hashed, "bucket long, told boolean, blob binary")
+    return rows.groupBy("bucket").applyInArrow(lambda key, t: counted(key, t), "part long, blob binary")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and text (the kept words, joined by one space) of each document.
 
     A word goes if a window of `window` words over it also starts at an earlier place: in a smaller doc_id, or
@@ -117,31 +125,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whose equal starts are one place, so exact copies of a row stay. A null doc_id sorts before all others. An
     empty table gives no rows. Other columns are ignored.
     """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("doc_id"), "text")
-    found = repeats(own, window).groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text"):
-            doc_id, n_words, n_removed, digest, kept = [], [], [], [], []
-            for i, text, blobs in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                own = text.split()
-                if blobs:
-                    at = np.frombuffer(b"".join(blobs), "<i4")
-                    at = at[at < len(own)]
-                    change = np.zeros(len(own) + window + 1, np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + window, -1)
-                    covered = np.cumsum(change)[: len(own)] > 0
-                    left = [own[k] for k in np.flatnonzero(~covered)]
-                else:
-                    left = own
-                line = b" ".join(left)
-                doc_id.append(None if i == -(2**63) + 1 else i)
-                n_words.append(len(own))
-                n_removed.append(len(own) - len(left))
-                digest.append(hashlib.sha256(line).hexdigest())
-                kept.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
-
-    joined = own.join(found, "doc_id", "left").select("doc_id", "text", "blobs")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
+    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(total / bucket_bytes))
+    found = repeats(own, window, buckets)
+
+    def cut(texts: pa.Table, blobs: pa.Table) -> pa.Table:
+        parts = [unpacked(x)[1:] for x in blobs["blob"].to_pylist()]
+        doc, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        order = np.argsort(doc, kind="stable")
+        doc, at = doc[order], at[order]
+        ids = np.asarray(texts["doc_id"])
+        lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+        rows = []
+        for i, text, a, b in zip(ids.tolist(), texts["text"], lo, hi):
+            own = (text.as_py() or "").encode().split()
+            left = own
+            if a < b:
+                change = np.zeros(len(own) + window + 1, np.int64)
+                first = at[a:b][at[a:b] < len(own)]
+                np.add.at(change, first, 1)
+                np.add.at(change, first + window, -1)
+                left = [own[k] for k in np.flatnonzero(np.cumsum(change)[: len(own)] <= 0)]
+            line = b" ".join(left)
+            rows.append((None if i == _NULL_ID else i, len(own), len(own) - len(left), hashlib.sha256(line).hexdigest(), line.decode()))
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"]
+        columns = zip(*rows) if rows else [[]] * 5
+        return pa.table([pa.array(c, pa.int64() if k < 3 else pa.string()) for k, c in enumerate(columns)], names=names)
+
+    by_part = own.withColumn("part", part_of(buckets)).groupBy("part").cogroup(found.groupBy("part"))
+    return by_part.applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")

@@ -105,3 +105,15 @@ def inventory_match(items: DataFrame, query: str, name: str, cut: float = 0.28)
     jaccard = F.size(F.array_intersect(mine, q)) / F.size(F.array_union(mine, q))
     score = F.when(F.lower(name) == query.lower(), 1.0).otherwise(F.least(F.lit(0.99), jaccard + F.when(F.contains(F.lower(name), F.lit(query.lower())), 0.3).otherwise(0.0)))
     return items.select(name, F.round(score, 4).alias("score")).where(F.col("score") >= cut).groupBy(name).agg(F.max("score").alias("score"))
+
+
+def passage_recall(items: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
+    """How many items' first words stand somewhere in the documents, which are cut into all windows of as many words."""
+    cut = lambda c: F.regexp_extract_all(c, F.lit(r"[^ \t\n]+"), F.lit(0))
+    q = items.select("item_id", F.array_join(F.slice(cut(F.col("text")), 1, words), " ").alias("passage"))
+    d = docs.select("doc_id", cut(F.col("text")).alias("w")).where(F.size("w") >= words)
+    windows = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " "))
+    found = d.select("doc_id", F.explode(windows).alias("passage")).join(q, "passage")
+    total = items.agg(F.count(F.lit(1)).alias("queries"))
+    out = found.agg(F.count_distinct("item_id").alias("found"), F.count_distinct("doc_id").alias("docs")).crossJoin(total)
+    return out.select("queries", "found", "docs", F.round(F.col("found") / F.col("queries"), 4).alias("recall"))

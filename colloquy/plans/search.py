@@ -39,4 +39,4 @@ register("c7_exists_filter", lambda t: _chat(t).where(F.contains("text", F.lit("
 register("c21_changed_rows", lambda t: t.documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash")).join(t.documents.where("doc_id % 3 <> 0").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash")), ["doc_id", "hash"], "left_anti"), "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 3 = 0")
 register("u1_classify_error", lambda t: _chat(t).select(F.when(F.col("text").rlike("(?i)permission denied|eacces|forbidden"), "PERMISSION").when(F.col("text").rlike("(?i)timed out|timeout|deadline exceeded"), "TIMEOUT").when(F.col("text").rlike("(?i)rate limit|too many requests|429"), "RATE_LIMIT").when(F.col("text").rlike("(?i)not found|no such file|404"), "NOT_FOUND").otherwise("UNKNOWN").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN regexp_matches(text, '(?i)permission denied|eacces|forbidden') THEN 'PERMISSION' WHEN regexp_matches(text, '(?i)timed out|timeout|deadline exceeded') THEN 'TIMEOUT' WHEN regexp_matches(text, '(?i)rate limit|too many requests|429') THEN 'RATE_LIMIT' WHEN regexp_matches(text, '(?i)not found|no such file|404') THEN 'NOT_FOUND' ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM v_chat GROUP BY 1")
 register("h4_tech_debt", lambda t: _chat(t).select("id", F.posexplode(F.split("text", "\n")).alias("line", "code")).select("id", "line", F.regexp_extract("code", r"\b(TODO|FIXME|HACK|XXX)\b", 1).alias("tag")).where("tag <> ''"), "SELECT id, line - 1 AS line, regexp_extract(code, '\\b(TODO|FIXME|HACK|XXX)\\b', 1) AS tag FROM (SELECT id, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM v_chat) WHERE regexp_matches(code, '\\b(TODO|FIXME|HACK|XXX)\\b')")
-register("f21_retrieval_metrics", lambda t: t.benchmark.select("item_id", F.element_at(F.split("text", "\n"), 1).alias("line")).crossJoin(F.broadcast(t.benchmark.agg(F.count(F.lit(1)).alias("queries")))).join(t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")), "line").groupBy("queries").agg(F.count_distinct("item_id").alias("found"), F.count_distinct("doc_id").alias("docs")), "SELECT (SELECT count(*) FROM benchmark) AS queries, count(DISTINCT item_id) AS found, count(DISTINCT doc_id) AS docs FROM benchmark b JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d ON line = string_split(b.text, chr(10))[1] HAVING count(*) > 0")
+register("f21_retrieval_metrics", lambda t: op.passage_recall(t.benchmark, t.documents), "WITH q AS (SELECT item_id, array_to_string(regexp_extract_all(text, '[^ \t\n]+')[1:8], ' ') AS passage FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n]+') AS w FROM documents), x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS passage FROM d), f AS (SELECT DISTINCT item_id, doc_id FROM q JOIN x USING (passage)) SELECT (SELECT count(*) FROM benchmark) AS queries, count(DISTINCT item_id) AS found, count(DISTINCT doc_id) AS docs, round(count(DISTINCT item_id) / (SELECT count(*) FROM benchmark), 4) AS recall FROM f")

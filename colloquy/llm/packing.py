@@ -17,7 +17,7 @@ LENGTH = 2048
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PARTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 200_000
 
 
 class WordCache:
@@ -31,9 +31,7 @@ class WordCache:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.slow = path, None
         with open(path) as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -54,6 +52,10 @@ class WordCache:
         """The ids as little-endian 32-bit numbers, without the end id."""
         lines = [line.split(" ") for line in text.split("\n")]
         if len(text.split()) != sum(map(len, lines)) or any(s in text for s in self.special):
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return self.raw(self.slow.encode(text, add_special_tokens=False).ids)
         if len(self.later) > _CACHE_WORDS:
             self.later.clear()

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -82,7 +83,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
     """Runs of rows with about `most` bytes of text each, or one longer text; null texts are empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-        sizes = np.asarray(column.fill_null(b"").to_pandas().str.len() if len(column) else [], dtype=np.int64)
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
         total, at = np.cumsum(sizes), 0
         while at < len(sizes):
             done = total[at - 1] if at else 0

@@ -50,10 +50,13 @@ f AS (SELECT family, sum(n)::BIGINT AS calls, sum(bad) AS errors, count(*) AS to
 h AS (SELECT family, calls, tools, round(errors / calls, 4) AS error_rate, CASE WHEN worst >= 5 AND worst / errors >= 0.3 THEN worst_name END AS dominant_tool,
 CASE WHEN calls < 10 THEN 'UNKNOWN' WHEN errors / calls >= 0.08 THEN 'CRITICAL' WHEN errors / calls >= 0.04 THEN 'WARNING' ELSE 'OK' END AS status FROM f)
 """
-_FAMILY = F.concat(F.lit("agent_"), (F.col("user_id") % 5).cast("string"))
-register("f15_env_health", lambda t: op.env_health(t.v_tool_calls, _FAMILY), _HEALTH + "SELECT * FROM h")
-register("f16_comparisons", lambda t: op.env_health(t.v_tool_calls, _FAMILY).where("calls >= 10").agg(F.min(F.struct("error_rate", "family"))["family"].alias("best"), F.max(F.struct("error_rate", "family"))["family"].alias("worst"), F.max(F.struct("calls", "family"))["family"].alias("busiest")), _HEALTH + "SELECT arg_min(family, (error_rate, family)) AS best, arg_max(family, (error_rate, family)) AS worst, arg_max(family, (calls, family)) AS busiest FROM h WHERE calls >= 10")
-register("f18_findings", lambda t: op.env_health(t.v_tool_calls, _FAMILY).select(F.explode(F.array_compact(F.array(F.when(F.col("status") == "CRITICAL", F.struct(F.lit(0).alias("rank"), "family", F.lit("error rate").alias("finding"))), F.when(F.col("dominant_tool").isNotNull(), F.struct(F.lit(1).alias("rank"), "family", F.concat(F.lit("mostly "), "dominant_tool").alias("finding")))))).alias("f")).select("f.*"), _HEALTH + "SELECT 0 AS rank, family, 'error rate' AS finding FROM h WHERE status = 'CRITICAL' UNION ALL SELECT 1, family, 'mostly ' || dominant_tool FROM h WHERE dominant_tool IS NOT NULL")
+def _family():
+    return F.concat(F.lit("agent_"), (F.col("user_id") % 5).cast("string"))
+
+
+register("f15_env_health", lambda t: op.env_health(t.v_tool_calls, _family()), _HEALTH + "SELECT * FROM h")
+register("f16_comparisons", lambda t: op.env_health(t.v_tool_calls, _family()).where("calls >= 10").agg(F.min(F.struct("error_rate", "family"))["family"].alias("best"), F.max(F.struct("error_rate", "family"))["family"].alias("worst"), F.max(F.struct("calls", "family"))["family"].alias("busiest")), _HEALTH + "SELECT arg_min(family, (error_rate, family)) AS best, arg_max(family, (error_rate, family)) AS worst, arg_max(family, (calls, family)) AS busiest FROM h WHERE calls >= 10")
+register("f18_findings", lambda t: op.env_health(t.v_tool_calls, _family()).select(F.explode(F.array_compact(F.array(F.when(F.col("status") == "CRITICAL", F.struct(F.lit(0).alias("rank"), "family", F.lit("error rate").alias("finding"))), F.when(F.col("dominant_tool").isNotNull(), F.struct(F.lit(1).alias("rank"), "family", F.concat(F.lit("mostly "), "dominant_tool").alias("finding")))))).alias("f")).select("f.*"), _HEALTH + "SELECT 0 AS rank, family, 'error rate' AS finding FROM h WHERE status = 'CRITICAL' UNION ALL SELECT 1, family, 'mostly ' || dominant_tool FROM h WHERE dominant_tool IS NOT NULL")
 register("f19_load_report_rows", lambda t: facts.active_minutes(t.v_sessions).where("created >= timestamp_ntz'2024-01-08'").select("session_id", F.to_date("created").alias("day"), F.hour("created").alias("hour"), F.weekday("created").alias("weekday"), "minutes"), """
 SELECT session_id, created::DATE AS day, hour(created)::INT AS hour, (isodow(created) - 1)::INT AS weekday,
 round(CASE WHEN duration_seconds / 60 > 90 AND 2.5 * messages + 0.8 * tool_calls < 0.2 * duration_seconds / 60 THEN 2.5 * messages + 0.8 * tool_calls ELSE duration_seconds / 60 END, 4) AS minutes FROM v_sessions WHERE created >= TIMESTAMP '2024-01-08'""")

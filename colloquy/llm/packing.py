@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import in_small_batches
+
 LENGTH = 2048
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -179,6 +181,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, linear: float =
                 s += 1
         return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, _PARTS)
+    parts = in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tokens, _PARTS)
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups))
     return parts.withColumn("__group", group).groupBy("__group").applyInArrow(lambda key, t: packed(key, t), PIECES)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import materialise
+from .tables import in_small_batches, materialise
 from .text import slices, words
 
 #: The ring's segments in bits; with at most 4 differing bits a chain can begin in a segment without any.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             out = majority(np.asarray(hashes, np.uint64), np.asarray(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(hashed, "doc_id long, fp long")
 
 
 def segments(fp: np.ndarray) -> np.ndarray:

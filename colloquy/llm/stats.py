@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tables import in_small_batches
 from .text import mix64, slices, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lower", "n_upper", "n_digits", "n_marks", "n_bang", "n_stops", "n_lines", "n_distinct", "n_word_runs")
@@ -79,4 +80,4 @@ def text_stats(docs: DataFrame, keep: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(found[c]) for c in COUNTS)], names=[*keep, *COUNTS])
 
     schema = ", ".join([*(f"`{k}` {t}" for k, t in keep.items()), *(f"{c} long" for c in COUNTS)])
-    return docs.select(*keep, "text").mapInArrow(counted, schema)
+    return in_small_batches(docs.select(*keep, "text")).mapInArrow(counted, schema)

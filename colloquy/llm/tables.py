@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Most rows of a keyed table that a join may broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
 SALTS = 32
+#: Most bytes of rows handed to Python at once, where the session sets no limit of its own.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows with texts go to Python in batches of about BATCH_BYTES instead of 10,000 rows of any size."""
+    conf = df.sparkSession.conf
+    if not conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

@@ -79,7 +79,7 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     return Words(data, bounds, start, end, count)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows with about `most` bytes of text each, or one longer text; null texts are empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())

@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import SALTS, materialise
+
+#: Hubs are nodes with over this part of all links, so there are at most so many of them.
+HUBS = 4096
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -27,12 +30,25 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[far], nodes[label[far]]], axis=1)
 
 
+def join_least(links: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """links(u, v, ...) with m of least(u, m, n), where n counts a node's links and rows bounds the sum of all n.
+
+    Links of a hub are dealt over SALTS tasks by v, and the hub's row of least goes to each of them.
+    """
+    most = max(64, rows // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.lit(True).alias("hub")))
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.sequence(F.lit(0), F.when(F.col("n") > most, SALTS - 1).otherwise(0))
+    dealt = links.join(hubs, "u", "left").withColumn("salt", salt).drop("hub")
+    return dealt.join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).drop("salt")
+
+
 def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component for nodes(node long, name long) and pairs(a long, b long) of nodes.
 
     Large and small stars alternate until each component is one star; every round's pairs are written to the
     shared folder. The component's name is the least name of its nodes. A node's pairs are summed up as minima,
-    so a hub is never gathered into one row.
+    so a hub is never gathered into one row, and its links are dealt over several tasks.
     """
     pairs = materialise(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
     mark = None
@@ -42,15 +58,15 @@ def components(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFram
             break
         mark = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         # large star: larger neighbours link to the least of the neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join_least(both.where("v > u"), least, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours and the node itself link to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_least(large, low, 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         pairs = materialise(small.where("u <> v").distinct(), "pairs")
     else:
         raise RuntimeError("components did not settle")
-    root = nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "name", F.coalesce("root", "node").alias("root"))
-    names = root.groupBy("root").agg(F.min("name").alias("component"))
-    return root.join(names, "root").select("node", "component")
+    root = nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(F.coalesce("root", "node").alias("u"), F.col("node").alias("v"), "name")
+    names = root.groupBy("u").agg(F.min("name").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_least(root, names, nodes.count()).select(F.col("v").alias("node"), F.col("m").alias("component"))

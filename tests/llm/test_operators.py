@@ -266,3 +266,12 @@ def test_min_cut():
         cost = lambda keep: sum(max(o, 0) if not k else max(-o, 0) for o, k in zip(odds, keep)) + sum(c for a, b, c in edges if keep[a] != keep[b])  # noqa: E731,B023
         best = min(cost([m >> i & 1 == 1 for i in range(n)]) for m in range(1 << n))
         assert abs(cost(html_extract.min_cut(odds, edges)) - best) < 1e-6
+
+
+def test_components_with_hub(spark):
+    from colloquy.llm.components import components
+
+    links = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(9)] + [(399, 600), (7, 7)]
+    nodes = spark.createDataFrame([(i, i + 1000) for i in [*range(400), *range(500, 510), 600, 700]], "node long, name long")
+    got = {r.node: r.component for r in components(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 1000 if i < 400 or i == 600 else 1500 if i < 510 else 1700 for i in [*range(400), *range(500, 510), 600, 700]}

@@ -22,4 +22,4 @@ def register(name: str, plan: Callable[[Tables], DataFrame], sql: str | None = N
 
 
 def load() -> None:
-    from . import chat, dialogue, facts, messages, search, trends, upkeep, usage  # noqa: F401
+    from . import chat, dialogue, facts, messages, search, sources, trends, upkeep, usage  # noqa: F401

@@ -15,10 +15,13 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*BASE, "context")
-#: An identifier's form: six characters or more without white space, a digit among them.
-IDENTIFIER = r"(?<![A-Za-z0-9_@.+:/-])(?=[A-Za-z_@.+:/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_@.+:/-]{4,}+(?<=[A-Za-z0-9])"
+#: An identifier's form: five characters or more without white space, a digit among them, letters or digits at both ends.
+IDENTIFIER = r"(?:(?<![A-Za-z0-9_@.+:/-])|(?<=(?<![A-Za-z0-9_@.+:/-]):))(?=[A-Za-z_@.+:/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_@.+:/-]{3,}[A-Za-z0-9]"
+LABELS = r"(?:token|secret|passwd|password|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|ssn|passport|iban)"
 #: Labels that make the value behind them a seed.
-LABEL = r"(?:token|secret|passwd|password|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|ssn|passport|iban)[\"']?\s*[:=]\s*[\"']?$"
+LABEL = LABELS + r"[\"']?\s*[:=]\s*[\"']?$"
+#: Words before a colon without a space, which belong to the context; groups of an address in hexadecimal do not.
+LEAD = r"^(?:(?![0-9A-Fa-f]{1,4}:)[A-Za-z_.-]++:(?!/)|(?i:[A-Za-z0-9_@.+/-]*?" + LABELS + r":(?!/)))++"
 #: The context before an identifier: the last word, what separates it, and an opening quote.
 BEFORE = r"(?:[^\s:=\"'(<\[]{1,32}[\"']?\s{0,2}[:=]?\s{0,2}[\"'(<\[]?)$"
 
@@ -77,38 +80,53 @@ def candidates(text: Column) -> Column:
     """array<struct(start, end, pattern, instance)>: identifiers with the lexical pattern before them and their form."""
 
     def shaped(m: Column) -> Column:
-        lead = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(m["before"], BEFORE, 0), r"\s+", " "), "[0-9]+", "#"))
-        value = m["match"]
+        label = F.regexp_extract(m["match"], LEAD, 0)
+        value = F.substr(m["match"], F.length(label) + 1)
+        before = F.right(F.concat(m["before"], label), F.lit(72))
+        lead = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(before, BEFORE, 0), r"\s+", " "), "[0-9]+", "#"))
         form = F.when(value.rlike("^[0-9]+$"), F.concat(F.lit("d"), F.length(value))).when(value.rlike("^[0-9a-fA-F]+$"), F.concat(F.lit("x"), F.length(value))).otherwise(F.lit("w"))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(lead, F.lit(" "), form).alias("pattern"), F.md5(value).alias("instance"), F.lower(m["before"]).rlike(LABEL).alias("seed"))
+        start = m["start"] + F.length(label)
+        return F.struct(start.alias("start"), m["end"].alias("end"), F.concat(lead, F.lit(" "), form).alias("pattern"), F.md5(value).alias("instance"), F.lower(before).rlike(LABEL).alias("seed"))
 
-    return F.when(text.rlike("[0-9]"), F.transform(_places(text, IDENTIFIER), shaped)).otherwise(F.array().cast("array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>"))
+    long_enough = lambda c: c["end"] - c["start"] >= 5
+    return F.when(text.rlike("[0-9]"), F.filter(F.transform(_places(text, IDENTIFIER), shaped), long_enough)).otherwise(F.array().cast("array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>"))
 
 
-def discover(found: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
+def discover(found: DataFrame, confidence: float = 0.5, z: float = 1.2816) -> DataFrame:
     """Patterns worth trusting, with their confidence, from found(pattern, instance, seed).
 
-    Seeds have score 1. A pattern's confidence is the mean score of its different instances, one doubtful instance
-    added, if at least `support` of them have a score; an instance's score is 1 less the product of what its
-    trusted patterns leave in doubt. Rounds alternate on the graph of patterns and instances.
+    An instance that is a seed anywhere has score 1. A pattern's confidence is the lower bound (Wilson, one-sided at 90% by `z`) of the share of
+    its different instances that are known, each counted by its score; it is trusted from `confidence` on. For a
+    pattern, an instance's score is 1 less the product of what its other trusted patterns leave in doubt, so no
+    pattern backs itself. Confidences are cut to hundredths and never fall from round to round, so the rounds on
+    the graph of patterns and instances end, when a round changes nothing.
     """
-    edges = materialise(found.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).cast("double").alias("seed")), "pattern-edges")
-    now = edges.withColumn("score", F.col("seed"))
-    for k in range(rounds):
-        means = now.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"), F.sum((F.col("score") > 0).cast("int")).alias("backed"))
-        trusted = materialise(means.where(F.col("backed") >= support).select("pattern", (F.col("sum") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= confidence), "patterns")
-        if k + 1 < rounds:
-            scored = attach(edges, trusted, ["pattern"], F.col("instance"), "inner")
-            doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(1e-6)))))
-            reached = scored.groupBy("instance").agg((F.lit(1.0) - doubt).alias("reached")).withColumnRenamed("instance", "__instance")
-            now = edges.join(reached, edges["instance"] == reached["__instance"], "left").select("pattern", "instance", "seed", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score"))
-    return trusted
+    seeds = found.where("seed").select(F.col("instance").alias("__instance")).distinct().withColumn("seed", F.lit(1.0))
+    edges = found.select("pattern", "instance").distinct()
+    edges = edges.join(seeds, edges["instance"] == seeds["__instance"], "left").select("pattern", "instance", F.coalesce("seed", F.lit(0.0)).alias("seed"))
+    edges = materialise(edges, "pattern-edges")
+    now, mark = edges.withColumn("score", F.col("seed")), None
+    while True:
+        means = now.groupBy("pattern").agg((F.sum("score") / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("n"))
+        share, n, zz = F.col("share"), F.col("n"), z * z
+        bound = (share + zz / (2 * n) - z * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
+        trusted = materialise(means.select("pattern", (F.floor(bound * 100 + 1e-6) / 100).alias("confidence")).where(F.col("confidence") >= confidence), "patterns")
+        told = trusted.agg(F.count(F.lit(1)), F.sum(F.round(F.col("confidence") * 100).cast("long"))).first()
+        if told == mark:
+            return trusted
+        mark = told
+        scored = attach(edges, trusted, ["pattern"], F.col("instance")).withColumn("doubt", F.log(F.greatest(F.lit(1.0) - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-6))))
+        total = scored.groupBy("instance").agg(F.sum("doubt").alias("total")).where("total < 0").withColumnRenamed("instance", "__instance")
+        others = F.lit(1.0) - F.exp(F.least(F.coalesce("total", F.lit(0.0)) - F.col("doubt"), F.lit(0.0)))
+        joined = scored.join(total, scored["instance"] == total["__instance"], "left")
+        now = joined.select("pattern", "instance", F.greatest("seed", F.round(others, 9)).alias("score"))
 
 
 def find(docs: DataFrame, **params) -> DataFrame:
     """doc_id, __key (hash of the text) and spans array<struct(start, kind, end)> of base kinds and contexts.
 
-    kind counts in KINDS; base spans always stay, context spans are added where no base span overlaps.
+    kind counts in KINDS; base spans always stay, context spans (behind a label, or of a trusted pattern) are added
+    where no base span overlaps.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("__key"), text.alias("__text"))
@@ -117,7 +135,7 @@ def find(docs: DataFrame, **params) -> DataFrame:
     overlaps = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
     marked = rows.select("doc_id", "__key", F.explode(F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["pattern"].alias("pattern"), c["instance"].alias("instance"), overlaps(c).alias("known"), c["seed"].alias("seed")))).alias("c")).select("doc_id", "__key", "c.*")
     trusted = discover(marked.select("pattern", "instance", (F.col("known") | F.col("seed")).alias("seed")), **params)
-    new = attach(marked.where("NOT known"), trusted, ["pattern"], F.xxhash64("doc_id", "start"), "inner")
+    new = attach(marked.where("NOT known"), trusted, ["pattern"], F.xxhash64("doc_id", "start")).where(F.col("seed") | F.col("confidence").isNotNull())
     new = new.groupBy("doc_id", "__key").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(len(BASE)).alias("kind"), "end"))).alias("new"))
     new = new.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__new_key"), "new")
     joined = rows.join(new, rows["doc_id"].eqNullSafe(new["__id"]) & (rows["__key"] == new["__new_key"]), "left")

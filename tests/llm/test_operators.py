@@ -248,6 +248,23 @@ def test_pii(spark):
     assert pii.report(df.where("false")).count() == 0
 
 
+def test_pii_identifiers(spark):
+    ends = ["passport: X1234567, next", "passport: X1234567. Next", "see ssn: 123-45-6789.", "ssn:123-45-6789", "my-api_key:ab12cd34/ is", "passport :X1234567: yes"]
+    wants = ["X1234567", "X1234567", "123-45-6789", "123-45-6789", "ab12cd34", "X1234567"]
+    code = lambda i: f"q{hashlib.sha1(str(i).encode()).hexdigest()[:9]}z"
+    rows = list(enumerate(ends))
+    # nine of twelve values behind "dossier" are known from a label elsewhere; three can be found by the pattern only
+    rows += [(100 + i, f"dossier {code(i)}. closed") for i in range(12)] + [(200 + i, f"here is token: {code(i)}") for i in range(9)] + [(300 + i, f"shelf {code(50 + i)} free") for i in range(10)]
+    rows += [(400, "mac ab:cd:ef:12:34:56 at http://ab.cd/e12345")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][int(x.split(":")[1]) : int(x.split(":")[2])] for x in r.spans.split(",") if x.startswith("context")] for r in pii.report(df).collect()}
+    assert [got[i] for i in range(len(ends))] == [[w] for w in wants]
+    assert all(got[100 + i] == [code(i)] for i in range(12)) and all(got[300 + i] == [] for i in range(10)) and got[400] == []
+    masked = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert masked[1] == "passport: <CONTEXT>. Next" and masked[3] == "ssn:<CONTEXT>" and masked[110] == "dossier <CONTEXT>. closed"
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>x='<p>'</script></head><body><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class='ad'>Buy this now.</div><article><h1>Head &amp; line</h1><p>One  two\nthree.<p>Four <b>five</b> six&nbsp;seven.</p></article><div id=comments><p>I disagree with all of this.</p></div><aside>Side</aside><footer>&copy; me</footer></body></html>"
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", page[:200], "x"), (1, "u", page, "x")], "page_id long, url string, html string, text string")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,7 +43,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (long, the unsigned bits) of every document."""
+    """doc_id, text_key (hash of the text) and fp (long, the unsigned bits) of every document."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -60,9 +60,14 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 hashes += [digest(line[a:b], seed) for a, b in zip(start[:k].tolist(), last.tolist())]
                 counts.append(k)
             out = majority(np.asarray(hashes, np.uint64), np.asarray(counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return in_small_batches(rows).mapInArrow(hashed, "doc_id long, text_key long, fp long")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def segments(fp: np.ndarray) -> np.ndarray:
@@ -177,8 +182,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """docs with one document of each near-duplicate group: that with the smallest doc_id; of equal doc_ids one row."""
-    groups = near_duplicates(docs, **params).groupBy("component_id").agg(F.min("doc_id").alias("__keep")).select("__keep")
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["__keep"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+    """docs with one row of each near-duplicate group: that with the smallest doc_id, nulls last, then text hash.
+
+    Groups are named by their fingerprints, so rows with null or equal doc_ids fall only with their own group. Of
+    rows with one doc_id and text any one stays.
+    """
+    rows = materialise(fingerprints(docs, shingle), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    classes = materialise(rows.groupBy("fp").agg(first), "classes")
+    named = components(classes.select(F.col("fp").alias("node"), F.col("fp").alias("name")), links(classes, most))
+    best = named.join(classes, named["node"] == classes["fp"]).groupBy("component").agg(F.min("first").alias("first"))
+    best = best.select(F.col("first.doc_id").alias("__keep"), F.col("first.text_key").alias("__keep_key"))
+    keyed = docs.withColumn("__text_key", text_key())
+    same = keyed["doc_id"].eqNullSafe(best["__keep"]) & (keyed["__text_key"] == best["__keep_key"])
+    return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")

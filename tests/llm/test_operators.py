@@ -76,6 +76,17 @@ def test_simhash(docs, empty, texts):
     assert simhash.keep_one(docs.union(docs)).count() == len(set(name.values()))
 
 
+def test_keep_one_without_ids(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(str(x) for x in rng.integers(0, 10_000, 60)) for _ in range(20)]
+    # a third without an id, two texts under id 5, copies with and without an id
+    rows = [(None if i % 3 == 0 else 5 if i in (5, 7) else i, t, i) for i, t in enumerate(texts)]
+    rows += [(None, texts[1], 100), (None, texts[3], 101), (2, texts[2], 102)]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, text_key int")).collect()]
+    assert sorted(t for _, t, _ in got) == sorted(texts)
+    assert all(i == rows[texts.index(t)][0] for i, t, _ in got)
+
+
 def test_simhash_dense_group(spark):
     rng = np.random.default_rng(1)
     base = int(rng.integers(1 << 62))

@@ -14,8 +14,13 @@ from .components import components
 from .tables import in_small_batches, materialise
 from .text import slices, words
 
-#: The ring's segments in bits; with at most 4 differing bits a chain can begin in a segment without any.
-SEGMENTS = (13, 13, 13, 13, 12)
+
+def ring(most: int) -> tuple[int, ...]:
+    """The ring's segments in bits: more of them than differing bits, so a chain can begin in a segment without any."""
+    if not 0 <= most < 32:
+        raise ValueError(f"most must be 0 to 31 differing bits, not {most}")
+    m = max(5, most + 1)
+    return tuple(64 // m + (i < 64 % m) for i in range(m))
 
 
 #: The bits of a byte, one in each byte of a 64-bit number.
@@ -70,32 +75,33 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def segments(fp: np.ndarray) -> np.ndarray:
+def segments(fp: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     """The ring's segments of each fingerprint, one column for each."""
-    at = np.cumsum((0, *SEGMENTS[:-1]))
-    return np.stack([(fp >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in zip(at, SEGMENTS)], axis=1)
+    at = np.cumsum((0, *sizes[:-1]))
+    return np.stack([(fp >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in zip(at, sizes)], axis=1)
 
 
 def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at `most` or fewer bits, enough of them to connect all that are so linked.
 
-    With m = 5 segments some chain of consecutive segments has at most floor(most * l / m) differences after each
+    With m segments, 5 and more than `most`, some chain of consecutive segments has at most floor(most * l / m) differences after each
     of its first l segments: none in the first, at most one in the first two. Each fingerprint is stored under its
     two segments from every start, and looks up those two segments with none or one bit of the second changed.
     Rows of one start and key meet in one task, sorted; there the chain goes on to three and four segments before
-    the whole distance is taken. A key with over `block` stored rows is dealt in blocks, each of which meets all
+    the whole distance is taken. The more bits, the shorter the keys and the more rows meet under each. A key with over `block` stored rows is dealt in blocks, each of which meets all
     lookups of that key. Of the pairs of a block a spanning forest is kept, never all.
     """
-    m = len(SEGMENTS)
+    sizes = ring(most)
+    m = len(sizes)
     budget = [most * (k + 1) // m for k in range(m)]
 
     def keyed(batches: Iterator[pa.RecordBatch], lookups: bool = True) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray(batch.column(0)).view(np.uint64)
-            seg = segments(fp)
+            seg = segments(fp, sizes)
             for i in range(m):
                 j = (i + 1) % m
-                for flip in range(-1, SEGMENTS[j] if lookups else 0):
+                for flip in range(-1, sizes[j] if lookups else 0):
                     second = seg[:, j] ^ np.uint64(1 << flip if flip >= 0 else 0)
                     key = (np.uint64(i) << np.uint64(26)) | (seg[:, i] << np.uint64(13)) | second
                     for stored in (True, False)[: 1 + lookups] if flip < 0 else (False,):
@@ -115,16 +121,16 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
             use = (n_stored > 0) & (size - n_stored > 0) & (size > 2)
             for at, n, s in zip(edge[use], size[use], n_stored[use]):
                 a, b = fp[at : at + s], fp[at + s : at + n]  # stored rows come first
-                start = int(key[at] >> 26) % 8
+                start = int(key[at] >> 26) % 32
                 pairs = []
                 for lo in range(0, s, 512):
                     for lo_b in range(0, n - s, 2048):
                         x, y = a[lo : lo + 512], b[lo_b : lo_b + 2048]
                         diff = x[:, None] ^ y[None, :]
-                        seg_at = np.cumsum((0, *SEGMENTS[:-1]))
+                        seg_at = np.cumsum((0, *sizes[:-1]))
                         keep, seen = None, 0
                         for k in range(3, m + 1):
-                            mask = sum(((1 << SEGMENTS[(start + j) % m]) - 1) << int(seg_at[(start + j) % m]) for j in range(k))
+                            mask = sum(((1 << sizes[(start + j) % m]) - 1) << int(seg_at[(start + j) % m]) for j in range(k))
                             if keep is None:
                                 ok = np.bitwise_count(diff & np.uint64(mask)) <= budget[k - 1]
                                 keep = np.flatnonzero(ok.ravel())
@@ -162,7 +168,7 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
         own = F.when(F.col("stored"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
         blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(own)
         dealt = rows.join(hot, "key", "left").withColumn("__block", F.explode(blocks))
-        dealt = dealt.select((F.col("__block") * F.lit(1 << 29) + F.col("key")).alias("key"), "stored", "fp")
+        dealt = dealt.select((F.col("__block") * F.lit(1 << 31) + F.col("key")).alias("key"), "stored", "fp")
     ordered = dealt.repartition("key").sortWithinPartitions("key", F.col("stored").desc())
     return ordered.mapInArrow(met, "a long, b long")
 

@@ -112,6 +112,21 @@ def test_simhash_dense_group(spark):
     assert parts(pairs) == parts([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
 
 
+@pytest.mark.parametrize("most", [0, 3, 6, 10])
+def test_simhash_budgets(spark, most):
+    rng = np.random.default_rng(most)
+    fps = []
+    for _ in range(60):  # a base, and one number at exactly `most` bits, in long runs or anywhere
+        base, bits = int(rng.integers(1 << 63)), rng.permutation(63)[:most] if rng.random() < 0.5 else np.arange(most) * 63 // max(1, most)
+        fps += [base, base ^ sum(1 << int(b) for b in bits)]
+    df = spark.createDataFrame([(x,) for x in set(fps)], "fp long")
+    pairs = {frozenset((r.a, r.b)) for r in simhash.links(df, most).collect()}
+    near = {frozenset((a, b)) for a in set(fps) for b in set(fps) if a < b and (a ^ b).bit_count() <= most}
+    assert len(near) == (60 if most else 0) and pairs == near
+    with pytest.raises(ValueError):
+        simhash.links(df, 32)
+
+
 def test_mixing(docs, empty, texts):
     rows = mixing.mix(docs).collect()
     size = {i: len(WORD.findall(t or "")) for i, t in texts.items()}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 from .stats import text_stats
 from .tables import attach, materialise
 
-#: Transformed statistics, and for each the least spread a group is given, so that a constant one stays usable.
+#: Transformed statistics, and the least spread of each: a spread below it, as of a statistic that is constant in a
+#: group, counts as this. Words and lines are few in a text, so their shares move in larger steps than characters'.
 VECTOR = ("word_length", "symbols", "repeats", "dup_lines", "capitals", "marks")
-FLOOR = (0.10, 0.045, 0.12, 0.12, 0.08, 0.05)
-GROUP = ["lang", "__source", "__own"]
+FLOOR = (0.10, 0.05, 0.125, 0.125, 0.05, 0.05)
+#: Estimates are made for all documents (level 0), each language (1), and each language and source (2).
+GROUP = ["level", "lang", "source"]
+BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
 
 
 def vector() -> list[Column]:
@@ -32,38 +37,72 @@ def vector() -> list[Column]:
 
 def chi2_quantile(p: int, q: float) -> float:
     """Wilson and Hilferty's approximation."""
-    from statistics import NormalDist
-
     return p * (1 - 2 / (9 * p) + NormalDist().inv_cdf(q) * math.sqrt(2 / (9 * p))) ** 3
 
 
-def _estimates(sums: DataFrame) -> DataFrame:
-    """Means m_i, inverse covariances w_ij and the log determinant of each group's sums."""
+def consistency(share: np.ndarray) -> np.ndarray:
+    """What the covariance of the nearest `share` of normal rows must be multiplied by to be that of all of them."""
+    p, grid = len(VECTOR), np.linspace(0.02, 0.98, 97)
+    inside = [NormalDist().cdf(((chi2_quantile(p, a) / (p + 2)) ** (1 / 3) - (1 - 2 / (9 * (p + 2)))) / math.sqrt(2 / (9 * (p + 2)))) for a in grid]
+    return np.interp(share, [*grid, 1.0], [*(grid / inside), 1.0])
+
+
+def _inverse(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses and log determinants of covariances whose spreads are raised to FLOOR."""
     p = len(VECTOR)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    keys = [*GROUP, "start"]
+    low = np.maximum(np.square(FLOOR) - cov[:, range(p), range(p)], 0)
+    cov = cov.copy()
+    cov[:, range(p), range(p)] += low
+    return np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+_MOMENTS = [*(f"m{i}" for i in range(len(VECTOR))), *(f"c{i}_{j}" for i, j in PAIRS)]
+_WEIGHTS = [f"w{i}_{j}" for i, j in PAIRS]
+
+
+def _solved(df: DataFrame, keys: list[str], moments: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """keys, rows, and from moments(columns) -> means, covariances: _MOMENTS, the weights of the distance, logdet."""
+    p, numbers = len(VECTOR), [c for c in df.columns if c not in keys]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            n = np.maximum(np.asarray(c["n"], float), 1)
-            mean = np.stack([np.asarray(c[f"s{i}"]) for i in range(p)], axis=1) / n[:, None]
-            cov = np.zeros((len(n), p, p))
-            for i, j in pairs:
-                cov[:, i, j] = cov[:, j, i] = np.asarray(c[f"s{i}_{j}"]) / n - mean[:, i] * mean[:, j]
-            cov += np.diag(np.square(FLOOR))
-            w = np.linalg.inv(cov)
-            values = [*mean.T, *(w[:, i, j] * (1 if i == j else 2) for i, j in pairs), np.linalg.slogdet(cov)[1]]
-            yield pa.RecordBatch.from_arrays([*(c[k] for k in keys), *(pa.array(v) for v in values)], names=[*keys, *(f"m{i}" for i in range(p)), *(f"w{i}_{j}" for i, j in pairs), "logdet"])
-
-    kept = sums.select(*keys, "n", *(f"s{i}" for i in range(p)), *(f"s{i}_{j}" for i, j in pairs))
-    schema = "lang string, __source string, __own boolean, start int, " + ", ".join([*(f"m{i} double" for i in range(p)), *(f"w{i}_{j} double" for i, j in pairs), "logdet double"])
-    return kept.mapInArrow(solve, schema)
+            c = {name: np.asarray(batch.column(batch.schema.get_field_index(name)), float) for name in numbers}
+            mean, cov = moments(c)
+            w, logdet = _inverse(cov)
+            values = [c["rows"], *mean.T, *(cov[:, i, j] for i, j in PAIRS), *(w[:, i, j] * (1 if i == j else 2) for i, j in PAIRS), logdet]
+            held = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(v) for v in values)], names=[*keys, "rows", *_MOMENTS, *_WEIGHTS, "logdet"])
+
+    types = dict(df.dtypes)
+    return df.mapInArrow(solve, ", ".join([*(f"{k} {types[k]}" for k in keys), *(f"{c} double" for c in ("rows", *_MOMENTS, *_WEIGHTS, "logdet"))]))
+
+
+def _from_sums(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of the rows that a concentration step took, corrected for the share taken."""
+    p, n = len(VECTOR), np.maximum(c["n"], 1)
+    mean = np.stack([c[f"s{i}"] for i in range(p)], axis=1) / n[:, None]
+    cov = np.zeros((len(n), p, p))
+    for i, j in PAIRS:
+        cov[:, i, j] = cov[:, j, i] = c[f"s{i}_{j}"] / n - mean[:, i] * mean[:, j]
+    return mean, cov * consistency(c["n"] / np.maximum(c["rows"], 1))[:, None, None]
+
+
+def _shrunk(prior: float) -> Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+    """A group's moments and those of the group above it (u_...), weighed by its rows and by `prior` rows."""
+
+    def moments(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        p, own = len(VECTOR), c["rows"] / (c["rows"] + prior)
+        mean = np.stack([own * c[f"m{i}"] + (1 - own) * c[f"u_m{i}"] for i in range(p)], axis=1)
+        cov = np.zeros((len(own), p, p))
+        for i, j in PAIRS:
+            cov[:, i, j] = cov[:, j, i] = own * c[f"c{i}_{j}"] + (1 - own) * c[f"u_c{i}_{j}"]
+        return mean, cov
+
+    return moments
 
 
 def _distance() -> Column:
-    p = len(VECTOR)
-    terms = [F.col(f"w{i}_{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}")) for i in range(p) for j in range(i, p)]
+    terms = [F.col(f"w{i}_{j}") * (F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}")) for i, j in PAIRS]
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
@@ -90,7 +129,7 @@ def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Minimum-covariance-determinant estimates of x_i for each GROUP.
+    """Minimum-covariance-determinant estimates of rows(level, lang, source, x_i) by GROUP: rows, _MOMENTS and more.
 
     Two starts, the group's own medians and its language's, each take `steps` concentration steps: distances by
     the current estimate, then mean and covariance of the nearest `share` of the group. A step is one aggregation
@@ -98,57 +137,85 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
     sorted or gathered. The start with the smaller determinant stays.
     """
     p = len(VECTOR)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    own = _medians(rows, GROUP).withColumn("start", F.lit(0))
-    language = _medians(rows, ["lang"])
-    groups = rows.select(*GROUP).distinct()
-    pooled = groups.alias("g").join(language.withColumnRenamed("lang", "__lang"), F.col("g.lang").eqNullSafe(F.col("__lang"))).drop("__lang").withColumn("start", F.lit(1))
-    first = own.unionByName(pooled)
-    weights = [(F.lit(1.0) / (F.col(f"d{i}") * F.col(f"d{i}") + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"w{i}_{j}") for i, j in pairs]
-    now = materialise(first.select(*GROUP, "start", *[f"m{i}" for i in range(p)], *weights, F.lit(0.0).alias("logdet")), "estimates")
-    twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    own = materialise(_medians(rows, GROUP), "medians")
+    language = own.where("level = 1").drop("level", "source").withColumnRenamed("lang", "__lang")
+    groups = own.where("level = 2").select(*GROUP)
+    pooled = groups.join(language, groups["lang"].eqNullSafe(language["__lang"])).drop("__lang").withColumn("start", F.lit(1))
+    first = own.withColumn("start", F.lit(0)).unionByName(pooled)
+    weights = [(F.lit(1.0) / F.greatest(F.col(f"d{i}") * F.col(f"d{i}"), F.lit(FLOOR[i] ** 2)) if i == j else F.lit(0.0)).alias(f"w{i}_{j}") for i, j in PAIRS]
+    now = materialise(first.select(*GROUP, "start", *[f"m{i}" for i in range(p)], *weights), "estimates")
+    starts = F.when(F.col("level") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    many = rows.withColumn("start", F.explode(starts))
     for _ in range(steps):
-        near = attach(twice, now, [*GROUP, "start"], F.col("x0")).withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 8).cast("int"))
-        sums = near.groupBy(*GROUP, "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+        held = now.select(*GROUP, "start", *[f"m{i}" for i in range(p)], *_WEIGHTS)
+        near = attach(many, held, [*GROUP, "start"], F.col("x0")).withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * 8).cast("int"))
+        products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]
+        sums = near.groupBy(*GROUP, "start", "bin").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)], *products)
         every = Window.partitionBy(*GROUP, "start")
         before = F.coalesce(F.sum("n").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        taken = sums.withColumn("before", before).withColumn("all", F.sum("n").over(every)).where(F.col("before") < F.col("all") * share)
-        whole = taken.groupBy(*GROUP, "start").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in pairs])
-        now = materialise(_estimates(whole), "estimates")
+        taken = sums.withColumn("before", before).withColumn("rows", F.sum("n").over(every)).where(F.col("before") < F.col("rows") * share)
+        parts = [F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(p)), *(f"s{i}_{j}" for i, j in PAIRS))]
+        whole = taken.groupBy(*GROUP, "start").agg(F.max("rows").alias("rows"), *parts)
+        now = materialise(_solved(whole, [*GROUP, "start"], _from_sums), "estimates")
     best = Window.partitionBy(*GROUP).orderBy("logdet", "start")
     return now.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "start", "logdet")
 
 
-def judge(docs: DataFrame, quantile: float = 0.9999, widen: float = 1.5, least_rows: int = 60) -> DataFrame:
+def estimates(rows: DataFrame, prior: float, **params) -> DataFrame:
+    """lang, source, means m_i and weights w_ij for every language and source of rows(lang, source, x_i).
+
+    Each group's own estimate counts with its rows, that of the group above it (its language, for a language all
+    documents) with `prior` rows. So small groups are judged nearly as their language, large ones by themselves,
+    and nothing changes at any size in between.
+    """
+    null = F.lit(None).cast("string")
+    level = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.alias("lang"), source.alias("source"))
+    groups = F.array(level(0, null, null), level(1, F.col("lang"), null), level(2, F.col("lang"), F.col("source")))
+    numbers = [f"x{i}" for i in range(len(VECTOR))]
+    found = materialise(mcd(rows.select(F.explode(groups).alias("g"), *numbers).select("g.*", *numbers), **params), "estimates")
+    above = found.where("level = 0").select(*[F.col(c).alias(f"u_{c}") for c in _MOMENTS])
+    own = found.where("level = 1").select("lang", "rows", *_MOMENTS)
+    languages = materialise(_solved(own.join(F.broadcast(above)), ["lang"], _shrunk(prior)), "languages")
+    above = languages.select("lang", *[F.col(c).alias(f"u_{c}") for c in _MOMENTS])
+    own = found.where("level = 2").select("lang", "source", "rows", *_MOMENTS)
+    return _solved(attach(own, above, ["lang"], F.col("source")), ["lang", "source"], _shrunk(prior)).drop("rows", "logdet", *[c for c in _MOMENTS if c[0] == "c"])
+
+
+def _verdicts(docs: DataFrame, quantile: float = 0.9999, prior: float = 60.0, **params) -> DataFrame:
+    """Base counts, kept and distance of every row, with its lang, source and text_key (hash of the text)."""
+    keep = {"doc_id": "long", "lang": "string", "source": "string", "text_key": "long"}
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
+    own = docs.select(*[F.col(c).cast(t).alias(c) for c, t in keep.items() if c != "text_key"], key, F.col("text").cast("string").alias("text"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    stats = text_stats(own, keep).withColumn("base_failed", failed).withColumn("n_letters", F.col("n_lower") + F.col("n_upper")).withColumn("n_all_lines", F.col("n_lines") + 1)
+    rows = materialise(stats.select(*BASE, "lang", "source", "text_key", *vector()), "statistics")
+    found = materialise(estimates(rows.where("NOT base_failed"), prior, **params), "estimates")
+    judged = attach(rows, found, ["lang", "source"], F.col("text_key"))
+    distance = F.when(~F.col("base_failed"), _distance())
+    fine = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= chi2_quantile(len(VECTOR), quantile))
+    return judged.select(*BASE, "lang", "source", "text_key", fine.alias("kept"), distance.alias("distance"))
+
+
+def judge(docs: DataFrame, **params) -> DataFrame:
     """Base counts and the verdict `kept` of every document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and distance
     (squared, null if base_failed). Estimates are made for each language and source over the documents that pass
-    the base rule; a source with under least_rows of them in a language shares its language's small sources. A
-    document is rejected over `widen` times the quantile of the chi-squared law, as the statistics are not normal.
+    the base rule, and lean on the language's as far as a source is small (`prior`). A document is rejected over
+    the `quantile` of the chi-squared law.
 
     Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own.
     Copies and repeated rows are judged alike, each for itself. An empty table gives no rows. Other columns are
     ignored.
     """
-    keep = {"doc_id": "long", "lang": "string", "source": "string"}
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = text_stats(own, keep).withColumn("base_failed", failed).withColumn("n_letters", F.col("n_lower") + F.col("n_upper")).withColumn("n_all_lines", F.col("n_lines") + 1)
-    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = materialise(stats.select(*base, "lang", "source", *vector()), "statistics")
-    sizes = materialise(rows.where("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__rows")), "groups")
-    rows = attach(rows, sizes, ["lang", "source"], F.col("doc_id"))
-    enough = F.coalesce(F.col("__rows"), F.lit(0)) >= least_rows
-    rows = rows.withColumn("__own", enough).withColumn("__source", F.when(enough, F.col("source"))).drop("__rows")
-    estimates = mcd(rows.where("NOT base_failed").select(*GROUP, *[f"x{i}" for i in range(len(VECTOR))]))
-    judged = attach(rows, materialise(estimates, "estimates"), GROUP, F.col("doc_id"))
-    distance = F.when(~F.col("base_failed"), _distance())
-    limit = widen * chi2_quantile(len(VECTOR), quantile)
-    return judged.select(*base, (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= limit)).alias("kept"), distance.alias("distance"))
+    return _verdicts(docs, **params).select(*BASE, "kept", "distance")
 
 
 def keep_good(docs: DataFrame, **params) -> DataFrame:
-    """The documents that judge() keeps; rows with one doc_id stay if any of them is kept."""
-    kept = judge(docs, **params).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows that judge() keeps, with all their columns; each by its own doc_id, language, source and text."""
+    kept = _verdicts(docs, **params).where("kept").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "lang", "source", "text_key")])
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = keyed["__key"] == kept["__text_key"]
+    for c in ("doc_id", "lang", "source"):
+        same = same & keyed[c].eqNullSafe(kept[f"__{c}"])
+    return keyed.join(kept, same, "left_semi").drop("__key")

@@ -236,7 +236,7 @@ def test_maxscore(spark):
 
 
 def test_outliers(docs, empty, texts):
-    got = {r.doc_id: r for r in outliers.judge(docs, least_rows=5).collect()}
+    got = {r.doc_id: r for r in outliers.judge(docs).collect()}
     for i, t in texts.items():
         t = t or ""
         w = WORD.findall(t)

@@ -81,61 +81,65 @@ class EliasFano:
         return np.where(beyond, self.n, lo)
 
 
+def _quantised(v: np.ndarray, bits: int) -> bytes:
+    low, high = (float(v.min()), float(v.max())) if len(v) else (0.0, 0.0)
+    step = (high - low) / (2**bits - 1) or 1.0
+    return struct.pack("<2d", low, step) + np.round((v - low) / step).astype("<u2").tobytes()
+
+
 class Trie:
-    """Contexts, pointers to their successors, successors and quantised values of both.
+    """Levels of n-grams: for each level pointers to the successors of every node above, codes, quantised values.
 
-    Successors are stored with their context's number above their code, which makes the whole level one
-    non-decreasing sequence; a lookup is a successor search relative to the context.
+    A node is known by its number within its level. Successors are stored with the number of the node above them
+    over their code, which makes a whole level one non-decreasing sequence, as its pointers are; a lookup is a
+    successor search relative to the node above. The first level hangs from one root.
     """
 
-    CODE = 32
-
     @staticmethod
-    def encode(contexts: np.ndarray, first: np.ndarray, codes: np.ndarray, context_value: np.ndarray, value: np.ndarray, bits: int = 16) -> bytes:
-        """contexts ascending; successors first[i]:first[i + 1] of context i, codes ascending."""
-        out = [EliasFano.encode(contexts), EliasFano.encode(first.astype(np.uint64))]
-        number = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(first))
-        out.append(EliasFano.encode((number << np.uint64(Trie.CODE)) | codes.astype(np.uint64)))
-        for v in (context_value, value):
-            low, high = (float(v.min()), float(v.max())) if len(v) else (0.0, 0.0)
-            step = (high - low) / (2**bits - 1) or 1.0
-            out.append(struct.pack("<2d", low, step) + np.round((v - low) / step).astype("<u2").tobytes())
+    def encode(levels: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]], bits: int = 16) -> bytes:
+        """levels: for each node its parent's number (ascending) and code (ascending within a parent), and values."""
+        width = max((int(codes.max()).bit_length() for _, codes, _ in levels if len(codes)), default=1)
+        out, above = [struct.pack("<2q", width, len(levels))], 1
+        for parents, codes, values in levels:
+            first = np.searchsorted(parents, np.arange(above + 1))
+            out.append(EliasFano.encode(first.astype(np.uint64)))
+            out.append(EliasFano.encode((parents.astype(np.uint64) << np.uint64(width)) | codes.astype(np.uint64)))
+            out.append(struct.pack("<q", len(values)))
+            out += [_quantised(v, bits) for v in values]
+            above = len(codes)
         return b"".join(out)
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        self.contexts, at = EliasFano.open(raw, 0)
-        self.first, at = EliasFano.open(raw, at)
-        self.level, at = EliasFano.open(raw, at)
-        self.values = []
-        for n in (self.contexts.n, self.level.n):
-            low, step = struct.unpack("<2d", raw[at : at + 16].tobytes())
-            self.values.append((low, step, np.frombuffer(raw, "<u2", n, at + 16) if n else np.zeros(0, np.uint16)))
-            at += 16 + 2 * n
-
-    def _value(self, which: int, i: np.ndarray) -> np.ndarray:
-        low, step, v = self.values[which]
-        return low + step * v[i]
-
-    def context(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each context, -1 if absent, and its value (0 if absent)."""
-        i = self.contexts.successor(keys)
-        there = i < self.contexts.n
-        if self.contexts.n:
-            there &= self.contexts.get(np.minimum(i, self.contexts.n - 1)) == keys
-        value = np.zeros(len(keys))
-        value[there] = self._value(0, i[there])
-        return np.where(there, i, -1), value
-
-    def find(self, context: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each (context number, code) is held, and its value."""
-        found, value = np.zeros(len(codes), bool), np.zeros(len(codes))
-        ask = np.flatnonzero(context >= 0)
-        if len(ask) and self.level.n:
-            key = (context[ask].astype(np.uint64) << np.uint64(self.CODE)) | codes[ask].astype(np.uint64)
-            i = self.level.successor(key)
-            inside = i < self.first.get(context[ask] + 1).astype(np.int64)
-            hit = inside & (self.level.get(np.minimum(i, self.level.n - 1)) == key)
-            found[ask[hit]] = True
-            value[ask[hit]] = self._value(1, i[hit])
-        return found, value
+        self.width, n_levels = struct.unpack("<2q", raw[:16].tobytes())
+        at, self.levels = 16, []
+        for _ in range(n_levels):
+            first, at = EliasFano.open(raw, at)
+            keys, at = EliasFano.open(raw, at)
+            (n_values,) = struct.unpack("<q", raw[at : at + 8].tobytes())
+            at, values = at + 8, []
+            for _ in range(n_values):
+                low, step = struct.unpack("<2d", raw[at : at + 16].tobytes())
+                values.append((low, step, np.frombuffer(raw, "<u2", keys.n, at + 16) if keys.n else np.zeros(0, np.uint16)))
+                at += 16 + 2 * keys.n
+            self.levels.append((first, keys, values))
+
+    def find(self, level: int, parent: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The number of each code below its parent; -1 if it is not held, or has no parent (-1)."""
+        first, keys, _ = self.levels[level]
+        out = np.full(len(codes), -1, np.int64)
+        ask = np.flatnonzero((parent >= 0) & (codes >> self.width == 0))
+        if len(ask) and keys.n:
+            key = (parent[ask].astype(np.uint64) << np.uint64(self.width)) | codes[ask].astype(np.uint64)
+            i = keys.successor(key)
+            inside = i < first.get(parent[ask] + 1).astype(np.int64)
+            hit = inside & (keys.get(np.minimum(i, keys.n - 1)) == key)
+            out[ask[hit]] = i[hit]
+        return out
+
+    def value(self, level: int, which: int, number: np.ndarray, missing: float) -> np.ndarray:
+        low, step, v = self.levels[level][2][which]
+        out = np.full(len(number), missing)
+        there = number >= 0
+        out[there] = low + step * v[number[there]]
+        return out

@@ -1,4 +1,4 @@
-"""Language-model scoring: bigram tries in Elias-Fano form, one for each shard of contexts."""
+"""Language-model scoring: trigram tries in Elias-Fano form, one for each shard of contexts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import math
 import os
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,204 +16,347 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import Trie
-from .tables import materialise
+from .tables import in_small_batches, materialise
 from .text import mix64, slices, words
 
-#: Words with at least 1 / HEAD of all training tokens have lower-order probabilities of their own; so at most
-#: HEAD of them are broadcast. The other words share what is left alike.
-HEAD = 1 << 22
-#: Contexts with at least 1 / HOT of all training tokens are dealt by their successors; at most HOT of them.
-HOT = 1 << 10
-END, BEGIN = np.uint64(0x5BD1E995), np.uint64(0xC2B2AE35)
+#: Most words and most pairs that are told to all tasks as frequent, those with over 1 / HOT of the input's bytes.
+HOT = 1 << 20
+BEGIN, END = np.uint64(0xC2B2AE35), np.uint64(0x5BD1E995)
+#: Ids below every word's: no third word, and words that the training documents do not hold.
+NONE, UNKNOWN = 0, 1
+_BLOB = "slice long, part long, blob binary"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 1, F.lit(False))
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each text's words and its end, the text of each, and the tokens before each text."""
-    w = words(texts, lower=True)
-    first = w.first + np.arange(len(texts) + 1)
-    out = np.full(first[-1], END, np.uint64)
-    doc = np.repeat(np.arange(len(texts)), w.count + 1)
-    out[np.arange(len(w.start)) + w.doc] = w.hashes() << np.uint64(8) >> np.uint64(8)  # 56 bits
-    return out, doc, first
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(h, n): tokens of the training documents."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 8 << 20):
-            h, n = np.unique(_tokens(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    return docs.where(~held_out()).select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
+    """Arrays of one length as compressed byte planes."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
     return zstandard.compress(b"".join(planes), 1)
 
 
 def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    data = np.frombuffer(zstandard.decompress(blob), np.uint8)
     widths = [np.dtype(t).itemsize for t in types]
-    n, at, out = len(raw) // sum(widths), 0, []
+    n, at, out = len(data) // sum(widths), 0, []
     for t, width in zip(types, widths):
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(t)[:, 0])
+        out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(t)[:, 0])
         at += n * width
     return out
 
 
-def score(docs: DataFrame, strength: float = 100.0, shard_bytes: int = 16 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
-    """Base and bigram scores of every document; see the columns at the end.
+def _share(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash, ascending with it."""
+    return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    a, b, c = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["slice", "part", "blob"])
+
+
+def _cut(at: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, last) of the runs in ascending shard numbers."""
+    edge = np.searchsorted(at, np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(edge)).tolist():
+        yield s, int(edge[s]), int(edge[s + 1])
+
+
+@dataclass
+class Slice:
+    """The tokens of a run of documents: each text's beginning, words and end, as numbers of distinct hashes."""
+
+    hashes: np.ndarray  #: distinct, ascending
+    token: np.ndarray  #: the place in hashes of every token
+    size: np.ndarray  #: tokens of each document
+    held: np.ndarray  #: held-out documents
+
+    @classmethod
+    def of(cls, texts: list[bytes], held: np.ndarray) -> Slice:
+        w = words(texts, lower=True)
+        size = w.count + 2
+        last = np.cumsum(size)
+        seq = np.empty(int(last[-1]) if len(last) else 0, np.uint64)
+        seq[np.arange(len(w.start)) + 2 * w.doc + 1] = w.hashes()
+        seq[last - size], seq[last - 1] = BEGIN, END
+        hashes, token = np.unique(seq, return_inverse=True)
+        return cls(hashes, token, size, held)
+
+    @property
+    def trained(self) -> np.ndarray:
+        """Whether each token is of a training document."""
+        return np.repeat(~self.held, self.size)
+
+    def starts(self) -> np.ndarray:
+        """Places of tokens that another follows in their text."""
+        ends = np.cumsum(self.size) - 1
+        return np.delete(np.arange(len(self.token)), ends)
+
+    def packed(self) -> bytes:
+        docs = _pack(self.size.astype("<u4"), self.held.astype("<u1"))
+        return len(docs).to_bytes(8, "little") + docs + _pack(self.token.astype("<u4"))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Slice:
+        at = 8 + int.from_bytes(blob[:8], "little")
+        size, held = _unpack(blob[8:at], "<u4", "<u1")
+        return cls(np.zeros(0, np.uint64), _unpack(blob[at:], "<u4")[0].astype(np.int64), size.astype(np.int64), held.astype(bool))
+
+
+def _read(docs: DataFrame, each, schema: str, slice_bytes: int) -> DataFrame:
+    """each(name, Slice, batch) -> record batch, for every slice of docs; names are the same in every reading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch, texts in slices(batches, "text", slice_bytes):
+            yield each((part << 32) | number, Slice.of(texts, np.asarray(batch.column(2))), batch)
+            number += 1
+
+    return in_small_batches(docs).mapInArrow(run, schema)
+
+
+def _count_words(name: int, s: Slice, shards: int) -> pa.RecordBatch:
+    n = np.bincount(s.token[s.trained], minlength=len(s.hashes))
+    return _blobs([(name, k, _pack(np.diff(s.hashes[a:b], prepend=np.uint64(0)), n[a:b].astype("<u4"))) for k, a, b in _cut(_share(s.hashes, shards), shards)])
+
+
+def _number_words(k: int, t: pa.Table, shards: int, hot: float) -> pa.Table:
+    """Told to every slice: id and count of its words. Beside them, as slice -1 tokens, -2 words, -3 frequent words.
+
+    Ids are dense over all shards and small for frequent words.
+    """
+    names = t["slice"].to_pylist()
+    parts = [_unpack(x, "<u8", "<u4") for x in t["blob"].to_pylist()]
+    each = [np.cumsum(p[0]) for p in parts]
+    h, inverse = np.unique(np.concatenate(each), return_inverse=True)
+    count = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(h)).astype(np.int64)
+    ids = np.full(len(h), UNKNOWN, np.int64)
+    order = np.argsort(-count, kind="stable")[: int((count > 0).sum())]
+    ids[order] = (np.arange(len(order)) + 1) * shards + k + 1
+    at, rows = 0, []
+    for name, own in zip(names, each):
+        i = inverse[at : at + len(own)]
+        rows.append((name, k, _pack(ids[i].astype("<u8"), count[i].astype("<u8"))))
+        at += len(own)
+    told = h != BEGIN
+    rows += [(-1, int(count[told].sum()), None), (-2, int((count[told] > 0).sum()), None)]
+    often = count >= hot
+    if often.any():
+        rows.append((-3, k, _pack(h[often], ids[often].astype("<u8"), count[often].astype("<u8"))))
+    return pa.Table.from_batches([_blobs(rows)])
+
+
+@dataclass
+class Grams:
+    """The distinct trigrams of a slice in the order in which shards are asked for them."""
+
+    words: np.ndarray  #: ids of first, second and third word, one row for each
+    trained: np.ndarray  #: occurrences in training documents
+    shard: np.ndarray
+    inverse: np.ndarray  #: the trigram of each start
+
 
-    P(v | u) = (c(u v) + strength * P(v)) / (c(u) + strength), MacKay and Peto's Dirichlet smoothing, with
-    P(v) = (c(v) + 0.5) / (N + 0.5 (V + 1)) for head words and an equal part of the rest for all others, the
-    unknown word among them. The first word's context is the beginning.
+def _grams(s: Slice, ids: np.ndarray, count: np.ndarray, hot_pairs: np.ndarray, hot: float, shards: int) -> Grams:
+    """A trigram goes to the shard of its first word; of a frequent word to that of its first two, of a frequent
+    pair to that of all three."""
+    i, n = s.starts(), len(ids) + 1
+    a, b = s.token[i], s.token[i + 1]
+    doc_end = np.repeat(np.cumsum(s.size) - 1, s.size)[i]
+    c = np.where(i + 2 <= doc_end, s.token[np.minimum(i + 2, len(s.token) - 1)] + 1, 0)
+    pairs, of_pair = np.unique(a * n + b, return_inverse=True)
+    triples, inverse = np.unique(of_pair * n + c, return_inverse=True)
+    c = triples % n
+    a, b = np.divmod(pairs[triples // n], n)
+    u, v, w = ids[a], ids[b], np.where(c > 0, ids[c - 1], NONE)
+    key = mix64(u.astype(np.uint64))
+    wide = count[a] >= hot
+    key[wide] = mix64(key[wide] + v[wide].astype(np.uint64))
+    if len(hot_pairs):
+        pair = _pair(u, v)
+        widest = wide & (hot_pairs[np.minimum(np.searchsorted(hot_pairs, pair), len(hot_pairs) - 1)] == pair)
+        key[widest] = mix64(key[widest] + w[widest].astype(np.uint64))
+    shard = _share(key, shards)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    trained = np.bincount(inverse[s.trained[i]], minlength=len(triples))
+    return Grams(np.stack([u, v, w])[:, order], trained[order], shard[order], place[inverse])
 
-    One pass counts words. A second tells every token with its context to the shard of the context: contexts with
-    a large part of all tokens are dealt by successor as well, for which the smoothing needs no more than c(u),
-    known from the first pass. A shard counts its training bigrams, writes them as an Elias-Fano trie with
-    quantised log probabilities to a file, maps it, looks up its tokens and tells each slice of documents their
-    part sums, which the slice then adds up. Shards are in proportion to the text.
+
+def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix64(mix64(u.astype(np.uint64)) + v.astype(np.uint64))
+
+
+def _answer(t: pa.Table, strength: float, hot_words: tuple[np.ndarray, np.ndarray], hot_pairs: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Builds a shard's trie from its trigrams and answers every slice.
+
+    Levels: words; pairs with log10 of c(u v) / (c(u) + strength) and of strength / (c(u v) + strength); triples with
+    log10 of c(u v w) / (c(u v) + strength).
+    """
+    names = t["slice"].to_pylist()
+    parts = [_unpack(x, "<u8", "<u8", "<u8", "<u4") for x in t["blob"].to_pylist()]
+    size = [len(p[0]) for p in parts]
+    u = np.concatenate([np.cumsum(p[0]) for p in parts]).astype(np.int64)
+    v, w = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
+    n = np.concatenate([p[3] for p in parts]).astype(np.int64)
+    del parts
+    some = np.flatnonzero(n)
+    some = some[np.lexsort((w[some], v[some], u[some]))]
+    a, b, c, n = u[some], v[some], w[some], n[some]
+
+    def runs(*columns: np.ndarray) -> np.ndarray:
+        new = np.ones(len(some), bool)
+        if len(some):
+            new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+        return new
+
+    new1, new2, new3 = runs(a), runs(a, b), runs(a, b, c)
+    at1, at2, at3 = map(np.flatnonzero, (new1, new2, new3))
+    n1, n2, n3 = (np.add.reduceat(n, x) if len(x) else n for x in (at1, at2, at3))
+
+    def known(own: np.ndarray, keys: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Counts of frequent words and pairs, whose occurrences lie in several shards."""
+        if not len(told[0]):
+            return own
+        i = np.minimum(np.searchsorted(told[0], keys), len(told[0]) - 1)
+        return np.where(told[0][i] == keys, told[1][i], own)
+
+    n1 = known(n1, a[at1].astype(np.uint64), hot_words)
+    n2 = known(n2, _pair(a[at2], b[at2]), hot_pairs)
+    up2, up3 = (np.cumsum(x) - 1 for x in (new1, new2))
+    up2, up3 = up2[at2], up3[at3]
+    third = c[at3] != NONE
+    levels = [
+        (np.zeros(len(at1), np.int64), a[at1], []),
+        (up2, b[at2], [np.log10(n2 / (n1[up2] + strength)), np.log10(strength / (n2 + strength))]),
+        (up3[third], c[at3][third], [np.log10(n3[third] / (n2[up3[third]] + strength))]),
+    ]
+    encoded = Trie.encode(levels)
+    del levels, some, a, b, c
+    with tempfile.TemporaryDirectory() as folder:
+        with open(os.path.join(folder, "trie"), "wb") as f:
+            f.write(encoded)
+        del encoded
+        trie = Trie(f.name)
+        pair = trie.find(1, trie.find(0, np.zeros(len(u), np.int64), u), v)
+        triple = trie.find(2, pair, w)
+        told = [trie.value(1, 0, pair, -np.inf), trie.value(1, 1, pair, 0.0), trie.value(2, 0, triple, -np.inf)]
+        del trie
+    edge = np.concatenate([[0], np.cumsum(size)])
+    shard = t["part"][0].as_py()
+    return pa.Table.from_batches([_blobs([(name, (1 << 40) + shard, _pack(*(x[i:j].astype("<f4") for x in told))) for name, i, j in zip(names, edge, edge[1:])])])
+
+
+def score(docs: DataFrame, strength: float = 100.0, shard_bytes: int = 8 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
+    """Base and trigram scores of every document; see the columns at the end.
+
+    P(w | u v) = (c(u v w) + strength * P(w | v)) / (c(u v) + strength), P(w | v) likewise from P(w) = (c(w) + 0.5) /
+    (N + 0.5 (V + 1)): MacKay and Peto's Dirichlet smoothing. The first word's context is the beginning alone.
+
+    One reading of the texts counts words: a slice of documents tells each of its distinct words to the word's
+    shard, which answers with a number and the count. A second counts pairs of frequent words. A third tells each
+    slice's distinct trigrams to the shard of the first word, or of the pair or the whole trigram where the word
+    or pair alone would fill a quarter of a shard. A shard counts, writes an Elias-Fano trie of quantised log
+    probabilities to a file, maps it and answers from it; the last reading adds up. Slices send a trigram once, so a
+    repeated one has a row's entry for each slice. Shards are in proportion to the text; a slice sends each shard
+    at most one row, and never more rows than it has trigrams. Tries are files of one task in its
+    machine's temporary folder: a lost executor's tasks build theirs again.
+
+    Words are told apart by 64-bit hashes, pairs of frequent words too. Frequent words and pairs, at most HOT of each,
+    are broadcast as numbers.
 
     docs is a table or another frame whose partitions do not change when they are computed again.
 
     Null and empty texts consist of the end alone. A null doc_id is a training document. Repeated rows count each.
     Without training documents every word is unknown. An empty table gives no rows. Other columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    table = materialise(count_words(own), "words")
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_tokens, n_types = int(total[0]), int(total[1])
-    least = max(1, n_tokens / HEAD)
-    head = table.where(F.col("n") >= least).toArrow()
-    head_h, head_n = np.asarray(head["h"]).astype(np.uint64), np.asarray(head["n"]).astype(np.int64)
-    order = np.argsort(head_h)
-    head_h, head_n = head_h[order], head_n[order]
-    whole = n_tokens + 0.5 * (n_types + 1)
-    rest = (1 - ((head_n + 0.5) / whole).sum()) / (n_types - len(head_h) + 1)
-    low = np.append(np.log10((head_n + 0.5) / whole), math.log10(max(rest, 1e-300)))
-    ends = int(head_n[head_h == END].sum())
-    hot = head_n >= max(1, n_tokens / HOT) if n_tokens > HOT else np.zeros(len(head_n), bool)
-    hot_h, hot_n = np.append(head_h[hot & (head_h != END)], BEGIN), np.append(head_n[hot & (head_h != END)], ends)
-    order = np.argsort(hot_h)
-    sent = spark.sparkContext.broadcast((head_h, low, hot_h[order], hot_n[order]))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
+    size = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
-    log_whole = math.log10(whole)
+    hot = max(shard_bytes / 24, size / HOT)
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_h, low, hot_h, _ = sent.value
-        part, number = TaskContext.get().partitionId(), 0
-        for batch, texts in slices(batches, "text", slice_bytes):
-            held = np.asarray(batch.column(2))
-            for lo in range(0, len(texts), 30_000):
-                some = texts[lo : lo + 30_000]
-                v, doc, first = _tokens(some)
-                u = np.concatenate([[BEGIN], v[:-1]])
-                u[first[:-1]] = BEGIN
-                at = np.minimum(np.searchsorted(head_h, v), max(0, len(head_h) - 1))
-                known = head_h[at] == v if len(head_h) else np.zeros(len(v), bool)
-                code = np.where(known, at, (v & np.uint64(0x7FFFFFFF)).astype(np.int64) | (1 << 31)).astype("<u4")
-                spread = mix64(u)
-                is_hot = hot_h[np.minimum(np.searchsorted(hot_h, u), len(hot_h) - 1)] == u
-                spread[is_hot] = mix64(spread[is_hot] + code[is_hot])
-                shard = ((spread >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-                order = np.argsort((shard << np.uint64(40)) | (u >> np.uint64(16)))
-                u, code, shard = u[order], code[order], shard[order]
-                doc = (doc[order] | np.where(held[lo : lo + 30_000][doc[order]], 1 << 15, 0)).astype("<u2")
-                edge = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-                blobs, keys = [], []
-                for s in np.flatnonzero(np.diff(edge)):
-                    a, b = edge[s], edge[s + 1]
-                    keys.append(int(s))
-                    blobs.append(_pack(np.diff(u[a:b], prepend=np.uint64(0)), code[a:b], doc[a:b]))
-                name = (part << 32) | number
-                number += 1
-                ids = batch.column(0).slice(lo, 30_000).to_pylist()
-                meta = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": batch.column(2).slice(lo, 30_000), "n_tokens": pa.array(np.diff(first))})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, meta.schema) as w:
-                    w.write_table(meta)
-                keys.append(name % shards)
-                blobs.append(sink.getvalue().to_pybytes())
-                kinds = [False] * (len(blobs) - 1) + [True]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(blobs), pa.int64()), pa.array(kinds), pa.array(blobs, pa.binary())], names=["shard", "slice", "meta", "blob"])
-
-    def looked_up(t: pa.Table) -> pa.Table:
-        _, low, hot_h, hot_n = sent.value
-        is_meta = np.asarray(t["meta"].combine_chunks())
-        kept = t.filter(t["meta"]).select(["slice", "meta", "blob"])
-        t = t.filter(pa.array(~is_meta))
-        if not len(t):
-            return kept
-        names = np.asarray(t["slice"])
-        parts = [_unpack(b, "<u8", "<u4", "<u2") for b in t["blob"].to_pylist()]
-        size = [len(p[0]) for p in parts]
-        u = np.concatenate([np.cumsum(p[0]) for p in parts])
-        code, doc = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-        parts = None
-        held, doc = doc >> 15 == 1, doc & 0x7FFF
-        contexts, ctx = np.unique(u, return_inverse=True)
-        # distinct bigrams, by context and code
-        key = (ctx.astype(np.uint64) << np.uint64(32)) | code
-        pairs, pair = np.unique(key, return_inverse=True)
-        c_pair = np.bincount(pair[~held], minlength=len(pairs))
-        c_ctx = np.bincount(ctx[~held], minlength=len(contexts))
-        at = np.minimum(np.searchsorted(hot_h, contexts), len(hot_h) - 1)
-        hot = hot_h[at] == contexts
-        c_ctx[hot] = hot_n[at[hot]]
-        in_ctx, p_code = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        p_low = low[np.where(p_code >> 31 == 1, len(low) - 1, p_code)]
-        seen = c_pair > 0
-        keep = np.flatnonzero(c_ctx > 0)
-        rank = np.full(len(contexts), -1)
-        rank[keep] = np.arange(len(keep))
-        first = np.concatenate([[0], np.cumsum(np.bincount(rank[in_ctx[seen]], minlength=len(keep)))])
-        value = np.log10((c_pair[seen] + strength * 10 ** p_low[seen]) / (c_ctx[in_ctx[seen]] + strength))
-        raw = Trie.encode(contexts[keep], first, p_code[seen], np.log10(strength / (c_ctx[keep] + strength)), value)
-        with tempfile.TemporaryDirectory() as folder:
-            with open(os.path.join(folder, "trie"), "wb") as f:
-                f.write(raw)
-            raw = None
-            trie = Trie(f.name)
-            of_ctx, back = trie.context(contexts)
-            held_in, log_p = trie.find(of_ctx[in_ctx], p_code)
-            log_p = np.where(held_in, log_p, back[in_ctx] + p_low)
-            del trie
-        word = contexts != BEGIN
-        log_c = np.where(word, np.log10(c_ctx + 0.5), 0.0)
-        row_slice = np.repeat(np.arange(len(size)), size)
-        group = row_slice * (1 << 15) + doc
-        order = np.argsort(group, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0]))
-        sums = [np.add.reduceat(x[order], edge) for x in (log_p[pair], log_c[ctx], (word & (c_ctx > 0))[ctx].astype(np.int64))]
-        group = group[order][edge]
-        cut = np.searchsorted(group >> 15, np.arange(len(size) + 1))
-        blobs = [_pack((group[a:b] & 0x7FFF).astype("<u2"), sums[0][a:b].astype("<f8"), sums[1][a:b].astype("<f8"), sums[2][a:b].astype("<u4")) for a, b in zip(cut, cut[1:])]
-        return pa.concat_tables([kept, pa.table({"slice": pa.array(names), "meta": pa.array([False] * len(names)), "blob": pa.array(blobs, pa.binary())})])
+    counted = _read(own, lambda name, s, _: _count_words(name, s, shards), _BLOB, slice_bytes)
+    numbered = counted.groupBy("part").applyInArrow(lambda key, t: _number_words(key[0].as_py(), t, shards, hot), _BLOB)
+    numbered = materialise(numbered, "words")
+    n_tokens, n_types = numbered.agg(*[F.coalesce(F.sum(F.when(F.col("slice") == x, F.col("part"))), F.lit(0)) for x in (-1, -2)]).first()
+    found = [_unpack(r.blob, "<u8", "<u8", "<u8") for r in numbered.where("slice = -3").select("blob").collect()]
+    hot_h, hot_id, hot_n = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found)]) for k in range(3))
+    order = np.argsort(hot_h)
+    hot_h, hot_id, hot_n = hot_h[order], hot_id[order], hot_n[order].astype(np.int64)
+    sent = spark.sparkContext.broadcast((hot_h, hot_id))
 
-    def added(t: pa.Table) -> pa.Table:
-        is_meta = t["meta"].to_pylist()
+    def frequent_pairs(name: int, s: Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hot_h, hot_id = sent.value
+        at = np.minimum(np.searchsorted(hot_h, s.hashes), len(hot_h) - 1)
+        hot_at = np.where(hot_h[at] == s.hashes, at, -1)[s.token]
+        i = s.starts()
+        i = i[s.trained[i] & (hot_at[i] >= 0) & (hot_at[i + 1] >= 0)]
+        pair, n = np.unique(_pair(hot_id[hot_at[i]], hot_id[hot_at[i + 1]]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+    pairs = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if len(hot_h):
+        t = _read(own, frequent_pairs, "pair long, n long", slice_bytes).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).toArrow()
+        pair = np.asarray(t["pair"]).astype(np.int64).view(np.uint64)
+        order = np.argsort(pair)
+        pairs = (pair[order], np.asarray(t["n"]).astype(np.int64)[order])
+    by_id = np.argsort(hot_id)
+    known = spark.sparkContext.broadcast(((hot_id[by_id], hot_n[by_id]), pairs))
+
+    def with_words(t: pa.Table) -> tuple[Slice, np.ndarray, np.ndarray]:
+        parts = t["part"].to_pylist()
         blobs = t["blob"].to_pylist()
-        meta = pa.ipc.open_stream(blobs[is_meta.index(True)]).read_all()
-        sums = np.zeros((3, len(meta)))
-        parts = [_unpack(b, "<u2", "<f8", "<f8", "<u4") for b, m in zip(blobs, is_meta) if not m]
-        # parts come in any order; sorted, they always add up alike
-        parts.sort(key=lambda p: (len(p[0]), p[0].tobytes(), p[1].tobytes()))
-        for doc, *values in parts:
-            for k, x in enumerate(values):
-                sums[k, doc] += x
-        n = np.asarray(meta["n_tokens"])
-        base = sums[1] + math.log10(ends + 0.5) - n * log_whole
-        known = sums[2].astype(np.int64) + (ends > 0)
-        return pa.table({"doc_id": meta["doc_id"], "held_out": meta["held_out"], "n_tokens": meta["n_tokens"], "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(n), n_tokens)), "base_score": pa.array(base), "score": pa.array(sums[0])})
-
-    rows = own.withColumn("held_out", held_out()).mapInArrow(told, "shard long, slice long, meta boolean, blob binary")
-    parts = rows.groupBy("shard").applyInArrow(looked_up, "slice long, meta boolean, blob binary")
-    return parts.groupBy("slice").applyInArrow(added, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        s = Slice.unpacked(blobs[parts.index(-1)])
+        told = [_unpack(blobs[i], "<u8", "<u8") for i in sorted(range(len(parts)), key=parts.__getitem__) if 0 <= parts[i] < 1 << 40]
+        return s, *(np.concatenate([x[k] for x in told]).astype(np.int64) for k in range(2))
+
+    def told(t: pa.Table) -> pa.Table:
+        s, ids, count = with_words(t)
+        g = _grams(s, ids, count, known.value[1][0], hot, shards)
+        u, v, w = g.words.astype("<u8")
+        name = t["slice"][0].as_py()
+        return pa.Table.from_batches([_blobs([(name, k, _pack(np.diff(u[a:b], prepend=np.uint64(0)), v[a:b], w[a:b], g.trained[a:b].astype("<u4"))) for k, a, b in _cut(g.shard, shards)])])
+
+    whole = n_tokens + 0.5 * (n_types + 1)
+
+    def added(t: pa.Table) -> pa.Table:
+        s, ids, count = with_words(t)
+        g = _grams(s, ids, count, known.value[1][0], hot, shards)
+        parts, blobs = t["part"].to_pylist(), t["blob"].to_pylist()
+        answers = [_unpack(blobs[i], "<f4", "<f4", "<f4") for i in sorted(range(len(parts)), key=parts.__getitem__) if parts[i] >= 1 << 40]
+        log_pair, log_rest, log_triple = (np.concatenate([x[k] for x in answers]).astype(float)[g.inverse] for k in range(3))
+        meta = pa.ipc.open_stream(blobs[parts.index(-2)]).read_all()
+        low = (count + 0.5) / whole
+        i = s.starts()
+        p = 10**log_pair + strength / (count[s.token[i]] + strength) * low[s.token[i + 1]]
+        longer = np.flatnonzero(np.diff(i) == 1) + 1  # starts whose token before is of the same text
+        p[longer] = 10 ** log_triple[longer - 1] + 10 ** log_rest[longer - 1] * p[longer]
+        doc = np.repeat(np.arange(len(s.size)), s.size - 1)
+        word = s.token[i + 1]
+        sums = [np.bincount(doc, weights=x, minlength=len(s.size)) for x in (np.log10(low[word]), np.log10(p), count[word] > 0)]
+        columns = [meta["doc_id"], meta["held_out"], pa.array(s.size - 1), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(s.size), n_tokens, np.int64)), pa.array(sums[0]), pa.array(sums[1])]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def states(meta: bool) -> DataFrame:
+        """Each slice's tokens (part -1) and, if asked for, its rows (part -2)."""
+
+        def state(name: int, s: Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [(name, -1, s.packed())]
+            if meta:
+                sink = pa.BufferOutputStream()
+                held = pa.table({"doc_id": batch.column(0), "held_out": batch.column(2)})
+                with pa.ipc.new_stream(sink, held.schema) as w:
+                    w.write_table(held)
+                rows.append((name, -2, sink.getvalue().to_pybytes()))
+            return _blobs(rows)
+
+        return _read(own, state, _BLOB, slice_bytes)
+
+    replies = numbered.where("slice >= 0")
+    asked = states(False).unionByName(replies).groupBy("slice").applyInArrow(told, _BLOB)
+    answered = asked.groupBy("part").applyInArrow(lambda t: _answer(t, strength, *known.value), _BLOB)
+    rows = states(True).unionByName(replies).unionByName(answered)
+    return rows.groupBy("slice").applyInArrow(added, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

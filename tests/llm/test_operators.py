@@ -188,27 +188,69 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_language_model(docs, empty, texts):
-    mu = 3.0
-    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
-    c, pair, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, w in words.items():
-        if not held[i]:
+def trigram_model(texts, mu):
+    """(held_out, n_tokens, n_known, train_tokens, base, score) of every (id, text)."""
+    words = [(t or "").encode().lower().split() for _, t in texts]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in texts]
+    c, grams = collections.Counter(), collections.Counter()
+    for w, h in zip(words, held):
+        if not h:
             c.update([*w, "END"])
-            for a, b in zip(["BEGIN", *w], [*w, "END"]):
-                pair[a, b] += 1
-                ctx[a] += 1
+            s = ["BEGIN", *w, "END"]
+            for k in range(1, 4):
+                grams.update(tuple(s[i : i + k]) for i in range(len(s) - k + 1) if s[i] != "END")
     n, v = sum(c.values()), len(c)
     low = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
-    for r in ngram_lm.score(docs, mu, shard_bytes=10_000, slice_bytes=5_000).collect():
-        w = words[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(w) + 1, n)
-        assert r.n_known == sum(c[x] > 0 for x in [*w, "END"])
-        assert abs(r.base_score - sum(math.log10(low(x)) for x in [*w, "END"])) < 1e-6
-        want = sum(math.log10((pair[a, b] + mu * low(b)) / (ctx[a] + mu)) for a, b in zip(["BEGIN", *w], [*w, "END"]))
-        assert abs(r.score - want) < 1e-3 * (len(w) + 1)
+    out = []
+    for w, h in zip(words, held):
+        s, score = ["BEGIN", *w, "END"], 0.0
+        for i in range(1, len(s)):
+            p = (grams[s[i - 1], s[i]] + mu * low(s[i])) / (grams[(s[i - 1],)] + mu)
+            if i > 1:
+                p = (grams[s[i - 2], s[i - 1], s[i]] + mu * p) / (grams[s[i - 2], s[i - 1]] + mu)
+            score += math.log10(p)
+        out.append((h, len(w) + 1, sum(c[x] > 0 for x in [*w, "END"]), n, sum(math.log10(low(x)) for x in [*w, "END"]), score))
+    return out
+
+
+# one shard; several, with frequent words dealt by pairs and frequent pairs by triples; rows without and with equal ids
+@pytest.mark.parametrize(("shard_bytes", "slice_bytes"), [(1 << 23, 1 << 21), (10_000, 5_000), (480, 3_000)])
+def test_language_model(spark, texts, shard_bytes, slice_bytes):
+    rows = [*texts.items(), (60, "tok " * 700 + "end"), (61, "tok tok of " * 90), (None, texts[3]), (None, "tok of " * 50), (7, texts[9]), (7, texts[7])]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, held_out string").repartition(3)
+    got = [tuple(r) for r in ngram_lm.score(df, 3.0, shard_bytes=shard_bytes, slice_bytes=slice_bytes).collect()]
+    want = [(i, *w) for (i, _), w in zip(rows, trigram_model(rows, 3.0))]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6 and abs(g[6] - w[6]) < 1e-3 * g[2]
+
+
+def test_language_model_edges(spark, docs, empty, texts):
     assert ngram_lm.score(empty).count() == 0
+    held = [(i, t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = ngram_lm.score(spark.createDataFrame(held, "doc_id long, text string")).collect()  # nothing to learn from
+    assert len(rows) == len(held) and all(r.n_known == 0 and r.train_tokens == 0 and r.score == r.base_score for r in rows)
+    twice = docs.unionByName(docs)
+    assert ngram_lm.score(twice).count() == 2 * len(texts)
+
+
+def test_trie(tmp_path):
+    rng = np.random.default_rng(3)
+    grams = sorted({tuple(int(x) for x in rng.integers(2, 40, 3)) for _ in range(3000)})
+    firsts = sorted({g[0] for g in grams})
+    pairs = sorted({g[:2] for g in grams})
+    value = {g: -float(i) for i, g in enumerate(grams)}
+    levels = [(np.zeros(len(firsts), np.int64), np.asarray(firsts), []), (np.asarray([firsts.index(p[0]) for p in pairs]), np.asarray([p[1] for p in pairs]), []), (np.asarray([pairs.index(g[:2]) for g in grams]), np.asarray([g[2] for g in grams]), [np.asarray([value[g] for g in grams])])]
+    (tmp_path / "trie").write_bytes(elias_fano.Trie.encode(levels))
+    trie = elias_fano.Trie(str(tmp_path / "trie"))
+    ask = np.asarray([*grams, *rng.integers(0, 45, (2000, 3)).tolist(), (1 << 40, 3, 3)])
+    at = np.zeros(len(ask), np.int64)
+    for k in range(3):
+        at = trie.find(k, at, ask[:, k])
+    found = trie.value(2, 0, at, 1.0)
+    assert all((a >= 0) == (tuple(q) in value) for a, q in zip(at, ask.tolist()))
+    assert all(abs(f - value.get(tuple(q), 1.0)) < 0.05 for f, q in zip(found, ask.tolist()))
 
 
 def test_elias_fano(tmp_path):

@@ -30,6 +30,8 @@ class EliasFano:
         ones = np.unpackbits(high, bitorder="little")
         self._zeros = np.flatnonzero(ones == 0)
         self._ones = np.flatnonzero(ones)[:n]
+        # the 8 bytes from every byte on, so that one look gives any value's low bits
+        self._windows = np.ndarray((max(0, len(low) - 7),), "<u8", np.ascontiguousarray(low), strides=(1,))
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -52,8 +54,7 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
         bit = i * self.bits
-        window = self.low[(bit >> 3)[:, None] + np.arange(8)].view("<u8")[:, 0]
-        return (window >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
+        return (self._windows[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self._ones[i] - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)

@@ -24,6 +24,8 @@ HOT = 1 << 20
 BEGIN, END = np.uint64(0xC2B2AE35), np.uint64(0x5BD1E995)
 #: Ids below every word's: no third word, and words that the training documents do not hold.
 NONE, UNKNOWN = 0, 1
+#: The least log10 of a probability behind a context: below one in as many tokens as can be counted.
+LEAST = -20.0
 _BLOB = "slice long, part long, blob binary"
 
 
@@ -32,18 +34,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as compressed byte planes."""
-    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays]
-    return zstandard.compress(b"".join(planes), 1)
+    """Arrays of one length as byte planes, each compressed by itself; a plane of one value is that value."""
+    out, zstd = [len(arrays[0]).to_bytes(8, "little")], zstandard.ZstdCompressor(1)
+    for a in arrays:
+        for plane in np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T:
+            same = not len(plane) or bool((plane == plane[0]).all())
+            data = plane[:1].tobytes() if same else zstd.compress(plane.tobytes())
+            out += [(len(data) << 1 | same).to_bytes(4, "little"), data]
+    return b"".join(out)
 
 
 def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    data = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    widths = [np.dtype(t).itemsize for t in types]
-    n, at, out = len(data) // sum(widths), 0, []
-    for t, width in zip(types, widths):
-        out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(t)[:, 0])
-        at += n * width
+    n, at, out = int.from_bytes(blob[:8], "little"), 8, []
+    zstd = zstandard.ZstdDecompressor()
+    for t in types:
+        a = np.empty((n, np.dtype(t).itemsize), np.uint8)
+        for k in range(a.shape[1]):
+            head = int.from_bytes(blob[at : at + 4], "little")
+            data = blob[at + 4 : at + 4 + (head >> 1)]
+            at += 4 + len(data)
+            if n:
+                a[:, k] = data[0] if head & 1 else np.frombuffer(zstd.decompress(data), np.uint8)
+        out.append(a.view(t)[:, 0])
     return out
 
 
@@ -64,6 +76,17 @@ def _cut(at: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
         yield s, int(edge[s]), int(edge[s + 1])
 
 
+def _sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's beginning, words and end, and their number for each text."""
+    w = words(texts, lower=True)
+    size = w.count + 2
+    last = np.cumsum(size)
+    seq = np.empty(int(last[-1]) if len(last) else 0, np.uint64)
+    seq[np.arange(len(w.start)) + 2 * w.doc + 1] = w.hashes()
+    seq[last - size], seq[last - 1] = BEGIN, END
+    return seq, size
+
+
 @dataclass
 class Slice:
     """The tokens of a run of documents: each text's beginning, words and end, as numbers of distinct hashes."""
@@ -74,15 +97,10 @@ class Slice:
     held: np.ndarray  #: held-out documents
 
     @classmethod
-    def of(cls, texts: list[bytes], held: np.ndarray) -> Slice:
-        w = words(texts, lower=True)
-        size = w.count + 2
-        last = np.cumsum(size)
-        seq = np.empty(int(last[-1]) if len(last) else 0, np.uint64)
-        seq[np.arange(len(w.start)) + 2 * w.doc + 1] = w.hashes()
-        seq[last - size], seq[last - 1] = BEGIN, END
+    def of(cls, texts: list[bytes], batch: pa.RecordBatch) -> Slice:
+        seq, size = _sequence(texts)
         hashes, token = np.unique(seq, return_inverse=True)
-        return cls(hashes, token, size, held)
+        return cls(hashes, token, size, np.asarray(batch.column(2)))
 
     @property
     def trained(self) -> np.ndarray:
@@ -106,18 +124,19 @@ class Slice:
 
 
 def _read(docs: DataFrame, each, schema: str, slice_bytes: int) -> DataFrame:
-    """each(name, Slice, batch) -> record batch, for every slice of docs; names are the same in every reading."""
+    """each(name, texts, batch) -> record batch, for every slice of docs; names are the same in every reading."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch, texts in slices(batches, "text", slice_bytes):
-            yield each((part << 32) | number, Slice.of(texts, np.asarray(batch.column(2))), batch)
+            yield each((part << 32) | number, texts, batch)
             number += 1
 
     return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def _count_words(name: int, s: Slice, shards: int) -> pa.RecordBatch:
+    """Each shard's distinct words of a slice, with their count in training documents."""
     n = np.bincount(s.token[s.trained], minlength=len(s.hashes))
     return _blobs([(name, k, _pack(np.diff(s.hashes[a:b], prepend=np.uint64(0)), n[a:b].astype("<u4"))) for k, a, b in _cut(_share(s.hashes, shards), shards)])
 
@@ -202,17 +221,19 @@ def _answer(t: pa.Table, strength: float, hot_words: tuple[np.ndarray, np.ndarra
     v, w = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
     n = np.concatenate([p[3] for p in parts]).astype(np.int64)
     del parts
-    some = np.flatnonzero(n)
-    some = some[np.lexsort((w[some], v[some], u[some]))]
-    a, b, c, n = u[some], v[some], w[some], n[some]
+    order = np.lexsort((w, v, u))
+    u, v, w, n = u[order], v[order], w[order], n[order]
 
     def runs(*columns: np.ndarray) -> np.ndarray:
-        new = np.ones(len(some), bool)
-        if len(some):
-            new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
         return new
 
-    new1, new2, new3 = runs(a), runs(a, b), runs(a, b, c)
+    # the distinct questions
+    ask1, ask2, ask3 = runs(u), runs(u, v), runs(u, v, w)
+    some = np.flatnonzero(n)
+    a, b, c, n = u[some], v[some], w[some], n[some]
+    new1, new2, new3 = (runs(*x) if len(some) else np.zeros(0, bool) for x in ((a,), (a, b), (a, b, c)))
     at1, at2, at3 = map(np.flatnonzero, (new1, new2, new3))
     n1, n2, n3 = (np.add.reduceat(n, x) if len(x) else n for x in (at1, at2, at3))
 
@@ -240,13 +261,18 @@ def _answer(t: pa.Table, strength: float, hot_words: tuple[np.ndarray, np.ndarra
             f.write(encoded)
         del encoded
         trie = Trie(f.name)
-        pair = trie.find(1, trie.find(0, np.zeros(len(u), np.int64), u), v)
-        triple = trie.find(2, pair, w)
-        told = [trie.value(1, 0, pair, -np.inf), trie.value(1, 1, pair, 0.0), trie.value(2, 0, triple, -np.inf)]
+        one, two = np.cumsum(ask1) - 1, np.cumsum(ask2) - 1
+        word = trie.find(0, np.zeros(int(ask1.sum()), np.int64), u[ask1])
+        pair = trie.find(1, word[one[ask2]], v[ask2])
+        triple = trie.find(2, pair[two[ask3]], w[ask3])
+        told = [trie.value(1, 0, pair, -np.inf)[two], trie.value(1, 1, pair, 0.0)[two], trie.value(2, 0, triple, -np.inf)[np.cumsum(ask3) - 1]]
         del trie
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    codes = [np.where(x > LEAST, np.round(x / LEAST * 65534), 65535).astype("<u2")[back] for x in told]
     edge = np.concatenate([[0], np.cumsum(size)])
     shard = t["part"][0].as_py()
-    return pa.Table.from_batches([_blobs([(name, (1 << 40) + shard, _pack(*(x[i:j].astype("<f4") for x in told))) for name, i, j in zip(names, edge, edge[1:])])])
+    return pa.Table.from_batches([_blobs([(name, shard, _pack(*(x[i:j] for x in codes))) for name, i, j in zip(names, edge, edge[1:])])])
 
 
 def score(docs: DataFrame, strength: float = 100.0, shard_bytes: int = 8 << 20, slice_bytes: int = 2 << 20) -> DataFrame:
@@ -278,7 +304,7 @@ def score(docs: DataFrame, strength: float = 100.0, shard_bytes: int = 8 << 20,
     shards = max(1, math.ceil(size / shard_bytes))
     hot = max(shard_bytes / 24, size / HOT)
 
-    counted = _read(own, lambda name, s, _: _count_words(name, s, shards), _BLOB, slice_bytes)
+    counted = _read(own, lambda name, texts, batch: _count_words(name, Slice.of(texts, batch), shards), _BLOB, slice_bytes)
     numbered = counted.groupBy("part").applyInArrow(lambda key, t: _number_words(key[0].as_py(), t, shards, hot), _BLOB)
     numbered = materialise(numbered, "words")
     n_tokens, n_types = numbered.agg(*[F.coalesce(F.sum(F.when(F.col("slice") == x, F.col("part"))), F.lit(0)) for x in (-1, -2)]).first()
@@ -288,13 +314,13 @@ def score(docs: DataFrame, strength: float = 100.0, shard_bytes: int = 8 << 20,
     hot_h, hot_id, hot_n = hot_h[order], hot_id[order], hot_n[order].astype(np.int64)
     sent = spark.sparkContext.broadcast((hot_h, hot_id))
 
-    def frequent_pairs(name: int, s: Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def frequent_pairs(name: int, texts: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
         hot_h, hot_id = sent.value
-        at = np.minimum(np.searchsorted(hot_h, s.hashes), len(hot_h) - 1)
-        hot_at = np.where(hot_h[at] == s.hashes, at, -1)[s.token]
-        i = s.starts()
-        i = i[s.trained[i] & (hot_at[i] >= 0) & (hot_at[i + 1] >= 0)]
-        pair, n = np.unique(_pair(hot_id[hot_at[i]], hot_id[hot_at[i + 1]]), return_counts=True)
+        seq, size = _sequence(texts)
+        at = np.minimum(np.searchsorted(hot_h, seq), len(hot_h) - 1)
+        use = (hot_h[at] == seq) & np.repeat(~np.asarray(batch.column(2)), size)
+        i = np.flatnonzero(use[:-1] & use[1:] & (seq[:-1] != END))
+        pair, n = np.unique(_pair(hot_id[at[i]], hot_id[at[i + 1]]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
     pairs = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -310,7 +336,7 @@ def score(docs: DataFrame, strength: float = 100.0, shard_bytes: int = 8 << 20,
         parts = t["part"].to_pylist()
         blobs = t["blob"].to_pylist()
         s = Slice.unpacked(blobs[parts.index(-1)])
-        told = [_unpack(blobs[i], "<u8", "<u8") for i in sorted(range(len(parts)), key=parts.__getitem__) if 0 <= parts[i] < 1 << 40]
+        told = [_unpack(blobs[i], "<u8", "<u8") for i in sorted(range(len(parts)), key=parts.__getitem__) if parts[i] >= 0]
         return s, *(np.concatenate([x[k] for x in told]).astype(np.int64) for k in range(2))
 
     def told(t: pa.Table) -> pa.Table:
@@ -322,41 +348,35 @@ def score(docs: DataFrame, strength: float = 100.0, shard_bytes: int = 8 << 20,
 
     whole = n_tokens + 0.5 * (n_types + 1)
 
-    def added(t: pa.Table) -> pa.Table:
+    def added(t: pa.Table, answers: pa.Table) -> pa.Table:
         s, ids, count = with_words(t)
         g = _grams(s, ids, count, known.value[1][0], hot, shards)
-        parts, blobs = t["part"].to_pylist(), t["blob"].to_pylist()
-        answers = [_unpack(blobs[i], "<f4", "<f4", "<f4") for i in sorted(range(len(parts)), key=parts.__getitem__) if parts[i] >= 1 << 40]
-        log_pair, log_rest, log_triple = (np.concatenate([x[k] for x in answers]).astype(float)[g.inverse] for k in range(3))
-        meta = pa.ipc.open_stream(blobs[parts.index(-2)]).read_all()
+        parts, blobs = answers["part"].to_pylist(), answers["blob"].to_pylist()
+        answers = [_unpack(blobs[i], "<u2", "<u2", "<u2") for i in sorted(range(len(parts)), key=parts.__getitem__)]
+        level = np.append(10 ** (np.arange(65535) / 65534 * LEAST), 0.0)  # 65535: not held
+        in_pair, rest, in_triple = (level[np.concatenate([x[k] for x in answers])][g.inverse] for k in range(3))
+        meta = pa.ipc.open_stream(t["blob"][t["part"].to_pylist().index(-2)].as_py()).read_all()
         low = (count + 0.5) / whole
         i = s.starts()
-        p = 10**log_pair + strength / (count[s.token[i]] + strength) * low[s.token[i + 1]]
+        p = in_pair + strength / (count[s.token[i]] + strength) * low[s.token[i + 1]]
         longer = np.flatnonzero(np.diff(i) == 1) + 1  # starts whose token before is of the same text
-        p[longer] = 10 ** log_triple[longer - 1] + 10 ** log_rest[longer - 1] * p[longer]
+        p[longer] = in_triple[longer - 1] + rest[longer - 1] * p[longer]
         doc = np.repeat(np.arange(len(s.size)), s.size - 1)
         word = s.token[i + 1]
         sums = [np.bincount(doc, weights=x, minlength=len(s.size)) for x in (np.log10(low[word]), np.log10(p), count[word] > 0)]
         columns = [meta["doc_id"], meta["held_out"], pa.array(s.size - 1), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(s.size), n_tokens, np.int64)), pa.array(sums[0]), pa.array(sums[1])]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    def states(meta: bool) -> DataFrame:
-        """Each slice's tokens (part -1) and, if asked for, its rows (part -2)."""
-
-        def state(name: int, s: Slice, batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(name, -1, s.packed())]
-            if meta:
-                sink = pa.BufferOutputStream()
-                held = pa.table({"doc_id": batch.column(0), "held_out": batch.column(2)})
-                with pa.ipc.new_stream(sink, held.schema) as w:
-                    w.write_table(held)
-                rows.append((name, -2, sink.getvalue().to_pybytes()))
-            return _blobs(rows)
-
-        return _read(own, state, _BLOB, slice_bytes)
-
-    replies = numbered.where("slice >= 0")
-    asked = states(False).unionByName(replies).groupBy("slice").applyInArrow(told, _BLOB)
-    answered = asked.groupBy("part").applyInArrow(lambda t: _answer(t, strength, *known.value), _BLOB)
-    rows = states(True).unionByName(replies).unionByName(answered)
-    return rows.groupBy("slice").applyInArrow(added, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def state(name: int, texts: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A slice's tokens (part -1) and its documents (part -2)."""
+        sink = pa.BufferOutputStream()
+        meta = pa.table({"doc_id": batch.column(0), "held_out": batch.column(2)})
+        with pa.ipc.new_stream(sink, meta.schema) as w:
+            w.write_table(meta)
+        return _blobs([(name, -1, Slice.of(texts, batch).packed()), (name, -2, sink.getvalue().to_pybytes())])
+
+    # asked for trigrams and again for the sums, by one exchange
+    rows = _read(own, state, _BLOB, slice_bytes).unionByName(numbered.where("slice >= 0")).groupBy("slice")
+    answered = rows.applyInArrow(told, _BLOB).groupBy("part").applyInArrow(lambda t: _answer(t, strength, *known.value), _BLOB)
+    columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.cogroup(answered.groupBy("slice")).applyInArrow(added, columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import attach, materialise
@@ -46,14 +48,44 @@ def _fits(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(numbers: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """of(first, ..., n-th) at each place n of a non-empty array<int> of numbers from 0 on; of is a sum or a maximum.
+
+    The array is cut into about as many blocks as each has numbers, so long texts take n * sqrt(n) steps.
+    """
+    zero = F.lit(0)
+    fold = lambda xs: F.aggregate(xs, zero, of)
+
+    def with_heads(s: Column) -> Column:
+        heads = F.transform(s["sums"], lambda _, k: fold(F.slice(s["sums"], 1, k)))
+        within = lambda i: F.slice(s["n"], i - i % s["w"] + 1, i % s["w"] + 1)
+        place = lambda i: F.floor(i / s["w"]).cast("int") + 1
+        return _let(heads, lambda h: F.transform(s["n"], lambda _, i: of(F.element_at(h, place(i)), fold(within(i)))))
+
+    def in_blocks(s: Column) -> Column:
+        blocks = F.sequence(zero, F.ceil(F.size(s["n"]) / s["w"]).cast("int") - 1)
+        sums = F.transform(blocks, lambda k: fold(F.slice(s["n"], k * s["w"] + 1, s["w"])))
+        return _let(F.struct(s["n"].alias("n"), s["w"].alias("w"), sums.alias("sums")), with_heads)
+
+    return _let(numbers, lambda n: _let(F.struct(n.alias("n"), F.ceil(F.sqrt(F.size(n))).cast("int").alias("w")), in_blocks))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """array<struct(start, end, match, before)>, in code points: the pieces between matches give the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    step = lambda s, x: F.struct((s["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["piece"])).alias("start"), (s["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("end"), x["match"].alias("match"), F.right(x["piece"], F.lit(72)).alias("before")))).alias("out"))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])).otherwise(none)
+
+    def placed(s: Column) -> Column:
+        pairs = F.zip_with(F.slice(s["pieces"], 1, F.size(s["matches"])), s["matches"], lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("n"), m.alias("match"), F.right(p, F.lit(72)).alias("before")))
+        ends = lambda x: _running(F.transform(x, lambda y: y["skip"] + y["n"]), lambda a, b: a + b)
+        told = lambda y, end: F.struct((end - y["n"]).alias("start"), end.alias("end"), y["match"].alias("match"), y["before"].alias("before"))
+        return F.when(F.size(s["matches"]) > 0, _let(pairs, lambda x: F.zip_with(x, ends(x), told))).otherwise(none)
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces")), placed)
 
 
 def _spans_of(text: Column, number: int, kind: str, pattern: str) -> Column:
@@ -122,6 +154,13 @@ def discover(found: DataFrame, confidence: float = 0.5, z: float = 1.2816) -> Da
         now = joined.select("pattern", "instance", F.greatest("seed", F.round(others, 9)).alias("score"))
 
 
+def _events() -> Column:
+    """Base spans at their starts, candidates at their ends and, where both meet, first."""
+    base = lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("is_base"), b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("instance"), F.lit(False).alias("seed"))
+    own = lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("is_base"), c["start"].alias("start"), c["end"].alias("end"), c["pattern"].alias("pattern"), c["instance"].alias("instance"), c["seed"].alias("seed"))
+    return F.concat(F.transform("base", base), F.transform("found", own))
+
+
 def find(docs: DataFrame, **params) -> DataFrame:
     """doc_id, __key (hash of the text) and spans array<struct(start, kind, end)> of base kinds and contexts.
 
@@ -132,8 +171,11 @@ def find(docs: DataFrame, **params) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("__key"), text.alias("__text"))
     rows = rows.select("doc_id", "__key", base_spans(F.col("__text")).alias("base"), candidates(F.col("__text")).alias("found"))
     rows = materialise(rows, "spans")
-    overlaps = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    marked = rows.select("doc_id", "__key", F.explode(F.transform("found", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["pattern"].alias("pattern"), c["instance"].alias("instance"), overlaps(c).alias("known"), c["seed"].alias("seed")))).alias("c")).select("doc_id", "__key", "c.*")
+    events = rows.where(F.size("found") > 0).select("doc_id", "__key", F.monotonically_increasing_id().alias("row"), F.explode(_events()).alias("e")).select("doc_id", "__key", "row", "e.*")
+    # of the base spans that start before a candidate ends, the one that ends last overlaps it or none does
+    before = Window.partitionBy("row").orderBy("at", "is_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("is_base") == 1, F.col("end"))).over(before)
+    marked = materialise(events.withColumn("known", F.coalesce(reach > F.col("start"), F.lit(False))).where("is_base = 0").drop("row", "at", "is_base"), "candidates")
     trusted = discover(marked.select("pattern", "instance", (F.col("known") | F.col("seed")).alias("seed")), **params)
     new = attach(marked.where("NOT known"), trusted, ["pattern"], F.xxhash64("doc_id", "start")).where(F.col("seed") | F.col("confidence").isNotNull())
     new = new.groupBy("doc_id", "__key").agg(F.sort_array(F.collect_set(F.struct("start", F.lit(len(BASE)).alias("kind"), "end"))).alias("new"))
@@ -166,13 +208,21 @@ def redact(docs: DataFrame, **params) -> DataFrame:
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["__id"]) & (F.col("__text_key") == F.col("__key")), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
-    def step(s: Column, x: Column) -> Column:
-        new = x["start"] >= s["at"]
-        gap = F.substring("text", s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(new, F.concat(s["out"], F.array(gap, F.element_at(names, x["kind"] + 1)))).otherwise(s["out"]).alias("out"))
+    def pieces(between: Callable[[Column, Column], Column]) -> Column:
+        """What stands before each span and the span's kind, or what an overlapping span adds: nothing."""
+
+        def piece(x: Column, at: Column) -> Column:
+            return F.concat(F.when(x["start"] > at, between(at, x["start"])).otherwise(""), F.when(x["start"] >= at, F.element_at(names, x["kind"] + 1)).otherwise(""))
+
+        reached = _running(F.transform("__spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        cut = lambda ends: F.zip_with("__spans", F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), piece)
+        return _let(reached, lambda ends: F.concat(F.array_join(cut(ends), ""), between(F.element_at(ends, -1), F.lit(2**31 - 1))))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring("text", s["at"] + 1, F.length("text"))))
+    few = pieces(lambda a, b: F.substring("text", a + 1, b - a))
+    # substring counts from the text's beginning, so for many spans its characters are taken apart once
+    chars = F.regexp_extract_all(F.col("text"), F.lit("(?s)."), F.lit(0))
+    many = _let(chars, lambda c: pieces(lambda a, b: F.array_join(F.slice(c, a + 1, F.least(b, F.size(c)) - a), "")))
+    masked = F.when(F.size("__spans") <= 64, few).otherwise(many)
     out = joined.withColumn("__text", F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text")))
     length = F.coalesce(F.length("__text"), F.lit(0)).cast(dict(docs.dtypes).get("n_chars", "bigint"))
     return out.select(*[F.col("__text").alias("text") if c == "text" else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(length).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

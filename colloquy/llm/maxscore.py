@@ -17,60 +17,68 @@ def merge(best: tuple[np.ndarray, np.ndarray], score: np.ndarray, ids: np.ndarra
     return score[order], ids[order]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best rows of a shard.
-
-    A query term is a component with a weight of either sign. Over the shard's postings a term contributes
-    between its least and greatest product; counted from its least, contributions are non-negative and their
-    greatest is the term's bound. Terms whose bounds together cannot lift a row over the query's k-th score are
-    non-essential. A chunk of rows is scored on essential postings alone; rows that may still compete are probed
-    for the rest.
+def thresholds(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest score of each query over rows x, own(query, row) left out; -inf with fewer rows."""
+    score = np.where(own, -np.inf, q @ x.T)
+    if score.shape[1] < k:
+        return np.full(len(q), -np.inf)
+    return np.partition(score, -k, axis=1)[:, -k]
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, theta: np.ndarray | None = None, chunk: int = 2048, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(query number, id, score) of each query's k best rows of a shard at or over theta; pairs skipped, pairs in all.
+
+    A term is a component; its postings are the shard's values of it. No row's contribution to a query exceeds the
+    term's bound, the greater of the products with its least and greatest value. Terms in ascending order of their
+    bounds are non-essential as long as their bounds together stay below the query's k-th score so far, theta: a row
+    must gain from the others to compete. The essential postings are traversed; rows whose score so far and the bounds
+    to come reach theta are probed for the other terms, `step` at a time and greatest bounds first, while they do.
+    A pair is skipped if a term of it was never looked at.
     """
-    lo, hi = x.min(axis=0), x.max(axis=0)
-    least, most = np.minimum(q * lo, q * hi), np.maximum(q * lo, q * hi)
-    bound, floor = most - least, least.sum(axis=1)
-    order = np.argsort(bound, axis=1)
-    bounds = np.take_along_axis(bound, order, axis=1).cumsum(axis=1)
+    postings = np.ascontiguousarray(x.T)
+    theta = np.full(len(q), -np.inf) if theta is None else theta.copy()
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
-    theta = np.full(len(q), -np.inf)
+    skipped = 0
     for at in range(0, len(x), chunk):
-        rows, row_ids = x[at : at + chunk], ids[at : at + chunk]
-        # the longest prefix of terms by bound that cannot reach theta alone
-        spare = (floor[:, None] + bounds < theta[:, None]).sum(axis=1)
-        essential = np.ones(q.shape, bool)
-        np.put_along_axis(essential, order, np.arange(q.shape[1])[None, :] >= spare[:, None], axis=1)
-        shared = np.flatnonzero(essential.any(axis=0))
-        lifted = floor - np.where(essential, least, 0).sum(axis=1) + np.where(essential, 0, bound).sum(axis=1)
-        part = np.where(essential, q, 0)[:, shared] @ rows[:, shared].T
-        may = (part + lifted[:, None] >= theta[:, None]) & (q_ids[:, None] != row_ids[None, :])
-        who, which = np.nonzero(may)
-        score = part[who, which]
-        rest = ~essential
-        for a in range(0, len(who), 8192):
-            u, v = who[a : a + 8192], which[a : a + 8192]
-            if rest[u].any():
-                score[a : a + 8192] += np.einsum("ij,ij->i", np.where(rest[u], q[u], 0), rows[v])
-        edge = np.searchsorted(who, np.arange(len(q) + 1))
-        for i in np.flatnonzero(np.diff(edge)):
-            s = score[edge[i] : edge[i + 1]].astype(np.int64)
-            ok = s >= theta[i]
-            if ok.any():
-                best[i] = merge(best[i], s[ok], row_ids[which[edge[i] : edge[i + 1]]][ok], k)
-                if len(best[i][0]) == k:
-                    theta[i] = best[i][0][-1]
+        part, row_ids = postings[:, at : at + chunk], ids[at : at + chunk]
+        bounds = np.maximum(q * part.min(axis=1), q * part.max(axis=1))
+        order = np.argsort(-bounds, axis=1)
+        ahead = np.take_along_axis(bounds, order, axis=1)[:, ::-1].cumsum(axis=1)[:, ::-1]  # bounds of the terms from each on
+        ahead = np.concatenate([ahead, np.zeros((len(q), 1))], axis=1)
+        for i in range(len(q)):
+            n = int((ahead[i] >= theta[i]).argmin()) if ahead[i, -1] < theta[i] else q.shape[1]
+            terms, weight = order[i], q[i, order[i]]
+            score = weight[:n] @ part[terms[:n]] if n else np.zeros(len(row_ids))
+            row = np.flatnonzero((score + ahead[i, n] >= theta[i]) & (row_ids != q_ids[i]))
+            score = score[row]
+            while n < len(terms) and len(row):
+                some = terms[n : n + step]
+                score = score + weight[n : n + step] @ part[some[:, None], row]
+                n += len(some)
+                still = score + ahead[i, n] >= theta[i]
+                row, score = row[still], score[still]
+            if n == len(terms):
+                skipped += len(row_ids) - len(row)
+                if len(row):
+                    best[i] = merge(best[i], score.astype(np.int64), row_ids[row], k)
+                    if len(best[i][0]) == k:
+                        theta[i] = max(theta[i], best[i][0][-1])
+            else:
+                skipped += len(row_ids)
     n = [len(s) for s, _ in best]
-    return np.repeat(q_ids, n), np.concatenate([i for _, i in best]) if n else ids[:0], np.concatenate([s for s, _ in best]) if n else ids[:0]
+    return np.repeat(np.arange(len(q_ids)), n), np.concatenate([i for _, i in best] + [ids[:0]]), np.concatenate([s for s, _ in best] + [ids[:0]]), skipped, len(q) * len(x)
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, shard_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, shard_rows: int = 8192, block_queries: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k highest inner products over rows(vec_id, x), queries(vec_id, x).
 
-    x holds whole numbers as array<double>; a row never answers the query of the same vec_id, ties go to the
-    smaller vec_id. Rows are dealt by hash into shards, queries into blocks, and every block meets every shard
-    once; the shards' answers are merged by a window over k rows for each query and shard.
+    x holds whole numbers as array<double>; a row never answers a query of the same vec_id, ties go to the smaller
+    vec_id. Rows are dealt by hash into shards, queries into blocks. Every block first meets one shard alone, which
+    gives each query a threshold to start from, then every shard once; the shards' answers are merged by a window
+    over at most k rows for each query and shard.
 
     Rows whose x differs in length from a block's are searched with the missing components as zeros. Repeated rows
-    answer once each. Empty tables give no rows.
+    answer once each, repeated queries are answered each. Empty tables give no rows.
     """
     shards = max(1, -(-rows.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_queries))
@@ -84,29 +92,47 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, shard_rows: int = 81
     def block(key, t: pa.Table) -> pa.Table:
         x = stacked(t["x"].to_numpy())
         dims = np.asarray(x.shape, "<i8").tobytes()
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([np.asarray(t["vec_id"]).astype("<i8").tobytes()], pa.binary()), "data": pa.array([dims + x.astype("<f8").tobytes()], pa.binary())})
+        held = [[np.asarray(t[c]).astype("<i8").tobytes()] for c in ("number", "vec_id")]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array(h, pa.binary()) for h in held), pa.array([dims + x.astype("<f8").tobytes()], pa.binary())], names=["part", "numbers", "ids", "data"])
 
     def blocked(df: DataFrame, n: int) -> DataFrame:
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part")
-        return df.select(part, F.col("vec_id").cast("long").alias("vec_id"), "x").groupBy("part").applyInArrow(lambda key, t: block(key, t), "part long, ids binary, data binary")
+        numbered = df.select(F.col("vec_id").cast("long").alias("vec_id"), "x", F.monotonically_increasing_id().alias("number"))
+        dealt = numbered.withColumn("part", F.pmod(F.xxhash64("vec_id", "number"), F.lit(n)))
+        return dealt.groupBy("part").applyInArrow(lambda key, t: block(key, t), "part long, numbers binary, ids binary, data binary")
 
     def read(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         n, d = np.frombuffer(data[:16], "<i8")
         return np.frombuffer(ids, "<i8"), np.frombuffer(data[16:], "<f8").reshape(n, d)
 
+    def met(q_ids: bytes, q_data: bytes, ids: bytes, data: bytes) -> list[np.ndarray]:
+        (qi, q), (xi, x) = read(q_ids, q_data), read(ids, data)
+        d = max(q.shape[1], x.shape[1])
+        q, x = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (q, x))
+        return [qi, q, xi, x]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, q_ids, q_data, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
+                theta = np.full(len(q_ids) // 8, -np.inf)
+                if ids is not None:
+                    qi, q, xi, x = met(q_ids, q_data, ids, data)
+                    theta = thresholds(q, x, qi[:, None] == xi[None, :], k)
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (number, q_ids, q_data, theta.astype("<f8").tobytes())], names=["q_numbers", "q_ids", "q_data", "theta"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_data, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
-                (qi, q), (xi, x) = read(q_ids, q_data), read(ids, data)
-                d = max(q.shape[1], x.shape[1])
-                q, x = (np.pad(m, ((0, 0), (0, d - m.shape[1]))) for m in (q, x))
-                u, v, s = search_block(qi, q, xi, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    asked = blocked(queries, blocks).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = asked.join(blocked(rows, shards), "part").select("q_ids", "q_data", "ids", "data")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            for number, q_ids, q_data, theta, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
+                qi, q, xi, x = met(q_ids, q_data, ids, data)
+                u, v, s, _, _ = search_block(qi, q, xi, x, k, np.frombuffer(theta, "<f8"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(number, "<i8")[u]), pa.array(qi[u]), pa.array(v), pa.array(s)], names=["number", "query_id", "vec_id", "score"])
+
+    held = blocked(rows, shards).drop("numbers")
+    asked = blocked(queries, blocks).select(F.lit(0).cast("long").alias("part"), F.col("numbers").alias("q_numbers"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    seeded = asked.join(held.where("part = 0"), "part", "left").drop("part").mapInArrow(first, "q_numbers binary, q_ids binary, q_data binary, theta binary")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part")
+    pairs = seeded.select(parts, "*").join(held, "part").drop("part")
+    found = pairs.mapInArrow(search, "number long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("number").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

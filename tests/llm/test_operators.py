@@ -277,6 +277,37 @@ def test_maxscore(spark):
     assert maxscore.search_table(df.where("false")).count() == 0
 
 
+def test_maxscore_ties_and_repeats(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 6 if i % 9 else 4).tolist()) for i in range(120)]
+    rows += [(20 * (i % 3), rows[20 * (i % 3)][1]) for i in range(4)] + [(7, rows[7][1])] * 3
+    df = spark.createDataFrame([(i, [x / 64 for x in v], 1, 2.0) for i, v in rows], "vec_id long, embedding array<double>, number int, score double")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = collections.Counter()
+    for q, v in rows:
+        if q % 20 == 0:
+            want.update((q, n + 1, i, s) for n, (s, i) in enumerate(sorted(((dot(v, w), i) for i, w in rows if i != q), key=lambda x: (-x[0], x[1]))[:20]))
+    got = collections.Counter(tuple(r) for r in maxscore.top_k(maxscore.whole_vectors(df).where("vec_id % 20 = 0"), maxscore.whole_vectors(df), shard_rows=16, block_queries=3).collect())
+    assert got == want
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, None)], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in maxscore.search_table(few).collect()] == [(0, 1, 1, 8192)]
+
+
+def test_maxscore_skips(spark):
+    """Most pairs of sf0.1 are dropped before their last term, with the same answers as all products give."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.floor(64 * np.stack(rows["embedding"].to_numpy()).astype(float))
+    q_ids, q = ids[::200], x[::200]
+    first = maxscore.thresholds(q, x[:2000], q_ids[:, None] == ids[None, :2000], 20)
+    u, v, s, skipped, pairs = maxscore.search_block(q_ids, q, ids, x, 20, first)
+    assert pairs == len(q) * len(x) and skipped > 0.5 * pairs
+    for i in range(len(q)):
+        score = (q[i] @ x.T).astype(int)
+        want = sorted((-a, b) for a, b in zip(score.tolist(), ids.tolist()) if b != q_ids[i])[:20]
+        assert [(-a, b) for a, b in zip(s[u == i].tolist(), v[u == i].tolist())] == want
+    print(f"skipped {skipped} of {pairs}")
+
+
 def test_outliers(docs, empty, texts):
     got = {r.doc_id: r for r in outliers.judge(docs).collect()}
     for i, t in texts.items():

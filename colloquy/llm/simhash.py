@@ -10,10 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, join_least
 from .tables import in_small_batches, materialise
 from .text import slices, words
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
 
 def ring(most: int) -> tuple[int, ...]:
     """The ring's segments in bits: more of them than differing bits, so a chain can begin in a segment without any."""
@@ -88,8 +90,9 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
     of its first l segments: none in the first, at most one in the first two. Each fingerprint is stored under its
     two segments from every start, and looks up those two segments with none or one bit of the second changed.
     Rows of one start and key meet in one task, sorted; there the chain goes on to three and four segments before
-    the whole distance is taken. The more bits, the shorter the keys and the more rows meet under each. A key with over `block` stored rows is dealt in blocks, each of which meets all
-    lookups of that key. Of the pairs of a block a spanning forest is kept, never all.
+    the whole distance is taken. The more bits, the shorter the keys and the more rows meet under each. A key with over
+    `block` stored rows is dealt: its stored rows and its lookups are both cut in blocks, and each pair of blocks is a
+    run of its own. Of the pairs of a run a spanning forest is kept, never all.
     """
     sizes = ring(most)
     m = len(sizes)
@@ -165,7 +168,10 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
     if hot.isEmpty():
         dealt = rows.select(F.col("key").cast("long").alias("key"), "stored", "fp")
     else:
-        own = F.when(F.col("stored"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+        # lookups of a key are at most 65 times its stored rows and those of its neighbours, so as many blocks do
+        n, mine = F.col("blocks").cast("long"), F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long"))
+        every = F.sequence(F.lit(0).cast("long"), n - 1)
+        own = F.when(F.col("stored"), F.transform(every, lambda x: mine * n + x)).otherwise(F.transform(every, lambda x: x * n + mine))
         blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(own)
         dealt = rows.join(hot, "key", "left").withColumn("__block", F.explode(blocks))
         dealt = dealt.select((F.col("__block") * F.lit(1 << 31) + F.col("key")).alias("key"), "stored", "fp")
@@ -188,18 +194,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate group: that with the smallest doc_id, nulls last, then text hash.
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """text_key and shingles (distinct hashes) of docs(text_key, text), whole texts with fewer words as one shingle."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            sets = []
+            for text in texts:
+                w = text.translate(_LOWER).split()
+                sets.append(sorted({xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle])) - (1 << 63) for i in range(max(1, len(w) - shingle + 1))} if w else ()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_key", "shingles"])
+
+    return in_small_batches(docs.select("text_key", "text")).mapInArrow(told, "text_key long, shingles array<bigint>")
 
-    Groups are named by their fingerprints, so rows with null or equal doc_ids fall only with their own group. Of
-    rows with one doc_id and text any one stays.
+
+def unlike(members: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """text_key of the members(component, first, text_key) that are no copies of a text that stays.
+
+    In each component the first text stays and those that share `alike` of all shingles with it go; the first of
+    the others stays, and so on until none is left. A round looks at every text left once, against one other; texts
+    of large components are dealt over several tasks. Bits seldom link texts that share little, so rounds are few.
+    """
+    left, stay = members, None
+    while True:
+        total = left.count()
+        if not total:
+            return stay if stay is not None else members.select("text_key")
+        roots = materialise(left.groupBy(F.col("component").alias("u")).agg(F.min(F.struct("first", "text_key")).alias("m"), F.count(F.lit(1)).alias("n")), "roots")
+        kept = roots.select(F.col("m.text_key").alias("text_key"))
+        stay = kept if stay is None else stay.unionByName(kept)
+        rows = join_least(left.select(F.col("component").alias("u"), F.col("text_key").alias("v"), "first"), roots, total)
+        rows = rows.where(F.col("m.text_key") != F.col("v")).select(F.col("u").alias("component"), "v", "first", F.col("m.text_key").alias("u"))
+        root_sets = roots.select(F.col("m.text_key").alias("text_key"), "n").join(sets, "text_key").select(F.col("text_key").alias("u"), F.col("shingles").alias("m"), "n")
+        rows = join_least(rows, root_sets, total).join(sets.withColumnRenamed("text_key", "v"), "v")
+        both = F.size(F.array_intersect("m", "shingles"))
+        far = both < F.lit(alike) * (F.size("m") + F.size("shingles") - both)
+        left = materialise(rows.where(far).select("component", "first", F.col("v").alias("text_key")), "left")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, alike: float = 0.8) -> DataFrame:
+    """docs without the rows that are near-duplicates of one that stays.
+
+    Fingerprints at `most` or fewer bits link texts to candidate groups; within them a text goes if it shares `alike`
+    or more of all distinct shingles (Jaccard) with one that stays. Texts stay in the order of their smallest doc_id,
+    nulls last, then of the text's hash. Of copies the row with the smallest doc_id stays; of rows with one doc_id and
+    text any one. Null and empty texts are copies of each other. Rows with null or equal doc_ids fall only with their
+    own text. An empty table gives no rows. All columns are kept, whatever their names.
     """
     rows = materialise(fingerprints(docs, shingle), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    classes = materialise(rows.groupBy("fp").agg(first), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")
+    texts = materialise(rows.groupBy("text_key", "fp").agg(first), "texts")
+    classes = texts.select("fp").distinct()
     named = components(classes.select(F.col("fp").alias("node"), F.col("fp").alias("name")), links(classes, most))
-    best = named.join(classes, named["node"] == classes["fp"]).groupBy("component").agg(F.min("first").alias("first"))
-    best = best.select(F.col("first.doc_id").alias("__keep"), F.col("first.text_key").alias("__keep_key"))
+    members = materialise(texts.join(named, texts["fp"] == named["node"]).select("component", "first", "text_key"), "members")
+    several = members.groupBy("component").count().where("count > 1").select("component")
+    members = materialise(members.join(several, "component"), "several")
     keyed = docs.withColumn("__text_key", text_key())
+    asked = keyed.select(F.col("__text_key").alias("text_key"), "text").join(members.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    sets = materialise(shingle_sets(asked, shingle), "shingles")
+    gone = members.select("text_key").join(unlike(members, sets, alike), "text_key", "left_anti")
+    best = texts.join(gone, "text_key", "left_anti").select(F.col("first.doc_id").alias("__keep"), F.col("text_key").alias("__keep_key"))
     same = keyed["doc_id"].eqNullSafe(best["__keep"]) & (keyed["__text_key"] == best["__keep_key"])
     return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")

@@ -16,14 +16,26 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder is set only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session. A local session without one gets a temporary folder, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="colloquy-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/colloquy/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that this application's operators wrote; call it when their results have been read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """df, whose rows with texts go to Python in batches of about BATCH_BYTES instead of 10,000 rows of any size."""
     conf = df.sparkSession.conf
@@ -35,10 +47,11 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    Cuts the lineage with files that every executor sees, so a lost executor costs only its running tasks.
+    Cuts the lineage with files that every executor sees, so a lost executor costs only its running tasks. The files
+    stay until drop_tables, as frames that read them may be used at any time.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/colloquy/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,22 +14,30 @@ from colloquy.llm.tables import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text passes the base rule and lies within its language's and source's robust limits.
+
+    Each row is judged by itself; null and empty texts go. See outliers.judge for nulls and groups.
+    """
     return outliers.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that share 0.8 or more of their five-word shingles; see simhash.keep_one."""
     return simhash.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data replaced by its kind in angle brackets and n_chars set anew where the text changed."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's target takes them, the last repetition in part; see mixing.repeat."""
     return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences of at most 2048 tokens; see packing.pack."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

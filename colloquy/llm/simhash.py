@@ -83,7 +83,17 @@ def segments(fp: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     return np.stack([(fp >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in zip(at, sizes)], axis=1)
 
 
-def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
+def closest(pairs: np.ndarray, nearest: int) -> np.ndarray:
+    """The pairs (a, b) in which b is one of a's `nearest` partners by differing bits, then by number."""
+    pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
+    order = np.lexsort((pairs[:, 1], np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]), pairs[:, 0]))
+    pairs = pairs[order]
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]))
+    rank = np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs))))
+    return pairs[rank < nearest]
+
+
+def links(fps: DataFrame, most: int = 4, block: int = 4096, nearest: int = 0) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at `most` or fewer bits, enough of them to connect all that are so linked.
 
     With m segments, 5 and more than `most`, some chain of consecutive segments has at most floor(most * l / m) differences after each
@@ -92,7 +102,8 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
     Rows of one start and key meet in one task, sorted; there the chain goes on to three and four segments before
     the whole distance is taken. The more bits, the shorter the keys and the more rows meet under each. A key with over
     `block` stored rows is dealt: its stored rows and its lookups are both cut in blocks, and each pair of blocks is a
-    run of its own. Of the pairs of a run a spanning forest is kept, never all.
+    run of its own. Of the pairs of a run a spanning forest is kept, never all; with `nearest`, each row's so many
+    nearest partners beside it, for callers who look closer at pairs.
     """
     sizes = ring(most)
     m = len(sizes)
@@ -144,6 +155,8 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096) -> DataFrame:
                 found = np.concatenate(pairs)
                 if len(found):
                     out.append(forest(found))
+                    if nearest:
+                        out.append(closest(found, nearest))
             return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
 
         def told(pairs: np.ndarray) -> pa.RecordBatch:
@@ -208,51 +221,47 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return in_small_batches(docs.select("text_key", "text")).mapInArrow(told, "text_key long, shingles array<bigint>")
 
 
-def unlike(members: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
-    """text_key of the members(component, first, text_key) that are no copies of a text that stays.
+def alike(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The edges(a, b) of text_keys whose shingles overlap by `share` or more of all their distinct ones (Jaccard).
 
-    In each component the first text stays and those that share `alike` of all shingles with it go; the first of
-    the others stays, and so on until none is left. A round looks at every text left once, against one other; texts
-    of large components are dealt over several tasks. Bits seldom link texts that share little, so rounds are few.
+    An edge's texts meet by two joins; a text with very many edges is copied to several tasks.
     """
-    left, stay = members, None
-    while True:
-        total = left.count()
-        if not total:
-            return stay if stay is not None else members.select("text_key")
-        roots = materialise(left.groupBy(F.col("component").alias("u")).agg(F.min(F.struct("first", "text_key")).alias("m"), F.count(F.lit(1)).alias("n")), "roots")
-        kept = roots.select(F.col("m.text_key").alias("text_key"))
-        stay = kept if stay is None else stay.unionByName(kept)
-        rows = join_least(left.select(F.col("component").alias("u"), F.col("text_key").alias("v"), "first"), roots, total)
-        rows = rows.where(F.col("m.text_key") != F.col("v")).select(F.col("u").alias("component"), "v", "first", F.col("m.text_key").alias("u"))
-        root_sets = roots.select(F.col("m.text_key").alias("text_key"), "n").join(sets, "text_key").select(F.col("text_key").alias("u"), F.col("shingles").alias("m"), "n")
-        rows = join_least(rows, root_sets, total).join(sets.withColumnRenamed("text_key", "v"), "v")
-        both = F.size(F.array_intersect("m", "shingles"))
-        far = both < F.lit(alike) * (F.size("m") + F.size("shingles") - both)
-        left = materialise(rows.where(far).select("component", "first", F.col("v").alias("text_key")), "left")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, alike: float = 0.8) -> DataFrame:
-    """docs without the rows that are near-duplicates of one that stays.
-
-    Fingerprints at `most` or fewer bits link texts to candidate groups; within them a text goes if it shares `alike`
-    or more of all distinct shingles (Jaccard) with one that stays. Texts stay in the order of their smallest doc_id,
-    nulls last, then of the text's hash. Of copies the row with the smallest doc_id stays; of rows with one doc_id and
-    text any one. Null and empty texts are copies of each other. Rows with null or equal doc_ids fall only with their
-    own text. An empty table gives no rows. All columns are kept, whatever their names.
+    degree = edges.groupBy(F.col("a").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    own = degree.join(sets, degree["u"] == sets["text_key"]).select("u", F.col("shingles").alias("m"), "n")
+    met = join_least(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), own, edges.count())
+    met = met.join(sets.withColumnRenamed("text_key", "v"), "v")
+    both = F.size(F.array_intersect("m", "shingles"))
+    return met.where(both >= F.lit(share) * (F.size("m") + F.size("shingles") - both)).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, share: float = 0.8, nearest: int = 8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the smallest doc_id, nulls last, then text hash.
+
+    Texts link if their fingerprints lie at `most` or fewer bits and they have `share` or more of all their distinct
+    shingles in common (Jaccard); groups are the components. Candidates that meet under one key are looked at in full
+    up to `nearest` partners of each text, the nearest by bits, and one more of a spanning forest: so no group emits all
+    its pairs. Texts with one fingerprint are compared with the first of them.
+
+    Of copies the row with the smallest doc_id stays; of rows with one doc_id and text any one. Null and empty texts are
+    copies of each other. Rows with null or equal doc_ids fall only with their own text. An empty table gives no rows.
+    All columns are kept, whatever their names.
     """
     rows = materialise(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")
     texts = materialise(rows.groupBy("text_key", "fp").agg(first), "texts")
-    classes = texts.select("fp").distinct()
-    named = components(classes.select(F.col("fp").alias("node"), F.col("fp").alias("name")), links(classes, most))
-    members = materialise(texts.join(named, texts["fp"] == named["node"]).select("component", "first", "text_key"), "members")
-    several = members.groupBy("component").count().where("count > 1").select("component")
-    members = materialise(members.join(several, "component"), "several")
+    classes = texts.groupBy("fp").agg(F.min("text_key").alias("lead"))
+    named = classes.select(F.col("fp").alias("__fp"), "lead")
+    pairs = links(classes, most, nearest=nearest).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    leads = pairs.join(named.select(F.col("__fp").alias("a"), F.col("lead").alias("x")), "a").join(named.select(F.col("__fp").alias("b"), F.col("lead").alias("y")), "b")
+    same_fp = texts.join(classes, "fp").where("text_key <> lead").select(F.col("lead").alias("a"), F.col("text_key").alias("b"))
+    edges = materialise(leads.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same_fp), "candidates")
     keyed = docs.withColumn("__text_key", text_key())
-    asked = keyed.select(F.col("__text_key").alias("text_key"), "text").join(members.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = materialise(shingle_sets(asked, shingle), "shingles")
-    gone = members.select("text_key").join(unlike(members, sets, alike), "text_key", "left_anti")
-    best = texts.join(gone, "text_key", "left_anti").select(F.col("first.doc_id").alias("__keep"), F.col("text_key").alias("__keep_key"))
+    ends = edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct()
+    asked = keyed.select(F.col("__text_key").alias("text_key"), "text").join(ends, "text_key", "left_semi").dropDuplicates(["text_key"])
+    near = alike(edges, materialise(shingle_sets(asked, shingle), "shingles"), share)
+    named = components(texts.select(F.col("text_key").alias("node"), F.col("text_key").alias("name")), near)
+    first = F.min(F.struct("first", "text_key")).alias("first")
+    best = texts.join(named, texts["text_key"] == named["node"]).groupBy("component").agg(first)
+    best = best.select(F.col("first.first.doc_id").alias("__keep"), F.col("first.text_key").alias("__keep_key"))
     same = keyed["doc_id"].eqNullSafe(best["__keep"]) & (keyed["__text_key"] == best["__keep_key"])
     return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")

@@ -20,10 +20,12 @@ def seconds_between(first: Column, last: Column) -> Column:
 
 
 def sessions(calls: DataFrame) -> DataFrame:
-    """One row for each session of tool calls, in one aggregation."""
-    user = F.any_value("user_id")
+    """One row for each session of calls(session_id, agent, project, ts, status, duration_ms), in one aggregation.
+
+    Without messages of its own a session counts its calls as such.
+    """
     return calls.groupBy("session_id").agg(
-        F.concat(F.lit("agent_"), (user % 5).cast("string")).alias("agent"), F.concat(F.lit("proj_"), (user % 11).cast("string")).alias("project"), F.min("ts").alias("created"), F.max("ts").alias("modified"),
+        F.any_value("agent").alias("agent"), F.any_value("project").alias("project"), F.min("ts").alias("created"), F.max("ts").alias("modified"),
         F.count(F.lit(1)).alias("messages"), F.count(F.lit(1)).alias("tool_calls"), F.count_if(is_error()).alias("errors"), F.sum("duration_ms").alias("total_ms"), seconds_between(F.min("ts"), F.max("ts")).alias("duration_seconds"),
     )
 

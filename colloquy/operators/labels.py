@@ -19,19 +19,28 @@ ENTRIES = ("main.py", "app.py", "__main__.py", "index.js", "index.ts", "main.go"
 LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".go": "go", ".rs": "rust", ".java": "java", ".c": "c", ".cpp": "cpp"}
 
 
-def model_name(name: Column) -> Column:
-    """A model's name without its route (before a slash, behind a colon or bracket); null for agents and UUIDs."""
-    s = F.trim(name)
-    s = F.when(F.startswith(s, F.lit("{")), F.regexp_extract(s, r"['\"]modelId['\"]\s*[:=]\s*['\"]([^'\"]+)", 1)).otherwise(s)
-    s = F.when(F.contains(s, F.lit("/")) & ~F.startswith(s, F.lit("http")), F.regexp_extract(s, "([^/]*)$", 1)).otherwise(s)
-    s = F.when(F.contains(s, F.lit("://")), s).otherwise(F.split_part(s, F.lit(":"), F.lit(1)))
-    s = F.trim(F.split_part(s, F.lit("["), F.lit(1)))
-    key = F.lower(s)
-    table = F.create_map(*[F.lit(x) for p in MODEL_ALIASES.items() for x in p])
-    cat = F.when(key.rlike(r"^longcat[-_ ]?v?\d+(\.\d+)?([-_ ]?preview)?$"), F.concat(F.lit("LongCat-"), F.regexp_extract(key, r"(\d+(?:\.\d+)?)", 1), F.when(F.endswith(key, F.lit("preview")), "-Preview").otherwise(""))).when(F.startswith(key, F.lit("longcat")), "LongCat")
-    mimo = F.when(key.rlike(r"^mimo[-_ ]?v?\d+(\.\d+)?([-_ ](pro|flash))?$"), F.concat(F.lit("MiMo-v"), F.regexp_extract(key, r"(\d+(?:\.\d+)?)", 1), F.when(key.rlike("(pro|flash)$"), F.concat(F.lit("-"), F.initcap(F.regexp_extract(key, "(pro|flash)$", 1)))).otherwise("")))
-    none = (key == "") | key.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-") | key.isin(*NOT_MODELS)
-    return F.coalesce(table[key], cat, mimo, F.when(~none, s))
+#: Vendors whose versions are written in one way, by the name before the version.
+VENDORS = {"longcat": "LongCat-", "mimo": "MiMo-v"}
+_VERSION = r"[-_ ]?v?([0-9]+(?:\.[0-9]+)?)[-_ ]?(preview|pro|flash|)$"
+
+
+def model_name(name: Column, aliases: dict[str, str] = MODEL_ALIASES, vendors: dict[str, str] = VENDORS, others: tuple[str, ...] = NOT_MODELS) -> Column:
+    """A model's name without the route to it; null for the names of agents (others) and for UUIDs.
+
+    A record tells its modelId. Folders before the name, and ports and notes behind it, are the route; addresses stay
+    whole. Aliases replace names, vendors' versions are written alike.
+    """
+    told = F.regexp_extract(name, r"^\s*\{.*?modelId['\"]\s*[:=]\s*['\"]([^'\"]+)", 1)
+    plain = F.regexp_replace(F.when(told != "", told).otherwise(F.trim(name)), r"^(?!http).*/|:(?!//).*$|\[.*$", "")
+    plain = F.trim(plain)
+    key = F.lower(plain)
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), key)
+    version = F.regexp_extract(key, "^(?:" + "|".join(vendors) + ")" + _VERSION, 1)
+    kind = F.regexp_extract(key, "^(?:" + "|".join(vendors) + ")" + _VERSION, 2)
+    title = F.element_at(F.create_map(*[F.lit(x) for pair in vendors.items() for x in pair]), F.regexp_extract(key, "^(" + "|".join(vendors) + ")", 1))
+    versioned = F.when(version != "", F.concat(title, version, F.when(kind != "", F.concat(F.lit("-"), F.initcap(kind))).otherwise("")))
+    named = (plain != "") & ~key.isin(*others) & ~key.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-")
+    return F.coalesce(known, versioned, F.when(named, plain))
 
 
 def session_role(agent: Column, session: Column, path: Column, parent: Column) -> Column:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 TOKEN = rf"[{CJK}]|[A-Za-z0-9_]+"
-#: Longest text that is indexed, in code points.
-INDEXED = 16_000
 
 
 def split_cjk(text: Column) -> Column:
@@ -22,8 +20,14 @@ def join_cjk(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<=[{CJK}]) (?=[{CJK}])", "")
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.substring(text, 1, INDEXED)), F.lit(TOKEN), F.lit(0))
+def tokens(text: Column, most: int | None = None) -> Column:
+    """The terms of a text in order; `most` keeps to its first characters."""
+    return F.regexp_extract_all(F.lower(text if most is None else F.substring(text, 1, most)), F.lit(TOKEN), F.lit(0))
+
+
+def holds(text: Column, word: str) -> Column:
+    """The word stands anywhere in the text, letters of either case alike."""
+    return F.contains(F.lower(text), F.lit(word.lower()))
 
 
 def prepare_queries(queries: DataFrame, text: str = "text", most: int = 12) -> DataFrame:

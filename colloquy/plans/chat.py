@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import basics as ba
 from ..operators import chat as op, search
 from . import register
 
@@ -37,6 +38,6 @@ register("g18_chat_list", lambda t: t.v_chat.groupBy("chat_id").agg(F.max(F.stru
 register("w10_reactivations", lambda t: op.reactivations(t.v_chat, "2024-02-10", 20), "SELECT chat_id, max(ts) AS last, arg_max(sender, (ts, id)) AS sender, (DATE '2024-02-10' - max(ts)::DATE)::INT AS idle_days FROM v_chat GROUP BY chat_id HAVING (DATE '2024-02-10' - max(ts)::DATE) >= 20 ORDER BY idle_days DESC, chat_id LIMIT 20")
 register("w11_mine_context", lambda t: op.mine_context(t.v_chat, "s3"), "SELECT id, chat_id, sender = 's3' AS mine FROM (SELECT *, max((sender = 's3')::INT) OVER (PARTITION BY chat_id ORDER BY ts, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM v_chat) WHERE near = 1")
 register("c5_name_lookup", lambda t: t.v_chat.select("id", F.regexp_extract("sender", "[0-9]+", 0).cast("long").alias("key"), "sender").join(F.broadcast(t.customer.where("c_custkey < 5").select(F.col("c_custkey").alias("key"), "c_name")), "key", "left").select("id", F.coalesce("c_name", F.concat(F.lit("u:"), "sender")).alias("name")), "SELECT id, coalesce(c_name, 'u:' || sender) AS name FROM v_chat LEFT JOIN customer ON c_custkey < 5 AND c_custkey = regexp_extract(sender, '[0-9]+')::BIGINT")
-register("c15_latest_verdict", lambda t: t.events.groupBy((F.col("user_id") % 40).alias("target")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("verdict")), "SELECT user_id % 40 AS target, arg_max(event_type, (ts, event_id)) AS verdict FROM events GROUP BY 1")
-register("a18_upsert_messages", lambda t: t.v_chat.groupBy("chat_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", F.md5("text").alias("h")))), lambda m: m["h"]), ","), 256).alias("hash"), F.count(F.lit(1)).alias("n")), "SELECT chat_id, sha256(string_agg(md5(text), ',' ORDER BY ts, id)) AS hash, count(*) AS n FROM v_chat GROUP BY chat_id")
+register("c15_latest_verdict", lambda t: ba.latest_verdicts(t.events.select((F.col("user_id") % 40).alias("target"), F.col("event_type").alias("verdict"), "ts", F.col("event_id").alias("id")), t.nation.select((F.col("n_nationkey") * 2).cast("long").alias("target"), "n_name")), "SELECT n_nationkey * 2 AS target, n_name, verdict FROM nation LEFT JOIN (SELECT user_id % 40 AS target, arg_max(event_type, (ts, event_id)) AS verdict FROM events GROUP BY 1) v ON v.target = n_nationkey * 2")
+register("a18_upsert_messages", lambda t: ba.upsert(t.v_chat.where("id % 4 <> 0").select("id", F.md5(F.concat("text", F.when(F.col("id") % 6 == 1, "old").otherwise(""))).alias("hash")), t.v_chat.where("id % 5 <> 0"), "id", "text"), "WITH o AS (SELECT id, md5(text || CASE WHEN id % 6 = 1 THEN 'old' ELSE '' END) AS hash FROM v_chat WHERE id % 4 <> 0), n AS (SELECT id, md5(text) AS new FROM v_chat WHERE id % 5 <> 0) SELECT id, coalesce(new, hash) AS hash, CASE WHEN new IS NULL THEN 'kept' WHEN hash IS NULL THEN 'inserted' WHEN hash = new THEN 'skipped' ELSE 'replaced' END AS change FROM o FULL JOIN n USING (id)")
 register("a12_field_coverage", lambda t: t.v_chat.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).isNotNull().cast("int").alias("there")) for c in ("id", "chat_id", "sender", "reply_to")])).alias("f")).groupBy("f.field").agg(F.sum("f.there").alias("resolved"), F.round(1 - F.avg("f.there"), 4).alias("miss_rate")), " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS resolved, round(1 - count({c}) / count(*), 4) AS miss_rate FROM v_chat" for c in ("id", "chat_id", "sender", "reply_to")))

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..operators import basics as ba
 from ..operators import dialogue as op
 from . import register
+from .search import ERROR_SQL
 
 
 def _q(s: str) -> str:
@@ -12,10 +14,9 @@ def _q(s: str) -> str:
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[\x{4E00}-\x{9FFF}]|[a-zA-Z0-9]+')"
-_TOKENS = r"regexp_extract_all(lower(substring(text, 1, 16000)), '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]|[A-Za-z0-9_]+')"
+_TOKENS = r"regexp_extract_all(lower(text), '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]|[A-Za-z0-9_]+')"
 _STOP = ", ".join(map(_q, rules.STOP_WORDS))
 _FAIL = r"(?i)permission denied|timed out|error|denied"
-_CLASS = [("PERMISSION", r"(?i)permission denied|eacces"), ("TIMEOUT", r"(?i)timed out|deadline"), ("NOT_FOUND", r"(?i)not found"), ("RATE_LIMIT", r"(?i)rate limit|429")]
 
 
 def _intent(name: str) -> str:
@@ -86,15 +87,7 @@ SELECT ts::DATE AS day, chat_id, row_number() OVER (PARTITION BY chat_id, ts::DA
 register("g24_analysis_mode", lambda t: op.analyse(t.v_chat, "people")["participants"].select("sender", "messages"), "SELECT sender, count(*) AS messages FROM v_chat GROUP BY sender")
 
 
-def _error_class(text):
-    out = F.lit("OTHER")
-    for name, pattern in reversed(_CLASS):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
-    return out
-
-
-_CLASS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in _CLASS) + " ELSE 'OTHER' END"
-register("u3_error_causes", lambda t: t.v_messages.where(F.col("text").rlike(_FAIL)).groupBy("session_id", _error_class(F.col("text")).alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")), f"SELECT session_id, {_CLASS_SQL} AS cause, count(*) AS n, min(seq) AS first FROM v_messages WHERE regexp_matches(text, '{_FAIL}') GROUP BY ALL")
+register("u3_error_causes", lambda t: t.v_messages.where(F.col("text").rlike(_FAIL)).groupBy("session_id", ba.classify_error(F.col("text")).alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")), f"SELECT session_id, {ERROR_SQL} AS cause, count(*) AS n, min(seq) AS first FROM v_messages WHERE regexp_matches(text, '{_FAIL}') GROUP BY ALL")
 register("u4_classify_intent", lambda t: op.intents(t.v_messages.where("role = 'USER'")).select("session_id", "seq", "intent", "confidence"), f"""
 WITH m AS (SELECT session_id, seq, lower(text) AS l FROM v_messages WHERE role = 'USER'), s AS ({" UNION ALL ".join(map(_intent, rules.INTENTS))}),
 r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY session_id, seq ORDER BY score DESC, place))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import basics as ba
 from ..operators import facts as op
 from . import register
 
@@ -44,7 +45,7 @@ SELECT session_id, round(CASE WHEN duration_seconds / 60 > 90 AND 2.5 * messages
 register("w8_fair_merge", lambda t: op.fair_merge(t.v_sessions), """
 SELECT turn, agent, session_id, created FROM (SELECT row_number() OVER (PARTITION BY agent ORDER BY created DESC NULLS LAST, session_id) AS turn, agent, session_id, created FROM v_sessions) ORDER BY turn, agent LIMIT 20""")
 
-register("a3_schema_report", lambda t: t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.json_object_keys("props"))))), ",").alias("fields"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), """
+register("a3_schema_report", lambda t: ba.schema_report(t.events, "event_type", "props", "ts"), """
 SELECT event_type, count(*) AS n, 'k' AS fields, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type""")
 
 register("d17_turn_perf", lambda t: t.v_tool_calls.groupBy("session_id", "dd").agg(F.count(F.lit(1)).alias("tools"), F.count_if(op.is_error()).alias("bad"), F.sum("duration_ms").alias("ms")).agg(F.count(F.lit(1)).alias("turns"), F.sum("tools").alias("tools"), F.round(F.avg("tools"), 4).alias("avg_tools"), F.count_if(F.col("bad") > 0).alias("error_turns"), F.round(F.avg("ms"), 4).alias("avg_ms")), """
@@ -67,15 +68,15 @@ SELECT project, count(*) AS sessions, sum(errors)::BIGINT AS errors FROM v_sessi
 register("d22_habits", lambda t: t.v_sessions.groupBy("agent").agg(op.rate(F.sum("errors"), F.sum("tool_calls")).alias("error_rate"), F.round(F.avg("messages"), 4).alias("avg_messages")).withColumn("watch", F.col("error_rate") > 0.1).withColumn("long", F.col("avg_messages") > 30), """
 SELECT agent, round(sum(errors) / sum(tool_calls), 4) AS error_rate, round(avg(messages), 4) AS avg_messages, round(sum(errors) / sum(tool_calls), 4) > 0.1 AS watch, round(avg(messages), 4) > 30 AS long FROM v_sessions GROUP BY agent""")
 
-register("b14_filters", lambda t: t.v_sessions.where((F.col("agent") == "agent_1") & F.col("project").contains("_3")).select("session_id", "agent", "project"), "SELECT session_id, agent, project FROM v_sessions WHERE agent = 'agent_1' AND project LIKE '%\\_3%' ESCAPE '\\'")
-register("b13_time_window", lambda t: t.v_sessions.where(F.col("created") >= F.lit("2024-01-20").cast("timestamp")).select("session_id", "created"), "SELECT session_id, created FROM v_sessions WHERE created >= TIMESTAMP '2024-01-20'")
-register("b3_drop_noise_types", lambda t: t.events.where(~F.col("event_type").isin("click", "view")).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'view')")
-register("b8_to_int_safe", lambda t: t.events.select("event_id", F.coalesce(F.expr("try_cast(floor(try_cast(get_json_object(props, '$.k') AS DOUBLE)) AS BIGINT)"), F.lit(0)).alias("k"), F.coalesce(F.expr("try_cast(event_type AS BIGINT)"), F.lit(0)).alias("none")), """SELECT event_id, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k, 0::BIGINT AS none FROM events""")
+register("b14_filters", lambda t: ba.only(t.v_sessions, agent="agent_1", project="_3").select("session_id", "agent", "project"), "SELECT session_id, agent, project FROM v_sessions WHERE agent = 'agent_1' AND project LIKE '%\\_3%' ESCAPE '\\'")
+register("b13_time_window", lambda t: ba.only(t.v_sessions, since="2024-01-20").select("session_id", "created"), "SELECT session_id, created FROM v_sessions WHERE created >= TIMESTAMP '2024-01-20'")
+register("b3_drop_noise_types", lambda t: ba.without(t.events, "event_type", ("click", "view")).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'view')")
+register("b8_to_int_safe", lambda t: t.events.select("event_id", ba.to_int_safe(F.get_json_object("props", "$.k")).alias("k"), ba.to_int_safe(F.col("event_type")).alias("none")), """SELECT event_id, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k, 0::BIGINT AS none FROM events""")
 register("b7_normalize_ts", lambda t: t.events.select("event_id", F.coalesce(F.when(F.col("event_id") % 2 == 0, F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")))), F.try_to_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))).cast("timestamp_ntz").alias("at")), "SELECT event_id, date_trunc('millisecond', ts) AS at FROM events")
-register("b24_relevant_tool", lambda t: t.v_tool_calls.where(~F.col("name").isin("tool_0") & ~F.col("name").startswith("internal_")).groupBy("name").count().withColumnRenamed("count", "n"), "SELECT name, count(*) AS n FROM v_tool_calls WHERE name <> 'tool_0' AND NOT starts_with(name, 'internal_') GROUP BY name")
-register("b21_label_msg_type", lambda t: t.events.select("event_id", (F.col("event_id").bitwiseAND(F.lit(0xFFFF)) % 50).alias("base"), F.shiftright("event_id", 3).alias("sub")).select("event_id", "sub", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in {1: "text", 3: "image", 34: "voice", 43: "video", 47: "sticker", 49: "link"}.items() for x in kv]), F.col("base").cast("int")), F.lit("other")).alias("label")), "SELECT event_id, event_id >> 3 AS sub, CASE (event_id & 65535) % 50 WHEN 1 THEN 'text' WHEN 3 THEN 'image' WHEN 34 THEN 'voice' WHEN 43 THEN 'video' WHEN 47 THEN 'sticker' WHEN 49 THEN 'link' ELSE 'other' END AS label FROM events")
-register("s8_list_sessions", lambda t: t.v_sessions.orderBy(F.desc("modified"), "session_id").limit(20).select("session_id", "created", "modified", "messages"), "SELECT session_id, created, modified, messages FROM v_sessions ORDER BY modified DESC, session_id LIMIT 20")
-register("s18_dedup_by_path", lambda t: t.v_sessions.select("session_id", F.lit(1).alias("listing")).unionByName(t.v_sessions.where("errors > 0").select("session_id", F.lit(2).alias("listing"))).groupBy("session_id").agg(F.min("listing").alias("listing")), "SELECT session_id, 1 AS listing FROM v_sessions")
-register("p2_prune", lambda t: t.v_sessions.join(t.v_tool_calls.where("dd <= 20").select("session_id").distinct(), "session_id", "left_anti").select("session_id"), "SELECT session_id FROM v_sessions WHERE session_id NOT IN (SELECT session_id FROM v_tool_calls WHERE dd <= 20)")
-register("p9_freshness", lambda t: t.v_sessions.groupBy("agent").agg(F.max("modified").alias("newest")).withColumn("stale", F.col("newest") <= F.lit("2024-01-30").cast("timestamp") - F.expr("INTERVAL 24 HOURS")), "SELECT agent, max(modified) AS newest, max(modified) <= TIMESTAMP '2024-01-30' - INTERVAL 24 HOURS AS stale FROM v_sessions GROUP BY agent")
+register("b24_relevant_tool", lambda t: ba.without(t.v_tool_calls, "name", ("tool_0",), "internal_").groupBy("name").agg(F.count(F.lit(1)).alias("n")), "SELECT name, count(*) AS n FROM v_tool_calls WHERE name <> 'tool_0' AND NOT starts_with(name, 'internal_') GROUP BY name")
+register("b21_label_msg_type", lambda t: t.events.select("event_id", F.shiftright("event_id", 3).alias("sub"), ba.message_kind(F.col("event_id").bitwiseAND(F.lit(0xFFFF)) % 50).alias("label")), "SELECT event_id, event_id >> 3 AS sub, CASE (event_id & 65535) % 50 WHEN 1 THEN 'text' WHEN 3 THEN 'image' WHEN 34 THEN 'voice' WHEN 43 THEN 'video' WHEN 47 THEN 'sticker' WHEN 49 THEN 'link' ELSE 'other' END AS label FROM events")
+register("s8_list_sessions", lambda t: ba.newest(t.v_sessions, "modified", "session_id", 20).select("session_id", "created", "modified", "messages"), "SELECT session_id, created, modified, messages FROM v_sessions ORDER BY modified DESC, session_id LIMIT 20")
+register("s18_dedup_by_path", lambda t: ba.first_listing([t.v_sessions, t.v_sessions.where("errors > 0")], "session_id"), "SELECT session_id, 1 AS listing FROM v_sessions")
+register("p2_prune", lambda t: ba.orphans(t.v_sessions, t.v_tool_calls.where("dd <= 20"), "session_id"), "SELECT session_id FROM v_sessions WHERE session_id NOT IN (SELECT session_id FROM v_tool_calls WHERE dd <= 20)")
+register("p9_freshness", lambda t: ba.freshness(t.v_sessions, "agent", "modified", "2024-01-30"), "SELECT agent, max(modified) AS newest, max(modified) <= TIMESTAMP '2024-01-30' - INTERVAL 24 HOURS AS stale FROM v_sessions GROUP BY agent")
 register("p8_hourly_error_rate", lambda t: t.v_tool_calls.groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "name").agg(F.count(F.lit(1)).alias("calls"), op.rate(F.count_if(op.is_error()), F.count(F.lit(1))).alias("error_rate")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, name, count(*) AS calls, round(count(*) FILTER (status = 'error') / count(*), 4) AS error_rate FROM v_tool_calls GROUP BY ALL")

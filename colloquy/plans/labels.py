@@ -31,8 +31,8 @@ register("b12_in_project", lambda t: t.pages.select("page_id", op.in_project(_of
 register("b15_redact", lambda t: t.pages.select("page_id", op.redact_path(F.concat(_of("page_id", "/Users/ann/", "/x/-Users-ann-doc/", "/x/%2Fhome%2Fann%2F", "/opt/"), c("page_id").cast("string"))).alias("path")), "SELECT page_id, list_extract(['/Users/<user>/', '/x/-Users-<user>-doc/', '/x/%2Fhome%2F<user>%2F', '/opt/'], (page_id % 4 + 1)::INT) || page_id AS path FROM pages")
 _SEPS = ("。", "？", "！", "；", "? ", "! ", "; ", ". ", "，", ", ")
 _CUTS = ", ".join(f"CASE WHEN instr(s, '{x}') - 1 BETWEEN 6 AND 42 THEN substring(s, 1, instr(s, '{x}') - 1) END" for x in _SEPS)
-register("b16_headline", lambda t: t.v_chat.select("id", op.headline(F.substring("text", 1, 120)).alias("label")), rf"""
-WITH a AS (SELECT id, trim(regexp_replace(regexp_replace(substring(text, 1, 120), 'https?://\S+', '', 'g'), '\s+', ' ', 'g')) AS s FROM v_chat), b AS (SELECT id, regexp_replace(regexp_replace(s, '^#{{1,6}}\s*', ''), '^[-*0-9]+[.)]\s*', '') AS s FROM a),
+register("b16_headline", lambda t: t.v_chat.select("id", op.headline(F.col("text")).alias("label")), rf"""
+WITH a AS (SELECT id, trim(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '\s+', ' ', 'g')) AS s FROM v_chat), b AS (SELECT id, regexp_replace(regexp_replace(s, '^#{{1,6}}\s*', ''), '^[-*0-9]+[.)]\s*', '') AS s FROM a),
 l AS (SELECT id, CASE WHEN length(s) <= 42 THEN s ELSE coalesce({_CUTS}, substring(s, 1, 42) || '…') END AS label FROM b)
 SELECT id, CASE WHEN length(label) >= 4 AND regexp_matches(label, '[A-Za-z]{{3,}}|[\x{{4E00}}-\x{{9FFF}}]{{2,}}') THEN label END AS label FROM l""")
 register("b17_family_and_kind", lambda t: t.events.groupBy(op.agent_family(_of("user_id", "kimi_code", "DIM", "qoder", "Codex")).alias("family"), op.chat_kind(_of("event_id", "a@chatroom", "gh_1", "b@openim", "wxid_wi_2", "wxid_3")).alias("kind")).agg(F.count(F.lit(1)).alias("n")), "SELECT list_extract(['kimi', 'dim', 'other', 'codex'], (user_id % 4 + 1)::INT) AS family, list_extract(['group', 'official', 'openim', 'wework', 'single'], (event_id % 5 + 1)::INT) AS kind, count(*) AS n FROM events GROUP BY ALL")

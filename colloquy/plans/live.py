@@ -54,14 +54,14 @@ SELECT id, chat_id, ts, coalesce(ts >= greatest(latest, max(ts) OVER (PARTITION
 
 def signal_events(t):
     """Signals of the chats; each key whose chat's number divides by 3 is closed a second after its first signal."""
-    s = chat.signals(t.v_chat).join(t.v_chat.select("id", F.substring("text", 1, 12).alias("text"), F.unix_seconds(c("ts").cast("timestamp")).alias("ts")), "id")
+    s = chat.signals(t.v_chat).join(t.v_chat.select("id", "text", F.unix_seconds(c("ts").cast("timestamp")).alias("ts")), "id")
     e = fu.events(s.withColumn("hints", F.size(F.split("words", ","))))
     closed = e.groupBy("key", "chat_id").agg((F.min("ts") + 1).alias("ts")).where(F.regexp_extract("chat_id", "([0-9]+)$", 1).cast("int") % 3 == 0)
     return e.unionByName(fu.events(s.withColumn("hints", F.lit(0)).limit(0), closed.select("key", "ts", F.lit("won").alias("decision"))))
 
 
 register("p5_followup_state", lambda t: fu.follow_up(signal_events(t)).groupBy("chat_id", "round").agg(F.count(F.lit(1)).alias("items"), F.sum("reinforcement").cast("long").alias("signals"), F.count_if(c("status") == "won").alias("won")), r"""
-WITH s AS (SELECT DISTINCT chat_id, CASE WHEN d > 0 THEN 'deal' ELSE 'commitment' END AS kind, substring(text, 1, 12) AS text, ts FROM (SELECT *, contains(lower(text), '预算')::INT + contains(lower(text), '报价')::INT + contains(lower(text), '合作')::INT + contains(lower(text), 'budget')::INT + contains(lower(text), 'quote')::INT + contains(lower(text), 'deal')::INT AS d,
+WITH s AS (SELECT DISTINCT chat_id, CASE WHEN d > 0 THEN 'deal' ELSE 'commitment' END AS kind, text, ts FROM (SELECT *, contains(lower(text), '预算')::INT + contains(lower(text), '报价')::INT + contains(lower(text), '合作')::INT + contains(lower(text), 'budget')::INT + contains(lower(text), 'quote')::INT + contains(lower(text), 'deal')::INT AS d,
 contains(lower(text), '明天给你')::INT + contains(lower(text), '发你')::INT + contains(lower(text), 'will send')::INT + contains(lower(text), 'i''ll send')::INT AS m FROM v_chat) WHERE d + m > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, kind, text ORDER BY ts) AS k, regexp_extract(chat_id, '([0-9]+)$', 1)::INT % 3 = 0 AS closed FROM s),
 i AS (SELECT chat_id, kind, text, closed, CASE WHEN closed AND k > 1 THEN 2 ELSE 1 END AS round, count(*) AS n FROM r GROUP BY ALL)

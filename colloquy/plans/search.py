@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import basics as ba
 from ..operators import search as op
 from . import register
 
-_TOK = "regexp_extract_all(lower(substring(coalesce(text, ''), 1, 16000)), '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]|[A-Za-z0-9_]+')"
+_TOK = "regexp_extract_all(lower(coalesce(text, '')), '[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]|[A-Za-z0-9_]+')"
+
+ERROR_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(p)}') THEN '{k}'" for k, p in ba.ERROR_CLASSES.items()) + " ELSE 'UNKNOWN' END"
 
 
 def _chat(t):
@@ -22,10 +25,10 @@ def _phrase(words: list[str]) -> str:
 _BM25 = "greatest(ln((N - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))"
 register("s2_tokenize", lambda t: _chat(t).select(F.explode(op.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM v_chat) GROUP BY term")
 register("s1_split_cjk", lambda t: _chat(t).select("id", op.split_cjk(F.col("text")).alias("spaced"), op.join_cjk(op.split_cjk(F.col("text"))).alias("shown")))
-register("s3_prepare_queries", lambda t: op.prepare_queries(t.benchmark.select("item_id", F.substring("text", 1, 40).alias("text"))).select("item_id", F.size("terms").alias("n_terms"), "reason", "prefix"), f"SELECT item_id, len(terms) AS n_terms, CASE WHEN len(terms) = 0 THEN 'no_terms' WHEN len(terms) > 12 THEN 'too_many_terms' END AS reason, len(terms) = 1 AND regexp_matches(coalesce(terms[1], ''), '^[a-z0-9_]+$') AS prefix FROM (SELECT item_id, {_TOK} AS terms FROM (SELECT item_id, substring(text, 1, 40) AS text FROM benchmark))")
+register("s3_prepare_queries", lambda t: op.prepare_queries(t.benchmark.select("item_id", "text")).select("item_id", F.size("terms").alias("n_terms"), "reason", "prefix"), f"SELECT item_id, len(terms) AS n_terms, CASE WHEN len(terms) = 0 THEN 'no_terms' WHEN len(terms) > 12 THEN 'too_many_terms' END AS reason, len(terms) = 1 AND regexp_matches(coalesce(terms[1], ''), '^[a-z0-9_]+$') AS prefix FROM (SELECT item_id, {_TOK} AS terms FROM benchmark)")
 register("s4_fts_search", lambda t: op.fts_search(_chat(t), "数据库迁移", 20, "id"), f"WITH {_phrase(list('数据库迁移'))}, s AS (SELECT count(*) AS N, avg(len(terms)) AS a FROM d), c AS (SELECT count(*) AS n FROM h) SELECT id, tf, round({_BM25.replace('(n + ', '(c.n + ').replace('N - n', 's.N - c.n')}, 6) AS score FROM h, s, c ORDER BY score DESC, id LIMIT 20")
 register("s5_session_search", lambda t: op.bm25(op.phrase_hits(_chat(t), "deadline exceeded", "id"), _chat(t)).join(_chat(t).select("id", "chat_id"), "id").groupBy("chat_id").agg(F.round(F.max("score"), 6).alias("score")).orderBy(F.desc("score"), "chat_id").limit(10), f"WITH {_phrase(['deadline', 'exceeded'])}, s AS (SELECT count(*) AS N, avg(len(terms)) AS a FROM d), c AS (SELECT count(*) AS n FROM h) SELECT chat_id, round(max({_BM25.replace('(n + ', '(c.n + ').replace('N - n', 's.N - c.n')}), 6) AS score FROM h, s, c GROUP BY chat_id ORDER BY score DESC, chat_id LIMIT 10")
-register("s9_deep_contains", lambda t: t.documents.where(F.contains(F.lower("text"), F.lit("apache license"))).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')")
+register("s9_deep_contains", lambda t: t.documents.where(op.holds(F.col("text"), "apache license")).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')")
 register("s10_collapse_identical", lambda t: op.collapse_identical(t.documents, "doc_id").select("doc_id", "copies"), "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY coalesce(text, '')")
 register("s11_chat_search", lambda t: op.page_with_total(_chat(t).where(F.contains("text", F.lit("timed out"))).select("id", "ts"), [F.desc("ts"), F.asc("id")], 10), "SELECT id, ts, total, total > 10 AS has_more FROM (SELECT id, ts, count(*) OVER () AS total FROM v_chat WHERE contains(text, 'timed out')) ORDER BY ts DESC, id LIMIT 10")
 register("s12_group_hits", lambda t: op.group_hits(_chat(t).where(F.contains("text", F.lit("预算"))), "chat_id", "ts"), "SELECT chat_id, count(*) AS hits, min(ts) AS first, max(ts) AS last FROM v_chat WHERE contains(text, '预算') GROUP BY chat_id ORDER BY hits DESC, chat_id LIMIT 10")
@@ -35,8 +38,8 @@ register("s20_paged_search", lambda t: op.newest(_chat(t).where(F.contains("text
 register("s19_inventory_match", lambda t: op.inventory_match(t.part, "small ring", "p_name"), "SELECT p_name, max(score) AS score FROM (SELECT p_name, round(CASE WHEN lower(p_name) = 'small ring' THEN 1.0 ELSE least(0.99, len(list_intersect(w, ['small', 'ring'])) / len(list_distinct(list_concat(w, ['small', 'ring']))) + CASE WHEN contains(lower(p_name), 'small ring') THEN 0.3 ELSE 0 END) END, 4)::DOUBLE AS score FROM (SELECT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9_]+')) AS w FROM part)) WHERE score >= 0.28 GROUP BY p_name")
 register("c2_hit_sessions", lambda t: op.phrase_hits(_chat(t), "rate limit", "id").join(_chat(t).select("id", "chat_id", "sender"), "id", "left").select("id", "chat_id", "sender", "tf"), f"WITH {_phrase(['rate', 'limit'])} SELECT h.id, h.chat_id, sender, tf FROM h JOIN v_chat c ON c.id = h.id")
 register("c3_facet_counts", lambda t: op.phrase_hits(_chat(t), "https", "id").join(_chat(t).select("id", "chat_id"), "id").groupBy("chat_id").agg(F.count(F.lit(1)).alias("hits")), f"WITH {_phrase(['https'])} SELECT chat_id, count(*) AS hits FROM h GROUP BY chat_id")
-register("c7_exists_filter", lambda t: _chat(t).where(F.contains("text", F.lit("ok"))).join(_chat(t).where("sender = 's3'").select("chat_id").distinct(), "chat_id", "left_semi").groupBy().agg(F.count(F.lit(1)).alias("hits")), "SELECT count(*) AS hits FROM v_chat WHERE contains(text, 'ok') AND chat_id IN (SELECT chat_id FROM v_chat WHERE sender = 's3')")
-register("c21_changed_rows", lambda t: t.documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash")).join(t.documents.where("doc_id % 3 <> 0").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash")), ["doc_id", "hash"], "left_anti"), "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 3 = 0")
-register("u1_classify_error", lambda t: _chat(t).select(F.when(F.col("text").rlike("(?i)permission denied|eacces|forbidden"), "PERMISSION").when(F.col("text").rlike("(?i)timed out|timeout|deadline exceeded"), "TIMEOUT").when(F.col("text").rlike("(?i)rate limit|too many requests|429"), "RATE_LIMIT").when(F.col("text").rlike("(?i)not found|no such file|404"), "NOT_FOUND").otherwise("UNKNOWN").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN regexp_matches(text, '(?i)permission denied|eacces|forbidden') THEN 'PERMISSION' WHEN regexp_matches(text, '(?i)timed out|timeout|deadline exceeded') THEN 'TIMEOUT' WHEN regexp_matches(text, '(?i)rate limit|too many requests|429') THEN 'RATE_LIMIT' WHEN regexp_matches(text, '(?i)not found|no such file|404') THEN 'NOT_FOUND' ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM v_chat GROUP BY 1")
+register("c7_exists_filter", lambda t: ba.where_any(_chat(t).where(F.contains("text", F.lit("ok"))), _chat(t).where("sender = 's3'"), "chat_id").groupBy().agg(F.count(F.lit(1)).alias("hits")), "SELECT count(*) AS hits FROM v_chat WHERE contains(text, 'ok') AND chat_id IN (SELECT chat_id FROM v_chat WHERE sender = 's3')")
+register("c21_changed_rows", lambda t: ba.changed_rows(t.documents, t.documents.where("doc_id % 3 <> 0").select("doc_id", F.md5(F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, "old").otherwise(""))).alias("hash")), "doc_id", "text"), "WITH seen AS (SELECT doc_id, md5(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE '' END) AS hash FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.doc_id = d.doc_id AND seen.hash = md5(coalesce(d.text, '')))")
+register("u1_classify_error", lambda t: _chat(t).groupBy(ba.classify_error(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n")), f"SELECT {ERROR_SQL} AS kind, count(*) AS n FROM v_chat GROUP BY 1")
 register("h4_tech_debt", lambda t: _chat(t).select("id", F.posexplode(F.split("text", "\n")).alias("line", "code")).select("id", "line", F.regexp_extract("code", r"\b(TODO|FIXME|HACK|XXX)\b", 1).alias("tag")).where("tag <> ''"), "SELECT id, line - 1 AS line, regexp_extract(code, '\\b(TODO|FIXME|HACK|XXX)\\b', 1) AS tag FROM (SELECT id, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM v_chat) WHERE regexp_matches(code, '\\b(TODO|FIXME|HACK|XXX)\\b')")
 register("f21_retrieval_metrics", lambda t: op.passage_recall(t.benchmark, t.documents), "WITH q AS (SELECT item_id, array_to_string(regexp_extract_all(text, '[^ \t\n]+')[1:8], ' ') AS passage FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n]+') AS w FROM documents), x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS passage FROM d), f AS (SELECT DISTINCT item_id, doc_id FROM q JOIN x USING (passage)) SELECT (SELECT count(*) FROM benchmark) AS queries, count(DISTINCT item_id) AS found, count(DISTINCT doc_id) AS docs, round(count(DISTINCT item_id) / (SELECT count(*) FROM benchmark), 4) AS recall FROM f")

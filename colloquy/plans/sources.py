@@ -66,7 +66,7 @@ def _exports(t):
 
 
 register("a8_import_chat_json", lambda t: ch.import_json(_exports(t)).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ts").alias("ts"), F.count_distinct("sender").alias("senders")), "SELECT chat_id, count(*) AS n, sum(epoch(ts))::BIGINT AS ts, count(DISTINCT sender) AS senders FROM v_chat WHERE id % 5 <> 0 GROUP BY chat_id")
-register("a9_import_chat_csv", lambda t: ch.import_csv(t.v_chat.select(c("sender").alias("发送人"), c("ts").cast("string").alias("时间"), c("id").cast("string").alias("other"), F.substring("text", 1, 20).alias("内容"))).groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("last")), "SELECT sender, count(*) AS n, max(substring(text, 1, 20)) AS last FROM v_chat GROUP BY sender")
+register("a9_import_chat_csv", lambda t: ch.import_csv(t.v_chat.select(c("sender").alias("发送人"), c("ts").cast("string").alias("时间"), c("id").cast("string").alias("other"), c("text").alias("内容"))).groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("last")), "SELECT sender, count(*) AS n, max(text) AS last FROM v_chat GROUP BY sender")
 
 
 def _plain(t):
@@ -83,9 +83,9 @@ FROM v_chat WHERE chat_id IN (SELECT chat_id FROM v_chat GROUP BY chat_id HAVING
 
 def _mixed(t):
     s = F.unix_seconds(c("ts").cast("timestamp"))
-    a = F.to_json(F.struct("id", "chat_id", "sender", s.alias("ts"), F.substring("text", 1, 40).alias("text"), F.lit("1").alias("type")))
-    b = F.to_json(F.struct(c("id").alias("msg_id"), c("chat_id").alias("talker"), c("sender").alias("from"), (s * 1000).alias("createTime"), F.substring("text", 1, 40).alias("content"), F.lit("语音").alias("type")))
-    d = F.to_json(F.struct(c("id").alias("local_id"), c("chat_id").alias("chatId"), c("sender").alias("sender_username"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.substring("text", 1, 40).alias("message"), F.lit(77).alias("local_type")))
+    a = F.to_json(F.struct("id", "chat_id", "sender", s.alias("ts"), c("text"), F.lit("1").alias("type")))
+    b = F.to_json(F.struct(c("id").alias("msg_id"), c("chat_id").alias("talker"), c("sender").alias("from"), (s * 1000).alias("createTime"), c("text").alias("content"), F.lit("语音").alias("type")))
+    d = F.to_json(F.struct(c("id").alias("local_id"), c("chat_id").alias("chatId"), c("sender").alias("sender_username"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), c("text").alias("message"), F.lit(77).alias("local_type")))
     return t.v_chat.select(F.try_parse_json(F.when(c("id") % 3 == 0, a).when(c("id") % 3 == 1, b).otherwise(d)).alias("v"))
 
 
@@ -134,7 +134,7 @@ CASE (p_partkey // 10) % 4 WHEN 2 THEN 'v1.' || p_size WHEN 3 THEN '^' || p_size
 
 
 def _posts(t):
-    safe = F.regexp_replace(F.substring("text", 1, 30), r"[^A-Za-z0-9 ]", "")
+    safe = F.regexp_replace("text", r"[^A-Za-z0-9 ]", "")
     xml = F.concat(F.lit("<TimelineObject><author>"), c("sender"), F.lit("</author><createTime>"), F.unix_seconds(c("ts").cast("timestamp")).cast("string"), F.lit("</createTime><contentDesc>x"), safe, F.lit("</contentDesc></TimelineObject>"))
     return t.v_chat.select(F.when(c("id") % 10 == 9, F.lit("no xml")).otherwise(xml).alias("payload"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import basics as ba
 from ..operators import usage as op
 from . import register
 
@@ -48,9 +49,11 @@ register("d14_rate_by_session", lambda t: t.v_usage.withColumn("rate", op.cache_
 register("d15_cache_by_date", lambda t: t.v_usage.rollup(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("prompt"), F.sum("cache_read_tokens").alias("cached")), "SELECT ts::DATE AS day, count(*) AS requests, sum(input_tokens)::BIGINT AS prompt, sum(cache_read_tokens)::BIGINT AS cached FROM v_usage GROUP BY ROLLUP (ts::DATE)")
 register("f12_usage_insights", lambda t: t.v_usage.groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "model").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens")).groupBy("month").agg(F.sum("tokens").alias("tokens"), F.max(F.struct("tokens", "model"))["model"].alias("top_model")), """
 WITH m AS (SELECT strftime(ts, '%Y-%m') AS month, model, sum(input_tokens + output_tokens)::BIGINT AS tokens FROM v_usage GROUP BY ALL) SELECT month, sum(tokens)::BIGINT AS tokens, arg_max(model, (tokens, model)) AS top_model FROM m GROUP BY month""")
-register("b18_winsorize", lambda t: t.v_usage.groupBy("session_id").agg(F.sum("input_tokens").alias("n")).select("session_id", F.when(F.col("n") <= 0, 0).otherwise(F.least("n", F.lit(20000))).cast("long").alias("shown")), "SELECT session_id, CASE WHEN sum(input_tokens) <= 0 THEN 0 ELSE least(sum(input_tokens), 20000) END::BIGINT AS shown FROM v_usage GROUP BY session_id")
-register("b20_estimate_cost", lambda t: t.v_usage.groupBy("session_id").agg(F.round((F.sum("input_tokens") * 3 + F.sum("output_tokens") * 15) / 1e6, 6).alias("usd")), "SELECT session_id, round((sum(input_tokens) * 3 + sum(output_tokens) * 15) / 1e6, 6) AS usd FROM v_usage GROUP BY session_id")
-register("b10_canon_model", lambda t: t.v_usage.groupBy(F.when(F.col("model").contains("O"), "open").when(F.col("model").contains("A"), "alpha").otherwise("other").alias("family")).agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN contains(model, 'O') THEN 'open' WHEN contains(model, 'A') THEN 'alpha' ELSE 'other' END AS family, count(*) AS n FROM v_usage GROUP BY 1")
+register("b18_winsorize", lambda t: t.v_usage.groupBy("session_id").agg(F.sum("input_tokens").alias("n")).select("session_id", ba.winsorize(F.col("n"), 20000).alias("shown")), "SELECT session_id, CASE WHEN sum(input_tokens) <= 0 THEN 0 ELSE least(sum(input_tokens), 20000) END::BIGINT AS shown FROM v_usage GROUP BY session_id")
+register("b20_estimate_cost", lambda t: t.v_usage.groupBy("session_id").agg(ba.cost(F.sum("input_tokens"), F.sum("output_tokens"), 3, 15).alias("usd")), "SELECT session_id, round((sum(input_tokens) * 3 + sum(output_tokens) * 15) / 1e6, 6) AS usd FROM v_usage GROUP BY session_id")
+_RAW_MODELS = ("LongCat-2.5-x", "longcat", "route/longcat-2.0", "GLM-5.3-Flash", "glm-5.3-flashx", "deepseek-chat", "deepseek-reasoner", "DeepSeek-V4", "deepseek-4.1", "gemini-3.8", "gemini-argon", "gemini-pro", "claude-3-7-sonnet", "claude-3-5-haiku", "claude-opus-4", "claude-x", "other-1", "")
+_FAMILIES = ("LongCat-2.5-Preview", "LongCat", "LongCat-2.0", "GLM-5.3-Flash", "glm-5.3-flashx", "DeepSeek-V3", "DeepSeek-R1", "DeepSeek-V4-Flash", "DeepSeek-V4.1-Flash", "Gemini 3.8 Flash", "Gemini 4 Argon", "Gemini", "Claude 3.7 Sonnet", "Claude 3.5 Haiku", "Claude Opus", "Claude", "other-1", "unknown")
+register("b10_canon_model", lambda t: t.v_usage.groupBy(ba.canon_model(F.element_at(F.array(*[F.lit(x) for x in _RAW_MODELS]), (F.col("session_id") % 18 + 1).cast("int"))).alias("family")).agg(F.count(F.lit(1)).alias("n")), f"SELECT list_extract({list(_FAMILIES)}, (session_id % 18 + 1)::INT) AS family, count(*) AS n FROM v_usage GROUP BY 1")
 register("h1_hotspots", lambda t: op.hotspots(t.v_commits, t.v_commit_files), "SELECT path, count(*) AS commits, count(DISTINCT author) AS authors, min(ts) AS first, max(ts) AS last FROM (SELECT DISTINCT hash, path FROM v_commit_files) JOIN v_commits USING (hash) GROUP BY path ORDER BY commits DESC, path LIMIT 20")
 register("h2_commit_frequency", lambda t: op.commit_frequency(t.v_commits, t.v_commit_files), "SELECT strftime(ts, '%Y-%W') AS week, count(*) AS commits, sum(coalesce(files, 0))::BIGINT AS changes, count(DISTINCT author) AS authors FROM v_commits LEFT JOIN (SELECT hash, count(DISTINCT path) AS files FROM v_commit_files GROUP BY hash) USING (hash) GROUP BY 1")
 register("h3_author_distribution", lambda t: t.v_commits.groupBy("author").agg(F.count_distinct(F.concat(F.year("ts").cast("string"), F.lit("-"), F.lpad(op.sunday_week(F.col("ts")).cast("string"), 2, "0"))).alias("weeks"), F.count(F.lit(1)).alias("commits")), "SELECT author, count(DISTINCT strftime(ts, '%Y-%W')) AS weeks, count(*) AS commits FROM v_commits GROUP BY author")
@@ -72,8 +75,18 @@ s AS (SELECT month, y, x, count(*) OVER w AS n, regr_slope(y, x) OVER w AS slope
 z AS (SELECT *, sqrt(greatest(syy - cut * sy - slope * sxy, 0) / n) AS sigma, y - (cut + slope * x) AS off FROM s WHERE n = 6)
 SELECT month, y::BIGINT AS n, round(slope, 3) AS slope, CASE WHEN sigma > 1e-9 THEN abs(off / sigma) > 2 ELSE abs(off) >= 1 END AS anomaly FROM z""")
 register("h6_overview", lambda t: t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("files"), F.sum("p_size").alias("size")).orderBy(F.desc("files"), "p_type").limit(10), "SELECT p_type, count(*) AS files, sum(p_size)::BIGINT AS size FROM part GROUP BY p_type ORDER BY files DESC, p_type LIMIT 10")
-register("h8_missing_configs", lambda t: t.part.select("p_brand").distinct().crossJoin(F.broadcast(t.part.select("p_type").distinct())).join(t.part.where("p_partkey % 3 = 0"), ["p_brand", "p_type"], "left_anti"), "SELECT a.p_brand, b.p_type FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_type FROM part) b WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p_partkey % 3 = 0 AND p.p_brand = a.p_brand AND p.p_type = b.p_type)")
-register("h9_repo_search", lambda t: t.part.where(F.contains(F.lower("p_name"), F.lit("ring"))).orderBy("p_name", "p_partkey").offset(5).limit(20).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 20 OFFSET 5")
-register("b22_naming_style", lambda t: t.part.select("p_partkey", F.when(F.regexp_replace("p_name", " ", "_").rlike("^[a-z0-9]+(_[a-z0-9]+)+$"), "snake").when(F.col("p_name").rlike("^[a-z]+$"), "flat").otherwise("other").alias("style")), "SELECT p_partkey, CASE WHEN regexp_matches(replace(p_name, ' ', '_'), '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake' WHEN regexp_matches(p_name, '^[a-z]+$') THEN 'flat' ELSE 'other' END AS style FROM part")
+register("h8_missing_configs", lambda t: ba.missing_pairs(t.part, "p_brand", "p_type", t.part.where("p_partkey % 3 = 0")), "SELECT a.p_brand, b.p_type FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_type FROM part) b WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p_partkey % 3 = 0 AND p.p_brand = a.p_brand AND p.p_type = b.p_type)")
+register("h9_repo_search", lambda t: ba.page_by(t.part, "p_name", "ring", ["p_name", "p_partkey"], 5, 20).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 20 OFFSET 5")
+
+def _styled():
+    """A part's name in one style after the other."""
+    words, k = F.lower("p_name"), F.col("p_partkey") % 7
+    pascal = F.regexp_replace(F.initcap(words), " ", "")
+    camel = F.concat(F.lower(F.substring(pascal, 1, 1)), F.expr("substring(replace(initcap(lower(p_name)), ' ', ''), 2)"))
+    snake = F.regexp_replace(words, " ", "_")
+    return F.when(k == 0, F.concat(F.lit("_x_"), snake)).when(k == 1, F.regexp_replace(words, "[^a-z]", "")).when(k == 2, pascal).when(k == 3, camel).when(k == 4, F.upper(F.concat(F.lit("x_"), snake))).when(k == 5, F.initcap(F.regexp_replace(words, "[^a-z]", ""))).otherwise("1")
+
+
+register("b22_naming_style", lambda t: t.part.select("p_partkey", ba.naming_style(_styled()).alias("style")), "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'snake_case' WHEN 1 THEN 'flatcase' WHEN 2 THEN CASE WHEN contains(p_name, ' ') THEN 'PascalCase' ELSE 'PascalCase' END WHEN 3 THEN CASE WHEN contains(p_name, ' ') THEN 'camelCase' ELSE 'flatcase' END WHEN 4 THEN 'UPPER_SNAKE' WHEN 5 THEN 'PascalCase' END AS style FROM part")
 register("a14_read_git_log", lambda t: t.v_commits.join(t.v_commit_files, "hash").groupBy("author").agg(F.count_distinct("hash").alias("commits"), F.count_distinct("path").alias("files")), "SELECT author, count(DISTINCT hash) AS commits, count(DISTINCT path) AS files FROM v_commits JOIN v_commit_files USING (hash) GROUP BY author")
-register("s15_merged_limit", lambda t: t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("ts")).unionByName(t.orders.where("o_orderkey % 2 = 1").select("o_orderkey", F.col("o_orderdate").alias("ts"))).orderBy(F.col("ts").desc_nulls_last(), "o_orderkey").limit(25), "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS ts FROM orders ORDER BY ts DESC NULLS LAST, o_orderkey LIMIT 25")
+register("s15_merged_limit", lambda t: ba.newest(t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("ts")).unionByName(t.orders.where("o_orderkey % 2 = 1").select("o_orderkey", F.col("o_orderdate").alias("ts"))), "ts", "o_orderkey", 25), "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS ts FROM orders ORDER BY ts DESC NULLS LAST, o_orderkey LIMIT 25")

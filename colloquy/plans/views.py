@@ -42,7 +42,9 @@ class Tables:
     def v_sessions(self) -> DataFrame:
         from ..operators.facts import sessions
 
-        return sessions(self.v_tool_calls)
+        user = F.col("user_id")  # the tables name no agents and projects
+        agent, project = F.concat(F.lit("agent_"), (user % 5).cast("string")), F.concat(F.lit("proj_"), (user % 11).cast("string"))
+        return sessions(self.v_tool_calls.withColumn("agent", agent).withColumn("project", project))
 
     @property
     def v_messages(self) -> DataFrame:
@@ -59,7 +61,7 @@ class Tables:
         return d.select(
             c("doc_id").alias("id"), c("source").alias("chat_id"), F.when(ad, F.concat(F.lit("优惠券福利群"), c("source"))).otherwise(F.concat(F.lit("chat "), c("source"))).alias("chat_name"),
             F.when(ad, F.lit("s0")).otherwise(F.concat(F.lit("s"), F.pmod("doc_id", F.lit(9)).cast("string"))).alias("sender"), _start_plus(c("doc_id") * 1800).alias("ts"),
-            (c("doc_id") - 20).alias("reply_to"), F.concat(phrase, F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("text"),
+            (c("doc_id") - 20).alias("reply_to"), F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"),
         )
 
     @property
@@ -110,7 +112,7 @@ SQL = {
     "v_chat": f"""
   SELECT doc_id AS id, source AS chat_id, CASE WHEN source IN ('src0', 'src1', 'src2') THEN '优惠券福利群' || source ELSE 'chat ' || source END AS chat_name,
          CASE WHEN source IN ('src0', 'src1', 'src2') THEN 's0' ELSE 's' || (doc_id % 9) END AS sender, make_timestamp((1704067200 + doc_id * 1800) * 1000000) AS ts, doc_id - 20 AS reply_to,
-         CASE WHEN source IN ('src0', 'src1', 'src2') THEN list_extract({_list(Q)}, (doc_id % 2 + 1)::INT) ELSE list_extract({_list(P)}, ((doc_id + doc_id // 20) % {len(P)} + 1)::INT) END || ' ' || substring(coalesce(text, ''), 1, 200) AS text
+         CASE WHEN source IN ('src0', 'src1', 'src2') THEN list_extract({_list(Q)}, (doc_id % 2 + 1)::INT) ELSE list_extract({_list(P)}, ((doc_id + doc_id // 20) % {len(P)} + 1)::INT) END || ' ' || coalesce(text, '') AS text
   FROM documents""",
     "v_usage": """
   SELECT l_orderkey AS session_id, l_linenumber AS request_seq, l_returnflag || l_linestatus AS model, round(CASE WHEN l_tax = 0 THEN 0 ELSE l_quantity * 100 END)::BIGINT AS input_tokens,

@@ -25,6 +25,11 @@ def ring(most: int) -> tuple[int, ...]:
     return tuple(64 // m + (i < 64 % m) for i in range(m))
 
 
+#: Most pairs of a run of equal keys held in a task before they are reduced.
+PAIRS = 1 << 19
+#: Most texts and shingles of a block, of which a task compares two.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 18
+
 #: The bits of a byte, one in each byte of a 64-bit number.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
 
@@ -83,14 +88,17 @@ def segments(fp: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     return np.stack([(fp >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in zip(at, sizes)], axis=1)
 
 
-def closest(pairs: np.ndarray, nearest: int) -> np.ndarray:
-    """The pairs (a, b) in which b is one of a's `nearest` partners by differing bits, then by number."""
+def closest(pairs: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) in which b is the least or one of the `nearest` (by bits, then number) of a's partners; each a
+    that has more of them."""
     pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
+    least = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
     order = np.lexsort((pairs[:, 1], np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]), pairs[:, 0]))
-    pairs = pairs[order]
-    first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]]))
-    rank = np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs))))
-    return pairs[rank < nearest]
+    first = np.flatnonzero(least)
+    rank = np.empty(len(pairs), np.int64)
+    rank[order] = np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs))))
+    keep = least | (rank < nearest)
+    return pairs[keep], np.unique(pairs[~keep, 0])
 
 
 def links(fps: DataFrame, most: int = 4, block: int = 4096, nearest: int = 0) -> DataFrame:
@@ -102,8 +110,11 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096, nearest: int = 0) ->
     Rows of one start and key meet in one task, sorted; there the chain goes on to three and four segments before
     the whole distance is taken. The more bits, the shorter the keys and the more rows meet under each. A key with over
     `block` stored rows is dealt: its stored rows and its lookups are both cut in blocks, and each pair of blocks is a
-    run of its own. Of the pairs of a run a spanning forest is kept, never all; with `nearest`, each row's so many
-    nearest partners beside it, for callers who look closer at pairs.
+    run of its own. Of the pairs of a run a spanning forest is kept, never all.
+
+    With `nearest`, for callers who look closer at pairs, each row's so many nearest partners of a run are kept instead,
+    and its least one; rows (a, a, run) name all that have more partners in that run, so callers can go through the rest.
+    Rows of pairs have run -1; without `nearest` there is no such column.
     """
     sizes = ring(most)
     m = len(sizes)
@@ -124,10 +135,8 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096, nearest: int = 0) ->
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .components import forest
 
-        held: list[np.ndarray] = []
-
         def solve(key, stored, fp) -> np.ndarray:
-            """Pairs among whole runs of equal keys."""
+            """Rows (a, b, run) of whole runs of equal keys."""
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.concatenate([edge, [len(key)]]))
             n_stored = np.add.reduceat(stored.astype(np.int64), edge)
@@ -136,7 +145,15 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096, nearest: int = 0) ->
             for at, n, s in zip(edge[use], size[use], n_stored[use]):
                 a, b = fp[at : at + s], fp[at + s : at + n]  # stored rows come first
                 start = int(key[at] >> 26) % 32
-                pairs = []
+                pairs, more = np.zeros((0, 2), np.uint64), []
+
+                def fewer() -> np.ndarray:
+                    if not nearest:
+                        return forest(pairs)
+                    kept, over = closest(pairs, nearest)
+                    more.append(over)
+                    return kept
+
                 for lo in range(0, s, 512):
                     for lo_b in range(0, n - s, 2048):
                         x, y = a[lo : lo + 512], b[lo_b : lo_b + 2048]
@@ -151,16 +168,19 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096, nearest: int = 0) ->
                             else:
                                 keep = keep[np.bitwise_count(diff.ravel()[keep] & np.uint64(mask)) <= budget[k - 1]]
                         u, v = x[keep // len(y)], y[keep % len(y)]
-                        pairs.append(np.stack([u, v], axis=1)[u != v])
-                found = np.concatenate(pairs)
-                if len(found):
-                    out.append(forest(found))
-                    if nearest:
-                        out.append(closest(found, nearest))
-            return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
-
-        def told(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], names=["a", "b"])
+                        pairs = np.concatenate([pairs, np.stack([u, v], axis=1)[u != v]])
+                        if len(pairs) > PAIRS:
+                            pairs = fewer()
+                if len(pairs):
+                    pairs = fewer()
+                    out.append(np.column_stack([pairs, np.full(len(pairs), -1).view(np.uint64)]))
+                if more:
+                    over = np.unique(np.concatenate(more))
+                    out.append(np.column_stack([over, over, np.full(len(over), key[at], np.int64).view(np.uint64)]))
+            return np.concatenate(out) if out else np.zeros((0, 3), np.uint64)
+
+        def told(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k].copy().view(np.int64)) for k in range(3)], names=["a", "b", "run"])
 
         rest = None
         for batch in batches:
@@ -189,7 +209,8 @@ def links(fps: DataFrame, most: int = 4, block: int = 4096, nearest: int = 0) ->
         dealt = rows.join(hot, "key", "left").withColumn("__block", F.explode(blocks))
         dealt = dealt.select((F.col("__block") * F.lit(1 << 31) + F.col("key")).alias("key"), "stored", "fp")
     ordered = dealt.repartition("key").sortWithinPartitions("key", F.col("stored").desc())
-    return ordered.mapInArrow(met, "a long, b long")
+    found = ordered.mapInArrow(met, "a long, b long, run long")
+    return found if nearest else found.drop("run")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
@@ -234,13 +255,56 @@ def alike(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return met.where(both >= F.lit(share) * (F.size("m") + F.size("shingles") - both)).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
+def rest_alike(members: DataFrame, sets: DataFrame, most: int, share: float) -> DataFrame:
+    """Pairs (a, b) of text_keys that connect all texts of a run which link and are of different components yet.
+
+    members(kind, run, text_key, fp, component); a run's texts are cut in blocks and each pair of blocks is a task's group.
+    A text of a run is compared with those at `most` or fewer bits from whose component it is still apart, so groups
+    of near copies need few comparisons; texts that are near by bits alone need all.
+    """
+    sized = members.join(sets, "text_key")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
+    sized = sized.join(sized.groupBy("kind", "run").agg(blocks.alias("blocks")), ["kind", "run"])
+    mine = F.pmod(F.xxhash64("text_key"), F.col("blocks")).cast("int")
+    dealt = sized.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+
+    def met(t: pa.Table) -> pa.Table:
+        key, fp, component, mine = (np.asarray(t[c]) for c in ("text_key", "fp", "component", "mine"))
+        own = [np.asarray(x.values) for x in t["shingles"]]
+        size = np.array([len(x) for x in own])
+        fp, up, found = fp.view(np.uint64), {c: c for c in component.tolist()}, []
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        for i in range(len(key)):
+            near = np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= most
+            near &= np.minimum(size[i], size[i + 1 :]) >= share * np.maximum(size[i], size[i + 1 :])
+            near &= (mine[i] != mine[i + 1 :]) | (t["lo"][0] == t["hi"][0])
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x == y:
+                    continue
+                both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if both >= share * (size[i] + size[j] - both):
+                    up[max(x, y)] = min(x, y)
+                    found.append((key[i], key[j]))
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.groupBy("kind", "run", "lo", "hi").applyInArrow(lambda t: met(t), "a long, b long")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, share: float = 0.8, nearest: int = 8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id, nulls last, then text hash.
 
     Texts link if their fingerprints lie at `most` or fewer bits and they have `share` or more of all their distinct
-    shingles in common (Jaccard); groups are the components. Candidates that meet under one key are looked at in full
-    up to `nearest` partners of each text, the nearest by bits, and one more of a spanning forest: so no group emits all
-    its pairs. Texts with one fingerprint are compared with the first of them.
+    shingles in common (Jaccard); groups are the components. First each fingerprint's `nearest` partners under a key are
+    compared, by one text of each fingerprint, so no group emits all its pairs. Where a fingerprint has more
+    partners, or texts of one fingerprint don't link, and the texts in question are of different components still,
+    rest_alike compares the rest: `nearest` bears on the time alone, no link is lost.
 
     Of copies the row with the smallest doc_id stays; of rows with one doc_id and text any one. Null and empty texts are
     copies of each other. Rows with null or equal doc_ids fall only with their own text. An empty table gives no rows.
@@ -251,17 +315,34 @@ def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, share: float = 0.
     texts = materialise(rows.groupBy("text_key", "fp").agg(first), "texts")
     classes = texts.groupBy("fp").agg(F.min("text_key").alias("lead"))
     named = classes.select(F.col("fp").alias("__fp"), "lead")
-    pairs = links(classes, most, nearest=nearest).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = materialise(links(classes, most, nearest=nearest), "links")
+    pairs = linked.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     leads = pairs.join(named.select(F.col("__fp").alias("a"), F.col("lead").alias("x")), "a").join(named.select(F.col("__fp").alias("b"), F.col("lead").alias("y")), "b")
     same_fp = texts.join(classes, "fp").where("text_key <> lead").select(F.col("lead").alias("a"), F.col("text_key").alias("b"))
     edges = materialise(leads.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same_fp), "candidates")
     keyed = docs.withColumn("__text_key", text_key())
     ends = edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct()
     asked = keyed.select(F.col("__text_key").alias("text_key"), "text").join(ends, "text_key", "left_semi").dropDuplicates(["text_key"])
-    near = alike(edges, materialise(shingle_sets(asked, shingle), "shingles"), share)
-    named = components(texts.select(F.col("text_key").alias("node"), F.col("text_key").alias("name")), near)
+    sets = materialise(shingle_sets(asked, shingle), "shingles")
+    near = materialise(alike(edges, sets, share), "alike")
+    nodes = texts.select(F.col("text_key").alias("node"), F.col("text_key").alias("name"))
+    groups = materialise(components(nodes, near), "groups")
+
+    # runs of fingerprints with partners left out: those of a key, and those around a fingerprint whose texts are apart
+    apart = F.min("component") < F.max("component")
+    placed = texts.select("text_key", "fp").join(groups.withColumnRenamed("node", "text_key"), "text_key")
+    split = placed.groupBy("fp").agg(apart.alias("apart")).where("apart").select(F.col("fp").alias("run"))
+    around = pairs.select(F.col("a").alias("run"), F.col("b").alias("fp")).union(pairs.select("b", "a")).join(split, "run", "left_semi")
+    runs = linked.where("a = b").select(F.lit(0).alias("kind"), "run", F.col("a").alias("fp"))
+    runs = runs.union(around.select(F.lit(1), "run", "fp")).union(split.select(F.lit(1), "run", "run"))
+    members = materialise(runs.distinct().join(placed, "fp"), "members")
+    still = members.groupBy("kind", "run").agg(apart.alias("apart")).where("apart").select("kind", "run")
+    rest = materialise(rest_alike(members.join(still, ["kind", "run"], "left_semi"), sets, most, share), "rest")
+    if not rest.isEmpty():
+        groups = components(nodes, near.unionByName(rest))
+
     first = F.min(F.struct("first", "text_key")).alias("first")
-    best = texts.join(named, texts["text_key"] == named["node"]).groupBy("component").agg(first)
+    best = texts.join(groups, texts["text_key"] == groups["node"]).groupBy("component").agg(first)
     best = best.select(F.col("first.first.doc_id").alias("__keep"), F.col("first.text_key").alias("__keep_key"))
     same = keyed["doc_id"].eqNullSafe(best["__keep"]) & (keyed["__text_key"] == best["__keep_key"])
     return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")

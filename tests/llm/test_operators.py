@@ -115,6 +115,32 @@ def test_keep_one_by_shingles(spark):
     assert 12 < len(got) < 90
 
 
+@pytest.mark.parametrize("nearest", [1, 8])
+def test_keep_one_goes_through_the_rest(spark, monkeypatch, nearest):
+    """Texts that lie near by bits with and without common shingles: no link is lost, however few partners come first."""
+    rng = np.random.default_rng(21)
+    kinds = [[str(x) for x in rng.integers(0, 9999, 120)] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        w = list(kinds[i % 3])
+        for _ in range(i // 3 % 6):
+            w[int(rng.integers(0, 120))] = f"y{i}"
+        rows.append((i, " ".join(w), int(rng.integers(0, 8))))
+    marks = [0b0, 0b1, 0b11, 0b111, 0b1000, 0b11000, 0b1 << 40, 0b11 << 50]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", simhash.text_key().alias("text_key"), "fp"))
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)
+    docs = spark.createDataFrame([(i, t, marks[m]) for i, t, m in rows], "doc_id long, text string, fp long")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    up = list(range(90))
+    for _ in range(20):
+        for i in range(90):
+            for j in range(i):
+                if (marks[rows[i][2]] ^ marks[rows[j][2]]).bit_count() <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    up[i] = up[j] = min(up[i], up[j])
+    got = sorted(r.doc_id for r in simhash.keep_one(docs, most=4, nearest=nearest).collect())
+    assert got == sorted(set(up)) and 3 <= len(got) < 90
+
+
 def test_simhash_dense_group(spark):
     rng = np.random.default_rng(1)
     base = int(rng.integers(1 << 62))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, join_least
-from .tables import in_small_batches, materialise
+from .tables import attach, in_small_batches, materialise
 from .text import slices, words
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -339,7 +339,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, share: float = 0.
     still = members.groupBy("kind", "run").agg(apart.alias("apart")).where("apart").select("kind", "run")
     rest = materialise(rest_alike(members.join(still, ["kind", "run"], "left_semi"), sets, most, share), "rest")
     if not rest.isEmpty():
-        groups = components(nodes, near.unionByName(rest))
+        # whole components are joined now, so only their names and the new pairs go through further rounds
+        of = lambda node, name: groups.select(F.col("node").alias(node), F.col("component").alias(name))
+        between = rest.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        between = materialise(between.distinct(), "between")
+        names = between.select(F.col("a").alias("node")).union(between.select("b")).distinct().withColumn("name", F.col("node"))
+        merged = materialise(components(names, between), "merged").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        groups = attach(groups, merged, ["component"], F.col("node")).select("node", F.coalesce("top", "component").alias("component"))
 
     first = F.min(F.struct("first", "text_key")).alias("first")
     best = texts.join(groups, texts["text_key"] == groups["node"]).groupBy("component").agg(first)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bradley_terry, html_extract, maxscore, mixing, ngram_lm, outliers, packing, pii, simhash, substring
+from . import bradley_terry, html_extract, maxscore, mixing, ngram_lm, outliers, packing, phrases, pii, simhash, substring, token_counts, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,25 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_min_cut, op2_ngram_lm_score, op3_maxscore_top_k, op4_bradley_terry_quality, op5_robust_outliers, op6_pii_contexts, op7_substring_dedup, op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences)
+    found = (
+        op1_html_min_cut, op2_ngram_lm_score, op3_maxscore_top_k, op4_bradley_terry_quality, op5_robust_outliers, op6_pii_contexts, op7_substring_dedup,
+        op8_simhash_near_dedup, op9_mix_sources, op10_pack_sequences, op11_toivonen_phrases, op12_spelling_variants, op13_token_counts,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore_top_k": maxscore.ORACLE, "op9_mix_sources": mixing.ORACLE}
+    return {"op3_maxscore_top_k": maxscore.ORACLE, "op9_mix_sources": mixing.ORACLE, "op11_toivonen_phrases": phrases.ORACLE}

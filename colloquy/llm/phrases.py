@@ -114,16 +114,15 @@ def count(docs: DataFrame, filters: list[dict], most: int, least: int, slice_byt
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
 
 
-def frequent(docs: DataFrame, most: int, least: int, sample: float = SAMPLE, sample_count: int = SAMPLE_COUNT, slice_bytes: int = 4 << 20) -> DataFrame:
+def frequent(docs: DataFrame, most: int, least: int, sample: float = SAMPLE, sample_count: int = SAMPLE_COUNT, slice_bytes: int = 4 << 20, filter_bytes: int = bloom.MOST_BYTES) -> DataFrame:
     """lang, size, phrase and n of all phrases of 1 to `most` words that occur `least` times or more, exactly; with size 0
     the words of each lang.
 
     Toivonen's mining. Phrases with sample_count occurrences in the sample are proposed. A full pass counts them and
     their negative border: the phrases not proposed whose longest parts all are, that is all words, all pairs of proposed
-    words and so on. A border phrase that turns out frequent is a failure: it joins the proposals, which have a new
-    border then, and another pass counts just that, until no failure is left. Proposals travel as Bloom filters of
-    bounded size; what these let through besides is counted too and changes nothing, as each phrase is counted in one
-    pass over all texts. After pass k all phrases of k words are right, so there are `most` passes at most.
+    words and so on. A border phrase that turns out frequent is a failure: what is known to be frequent has a new border
+    then, and another pass counts just that, until no failure is left. Phrases travel as Bloom filters of bounded size;
+    what these let through besides is counted too and changes nothing, as each phrase is counted in one pass over all texts. After pass k all phrases of k words are right, so there are `most` passes at most.
     """
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
 
@@ -134,7 +133,7 @@ def frequent(docs: DataFrame, most: int, least: int, sample: float = SAMPLE, sam
     known = materialise(count(drawn, [{k: All() for k in range(1, most)}], most, sample_count, slice_bytes), "proposals").where(F.col("size").between(1, most - 1))
     filters, found = [], None
     for _ in range(most):
-        filters.append(bloom.build(known, hashed))
+        filters.append(bloom.build(known, hashed, filter_bytes))
         now = materialise(count(own, filters, most, least, slice_bytes), "phrases")
         found = now if found is None else found.unionByName(now)
         held = docs.sparkSession.sparkContext.broadcast(filters)
@@ -147,10 +146,9 @@ def frequent(docs: DataFrame, most: int, least: int, sample: float = SAMPLE, sam
                     out[size == k] = ~passed(held.value[-1], int(k), h[size == k])
                 yield batch.filter(pa.array(out))
 
-        border = materialise(now.where(F.col("size").between(1, most - 1)).mapInArrow(failed, _ROWS), "failures")
-        if border.isEmpty():
+        known = found.where(F.col("size").between(1, most - 1))
+        if now.where(F.col("size").between(1, most - 1)).mapInArrow(failed, _ROWS).isEmpty():
             break
-        known = known.unionByName(border)
     return found
 
 

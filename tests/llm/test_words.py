@@ -54,10 +54,11 @@ def collocations(rows, most=3, least=10, top=2000):
             yield (x[0], rank[x[0]], *x[1:])
 
 
-@pytest.mark.parametrize("sample, count, slice_bytes, most", [(1 / 16, 2, 1 << 22, 3), (1.0, 1, 500, 3), (0.3, 5, 2000, 3), (0.2, 2, 1 << 22, 5)])
-def test_phrases(spark, rows, sample, count, slice_bytes, most):
-    """Whatever the sample proposes and however texts are cut, the counts are those of all texts."""
-    got = phrases.collocations(frame(spark, rows).repartition(3), most=most, sample=sample, sample_count=count, slice_bytes=slice_bytes).collect()
+@pytest.mark.parametrize("sample, count, slice_bytes, most, filter_bytes", [(1 / 16, 2, 1 << 22, 3, 1 << 20), (1.0, 1, 500, 3, 64), (0.3, 5, 2000, 3, 128), (0.2, 2, 1 << 22, 5, 64)])
+def test_phrases(spark, rows, sample, count, slice_bytes, most, filter_bytes):
+    """Whatever the sample proposes, however texts are cut and whatever filters let through, the counts are those of all texts."""
+    mining = {"sample": sample, "sample_count": count, "slice_bytes": slice_bytes, "filter_bytes": filter_bytes}
+    got = phrases.collocations(frame(spark, rows).repartition(3), most=most, **mining).collect()
     want = list(collocations(rows, most))
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
     assert got[0].asDict().keys() == {"lang", "rank", "phrase", "a", "l", "r", "n", "score"}

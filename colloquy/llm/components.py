@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,29 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[far], nodes[label[far]]], axis=1)
 
 
+def thinned(pairs: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """pairs(a long, b long) without most of those that others connect: each task keeps a spanning forest of its own,
+    of about `most` pairs, and holds twice as many at once."""
+    blocks = max(1, -(-pairs.count() // most))
+
+    def kept(batches):
+        held = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.column_stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))])])
+            if len(held) > 2 * most:
+                held = forest(held)
+                if len(held) > most:
+                    yield told(held)
+                    held = held[:0]
+        if len(held):
+            yield told(forest(held))
+
+    def told(held: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[:, k].copy()) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.select("a", "b").coalesce(blocks).mapInArrow(kept, "a long, b long")
+
+
 def join_least(links: DataFrame, least: DataFrame, rows: int) -> DataFrame:
     """links(u, v, ...) with m of least(u, m, n), where n counts a node's links and rows bounds the sum of all n.
 

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, join_least
+from .components import components, join_least, thinned
 from .tables import attach, in_small_batches, materialise
-from .text import slices, words
+from .text import mix64, slices, words
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -54,8 +54,23 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, text_key (hash of the text) and fp (long, the unsigned bits) of every document."""
+#: Least hashes of shingles that make a band, and bands of a text: of two texts that share 0.8 of their shingles 0.998 have
+#: a band in common, of those that share 0.4 less than 0.08.
+BAND, BANDS = 6, 20
+
+
+def band_keys(hashes: np.ndarray, counts: np.ndarray, bands: int, rows: int = BAND) -> np.ndarray:
+    """For each run of counts[i] > 0 hashes its bands, a hash each: of the least values of `rows` permutations of the run."""
+    begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    odd = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.repeat(mix64(np.arange(bands, dtype=np.uint64) + np.uint64(77))[None, :], len(counts), axis=0)
+    for k, a in enumerate(odd):
+        out[:, k // rows] = mix64(out[:, k // rows] + np.minimum.reduceat(hashes * a, begin))
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, bands: int = 0) -> DataFrame:
+    """doc_id, text_key (hash of the text) and fp (long, the unsigned bits) of every document, with `bands` its bands too."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -71,11 +86,17 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 last = to[shingle - 1 :] if n >= shingle else to[-1:]
                 hashes += [digest(line[a:b], seed) for a, b in zip(start[:k].tolist(), last.tolist())]
                 counts.append(k)
-            out = majority(np.asarray(hashes, np.uint64), np.asarray(counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["doc_id", "text_key", "fp"])
+            hashes, counts = np.asarray(hashes, np.uint64), np.asarray(counts)
+            columns = [batch.column(0), batch.column(1), pa.array(majority(hashes, counts).view(np.int64))]
+            if bands:
+                some = np.flatnonzero(counts)
+                keys = band_keys(hashes, counts[some], bands).view(np.int64).ravel() if len(some) else np.zeros(0, np.int64)
+                size = np.where(counts > 0, bands, 0)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "fp", "bands"][: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return in_small_batches(rows).mapInArrow(hashed, "doc_id long, text_key long, fp long")
+    return in_small_batches(rows).mapInArrow(hashed, "doc_id long, text_key long, fp long" + ", bands array<bigint>" * bool(bands))
 
 
 def text_key() -> Column:
@@ -255,12 +276,16 @@ def alike(edges: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return met.where(both >= F.lit(share) * (F.size("m") + F.size("shingles") - both)).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
+BY_KEY, BY_FINGERPRINT, BY_BAND = 0, 1, 2
+
+
 def rest_alike(members: DataFrame, sets: DataFrame, most: int, share: float) -> DataFrame:
     """Pairs (a, b) of text_keys that connect all texts of a run which link and are of different components yet.
 
     members(kind, run, text_key, fp, component); a run's texts are cut in blocks and each pair of blocks is a task's group.
     A text of a run is compared with those at `most` or fewer bits from whose component it is still apart, so groups
-    of near copies need few comparisons; texts that are near by bits alone need all.
+    of near copies need few comparisons; texts that are near by bits alone need all. Runs of kind BY_BAND have a band in
+    common and no limit of bits.
     """
     sized = members.join(sets, "text_key")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
@@ -274,6 +299,7 @@ def rest_alike(members: DataFrame, sets: DataFrame, most: int, share: float) ->
         own = [np.asarray(x.values) for x in t["shingles"]]
         size = np.array([len(x) for x in own])
         fp, up, found = fp.view(np.uint64), {c: c for c in component.tolist()}, []
+        bits = 64 if t["kind"][0].as_py() == BY_BAND else most
 
         def root(c: int) -> int:
             while up[c] != c:
@@ -281,7 +307,7 @@ def rest_alike(members: DataFrame, sets: DataFrame, most: int, share: float) ->
             return c
 
         for i in range(len(key)):
-            near = np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= most
+            near = np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= bits
             near &= np.minimum(size[i], size[i + 1 :]) >= share * np.maximum(size[i], size[i + 1 :])
             near &= (mine[i] != mine[i + 1 :]) | (t["lo"][0] == t["hi"][0])
             for j in (np.flatnonzero(near) + i + 1).tolist():
@@ -297,47 +323,60 @@ def rest_alike(members: DataFrame, sets: DataFrame, most: int, share: float) ->
     return dealt.groupBy("kind", "run", "lo", "hi").applyInArrow(lambda t: met(t), "a long, b long")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, share: float = 0.8, nearest: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, share: float = 0.8, nearest: int = 3, bands: int = BANDS) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the smallest doc_id, nulls last, then text hash.
 
-    Texts link if their fingerprints lie at `most` or fewer bits and they have `share` or more of all their distinct
-    shingles in common (Jaccard); groups are the components. First each fingerprint's `nearest` partners under a key are
-    compared, by one text of each fingerprint, so no group emits all its pairs. Where a fingerprint has more
-    partners, or texts of one fingerprint don't link, and the texts in question are of different components still,
-    rest_alike compares the rest: `nearest` bears on the time alone, no link is lost.
+    Texts link if they have `share` or more of all their distinct shingles in common (Jaccard) and either their
+    fingerprints lie at `most` or fewer bits or they share one of `bands` bands; groups are the components. Bits alone find
+    a third of the pairs at 0.8, as such texts differ in ten bits or so; a band is missed by 2 in 1,000 pairs. First each
+    fingerprint's `nearest` partners under a key, by one text of each fingerprint, and the first text of each band are
+    compared, so no group emits all its pairs. Where a fingerprint has more partners, or texts of one fingerprint or band
+    don't link, and the texts in question are of different components still, rest_alike compares the rest: `nearest` bears
+    on the time alone, no link is lost.
 
     Of copies the row with the smallest doc_id stays; of rows with one doc_id and text any one. Null and empty texts are
     copies of each other. Rows with null or equal doc_ids fall only with their own text. An empty table gives no rows.
     All columns are kept, whatever their names.
     """
-    rows = materialise(fingerprints(docs, shingle), "fingerprints")
+    rows = materialise(fingerprints(docs, shingle, bands=bands), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")
-    texts = materialise(rows.groupBy("text_key", "fp").agg(first), "texts")
+    keys = [F.first("bands").alias("bands")] if bands else []
+    texts = materialise(rows.groupBy("text_key", "fp").agg(first, *keys), "texts")
     classes = texts.groupBy("fp").agg(F.min("text_key").alias("lead"))
     named = classes.select(F.col("fp").alias("__fp"), "lead")
     linked = materialise(links(classes, most, nearest=nearest), "links")
     pairs = linked.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     leads = pairs.join(named.select(F.col("__fp").alias("a"), F.col("lead").alias("x")), "a").join(named.select(F.col("__fp").alias("b"), F.col("lead").alias("y")), "b")
     same_fp = texts.join(classes, "fp").where("text_key <> lead").select(F.col("lead").alias("a"), F.col("text_key").alias("b"))
-    edges = materialise(leads.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same_fp), "candidates")
+    edges = leads.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same_fp)
+    if bands:
+        banded = texts.select(F.explode("bands").alias("u"), F.col("text_key").alias("v"))
+        met = banded.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = materialise(join_least(banded, met, texts.count() * bands), "bands")
+        edges = edges.unionByName(shared.where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")))
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialise(edges, "candidates")
     keyed = docs.withColumn("__text_key", text_key())
     ends = edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct()
     asked = keyed.select(F.col("__text_key").alias("text_key"), "text").join(ends, "text_key", "left_semi").dropDuplicates(["text_key"])
     sets = materialise(shingle_sets(asked, shingle), "shingles")
-    near = materialise(alike(edges, sets, share), "alike")
+    near = thinned(materialise(alike(edges, sets, share), "alike"))
     nodes = texts.select(F.col("text_key").alias("node"), F.col("text_key").alias("name"))
     groups = materialise(components(nodes, near), "groups")
 
-    # runs of fingerprints with partners left out: those of a key, and those around a fingerprint whose texts are apart
+    # runs with partners left out: fingerprints of a key, those around one whose texts are apart, texts of a band
     apart = F.min("component") < F.max("component")
     placed = texts.select("text_key", "fp").join(groups.withColumnRenamed("node", "text_key"), "text_key")
     split = placed.groupBy("fp").agg(apart.alias("apart")).where("apart").select(F.col("fp").alias("run"))
     around = pairs.select(F.col("a").alias("run"), F.col("b").alias("fp")).union(pairs.select("b", "a")).join(split, "run", "left_semi")
-    runs = linked.where("a = b").select(F.lit(0).alias("kind"), "run", F.col("a").alias("fp"))
-    runs = runs.union(around.select(F.lit(1), "run", "fp")).union(split.select(F.lit(1), "run", "run"))
-    members = materialise(runs.distinct().join(placed, "fp"), "members")
+    runs = linked.where("a = b").select(F.lit(BY_KEY).alias("kind"), "run", F.col("a").alias("fp"))
+    runs = runs.union(around.select(F.lit(BY_FINGERPRINT), "run", "fp")).union(split.select(F.lit(BY_FINGERPRINT), "run", "run"))
+    members = runs.distinct().join(placed, "fp").select("kind", "run", "text_key", "fp", "component")
+    if bands:
+        members = members.unionByName(shared.select(F.lit(BY_BAND).alias("kind"), F.col("u").alias("run"), F.col("v").alias("text_key")).join(placed, "text_key"))
+    members = materialise(members, "members")
     still = members.groupBy("kind", "run").agg(apart.alias("apart")).where("apart").select("kind", "run")
-    rest = materialise(rest_alike(members.join(still, ["kind", "run"], "left_semi"), sets, most, share), "rest")
+    rest = thinned(materialise(rest_alike(members.join(still, ["kind", "run"], "left_semi"), sets, most, share), "rest"))
     if not rest.isEmpty():
         # whole components are joined now, so only their names and the new pairs go through further rounds
         of = lambda node, name: groups.select(F.col("node").alias(node), F.col("component").alias(name))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from colloquy.llm import bradley_terry, elias_fano, html_extract, maxscore, mixing, ngram_lm, outliers, packing, pii, simhash, substring
+from colloquy.llm import bradley_terry, components, elias_fano, html_extract, maxscore, mixing, ngram_lm, outliers, packing, pii, simhash, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp string, score double, part int"
@@ -73,7 +73,7 @@ def test_simhash(docs, empty, texts):
                     name[i] = name[j] = min(name[i], name[j])
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fp[i]:016x}", name[i]) for i in fp}
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_one(docs.union(docs), shingle=4, most=4, share=0.0).count() == len(set(name.values()))
+    assert simhash.keep_one(docs.union(docs), shingle=4, most=4, share=0.0, bands=0).count() == len(set(name.values()))
 
 
 def test_keep_one_without_ids(spark):
@@ -87,8 +87,9 @@ def test_keep_one_without_ids(spark):
     assert all(i == rows[texts.index(t)][0] for i, t, _ in got)
 
 
-def test_keep_one_by_shingles(spark):
-    """Near copies in chains, at shares on both sides of 0.8, against all pairs."""
+@pytest.mark.parametrize("bands, bits", [(0, 7), (simhash.BANDS, 64)])
+def test_keep_one_by_shingles(spark, bands, bits):
+    """Near copies in chains, at shares on both sides of 0.8, against all pairs: those at 7 bits, and with bands all."""
     rng = np.random.default_rng(12)
     rows = []
     for base in range(12):
@@ -104,17 +105,60 @@ def test_keep_one_by_shingles(spark):
     for _ in range(12):  # the longest chain is shorter
         for i in range(len(rows)):
             for j in range(i):
-                if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 7 and share(sets[i], sets[j]) >= 0.8:
+                if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= bits and share(sets[i], sets[j]) >= 0.8:
                     up[i] = up[j] = min(up[i], up[j])
     best = {}
     for i, (n, t) in enumerate(rows):
         best[up[i]] = min(best.get(up[i], ((True, 0), "")), ((n is None, n or 0), t or "")) if up[i] in best else ((n is None, n or 0), t or "")
     kept = [t for _, t in best.values()]
-    got = simhash.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_key string")).collect()
+    got = simhash.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, text_key string"), bands=bands).collect()
     assert sorted(r.text or "" for r in got) == sorted(kept)
     assert 12 < len(got) < 90
 
 
+def test_keep_one_apart_in_bands(spark, monkeypatch):
+    """Groups that share bands and passages but not 0.8 stay apart, and each is joined through its bands alone."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 8)
+    rng = np.random.default_rng(33)
+    shared = [str(x) for x in rng.integers(0, 9999, 270)]
+    rows, group = [], []
+    for base in range(4):
+        own = shared + [f"b{base}x{i}" for i in range(60)]
+        for i in range(15):
+            w = list(own)
+            for _ in range(2):
+                w[int(rng.integers(0, len(w)))] = f"z{base}-{int(rng.integers(1000))}"
+            rows.append((len(rows), " ".join(w)))
+            group.append(base)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+    for _ in range(8):
+        for i in up:
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    up[i] = up[j] = min(up[i], up[j])
+    assert len(set(up)) < 30 and all(group[i] == group[u] for i, u in enumerate(up))
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), most=0, nearest=1).collect())
+    assert got == sorted(set(up))
+
+
+def test_thinned(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 400, (3000, 2)) * 2**40 if a != b]
+    for most in (64, 1 << 18):
+        got = [tuple(r) for r in components.thinned(spark.createDataFrame(rows, "a long, b long").repartition(5), most).collect()]
+        assert len(got) < len(rows)
+        parts = []
+        for pairs in (rows, got):
+            up = {x: x for p in rows for x in p}
+            for _ in range(30):
+                for a, b in pairs:
+                    up[a] = up[b] = min(up[a], up[b])
+            parts.append(up)
+        assert parts[0] == parts[1]
+    assert components.thinned(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("nearest", [1, 8])
 def test_keep_one_goes_through_the_rest(spark, monkeypatch, nearest):
     """Texts that lie near by bits with and without common shingles: no link is lost, however few partners come first."""
@@ -127,7 +171,7 @@ def test_keep_one_goes_through_the_rest(spark, monkeypatch, nearest):
             w[int(rng.integers(0, 120))] = f"y{i}"
         rows.append((i, " ".join(w), int(rng.integers(0, 8))))
     marks = [0b0, 0b1, 0b11, 0b111, 0b1000, 0b11000, 0b1 << 40, 0b11 << 50]
-    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", simhash.text_key().alias("text_key"), "fp"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle, bands: docs.select("doc_id", simhash.text_key().alias("text_key"), "fp"))
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 16)
     docs = spark.createDataFrame([(i, t, marks[m]) for i, t, m in rows], "doc_id long, text string, fp long")
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
@@ -137,7 +181,7 @@ def test_keep_one_goes_through_the_rest(spark, monkeypatch, nearest):
             for j in range(i):
                 if (marks[rows[i][2]] ^ marks[rows[j][2]]).bit_count() <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                     up[i] = up[j] = min(up[i], up[j])
-    got = sorted(r.doc_id for r in simhash.keep_one(docs, most=4, nearest=nearest).collect())
+    got = sorted(r.doc_id for r in simhash.keep_one(docs, most=4, nearest=nearest, bands=0).collect())
     assert got == sorted(set(up)) and 3 <= len(got) < 90
 
 

@@ -3,12 +3,34 @@
 import collections
 
 import corpus_pipeline
-from colloquy.llm import outliers, simhash
+from colloquy.llm import outliers
 from colloquy.llm.tables import materialise
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_near_duplicates_found(spark):
+    """The near-duplicate stage against all pairs of sf0.01 that share 0.8 of their five-word shingles; prints its recall."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: shingles(r.text, 5) for r in docs.collect()}
+    size = sorted((len(x), i) for i, x in rows.items())
+    pairs = []
+    for k, (n, i) in enumerate(size):
+        for m, j in size[k + 1 :]:
+            if n < 0.8 * m:
+                break
+            if len(rows[i] & rows[j]) >= 0.8 * len(rows[i] | rows[j]):
+                pairs.append((i, j))
+    name = {i: i for i in rows}
+    for _ in range(20):
+        for i, j in pairs:
+            name[i] = name[j] = min(name[i], name[j])
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    gone, should = set(rows) - kept, set(rows) - set(name.values())
+    print(f"near-duplicates found: {len(gone & should)} of {len(should)}, others dropped: {len(gone - should)}")
+    assert len(gone & should) >= 0.95 * len(should) and not gone - should
+
+
 def shingles(text, k):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -49,9 +71,8 @@ def test_stages(spark):
         if name == "simhash_near_dedup":
             # five words and 0.8, as for every stage on word shingles; the query of operator 8 has four words and bits
             rows = sorted((r.doc_id, shingles(r.text, 5)) for r in before.collect())
-            fps = {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(before, 5).collect()}
             name = {i: i for i, _ in rows}
-            near = [(i, j) for i, a in rows for j, b in rows if i < j and (fps[i] ^ fps[j]).bit_count() <= 7 and len(a & b) >= 0.8 * len(a | b)]
+            near = [(i, j) for i, a in rows for j, b in rows if i < j and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)]
             for _ in range(20):
                 for i, j in near:
                     name[i] = name[j] = min(name[i], name[j])

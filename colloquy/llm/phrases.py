@@ -23,7 +23,7 @@ _NEXT = np.uint64(0xA24BAED4963EE407)
 _GAP, _CUT = np.zeros(256, bool), np.zeros(256, bool)
 _GAP[[0x20, 0x09]] = True
 _CUT[list(b".,;:!?\n\x0b\x0c\r")] = True
-_ROWS = "lang string, size int, phrase string, n long"
+_HASHED, _ROWS = "size int, h long, n long", "lang string, size int, phrase string, n long"
 
 
 class All:
@@ -41,24 +41,11 @@ def lang_hashes(langs: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, 7) for x in langs], np.uint64)
 
 
-def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """The hashes that `mined` gives to these phrases."""
-    own = [p.encode().split(b" ") for p in phrases]
-    n = np.array([len(x) for x in own], np.int64)
-    first = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-    word = mix64(terms.hashes(pa.array([w for x in own for w in x], pa.large_binary())) + np.repeat(lang_hashes(langs), n))
-    h = word[first] if len(n) else word
-    for k in range(1, int(n.max()) if len(n) else 0):
-        more = np.flatnonzero(n > k)
-        h[more] = mix64(h[more] * _NEXT + word[first[more] + k])
-    return h
-
-
-def mined(texts: list[bytes], lang: np.ndarray, lang_hash: np.ndarray, filters: list[dict], most: int) -> Iterator[tuple[int, np.ndarray, list[pa.Array], np.ndarray]]:
-    """(size, lang, words, n) of the phrases of texts that the last of `filters` counts and none before it does.
+def mined(texts: list[bytes], lang: np.ndarray, lang_hash: np.ndarray, filters: list[dict], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, terms.Runs, np.ndarray]]:
+    """(size, hashes, first places, words, n) of the phrases of texts that the last of `filters` counts and none before it does.
 
     A phrase of one word is counted with the first filters. A longer one is counted if its two longest parts, without its
-    last and without its first word, are counted and pass. Size 0 tells the number of words.
+    last and without its first word, are counted and pass.
     """
     data, bounds = terms.joined(texts)
     data = _LOWER[data]
@@ -66,15 +53,13 @@ def mined(texts: list[bytes], lang: np.ndarray, lang_hash: np.ndarray, filters:
     w = terms.runs(data, bounds, ~(_GAP[data] | cut))
     if not len(w.ids):
         return
-    cuts = np.cumsum(cut)[w.start]
+    cuts = np.cumsum(cut, dtype=np.int32 if len(cut) < 1 << 31 else np.int64)[w.start]
     follows = np.concatenate([[False], (cuts[1:] == cuts[:-1]) & (w.doc[1:] == w.doc[:-1])])
     lang = lang[w.doc]
-    _, at, inverse, n = np.unique(lang * len(w.terms) + w.ids, return_index=True, return_inverse=True, return_counts=True)
+    at, inverse, n = terms.numbered(lang * len(w.terms) + w.ids)
     h = mix64(terms.hashes(w.terms)[w.ids[at]] + lang_hash[lang[at]])
     if len(filters) == 1:
-        some, words = np.unique(lang, return_counts=True)
-        yield 0, some, [], words
-        yield 1, lang[at], [w.terms.take(pa.array(w.ids[at]))], n
+        yield 1, h, at, w, n
     word, word_hash = inverse, h
     good = [passed(f, 1, h) for f in filters]
     for size in range(2, most + 1):
@@ -83,73 +68,94 @@ def mined(texts: list[bytes], lang: np.ndarray, lang_hash: np.ndarray, filters:
         pos = np.flatnonzero(both & follows[1:] if size == 2 else both)
         if not len(pos):
             return
-        _, first, number, n = np.unique(inverse[pos] * len(h) + inverse[pos + 1], return_index=True, return_inverse=True, return_counts=True)
+        first, number, n = terms.numbered(inverse[pos] * len(h) + inverse[pos + 1])
         at = pos[first]
         left, right = inverse[at], inverse[at + 1]
         h = mix64(h[left] * _NEXT + word_hash[word[at + size - 1]])
         counted = [x[left] & x[right] for x in good]
         new = np.flatnonzero(~np.logical_or.reduce([*counted[:-1], np.zeros(len(at), bool)]))
-        yield size, lang[at[new]], [w.terms.take(pa.array(w.ids[at[new] + k])) for k in range(size)], n[new]
+        yield size, h[new], at[new], w, n[new]
         good = [x & passed(f, size, h) for x, f in zip(counted, filters)]
         inverse = np.full(len(w.ids), -1)
         inverse[pos] = number
 
 
+def by_lang(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    own = batch.column(0).dictionary_encode()
+    return own.dictionary.to_pylist(), own.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def count(docs: DataFrame, filters: list[dict], most: int, least: int, slice_bytes: int) -> DataFrame:
-    """lang, size, phrase and n of the phrases with n of `least` or more that the last of `filters` counts first, by size
-    0 the number of words. docs has lang and text."""
+    """size, h and n of the hashes of phrases with n of `least` or more that the last of `filters` counts first."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", slice_bytes):
-            own = batch.column(0).dictionary_encode()
-            langs = own.dictionary.to_pylist()
-            code = own.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            for size, lang, words, n in mined(texts, code, lang_hashes(langs), held.value, most):
-                phrase = pa.compute.binary_join_element_wise(*(x.cast(pa.large_string()) for x in words), pa.scalar(" ", pa.large_string())) if words else pa.array([""] * len(n))
-                columns = [own.dictionary.take(pa.array(lang)), pa.array(np.full(len(n), size, np.int32)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n"])
+            langs, code = by_lang(batch)
+            for size, h, _, _, n in mined(texts, code, lang_hashes(langs), held.value, most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["size", "h", "n"])
+
+    return docs.mapInArrow(told, _HASHED).groupBy("size", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
-    rows = in_small_batches(docs).mapInArrow(told, _ROWS)
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
 
+def spelled(docs: DataFrame, filters: dict, most: int, least: int, slice_bytes: int) -> DataFrame:
+    """lang, size, phrase and n of the phrases that pass the filters and occur `least` times or more, by size 0 the words of
+    each lang. Counted by the phrases themselves, so hashes that two phrases share do no harm."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
 
-def frequent(docs: DataFrame, most: int, least: int, sample: float = SAMPLE, sample_count: int = SAMPLE_COUNT, slice_bytes: int = 4 << 20, filter_bytes: int = bloom.MOST_BYTES) -> DataFrame:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text", slice_bytes):
+            langs, code = by_lang(batch)
+            names = pa.array(langs, pa.string())
+            for size, h, at, w, n in mined(texts, code, lang_hashes(langs), [held.value], most):
+                if size == 1:
+                    total = np.bincount(code[w.doc], minlength=len(langs))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs)), pa.array(total)], names=["lang", "size", "phrase", "n"])
+                ok = passed(held.value, size, h)
+                at = at[ok]
+                words = [w.terms.take(pa.array(w.ids[at + k])).cast(pa.large_string()) for k in range(size)]
+                phrase = pa.compute.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(code[w.doc[at]])), pa.array(np.full(len(at), size, np.int32)), phrase, pa.array(n[ok])], names=["lang", "size", "phrase", "n"])
+
+    return docs.mapInArrow(told, _ROWS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
+
+
+def frequent(docs: DataFrame, most: int, least: int, sample: float = SAMPLE, sample_count: int = SAMPLE_COUNT, slice_bytes: int = 2 << 20, filter_bytes: int = bloom.MOST_BYTES) -> DataFrame:
     """lang, size, phrase and n of all phrases of 1 to `most` words that occur `least` times or more, exactly; with size 0
     the words of each lang.
 
     Toivonen's mining. Phrases with sample_count occurrences in the sample are proposed. A full pass counts them and
     their negative border: the phrases not proposed whose longest parts all are, that is all words, all pairs of proposed
     words and so on. A border phrase that turns out frequent is a failure: what is known to be frequent has a new border
-    then, and another pass counts just that, until no failure is left. Phrases travel as Bloom filters of bounded size;
-    what these let through besides is counted too and changes nothing, as each phrase is counted in one pass over all texts. After pass k all phrases of k words are right, so there are `most` passes at most.
-    """
-    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-
-    def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return np.asarray(batch.column(1)), phrase_hashes(batch.column(0).to_pylist(), batch.column(2).to_pylist())
+    then, and another pass counts just that, until no failure is left. After pass k all phrases of k words are known, so
+    there are `most` passes at most.
 
+    These passes count by 64-bit hashes, and phrases travel as Bloom filters of bounded size; shared hashes and what filters
+    let through besides only add phrases that a last pass, which counts what is left by the phrases themselves, drops.
+    """
+    own = in_small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"))
+    hashed = lambda batch: (np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64))
+    inner = F.col("size") < most
     drawn = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < round(sample * (1 << 20)))
-    known = materialise(count(drawn, [{k: All() for k in range(1, most)}], most, sample_count, slice_bytes), "proposals").where(F.col("size").between(1, most - 1))
+    known = materialise(count(drawn, [{k: All() for k in range(1, most)}], most, sample_count, slice_bytes).where(inner), "proposals")
     filters, found = [], None
     for _ in range(most):
-        filters.append(bloom.build(known, hashed, filter_bytes))
+        filters.append(bloom.build(known.where(inner), hashed, filter_bytes))
         now = materialise(count(own, filters, most, least, slice_bytes), "phrases")
-        found = now if found is None else found.unionByName(now)
-        held = docs.sparkSession.sparkContext.broadcast(filters)
+        found = known = now if found is None else found.unionByName(now)
+        held = docs.sparkSession.sparkContext.broadcast(filters[-1])
 
         def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 size, h = hashed(batch)
                 out = np.ones(len(h), bool)
                 for k in np.unique(size):
-                    out[size == k] = ~passed(held.value[-1], int(k), h[size == k])
+                    out[size == k] = ~passed(held.value, int(k), h[size == k])
                 yield batch.filter(pa.array(out))
 
-        known = found.where(F.col("size").between(1, most - 1))
-        if now.where(F.col("size").between(1, most - 1)).mapInArrow(failed, _ROWS).isEmpty():
+        if now.where(inner).mapInArrow(failed, _HASHED).isEmpty():
             break
-    return found
+    return materialise(spelled(own, bloom.build(found, hashed, filter_bytes), most, least, slice_bytes), "spelled")
 
 
 def part(words: Column, start: Column | int, length: Column | int) -> Column:

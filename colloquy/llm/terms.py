@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 
@@ -36,7 +37,7 @@ def runs(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> Runs:
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
     encoded = binary(data[inside], end - start).dictionary_encode()
-    doc = np.searchsorted(bounds, start, "right") - 1
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(start, bounds)))
     return Runs(encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), start, doc)
 
 
@@ -60,6 +61,15 @@ def hashes(values: pa.Array) -> np.ndarray:
     return mix64(out)
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each distinct key's first occurrence, the number of each key among the distinct ones, and how often
+    each of these occurs; by a hash table, in the order of their first places."""
+    number, distinct = pd.factorize(keys)
+    first = np.empty(len(distinct), np.int64)
+    first[number[::-1]] = np.arange(len(keys))[::-1]
+    return first, number.astype(np.int64), np.bincount(number, minlength=len(distinct))
+
+
 def repeated(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (n[0] numbers), first[1], ...: places in ragged rows."""
     begin = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n

@@ -85,16 +85,13 @@ def test_border_failures(spark, rows):
         assert got == {p: n for p, n in f.items() if n >= 10} and found.where("size > 0").count() == len(got)
 
 
-def test_phrase_hashes():
-    """Hashes of written phrases are those that the passes give them: nothing is proposed in vain."""
-    langs, texts = ["en", "en", "de"], ["a", "a bb ccc", "a bb"]
-    h = phrases.phrase_hashes(langs, texts)
-    filters = [{k: bloom.Blocked(np.zeros(8, np.uint64)) for k in (1, 2)}]
-    seen = []
-    for f in filters[0].values():
-        f.test = lambda x: (seen.extend(x.tolist()), np.ones(len(x), bool))[1]
-    list(phrases.mined([b"a bb ccc", b"a bb"], np.array([0, 1]), phrases.lang_hashes(["en", "de"]), filters, 3))
-    assert h[0] in seen and h[2] in seen and len(phrases.phrase_hashes([], [])) == 0
+def test_last_pass_counts_phrases(spark, rows):
+    """Filters that let all phrases through, as if all hashes were shared, leave the counts as they are."""
+    every = {k: phrases.All() for k in (1, 2, 3)}
+    own = frame(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "text")
+    found = [tuple(r) for r in phrases.spelled(own, every, 3, 10, 700).collect()]
+    want = [tuple(r) for r in phrases.frequent(frame(spark, rows), 3, 10).collect()]
+    assert sorted(found) == sorted(want) and len(want) > 50
 
 
 def words_of(rows, shortest=7, least=2):

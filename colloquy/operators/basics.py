@@ -50,13 +50,17 @@ def canon_model(name: Column, families: tuple = MODEL_FAMILIES) -> Column:
 
 
 def naming_style(name: Column) -> Column:
-    """snake_case, flatcase, PascalCase, camelCase or UPPER_SNAKE of a name without outer underscores; else null."""
-    n = F.regexp_replace(name, "^_+|_+$", "")
-    styles = [("^[^A-Z]*[a-z][^A-Z]*$", True, "snake_case"), ("^[a-z]+$", False, "flatcase"), ("^[A-Z][a-z]+$", False, "PascalCase"), ("^[a-z].*[A-Z]", False, "camelCase"), ("^[^a-z]*[A-Z][^a-z]*$", True, "UPPER_SNAKE"), ("^[A-Z].*[A-Z]", False, "PascalCase")]
-    out = F.lit(None).cast("string")
-    for pattern, joined, style in reversed(styles):
-        out = F.when(n.rlike(pattern) & (F.contains(n, F.lit("_")) if joined else F.lit(True)), style).otherwise(out)
-    return F.when(F.length(name) >= 2, out)
+    """snake_case, flatcase, PascalCase, camelCase or UPPER_SNAKE of a name of two characters or more; else null.
+
+    Decided by the name's shape, in which a run of capitals is A, of small letters a, of underscores _ and of others 0;
+    outer underscores do not count.
+    """
+    shape = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z_]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A"), F.lit("_"))
+    capitals = F.length(F.regexp_replace(name, "[^A-Z]", ""))
+    joined, small = F.contains(shape, F.lit("_")), F.contains(shape, F.lit("a"))
+    style = F.when(joined & small & (capitals == 0), "snake_case").when(joined & ~small & (capitals > 0), "UPPER_SNAKE").when(shape == "a", "flatcase")
+    style = style.when(F.startswith(shape, F.lit("a")) & (capitals > 0), "camelCase").when(F.startswith(shape, F.lit("A")) & ((capitals > 1) | (shape == "Aa")), "PascalCase")
+    return F.when(F.length(name) >= 2, style)
 
 
 def winsorize(value: Column, most: int) -> Column:

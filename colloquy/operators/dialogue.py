@@ -155,6 +155,12 @@ def task_of(text: Column, usage: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0)) == 0, "闲聊/纯对话").when(best["score"] == 0, "综合协作").otherwise(best["task"])
 
 
+def says(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text's plain words hold one of the phrases."""
+    plain = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(rules.PLAIN_WORD), F.lit(0)), " "), F.lit(" "))
+    return plain.rlike(rules.spoken(phrases))
+
+
 def knowledge(messages: DataFrame) -> DataFrame:
     """Values, corrections, approved approaches and references in user messages; one of each opening of 80 characters."""
     w = Window.partitionBy("session_id").orderBy("seq")
@@ -163,9 +169,9 @@ def knowledge(messages: DataFrame) -> DataFrame:
     text = F.col("text")
     item = lambda kind, place, content: F.struct(F.lit(kind).alias("category"), F.lit(place).alias("place"), content.alias("content"))
     fixed = F.array_compact(F.array(
-        F.when(text.rlike(rules.VALUE), item("value", 0, F.substring(text, 1, 300))),
-        F.when(text.rlike(rules.CORRECTION), item("correction", 1, F.substring(text, 1, 300))),
-        F.when(text.rlike(rules.APPROVAL) & (F.coalesce("said", F.lit("")) != ""), item("pattern", 2, F.concat(F.lit("Approach approved: "), F.substring("said", 1, 200)))),
+        F.when(says(text, rules.PREFERENCES), item("value", 0, F.substring(text, 1, 300))),
+        F.when(says(text, rules.REFUSALS), item("correction", 1, F.substring(text, 1, 300))),
+        F.when(says(text, rules.PRAISES) & (F.coalesce("said", F.lit("")) != ""), item("pattern", 2, F.concat(F.lit("Approach approved: "), F.substring("said", 1, 200)))),
     ))
     links = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rules.URL), F.lit(0))), lambda x: item("reference", 3, F.concat(F.lit("URL mentioned: "), x)))
     rows = u.select("session_id", "seq", F.explode(F.concat(fixed, links)).alias("i")).select("session_id", "seq", "i.*")

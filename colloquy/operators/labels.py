@@ -30,8 +30,8 @@ def model_name(name: Column, aliases: dict[str, str] = MODEL_ALIASES, vendors: d
     A record tells its modelId. Folders before the name, and ports and notes behind it, are the route; addresses stay
     whole. Aliases replace names, vendors' versions are written alike.
     """
-    told = F.regexp_extract(name, r"^\s*\{.*?modelId['\"]\s*[:=]\s*['\"]([^'\"]+)", 1)
-    plain = F.regexp_replace(F.when(told != "", told).otherwise(F.trim(name)), r"^(?!http).*/|:(?!//).*$|\[.*$", "")
+    told = F.from_json(name, "modelId string", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})["modelId"]
+    plain = F.regexp_replace(F.when(F.startswith(F.ltrim(name), F.lit("{")) & (told != ""), told).otherwise(F.trim(name)), r"^(?!http).*/|:(?!//).*$|\[.*$", "")
     plain = F.trim(plain)
     key = F.lower(plain)
     known = F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), key)

@@ -37,43 +37,6 @@ def prepare_queries(queries: DataFrame, text: str = "text", most: int = 12) -> D
     return queries.withColumn("terms", tokens(F.col(text))).withColumn("reason", reason).withColumn("prefix", (F.size(terms) == 1) & F.element_at(F.concat(terms, F.array(F.lit(""))), 1).rlike("^[a-z0-9_]+$"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, positions, len) of every term of every row."""
-    t = docs.select(key, tokens(F.col(text)).alias("terms"))
-    rows = t.select(key, F.size("terms").alias("len"), F.posexplode("terms").alias("pos", "term"))
-    return rows.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
-
-
-def phrase_hits(docs: DataFrame, phrase: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tf, len): how often the phrase's terms stand together. A scan: tokens are compared in place."""
-    spark = docs.sparkSession
-    want = [r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(phrase)))).collect()]  # the query's own terms
-    if not want:
-        return docs.select(key, F.lit(0).alias("tf"), F.lit(0).alias("len")).where("false")
-    # each token between separators: a phrase is a run of them, and the lookahead lets runs share ends
-    joined = F.concat(F.lit("\x1f"), F.array_join(F.col("terms"), "\x1f\x1f"), F.lit("\x1f"))
-    target = "".join(f"\x1f{w}\x1f" for w in want)
-    d = docs.select(key, tokens(F.col(text)).alias("terms")).withColumn("line", joined)
-    d = d.where(F.contains("line", F.lit(target)))
-    pattern = f"(?=({target}))"
-    return d.select(key, F.size(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("tf"), F.size("terms").alias("len"))
-
-
-def bm25(hits: DataFrame, docs: DataFrame, text: str = "text", k: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Hits with their score; idf is floored at 1e-6, higher is better."""
-    stats = docs.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size(tokens(F.col(text)))).alias("avg_len"))
-    n = hits.agg(F.count(F.lit(1)).alias("n_hit"))
-    h = hits.crossJoin(F.broadcast(stats.crossJoin(n)))  # one row of figures
-    idf = F.greatest(F.log((F.col("n_all") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5)), F.lit(1e-6))
-    score = idf * F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return h.withColumn("score", score).drop("n_all", "avg_len", "n_hit")
-
-
-def fts_search(docs: DataFrame, phrase: str, limit: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    out = bm25(phrase_hits(docs, phrase, key, text), docs, text).select(key, "tf", F.round("score", 6).alias("score")).orderBy(F.desc("score"), key)
-    return out.limit(limit) if limit > 0 else out
-
-
 def page_with_total(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     """A page beside the total of all rows, counted in an aggregation of its own rather than in one window over all rows."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
@@ -92,10 +55,6 @@ def group_hits(hits: DataFrame, chat: str, ts: str, top: int = 10) -> DataFrame:
     return g.orderBy(F.desc("hits"), chat).limit(top)
 
 
-def suggestions(post: DataFrame, prefix: str, top: int = 10) -> DataFrame:
-    return post.where(F.startswith("term", F.lit(prefix))).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(top)
-
-
 def newest(rows: DataFrame, order: list[str], n: int, offset: int = 0) -> DataFrame:
     """The newest n rows, oldest first."""
     page = rows.orderBy(*[F.desc(c) for c in order]).offset(offset)

@@ -73,8 +73,13 @@ def session_rates(usage: DataFrame) -> DataFrame:
 
 
 def mean_rate(rate: Column) -> Column:
-    """Plain mean of rates in (0, 1]; a missing and a zero rate count for nothing."""
-    return F.round(F.avg(F.when((rate > 0) & (rate <= 1), rate)), 4)
+    """Plain mean of rates in (0, 1]; a missing and a zero rate count for nothing.
+
+    Rates have four digits, so they are summed as whole ten-thousandths: the mean, ties up, depends on no order.
+    """
+    parts = F.when((rate > 0) & (rate <= 1), F.round(rate * 10000).cast("long"))
+    n = F.count(parts)
+    return F.when(n > 0, F.floor((2 * F.sum(parts) + n) / (2 * F.greatest(n, F.lit(1)))) / 10000)
 
 
 def cache_tables(rates: DataFrame, group: Column, least: int = 3) -> DataFrame:

@@ -117,13 +117,18 @@ def _task_sql() -> str:
 
 
 register("u7_classify_task", _tasks, _task_sql())
-_PAT = {k: getattr(rules, k).replace("'", "''") for k in ("VALUE", "CORRECTION", "APPROVAL", "URL")}
+
+
+def _says(phrases: tuple[str, ...]) -> str:
+    return f"regexp_matches(' ' || array_to_string(regexp_extract_all(lower(text), {_q(rules.PLAIN_WORD)}), ' ') || ' ', {_q(rules.spoken(phrases))})"
+
+
 register("u9_extract_knowledge", lambda t: op.knowledge(t.v_messages), f"""
 WITH m AS (SELECT *, last_value(CASE WHEN role = 'ASSISTANT' THEN substring(text, 1, 500) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said FROM v_messages), u AS (SELECT * FROM m WHERE role = 'USER' AND length(text) >= 5),
-i AS (SELECT session_id, seq, 'value' AS category, 0 AS place, substring(text, 1, 300) AS content FROM u WHERE regexp_matches(text, '{_PAT["VALUE"]}')
-UNION ALL SELECT session_id, seq, 'correction', 1, substring(text, 1, 300) FROM u WHERE regexp_matches(text, '{_PAT["CORRECTION"]}')
-UNION ALL SELECT session_id, seq, 'pattern', 2, 'Approach approved: ' || substring(said, 1, 200) FROM u WHERE regexp_matches(text, '{_PAT["APPROVAL"]}') AND coalesce(said, '') <> ''
-UNION ALL SELECT session_id, seq, 'reference', 3, 'URL mentioned: ' || unnest(list_distinct(regexp_extract_all(text, '{_PAT["URL"]}'))) FROM u)
+i AS (SELECT session_id, seq, 'value' AS category, 0 AS place, substring(text, 1, 300) AS content FROM u WHERE {_says(rules.PREFERENCES)}
+UNION ALL SELECT session_id, seq, 'correction', 1, substring(text, 1, 300) FROM u WHERE {_says(rules.REFUSALS)}
+UNION ALL SELECT session_id, seq, 'pattern', 2, 'Approach approved: ' || substring(said, 1, 200) FROM u WHERE {_says(rules.PRAISES)} AND coalesce(said, '') <> ''
+UNION ALL SELECT session_id, seq, 'reference', 3, 'URL mentioned: ' || unnest(list_distinct(regexp_extract_all(text, {_q(rules.URL)}))) FROM u)
 SELECT session_id, category, seq, substring(content, 1, 80) AS opening FROM i QUALIFY row_number() OVER (PARTITION BY session_id, substring(content, 1, 80) ORDER BY place, seq) = 1""")
 register("w2_segment_session", lambda t: op.segment_sessions(t.v_messages), f"""
 SELECT session_id, segment, start, messages FROM (WITH RECURSIVE n AS (SELECT session_id, (row_number() OVER w) - 1 AS i, {_WORDS} AS own, epoch(ts) - epoch(lag(ts) OVER w) AS since FROM v_messages WINDOW w AS (PARTITION BY session_id ORDER BY seq)),

@@ -71,12 +71,12 @@ SELECT agent, round(sum(errors) / sum(tool_calls), 4) AS error_rate, round(avg(m
 register("b14_filters", lambda t: ba.only(t.v_sessions, agent="agent_1", project="_3").select("session_id", "agent", "project"), "SELECT session_id, agent, project FROM v_sessions WHERE agent = 'agent_1' AND project LIKE '%\\_3%' ESCAPE '\\'")
 register("b13_time_window", lambda t: ba.only(t.v_sessions, since="2024-01-20").select("session_id", "created"), "SELECT session_id, created FROM v_sessions WHERE created >= TIMESTAMP '2024-01-20'")
 register("b3_drop_noise_types", lambda t: ba.without(t.events, "event_type", ("click", "view")).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'view')")
-register("b8_to_int_safe", lambda t: t.events.select("event_id", ba.to_int_safe(F.get_json_object("props", "$.k")).alias("k"), ba.to_int_safe(F.col("event_type")).alias("none")), """SELECT event_id, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k, 0::BIGINT AS none FROM events""")
+register("b8_to_int_safe", lambda t: t.events.select("event_id", ba.to_int_safe(F.get_json_object("props", "$.k")).alias("k"), ba.to_int_safe(F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, F.concat("user_id", F.lit(".75"))).otherwise(F.concat(F.lit(" -"), "event_id"))).alias("part")), """SELECT event_id, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k, coalesce(trunc(TRY_CAST(CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN user_id || '.75' ELSE ' -' || event_id END AS DOUBLE))::BIGINT, 0) AS part FROM events""")
 register("b7_normalize_ts", lambda t: t.events.select("event_id", F.coalesce(F.when(F.col("event_id") % 2 == 0, F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")))), F.try_to_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))).cast("timestamp_ntz").alias("at")), "SELECT event_id, date_trunc('millisecond', ts) AS at FROM events")
 register("b24_relevant_tool", lambda t: ba.without(t.v_tool_calls, "name", ("tool_0",), "internal_").groupBy("name").agg(F.count(F.lit(1)).alias("n")), "SELECT name, count(*) AS n FROM v_tool_calls WHERE name <> 'tool_0' AND NOT starts_with(name, 'internal_') GROUP BY name")
 register("b21_label_msg_type", lambda t: t.events.select("event_id", F.shiftright("event_id", 3).alias("sub"), ba.message_kind(F.col("event_id").bitwiseAND(F.lit(0xFFFF)) % 50).alias("label")), "SELECT event_id, event_id >> 3 AS sub, CASE (event_id & 65535) % 50 WHEN 1 THEN 'text' WHEN 3 THEN 'image' WHEN 34 THEN 'voice' WHEN 43 THEN 'video' WHEN 47 THEN 'sticker' WHEN 49 THEN 'link' ELSE 'other' END AS label FROM events")
 register("s8_list_sessions", lambda t: ba.newest(t.v_sessions, "modified", "session_id", 20).select("session_id", "created", "modified", "messages"), "SELECT session_id, created, modified, messages FROM v_sessions ORDER BY modified DESC, session_id LIMIT 20")
-register("s18_dedup_by_path", lambda t: ba.first_listing([t.v_sessions, t.v_sessions.where("errors > 0")], "session_id"), "SELECT session_id, 1 AS listing FROM v_sessions")
+register("s18_dedup_by_path", lambda t: ba.first_listing([t.v_sessions.where("errors > 2"), t.v_sessions.where("messages > 20"), t.v_sessions.where("agent <> 'agent_1'")], "session_id"), "SELECT session_id, CASE WHEN errors > 2 THEN 1 WHEN messages > 20 THEN 2 ELSE 3 END AS listing FROM v_sessions WHERE errors > 2 OR messages > 20 OR agent <> 'agent_1'")
 register("p2_prune", lambda t: ba.orphans(t.v_sessions, t.v_tool_calls.where("dd <= 20"), "session_id"), "SELECT session_id FROM v_sessions WHERE session_id NOT IN (SELECT session_id FROM v_tool_calls WHERE dd <= 20)")
 register("p9_freshness", lambda t: ba.freshness(t.v_sessions, "agent", "modified", "2024-01-30"), "SELECT agent, max(modified) AS newest, max(modified) <= TIMESTAMP '2024-01-30' - INTERVAL 24 HOURS AS stale FROM v_sessions GROUP BY agent")
 register("p8_hourly_error_rate", lambda t: t.v_tool_calls.groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "name").agg(F.count(F.lit(1)).alias("calls"), op.rate(F.count_if(op.is_error()), F.count(F.lit(1))).alias("error_rate")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, name, count(*) AS calls, round(count(*) FILTER (status = 'error') / count(*), 4) AS error_rate FROM v_tool_calls GROUP BY ALL")

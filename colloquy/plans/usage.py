@@ -36,13 +36,15 @@ s AS (SELECT root, bool_or(child) AS child, bool_or(below > own) AS over, sum(ow
 k AS (SELECT *, CASE WHEN NOT child THEN 'standalone' WHEN over THEN 'separate' ELSE 'rollup' END AS accounting FROM s)
 SELECT root, accounting, CASE WHEN accounting = 'rollup' THEN net ELSE own END AS parent_input, below AS children_input FROM k""")
 _S = f"s AS (SELECT session_id, max(model) AS model, {_LEGS} FROM v_usage GROUP BY session_id), r AS (SELECT *, {_rate('cache_read_tokens', 'input_tokens')} AS rate FROM s)"
+_PARTS = "CASE WHEN rate > 0 AND rate <= 1 THEN round(rate * 10000)::BIGINT END"
+_MEAN = f"CASE WHEN count({_PARTS}) > 0 THEN ((2 * sum({_PARTS}) + count({_PARTS})) // (2 * count({_PARTS}))) / 10000 END"
 register("d9_cache_hit_rate", lambda t: op.session_rates(t.v_usage).select("session_id", "rate"), f"WITH {_S} SELECT session_id, rate FROM r")
-register("d10_mean_rate", lambda t: op.session_rates(t.v_usage).groupBy("model").agg(op.mean_rate(F.col("rate")).alias("mean_rate")), f"WITH {_S} SELECT model, round(avg(CASE WHEN rate > 0 AND rate <= 1 THEN rate END), 4) AS mean_rate FROM r GROUP BY model")
+register("d10_mean_rate", lambda t: op.session_rates(t.v_usage).groupBy("model").agg(op.mean_rate(F.col("rate")).alias("mean_rate")), f"WITH {_S} SELECT model, {_MEAN} AS mean_rate FROM r GROUP BY model")
 register("d11_cache_tables", lambda t: op.cache_tables(op.session_rates(t.v_usage), F.col("session_id") % 7), f"""
-WITH {_S} SELECT session_id % 7 AS grp, model, count(*) FILTER (rate > 0) AS eligible, count(*) FILTER (rate = 0) AS zero, count(*) FILTER (rate IS NULL) AS no_rate, round(avg(CASE WHEN rate > 0 AND rate <= 1 THEN rate END), 4) AS mean_rate
+WITH {_S} SELECT session_id % 7 AS grp, model, count(*) FILTER (rate > 0) AS eligible, count(*) FILTER (rate = 0) AS zero, count(*) FILTER (rate IS NULL) AS no_rate, {_MEAN} AS mean_rate
 FROM r GROUP BY GROUPING SETS ((session_id % 7), (session_id % 7, model), ()) HAVING count(*) FILTER (rate > 0) >= 3""")
 register("d12_cache_audit", lambda t: op.cache_audit(op.session_rates(t.v_usage)), f"""
-WITH {_S}, a AS (SELECT model, count(*) AS sessions, round(avg(CASE WHEN rate > 0 AND rate <= 1 THEN rate END), 4) AS mean_rate, {_RATE.format(r='sum(cache_read_tokens)', b='sum(input_tokens)')} AS weighted_rate, count(*) FILTER (rate = 0) AS zero, count(*) FILTER (rate IS NULL) AS missing FROM r GROUP BY model)
+WITH {_S}, a AS (SELECT model, count(*) AS sessions, {_MEAN} AS mean_rate, {_RATE.format(r='sum(cache_read_tokens)', b='sum(input_tokens)')} AS weighted_rate, count(*) FILTER (rate = 0) AS zero, count(*) FILTER (rate IS NULL) AS missing FROM r GROUP BY model)
 SELECT *, CASE WHEN weighted_rate >= 0.8 THEN 'A' WHEN weighted_rate >= 0.5 THEN 'B' WHEN weighted_rate >= 0.2 THEN 'C' ELSE 'D' END AS grade FROM a""")
 register("d13_filter_cache_models", lambda t: op.session_rates(t.v_usage).groupBy("model").agg(F.count(F.lit(1)).alias("sessions"), F.sum("cache_read_tokens").alias("cached")).where("sessions >= 3 AND cached > 0"), f"WITH {_S} SELECT model, count(*) AS sessions, sum(cache_read_tokens)::BIGINT AS cached FROM r GROUP BY model HAVING count(*) >= 3 AND sum(cache_read_tokens) > 0")
 register("d14_rate_by_session", lambda t: t.v_usage.withColumn("rate", op.cache_rate(F.col("cache_read_tokens"), F.col("input_tokens"))).groupBy("session_id").agg(F.round(F.avg("rate") + 1e-9, 4).alias("mean_rate"), F.count(F.lit(1)).alias("calls")), f"SELECT session_id, round(avg({_rate('cache_read_tokens', 'input_tokens')}) + 1e-9, 4) AS mean_rate, count(*) AS calls FROM v_usage GROUP BY session_id")
@@ -52,8 +54,12 @@ WITH m AS (SELECT strftime(ts, '%Y-%m') AS month, model, sum(input_tokens + outp
 register("b18_winsorize", lambda t: t.v_usage.groupBy("session_id").agg(F.sum("input_tokens").alias("n")).select("session_id", ba.winsorize(F.col("n"), 20000).alias("shown")), "SELECT session_id, CASE WHEN sum(input_tokens) <= 0 THEN 0 ELSE least(sum(input_tokens), 20000) END::BIGINT AS shown FROM v_usage GROUP BY session_id")
 register("b20_estimate_cost", lambda t: t.v_usage.groupBy("session_id").agg(ba.cost(F.sum("input_tokens"), F.sum("output_tokens"), 3, 15).alias("usd")), "SELECT session_id, round((sum(input_tokens) * 3 + sum(output_tokens) * 15) / 1e6, 6) AS usd FROM v_usage GROUP BY session_id")
 _RAW_MODELS = ("LongCat-2.5-x", "longcat", "route/longcat-2.0", "GLM-5.3-Flash", "glm-5.3-flashx", "deepseek-chat", "deepseek-reasoner", "DeepSeek-V4", "deepseek-4.1", "gemini-3.8", "gemini-argon", "gemini-pro", "claude-3-7-sonnet", "claude-3-5-haiku", "claude-opus-4", "claude-x", "other-1", "")
-_FAMILIES = ("LongCat-2.5-Preview", "LongCat", "LongCat-2.0", "GLM-5.3-Flash", "glm-5.3-flashx", "DeepSeek-V3", "DeepSeek-R1", "DeepSeek-V4-Flash", "DeepSeek-V4.1-Flash", "Gemini 3.8 Flash", "Gemini 4 Argon", "Gemini", "Claude 3.7 Sonnet", "Claude 3.5 Haiku", "Claude Opus", "Claude", "other-1", "unknown")
-register("b10_canon_model", lambda t: t.v_usage.groupBy(ba.canon_model(F.element_at(F.array(*[F.lit(x) for x in _RAW_MODELS]), (F.col("session_id") % 18 + 1).cast("int"))).alias("family")).agg(F.count(F.lit(1)).alias("n")), f"SELECT list_extract({list(_FAMILIES)}, (session_id % 18 + 1)::INT) AS family, count(*) AS n FROM v_usage GROUP BY 1")
+_FAMILY_ROWS = ", ".join(f"({i}, '{family}', {list(held)}, {list(lacking)}::VARCHAR[])" for i, (family, held, lacking) in enumerate(ba.MODEL_FAMILIES))
+register("b10_canon_model", lambda t: t.v_usage.groupBy(ba.canon_model(F.concat(F.element_at(F.array(*[F.lit(x) for x in _RAW_MODELS]), (F.col("session_id") % 18 + 1).cast("int")), F.when(F.col("request_seq") % 3 == 0, F.concat(F.lit("-"), F.lower("model"))).otherwise(""))).alias("family")).agg(F.count(F.lit(1)).alias("n")), f"""
+WITH f(place, family, held, lacking) AS (VALUES {_FAMILY_ROWS}),
+names AS (SELECT trim(list_extract({list(_RAW_MODELS)}, (session_id % 18 + 1)::INT) || CASE WHEN request_seq % 3 = 0 THEN '-' || lower(model) ELSE '' END) AS name, count(*) AS n FROM v_usage GROUP BY 1),
+fits AS (SELECT name, arg_min(family, place) AS family FROM names, f WHERE list_bool_and(list_transform(held, lambda w: contains(lower(name), w))) AND NOT coalesce(list_bool_or(list_transform(lacking, lambda w: contains(lower(name), w))), false) GROUP BY name)
+SELECT CASE WHEN name = '' THEN 'unknown' ELSE coalesce(family, name) END AS family, sum(n)::BIGINT AS n FROM names LEFT JOIN fits USING (name) GROUP BY 1""")
 register("h1_hotspots", lambda t: op.hotspots(t.v_commits, t.v_commit_files), "SELECT path, count(*) AS commits, count(DISTINCT author) AS authors, min(ts) AS first, max(ts) AS last FROM (SELECT DISTINCT hash, path FROM v_commit_files) JOIN v_commits USING (hash) GROUP BY path ORDER BY commits DESC, path LIMIT 20")
 register("h2_commit_frequency", lambda t: op.commit_frequency(t.v_commits, t.v_commit_files), "SELECT strftime(ts, '%Y-%W') AS week, count(*) AS commits, sum(coalesce(files, 0))::BIGINT AS changes, count(DISTINCT author) AS authors FROM v_commits LEFT JOIN (SELECT hash, count(DISTINCT path) AS files FROM v_commit_files GROUP BY hash) USING (hash) GROUP BY 1")
 register("h3_author_distribution", lambda t: t.v_commits.groupBy("author").agg(F.count_distinct(F.concat(F.year("ts").cast("string"), F.lit("-"), F.lpad(op.sunday_week(F.col("ts")).cast("string"), 2, "0"))).alias("weeks"), F.count(F.lit(1)).alias("commits")), "SELECT author, count(DISTINCT strftime(ts, '%Y-%W')) AS weeks, count(*) AS commits FROM v_commits GROUP BY author")
@@ -87,6 +93,12 @@ def _styled():
     return F.when(k == 0, F.concat(F.lit("_x_"), snake)).when(k == 1, F.regexp_replace(words, "[^a-z]", "")).when(k == 2, pascal).when(k == 3, camel).when(k == 4, F.upper(F.concat(F.lit("x_"), snake))).when(k == 5, F.initcap(F.regexp_replace(words, "[^a-z]", ""))).otherwise("1")
 
 
-register("b22_naming_style", lambda t: t.part.select("p_partkey", ba.naming_style(_styled()).alias("style")), "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'snake_case' WHEN 1 THEN 'flatcase' WHEN 2 THEN CASE WHEN contains(p_name, ' ') THEN 'PascalCase' ELSE 'PascalCase' END WHEN 3 THEN CASE WHEN contains(p_name, ' ') THEN 'camelCase' ELSE 'flatcase' END WHEN 4 THEN 'UPPER_SNAKE' WHEN 5 THEN 'PascalCase' END AS style FROM part")
+_NAMED = """
+WITH w AS (SELECT p_partkey, p_partkey % 7 AS k, lower(p_name) AS l, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS flat, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda x: upper(x[1]) || x[2:]), '') AS pascal FROM part),
+n AS (SELECT p_partkey, CASE k WHEN 0 THEN '_x_' || replace(l, ' ', '_') WHEN 1 THEN flat WHEN 2 THEN pascal WHEN 3 THEN lower(pascal[1]) || pascal[2:] WHEN 4 THEN upper('x_' || replace(l, ' ', '_')) WHEN 5 THEN upper(flat[1]) || flat[2:] ELSE '1' END AS name FROM w),
+s AS (SELECT p_partkey, name, trim(name, '_') AS core, len(regexp_replace(name, '[^A-Z]', '', 'g')) AS capitals, len(regexp_replace(name, '[^a-z]', '', 'g')) AS smalls FROM n)"""
+register("b22_naming_style", lambda t: t.part.select("p_partkey", ba.naming_style(_styled()).alias("style")), f"""{_NAMED}
+SELECT p_partkey, CASE WHEN len(name) < 2 THEN NULL WHEN contains(core, '_') AND capitals = 0 AND smalls > 0 THEN 'snake_case' WHEN contains(core, '_') AND smalls = 0 AND capitals > 0 THEN 'UPPER_SNAKE' WHEN smalls = len(core) AND smalls > 0 THEN 'flatcase'
+WHEN core[1] BETWEEN 'a' AND 'z' AND capitals > 0 THEN 'camelCase' WHEN core[1] BETWEEN 'A' AND 'Z' AND (capitals > 1 OR (capitals = 1 AND smalls > 0 AND smalls + 1 = len(core))) THEN 'PascalCase' END AS style FROM s""")
 register("a14_read_git_log", lambda t: t.v_commits.join(t.v_commit_files, "hash").groupBy("author").agg(F.count_distinct("hash").alias("commits"), F.count_distinct("path").alias("files")), "SELECT author, count(DISTINCT hash) AS commits, count(DISTINCT path) AS files FROM v_commits JOIN v_commit_files USING (hash) GROUP BY author")
 register("s15_merged_limit", lambda t: ba.newest(t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("ts")).unionByName(t.orders.where("o_orderkey % 2 = 1").select("o_orderkey", F.col("o_orderdate").alias("ts"))), "ts", "o_orderkey", 25), "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS ts FROM orders ORDER BY ts DESC NULLS LAST, o_orderkey LIMIT 25")

@@ -26,6 +26,7 @@ class Runs:
     ids: np.ndarray  #: the term of each run
     start: np.ndarray  #: first byte of each run
     doc: np.ndarray  #: the text of each run
+    easy: np.ndarray | None = None  #: a mark of each run, for callers
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> Runs:

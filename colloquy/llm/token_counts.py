@@ -22,7 +22,15 @@ HEAD_BYTES = 24 << 20
 #: Bytes that a held pre-token takes besides its own, about.
 ENTRY_BYTES = 100
 #: Most words whose pre-tokens a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+#: Kinds of bytes: white space, letters, digits, other marks, and those whose words are split one by one.
+_SPACES, _LETTERS, _DIGITS, _MARKS, _HARD = range(5)
+_KIND = np.full(256, _HARD, np.uint8)
+_KIND[0x21:0x7F] = _MARKS
+_KIND[_SPACE] = _SPACES
+_KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = _LETTERS
+_KIND[[*b"0123456789"]] = _DIGITS
+_KIND[[*b"'<"]] = _HARD
 
 
 class Pieces:
@@ -30,8 +38,8 @@ class Pieces:
 
     A text's tokens are those of its runs between ASCII white space, as the file drops white space and looks at no
     character beyond it; that is checked on hard texts when the file is loaded. Runs with a special token's string
-    are pre-tokens by themselves and go through the whole tokenizer. Runs of printable ASCII are split by a pattern of the
-    same meaning, where the file's own is the one that is expected, all others by the tokenizer.
+    are pre-tokens by themselves and go through the whole tokenizer. Runs of ASCII and Latin letters, digits and marks are
+    split where kinds of bytes change, if all pairs of such characters show that the file splits so; others by the tokenizer.
     """
 
     PROBES = (
@@ -39,23 +47,27 @@ class Pieces:
         "中文字符 日本語テキスト 한국어", "\U0001f600\U0001f469‍\U0001f52c!", "a b c　d\u0085e\x1cf\x00g\x7fh", "***$$$ %%% &&& ###|||",
         "<|endoftext|> x<|startoftext|>y <|EndOfText|> <|end oftext|>", "tab\there\r\nnew \x0b\x0c lines\n\n\n", "x" * 300 + " " * 50 + "y_z-w(q)\"`~^{}[]\\/", " ́ 가 q̣̇",
     )
-    #: Fixed value: how such files split lower-cased ASCII into pre-tokens.
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.seen: dict[str, list[str]] = {}
-        self.ascii = self.splits_ascii()
+        self.plain = self.splits_by_kind()
         for text in self.PROBES:
             if self.total(text) != len(self.tokenizer.encode(text, add_special_tokens=False).ids):
                 raise ValueError(f"{path}: tokens of a text are not those of its words")
 
-    def splits_ascii(self) -> bool:
-        every = [chr(a) + chr(b) for a in range(33, 127) for b in range(33, 127)] + ["it's", "we'll", "they've", "i'm", "you're", "he'd", "don't", "a'b", "''s", "'ll's"]
-        return all(self.by_library(x) == self.ASCII.findall(x.lower()) for x in every)
+    def splits_by_kind(self) -> bool:
+        """Whether pairs of characters that are not hard are split by kind alone."""
+        chars = [chr(x) for x in range(0x21, 0x100) if x < 0x7F and _KIND[x] != _HARD or x >= 0xC0 and x not in (0xD7, 0xF7)]
+        words = [x + y for x in chars for y in chars]
+        units = plain_units(*terms.joined([w.encode() for w in words]), True)
+        names = units.terms.cast(pa.large_string()).to_pylist()
+        own = [[] for _ in words]
+        for doc, i in zip(units.doc.tolist(), units.ids.tolist()):
+            own[doc].append(names[i])
+        return not any("<" in t or not t.isascii() for t in self.special if t[:1] != "<") and all(self.by_library(w) == x for w, x in zip(words, own))
 
     def by_library(self, word: str) -> list[str]:
         t = self.tokenizer
@@ -66,8 +78,6 @@ class Pieces:
         """The pre-tokens of a run without white space."""
         if any(s in word for s in self.special):
             return [word]
-        if self.ascii and word.isascii() and word.isprintable():
-            return self.ASCII.findall(word.lower())
         return self.by_library(word)
 
     def count(self, pre_token: str) -> int:
@@ -96,35 +106,65 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def frequencies(texts: list[bytes], split) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def plain_units(data: np.ndarray, bounds: np.ndarray, plain: bool) -> terms.Runs:
+    """The units of texts: pre-tokens of words of plain characters, in small letters, and whole words that hold a hard one."""
+    kind = _KIND[data]
+    pair = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # letters of U+00C0 to U+00FF
+    kind[pair] = kind[pair + 1] = _LETTERS
+    inside = kind != _SPACES
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    before = np.concatenate([[False], inside[:-1]])
+    word = np.flatnonzero(inside & (~before | edge[:-1]))
+    hard = np.logical_or.reduceat((kind == _HARD) | (not plain), word) if len(word) else np.zeros(0, bool)
+    easy = np.repeat(~hard, np.diff(np.append(word, len(data)))) if len(word) else np.zeros(0, bool)
+    easy = np.concatenate([np.zeros(len(data) - len(easy), bool), easy]) & inside
+    low = data.copy()
+    low[easy & (data >= 0x41) & (data <= 0x5A)] += 0x20
+    pair = pair[easy[pair] & (data[pair + 1] <= 0x9E)] + 1
+    low[pair] += 0x20
+    start = inside & (~before | edge[:-1])
+    start[1:] |= easy[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGITS))
+    at = np.flatnonzero(start)
+    size = np.add.reduceat(inside, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+    encoded = terms.binary(low[inside], size).dictionary_encode()
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(at, bounds)))
+    return terms.Runs(encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at, doc, easy[at])
+
+
+def frequencies(texts: list[bytes], split, plain: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pre-tokens of texts, and rows (text, pre-token, occurrences)."""
-    data, bounds = terms.joined(texts)
-    w = terms.runs(data, bounds, ~_SPACE[data])
+    w = plain_units(*terms.joined(texts), plain)
     if not len(w.ids):
-        return [], *(np.zeros(0, np.int64) for _ in range(3))
-    own = [split(x) for x in w.terms.cast(pa.large_string()).to_pylist()]
-    size = np.fromiter(map(len, own), np.int64, len(own))
-    flat = pa.array([p for x in own for p in x], pa.large_string()).dictionary_encode()
+        return pa.array([], pa.large_string()), *(np.zeros(0, np.int64) for _ in range(3))
+    easy = np.zeros(len(w.terms), bool)
+    easy[w.ids[w.easy]] = True  # a hard word and a plain unit are never the same bytes
+    own = w.terms.cast(pa.large_string())
+    hard = [split(x) for x in own.filter(pa.array(~easy)).to_pylist()]
+    size, begin = np.ones(len(easy), np.int64), np.zeros(len(easy), np.int64)
+    size[~easy] = np.fromiter(map(len, hard), np.int64, len(hard))
+    begin[easy] = np.arange(easy.sum())
+    begin[~easy] = easy.sum() + np.cumsum(size[~easy]) - size[~easy]
+    flat = pa.concat_arrays([own.filter(pa.array(easy)), pa.array([p for x in hard for p in x], pa.large_string())]).dictionary_encode()
     number = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    pair, n = np.unique(w.doc * len(own) + w.ids, return_counts=True)
-    doc, word = pair // len(own), pair % len(own)
-    key = np.repeat(doc, size[word]) * max(1, len(flat.dictionary)) + number[terms.repeated(first[word], size[word])]
-    key, inverse = np.unique(key, return_inverse=True)
-    total = np.zeros(len(key), np.int64)
-    np.add.at(total, inverse, np.repeat(n, size[word]))
-    return flat.dictionary.to_pylist(), key // max(1, len(flat.dictionary)), key % max(1, len(flat.dictionary)), total
+    names = max(1, len(flat.dictionary))
+    at, _, n = terms.numbered(w.doc * len(easy) + w.ids)
+    doc, unit = w.doc[at], w.ids[at]
+    key = np.repeat(doc, size[unit]) * names + number[terms.repeated(begin[unit], size[unit])]
+    first, inverse, _ = terms.numbered(key)
+    total = np.bincount(inverse, np.repeat(n, size[unit]), len(first)).astype(np.int64)
+    return flat.dictionary, key[first] // names, key[first] % names, total
 
 
 def vocabulary(docs: DataFrame, tokenizer: str, slice_bytes: int) -> DataFrame:
     """pre_token, n (occurrences in all texts) and pieces (its tokens), once for each distinct pre-token."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = pieces(tokenizer).remembered
+        split, plain = pieces(tokenizer).remembered, pieces(tokenizer).plain
         for _, texts in slices(batches, "text", slice_bytes):
-            names, _, number, n = frequencies(texts, split)
+            names, _, number, n = frequencies(texts, split, plain)
             total = np.bincount(number, n, len(names)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(total)], names=["pre_token", "n"])
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(total)], names=["pre_token", "n"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = pieces(tokenizer).count
@@ -167,18 +207,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, head_bytes
     held = docs.sparkSession.sparkContext.broadcast(held)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, frequent = pieces(tokenizer).remembered, held.value
+        split, plain, frequent = pieces(tokenizer).remembered, pieces(tokenizer).plain, held.value
         task, at = TaskContext.get().partitionId() << 40, 0
         for batch, texts in slices(batches, "text", slice_bytes):
-            names, doc, number, n = frequencies(texts, split)
-            each = np.array([frequent.get(p, -1) for p in names] or [0], np.int64)
+            names, doc, number, n = frequencies(texts, split, plain)
+            each = np.array([frequent.get(p, -1) for p in names.to_pylist()] or [0], np.int64)
             own = each[number]
             rare = np.flatnonzero(own < 0)
             total = np.zeros(len(texts), np.int64)
             np.add.at(total, doc, np.maximum(own, 0) * n)
             place = task + at + np.arange(len(texts))
             at += len(texts)
-            some = pa.array(names, pa.string()).take(pa.array(number[rare]))
+            some = names.take(pa.array(number[rare])).cast(pa.string())
             none = lambda kind, k: pa.nulls(k, kind)
             rows = [
                 pa.concat_arrays([pa.array(place), pa.array(place[doc[rare]])]),

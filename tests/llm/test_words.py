@@ -214,10 +214,16 @@ def test_token_counts(spark, head_bytes, slice_bytes):
 
 
 def test_token_counts_of_random_words():
-    """The library's count of any string is the sum over its words' pre-tokens."""
+    """The library's count of any string is the sum over its words' pre-tokens, also as tasks split them."""
     rng = np.random.default_rng(1)
     p = token_counts.Pieces(TOKENIZER)
-    chars = [*"abzAZ019'.,<>|-_ \n", "é", "́", "ſ", "Σ", "İ", "ß", "中", "한", "ᄀ", "ᅡ", "​", " ", "\x85", "\x1c", "ﬁ", "\U0001f469", "‍"]
-    for _ in range(3000):
-        text = "".join(rng.choice(chars, int(rng.integers(1, 25))))
-        assert p.total(text) == len(p.tokenizer.encode(text, add_special_tokens=False).ids), repr(text)
+    assert p.plain
+    chars = [*"abzAZ019'.,<>|-_ \n", "é", "É", "ß", "÷", "×", "ÿ", "Þ", "\u0301", "ſ", "Σ", "İ", "中", "한", "ᄀ", "ᅡ", "\u200b", "\u00a0", "\x85", "\x1c", "ﬁ", "\U0001f469", "\u200d", "ª", "µ", "²", "<|endoftext|>"]
+    texts = ["".join(rng.choice(chars, int(rng.integers(1, 25)))) for _ in range(4000)]
+    want = [len(p.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [p.total(t) for t in texts] == want
+    for plain in (True, False):
+        names, doc, number, n = token_counts.frequencies([t.encode() for t in texts], p.remembered, plain)
+        got = np.zeros(len(texts), int)
+        np.add.at(got, doc, n * np.array([p.count(x) for x in names.to_pylist()])[number])
+        assert [(t, a, b) for t, a, b in zip(texts, got.tolist(), want) if a != b] == []

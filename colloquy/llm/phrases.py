@@ -188,7 +188,8 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, share: int = 5
     cuts = own.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.col("words"), F.lit(1), F.col("k")).alias("left"), part(F.col("words"), F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = attach(cuts, counts.select("lang", F.col("phrase").alias(side), F.col("a").alias(name)), ["lang", side], F.col("phrase"), "inner")
+        # a part that very many phrases share makes a large partition, which Spark splits: counts has each part once
+        cuts = cuts.join(counts.select("lang", F.col("phrase").alias(side), F.col("a").alias(name)), ["lang", side])
     wide = {x: f"cast({x} as decimal(38,0))" for x in "alr"}
     cuts = cuts.withColumn("score", F.expr(f"({wide['a']} * {wide['a']} * 1000000) div ({wide['l']} * {wide['r']})").cast("long"))
     best = cuts.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("cut"))

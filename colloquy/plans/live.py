@@ -53,17 +53,35 @@ SELECT id, chat_id, ts, coalesce(ts >= greatest(latest, max(ts) OVER (PARTITION
 
 
 def signal_events(t):
-    """Signals of the chats; each key whose chat's number divides by 3 is closed a second after its first signal."""
+    """Signals of the chats, keyed by the opening of their texts, and decisions on some of them in the weeks after their first."""
     s = chat.signals(t.v_chat).join(t.v_chat.select("id", "text", F.unix_seconds(c("ts").cast("timestamp")).alias("ts")), "id")
-    e = fu.events(s.withColumn("hints", F.size(F.split("words", ","))))
-    closed = e.groupBy("key", "chat_id").agg((F.min("ts") + 1).alias("ts")).where(F.regexp_extract("chat_id", "([0-9]+)$", 1).cast("int") % 3 == 0)
-    return e.unionByName(fu.events(s.withColumn("hints", F.lit(0)).limit(0), closed.select("key", "ts", F.lit("won").alias("decision"))))
-
-
-register("p5_followup_state", lambda t: fu.follow_up(signal_events(t)).groupBy("chat_id", "round").agg(F.count(F.lit(1)).alias("items"), F.sum("reinforcement").cast("long").alias("signals"), F.count_if(c("status") == "won").alias("won")), r"""
-WITH s AS (SELECT DISTINCT chat_id, CASE WHEN d > 0 THEN 'deal' ELSE 'commitment' END AS kind, text, ts FROM (SELECT *, contains(lower(text), '预算')::INT + contains(lower(text), '报价')::INT + contains(lower(text), '合作')::INT + contains(lower(text), 'budget')::INT + contains(lower(text), 'quote')::INT + contains(lower(text), 'deal')::INT AS d,
-contains(lower(text), '明天给你')::INT + contains(lower(text), '发你')::INT + contains(lower(text), 'will send')::INT + contains(lower(text), 'i''ll send')::INT AS m FROM v_chat) WHERE d + m > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, kind, text ORDER BY ts) AS k, regexp_extract(chat_id, '([0-9]+)$', 1)::INT % 3 = 0 AS closed FROM s),
-i AS (SELECT chat_id, kind, text, closed, CASE WHEN closed AND k > 1 THEN 2 ELSE 1 END AS round, count(*) AS n FROM r GROUP BY ALL)
-SELECT chat_id, round, count(*) AS items, sum(n)::BIGINT AS signals, count(*) FILTER (closed AND round = 1) AS won FROM i GROUP BY chat_id, round""")
-register("p6_expire_triage", lambda t: fu.follow_up(signal_events(t), at=1704067200 + 20 * 86400).groupBy("status", "confidence").agg(F.count(F.lit(1)).alias("items"), F.max("priority").alias("priority")))
+    e = fu.events(s.withColumn("hints", F.size(F.split("words", ","))), head=8)
+    first = e.groupBy("key", "chat_id").agg(F.min("ts").alias("first"))
+    number = F.regexp_extract("chat_id", "([0-9]+)$", 1).cast("int")
+    names = F.array(*[F.lit(x) for x in _DECISIONS])
+    n = F.explode(F.sequence(F.lit(1), number % 5)).alias("n")
+    d = first.where("chat_id IS NOT NULL").where(number % 5 > 0).select("key", "first", number.alias("number"), n)
+    made = d.select("key", (c("first") + c("n") * 200_000 + 1).alias("ts"), F.element_at(names, (((c("number") + c("n")) % len(_DECISIONS)) + 1).cast("int")).alias("decision"))
+    return e.unionByName(fu.events(s.withColumn("hints", F.lit(0)).limit(0), made))
+
+
+_DECISIONS = ("pursue", "lost", "wait", "bogus", "won", "ignore", "pause")
+_AT = 1704067200 + 20 * 86400
+_EVENTS = """
+sig AS (SELECT DISTINCT chat_id, kind, chat_id || '|' || kind || '|' || substring(trim(text), 1, 8) AS key, substring(text, 1, 200) AS text, epoch(ts)::BIGINT AS ts, hints FROM (SELECT *, CASE WHEN d > 0 THEN 'deal' ELSE 'commitment' END AS kind, CASE WHEN d > 0 THEN d ELSE m END AS hints FROM (SELECT *, contains(lower(text), '预算')::INT + contains(lower(text), '报价')::INT + contains(lower(text), '合作')::INT + contains(lower(text), 'budget')::INT + contains(lower(text), 'quote')::INT + contains(lower(text), 'deal')::INT AS d,
+contains(lower(text), '明天给你')::INT + contains(lower(text), '发你')::INT + contains(lower(text), 'will send')::INT + contains(lower(text), 'i''ll send')::INT AS m FROM v_chat) WHERE d + m > 0)),
+fst AS (SELECT chat_id, kind, key, min(ts) AS first, regexp_extract(chat_id, '([0-9]+)$', 1)::INT AS number FROM sig WHERE chat_id IS NOT NULL GROUP BY ALL),
+dec AS (SELECT chat_id, kind, key, first + n * 200000 + 1 AS ts, list_extract(""" + str(list(_DECISIONS)) + """, ((number + n) % 7 + 1)::INT) AS decision FROM (SELECT *, unnest(range(1, number % 5 + 1)) AS n FROM fst)),
+ev AS (SELECT chat_id, kind, key, ts, hints, text, NULL AS decision FROM sig UNION ALL SELECT chat_id, kind, key, ts, 0, '', decision FROM dec WHERE decision <> 'bogus'),
+o AS (SELECT *, count(*) FILTER (decision IS NULL) OVER w AS signals, coalesce(lag(decision) OVER w IN ('won', 'lost'), false) AS after_end, lag(ts) OVER w IS NULL AS none_before, last_value(decision IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, decision IS NOT NULL, text, decision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS decided
+  FROM ev WINDOW w AS (PARTITION BY key ORDER BY ts, decision IS NOT NULL, text, decision)),
+b AS (SELECT *, (decision IS NULL AND (none_before OR after_end))::INT AS begins FROM o WHERE signals > 0),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY ts, decision IS NOT NULL, text, decision) AS round, decision IS NULL AND (begins = 1 OR (row_number() OVER (PARTITION BY key, ts ORDER BY decision IS NOT NULL, text) = 1 AND coalesce(decided, '') <> 'ignore')) AS accepted FROM b),
+i AS (SELECT key, chat_id, round, arg_max(decision, (ts, decision)) FILTER (decision IS NOT NULL) AS decision, max(hints) FILTER (accepted) AS hints, count(*) FILTER (accepted) AS n, max(ts) FILTER (accepted AND (decided IS NULL OR decided IN ('won', 'lost'))) + 1209600 AS expires FROM r GROUP BY ALL),
+items AS (SELECT *, CASE decision WHEN 'pursue' THEN 'open' WHEN 'wait' THEN 'waiting' WHEN 'pause' THEN 'paused' WHEN 'ignore' THEN 'ignored' WHEN 'won' THEN 'won' WHEN 'lost' THEN 'lost' ELSE CASE WHEN expires <= """ + str(_AT) + """ THEN 'stale' ELSE 'new' END END AS status, CASE WHEN hints >= 2 THEN 'high' ELSE 'medium' END AS confidence, least(5, 2 + greatest(0, hints - 1)) AS priority FROM i)"""
+
+register("p5_followup_state", lambda t: fu.follow_up(signal_events(t)).groupBy("chat_id", "round").agg(F.count(F.lit(1)).alias("items"), F.sum("reinforcement").cast("long").alias("signals"), F.count_if(c("status") == "won").alias("won")), f"WITH {_EVENTS} SELECT chat_id, round, count(*) AS items, sum(n)::BIGINT AS signals, count(*) FILTER (status = 'won') AS won FROM items GROUP BY chat_id, round")
+register("p6_expire_triage", lambda t: fu.follow_up(signal_events(t), at=_AT).groupBy("status", "confidence").agg(F.count(F.lit(1)).alias("items"), F.max("priority").alias("priority"), F.sum("reinforcement").alias("signals")), f"WITH {_EVENTS} SELECT status, confidence, count(*) AS items, max(priority) AS priority, sum(n)::BIGINT AS signals FROM items GROUP BY status, confidence")
+register("p6_feedback", lambda t: fu.feedback(signal_events(t)).groupBy(F.split_part("target", F.lit(":"), F.lit(1)).alias("of"), "verdict", "note").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")), f"WITH {_EVENTS}, d AS (SELECT * FROM b WHERE decision IS NOT NULL) SELECT 'item' AS of, CASE decision WHEN 'ignore' THEN 'ignore' ELSE 'confirmed' END AS verdict, 'triage:' || decision AS note, count(*) AS n, max(ts) AS last FROM d WHERE decision IN ('pursue', 'wait', 'won', 'ignore') GROUP BY decision UNION ALL SELECT 'chat', 'ignore', 'triage:ignore', count(*), max(ts) FROM d WHERE decision = 'ignore' HAVING count(*) > 0")
+register("p6_purge", lambda t: fu.purge(fu.follow_up(signal_events(t)), t.v_chat.where("sender = 's0'").select("chat_id")).groupBy("chat_id").agg(F.count(F.lit(1)).alias("items")), f"WITH {_EVENTS} SELECT chat_id, count(*) AS items FROM items WHERE chat_id IN (SELECT chat_id FROM v_chat WHERE sender = 's0') GROUP BY chat_id")
+register("p7_tier_ttl", lambda t: fu.alive(t.documents.select("doc_id", (F.lit(_AT) - c("doc_id") % 1000 * 1000).alias("ts"), F.element_at(F.array(F.lit("permanent"), F.lit("periodic"), F.lit("once"), F.lit(None)), (c("doc_id") % 4 + 1).cast("int")).alias("tier")), _AT), f"SELECT * FROM (SELECT doc_id, {_AT} - doc_id % 1000 * 1000 AS ts, list_extract(['permanent', 'periodic', 'once', NULL], (doc_id % 4 + 1)::INT) AS tier FROM documents) WHERE tier IS NULL OR tier = 'permanent' OR {_AT} - ts <= CASE tier WHEN 'periodic' THEN 604800 ELSE 86400 END")

@@ -180,12 +180,17 @@ def most_active(messages: DataFrame, since: Column, most: int = 10) -> DataFrame
     return messages.where(F.col("ts") > since).groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "session_id").limit(most)
 
 
-def missing_pairs(rows: DataFrame, left: str, right: str, present: DataFrame) -> DataFrame:
-    """Pairs of rows' values of left and right that present lacks. Its size is the product of both value counts."""
-    values = rows.select(right).distinct().agg(F.collect_set(right).alias("every"))
-    held = present.groupBy(left).agg(F.collect_set(right).alias("held"))
-    all_left = rows.select(left).distinct().join(F.broadcast(values)).join(held, left, "left")
-    return all_left.select(left, F.explode(F.array_except("every", F.coalesce("held", F.array().cast("array<string>")))).alias(right))
+def missing_pairs(rows: DataFrame, left: str, right: str, present: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each of rows' values of left with those expected names, rows' values of right, that present lacks for it.
+
+    Names are expected of every left value, so the result is as long as both together; they are a short list by nature, and
+    more than `most` of them are an error.
+    """
+    names = [r[0] for r in rows.select(right).where(F.col(right).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"{right} has more than {most} values")
+    every = rows.select(left).distinct().withColumn(right, F.explode(F.array(*[F.lit(x) for x in sorted(names)]).cast("array<string>")))
+    return every.join(present.select(left, right).distinct(), [left, right], "left_anti")
 
 
 def latest_verdicts(feedback: DataFrame, targets: DataFrame, key: str = "target") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import seconds_between
+from .ordered import bordered, carried, ranked
 from .search import tokens
 
 # Fixed values.
@@ -19,8 +20,9 @@ URL = r"https?://[^\s]+"
 
 def speaker_ranking(chat: DataFrame) -> DataFrame:
     by = chat.groupBy("sender").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.length("text")).alias("chars"), F.round(F.avg(F.length("text")), 4).alias("mean_length"))
-    everyone = Window.partitionBy()  # one row for each sender
-    return by.withColumn("share", F.round(F.col("messages") / F.sum("messages").over(everyone), 4)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("messages"), "sender")))
+    total = by.agg(F.sum("messages").alias("total"))  # one row
+    shared = by.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("messages") / F.col("total"), 4)).drop("total")
+    return ranked(shared, [F.desc("messages"), F.asc("sender")])
 
 
 def heatmap(rows: DataFrame, ts: str) -> DataFrame:
@@ -41,9 +43,13 @@ def mention_edges(chat: DataFrame) -> DataFrame:
 
 
 def cooccurrence_edges(chat: DataFrame, ahead: int = 5, within: int = 300) -> DataFrame:
-    """Different speakers among the next messages of a chat, up to `ahead` of them and `within` seconds."""
-    w = Window.partitionBy("chat_id").orderBy("ts", "id").rowsBetween(1, ahead)
-    r = chat.withColumn("next", F.collect_list(F.struct("sender", "ts")).over(w))
+    """Different speakers among the next messages of a chat, up to `ahead` of them and `within` seconds.
+
+    Windows go over a stretch of time of a chat with the messages that its last ones look at.
+    """
+    w = Window.partitionBy("chat_id", "bucket").orderBy("ts", "id").rowsBetween(1, ahead)
+    timed = chat.select("chat_id", "id", "sender", "ts", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    r = bordered(timed, "at", 0, within + 1).withColumn("next", F.collect_list(F.struct("sender", "ts")).over(w)).where("own")
     near = F.filter("next", lambda n: (n["sender"] != F.col("sender")) & (seconds_between(F.col("ts"), n["ts"]) <= within))
     return r.select(F.col("sender").alias("src"), F.explode(near).alias("n")).select("src", F.col("n.sender").alias("dst"), F.lit("co_occurrence").alias("type"))
 
@@ -81,9 +87,11 @@ def signals(chat: DataFrame) -> DataFrame:
 def chat_quality(chat: DataFrame) -> DataFrame:
     """Noise score of each chat from name, top sender's share, templated texts, links, cross-chat copies and questions."""
     norm = F.lower(F.regexp_replace(F.regexp_replace("text", URL, "<url>"), r"[0-9]+", "#"))
-    r = chat.withColumn("norm", F.md5(norm)).withColumn("link", F.col("text").rlike(URL)).withColumn("ask", F.col("text").rlike("[?？]"))
-    across = r.groupBy("norm").agg(F.count_distinct("chat_id").alias("chats")).where("chats >= 3").select("norm", F.lit(1).alias("copied"))
-    s = r.join(across, "norm", "left").groupBy("chat_id").agg(F.first("chat_name").alias("chat_name"), F.count(F.lit(1)).alias("n"), F.avg(F.col("link").cast("int")).alias("links"), F.avg(F.col("ask").cast("int")).alias("asks"), F.sum(F.coalesce("copied", F.lit(0))).alias("copied"))
+    flag = lambda name, pattern: F.count_if(F.col("text").rlike(pattern)).alias(name)
+    # counted by template and chat first, so a template that very many messages copy has one row for each chat
+    r = chat.groupBy("chat_id", F.md5(norm).alias("norm")).agg(F.min("chat_name").alias("chat_name"), F.count(F.lit(1)).alias("n"), F.count("text").alias("texts"), flag("links", URL), flag("asks", "[?？]"))
+    across = r.groupBy("norm").agg(F.count("chat_id").alias("chats")).where("chats >= 3").select("norm", F.lit(1).alias("copied"))
+    s = r.join(across, "norm", "left").groupBy("chat_id").agg(F.min("chat_name").alias("chat_name"), F.sum("n").alias("n"), (F.sum("links") / F.sum("texts")).alias("links"), (F.sum("asks") / F.sum("texts")).alias("asks"), F.sum(F.when(F.col("copied") == 1, F.col("n")).otherwise(0)).alias("copied"))
     top = chat.groupBy("chat_id", "sender").count().groupBy("chat_id").agg(F.max("count").alias("top"))
     s = s.join(top, "chat_id")
     score = F.when(F.col("chat_name").rlike("优惠|红包|福利|返利"), 30).otherwise(0) + F.when(F.col("top") / F.col("n") >= 0.8, 20).otherwise(0) + F.when(F.col("links") >= 0.5, 20).otherwise(0) + F.when(F.col("copied") / F.col("n") >= 0.3, 15).otherwise(0) + F.when(F.col("asks") < 0.05, 15).otherwise(0)
@@ -128,10 +136,15 @@ def reactivations(chat: DataFrame, now: str, days: int, top: int = 20) -> DataFr
 
 
 def mine_context(chat: DataFrame, me: str, around: int = 2) -> DataFrame:
-    """My messages with those around them, each shown once."""
-    w = Window.partitionBy("chat_id").orderBy("ts", "id").rowsBetween(-around, around)
+    """My messages with those around them, each shown once.
+
+    Messages are numbered within their chat by running counts; windows go over a stretch of numbers and its neighbours.
+    """
+    numbered = chat.select("chat_id", "id", "sender", "ts", F.to_date("ts").alias("day"))
+    numbered = carried(numbered, ["chat_id"], "day", ["ts", "id"], {"place": F.lit(1)})
+    w = Window.partitionBy("chat_id", "bucket").orderBy("place").rowsBetween(-around, around)
     mine = (F.col("sender") == me).cast("int")
-    return chat.withColumn("near", F.max(mine).over(w)).where("near = 1").select("id", "chat_id", (F.col("sender") == me).alias("mine"))
+    return bordered(numbered, "place", around, around, 10_000).withColumn("near", F.max(mine).over(w)).where("own AND near = 1").select("id", "chat_id", (F.col("sender") == me).alias("mine"))
 
 
 def corrections(messages: DataFrame, least: int = 20) -> DataFrame:

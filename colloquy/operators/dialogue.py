@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import rules
 from .facts import seconds_between
+from .ordered import carried
 from .search import tokens
 
 
@@ -213,24 +218,40 @@ def simhash(terms: Column) -> Column:
 def simhash_segments(chat: DataFrame, by: list[str], threshold: int = 22, gap: int = 7200) -> DataFrame:
     """(by, segment, first_id, messages): a new segment where the rolling hash is far or the pause is long.
 
-    The hash rolls on from message to message, so each group (a chat's day) is one fold over its hashes, not its texts.
+    A pause over `gap` seconds cuts whatever the hash is, so the messages between two pauses are a run of their own. The
+    hash rolls on within a run: its messages go through a task in order, which holds one hash and one count.
     """
     m = chat.select(*by, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), simhash(tokens(F.col("text"))).alias("h"))
-    g = m.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "id", "h"))).alias("rows"))
-    low32 = F.lit(0xFFFFFFFF).cast("long")
-    seg = lambda first, n: F.struct(first.alias("first_id"), n.alias("messages"))
-    head = F.col("rows")[0]
-    start = F.struct(head["h"].alias("h"), head["at"].alias("at"), F.array(seg(head["id"], F.lit(1))).alias("segs"))
-
-    def step(s: Column, r: Column) -> Column:
-        far = (F.bit_count(s["h"].bitwiseXOR(r["h"])) > threshold) | (r["at"] - s["at"] > gap * 1_000_000)
-        last, n = F.element_at(s["segs"], -1), F.size(s["segs"])
-        grown = F.concat(F.slice(s["segs"], 1, n - 1), F.array(seg(last["first_id"], last["messages"] + 1)))
-        mixed = s["h"].bitwiseAND(r["h"]).bitwiseOR(s["h"].bitwiseOR(r["h"]).bitwiseAND(low32))
-        return F.struct(F.when(far, r["h"]).otherwise(mixed).alias("h"), r["at"].alias("at"), F.when(far, F.concat(s["segs"], F.array(seg(r["id"], F.lit(1))))).otherwise(grown).alias("segs"))
-
-    out = g.select(*by, F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), start, step)["segs"].alias("segs"))
-    return out.select(*by, F.posexplode("segs").alias("segment", "s")).select(*by, "segment", "s.first_id", "s.messages")
+    m = carried(m.withColumn("hour", F.floor(F.col("at") / 3_600_000_000)), by, "hour", ["at", "id"], {}, {"before": F.col("at")})
+    pause = F.coalesce(F.col("at") - F.col("before") > gap * 1_000_000, F.lit(True))
+    m = carried(m.withColumn("pause", pause.cast("int")), by, "hour", ["at", "id"], {"run": F.col("pause")}).drop("before", "hour", "pause")
+    schema = m.select(*by, "run", F.col("id").alias("first_id"), F.col("at").alias("first_at"), F.lit(0).alias("messages")).schema
+    arrow, low32, mask = to_arrow_schema(schema), (1 << 32) - 1, (1 << 64) - 1
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rolling, begun, n = None, 0, (), 0
+        for batch in batches:
+            out = []
+            for *key, number, at, h in zip(*(c.to_pylist() for c in batch.columns)):
+                h &= mask
+                if key != own or (rolling ^ h).bit_count() > threshold:
+                    if n:
+                        out.append((*own, *begun, n))
+                    own, rolling, begun, n = key, h, (number, at), 1
+                else:
+                    rolling, n = (rolling & h) | ((rolling | h) & low32), n + 1
+            yield told(out)
+        if n:
+            yield told([(*own, *begun, n)])
+
+    ordered = m.repartition(*by, "run").sortWithinPartitions(*by, "run", "at", "id").select(*by, "run", "id", "at", "h")
+    segments = ordered.mapInArrow(fold, schema).withColumn("hour", F.floor(F.col("first_at") / 3_600_000_000))
+    numbered = carried(segments, by, "hour", ["first_at", "first_id"], {"place": F.lit(1)})
+    return numbered.select(*by, (F.col("place") - 1).cast("int").alias("segment"), "first_id", "messages")
 
 
 #: Named sets of blocks, each a function of the chat's messages.

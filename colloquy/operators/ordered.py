@@ -40,12 +40,12 @@ def carried(rows: DataFrame, keys: list[str], bucket: str, order: list[str], sum
     return joined.withColumns(both).select(*inner.columns)
 
 
-def bordered(rows: DataFrame, keys: list[str], at: str, before: int, after: int = 0, width: int | None = None) -> DataFrame:
-    """rows with `bucket` and `own`: windows over (keys, bucket) that look at most `before` and `after` units of the whole
+def bordered(rows: DataFrame, at: str, before: int, after: int = 0, width: int | None = None) -> DataFrame:
+    """rows with `bucket` and `own`: windows over keys and bucket that look at most `before` and `after` units of the whole
     number `at` away see for each own row all rows that they would see over the keys alone.
 
     Rows near a bucket's edge are copied to the buckets that look at them, with own = false; callers drop these after the
-    window. A bucket is `width` units long, ten times the farther look at least.
+    window. A bucket is `width` units long, ten times the farther look at least. Rows without `at` fall.
     """
     width = max(width or 0, 10 * max(before, after, 1))
     first, last = F.floor((F.col(at) - after) / width), F.floor((F.col(at) + before) / width)

@@ -77,9 +77,8 @@ def tool_error_patterns(calls: DataFrame, error_rate: float = 0.25, least: int =
 def project_outliers(rows: DataFrame, over: float = 0.10, floor: float = 0.15, least: int = 3) -> DataFrame:
     """Projects whose error rate is well above the rate of all."""
     by = rows.groupBy("project").agg(F.count(F.lit(1)).alias("sessions"), F.sum("errors").alias("errors"), F.sum("tool_calls").alias("calls"))
-    everything = Window.partitionBy()  # one row for each project
-    r, overall = F.col("errors") / F.col("calls"), F.sum("errors").over(everything) / F.sum("calls").over(everything)
-    out = by.withColumn("r", r).withColumn("overall", overall).where((F.col("sessions") >= least) & (F.col("r") >= F.col("overall") + over) & (F.col("r") > floor))
+    everything = by.agg((F.sum("errors") / F.sum("calls")).alias("overall"))  # one row
+    out = by.withColumn("r", F.col("errors") / F.col("calls")).crossJoin(F.broadcast(everything)).where((F.col("sessions") >= least) & (F.col("r") >= F.col("overall") + over) & (F.col("r") > floor))
     return out.select("project", "sessions", F.round("r", 4).alias("error_rate"), F.round("overall", 4).alias("overall"))
 
 

@@ -122,12 +122,20 @@ def work_sessions(commits: DataFrame, gap: int = 3600, by: str = "author") -> Da
     return s.groupBy(by, "cluster").agg(F.count(F.lit(1)).alias("commits"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
 
 
-def session_commits(sessions: DataFrame, commits: DataFrame, bucket: int = 86400) -> DataFrame:
-    """Commits whose time lies within a session: an equi-join on time buckets that each session spans, then the bounds."""
-    number = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / bucket)
-    s = sessions.withColumn("bucket", F.explode(F.sequence(number(F.col("created")), number(F.col("modified")))))
-    c = commits.withColumn("bucket", number(F.col("ts")))
-    return s.join(c, "bucket").where((F.col("ts") >= F.col("created")) & (F.col("ts") <= F.col("modified"))).drop("bucket")
+def session_commits(sessions: DataFrame, commits: DataFrame, by: list[str] = (), base: int = 60) -> DataFrame:
+    """Commits whose time lies within a session, of the same `by` columns (such as the project).
+
+    Each session has a level, at which buckets of base * 2^level seconds are as long as it or longer, so it stands in two
+    buckets at most however long it is; a commit stands in one bucket of each level that sessions have, some forty at most.
+    """
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    level = F.greatest(F.ceil(F.log2(F.greatest(seconds("modified") - seconds("created") + 1, F.lit(1)) / base)), F.lit(0)).cast("int")
+    number = lambda c: F.floor(seconds(c) / (F.lit(base) * F.pow(F.lit(2), F.col("level")))).cast("long")
+    s = sessions.where("created <= modified").withColumn("level", level)
+    levels = sorted(r[0] for r in s.select("level").distinct().collect())
+    s = s.withColumn("bucket", F.explode(F.array_distinct(F.array(number("created"), number("modified")))))
+    c = commits.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("bucket", number("ts"))
+    return s.join(c, [*by, "level", "bucket"]).where((F.col("ts") >= F.col("created")) & (F.col("ts") <= F.col("modified"))).drop("level", "bucket")
 
 
 def snapshot_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

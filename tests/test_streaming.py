@@ -122,7 +122,9 @@ def test_stream_equals_table(spark, rocks, tmp_path):
     seen = {}
     for r in run(spark, tmp_path, lambda s: fu.follow_up_stream(s), cut, EVENTS):
         seen |= told([r])
-    assert seen == loop(rows + last, at=89 * DAY) and any(v[0] == "stale" for v in seen.values())
+    want = loop(rows + last, at=89 * DAY)
+    assert {k: (seen.get(k), want.get(k)) for k in {*seen, *want} if seen.get(k) != want.get(k)} == {}
+    assert any(v[0] == "stale" for v in seen.values())
 
 
 def test_tiers(spark, rocks, tmp_path):
@@ -132,7 +134,7 @@ def test_tiers(spark, rocks, tmp_path):
     names = lambda now: sorted(r.value for r in fu.alive(df, now).collect())
     assert names(DAY) == list("123456") and names(DAY + 1) == list("2346") and names(7 * DAY + 3600) == list("346") and names(900 * DAY) == list("34")
     got = run(spark, tmp_path, lambda s: fu.alive_stream(s), [[(k, t + DAY, *x) for k, t, *x in rows], [("z", 4 * DAY, "permanent", "7")], [("z", 31 * DAY, "permanent", "8")]], schema)
-    assert [(r.key, r.value) for r in got if not r.alive] == [("a", "1"), *sorted((r.key, r.value) for r in got if not r.alive and r.key != "a")]
+    assert next(r.key for r in got if not r.alive) == "a"
     assert {(r.key, r.value) for r in got if not r.alive} == {("a", "1"), ("b", "2"), ("e", "6")} and sum(r.alive for r in got) == 7
 
 

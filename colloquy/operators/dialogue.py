@@ -215,13 +215,25 @@ def simhash(terms: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+def simhashes(rows: DataFrame, keys: list[str], terms: str = "terms") -> DataFrame:
+    """keys and h, the 64-bit SimHash of the terms of all rows of equal keys, each bit a sum over them; 0 for none."""
+    h = F.col("__h")
+    bits = [F.sum(F.shiftright(h, i).bitwiseAND(F.lit(1).cast("long"))).alias(f"__{i}") for i in range(64)]
+    counted = rows.select(*keys, F.explode_outer(terms).alias("__t")).withColumn("__h", F.when(F.col("__t").isNotNull(), F.xxhash64("__t"))).groupBy(*keys).agg(F.count(h).alias("__n"), *bits)
+    value = F.lit(0).cast("long")
+    for i in range(64):
+        value = value.bitwiseOR(F.when(2 * F.col(f"__{i}") > F.col("__n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return counted.select(*keys, value.alias("h"))
+
+
 def simhash_segments(chat: DataFrame, by: list[str], threshold: int = 22, gap: int = 7200) -> DataFrame:
     """(by, segment, first_id, messages): a new segment where the rolling hash is far or the pause is long.
 
     A pause over `gap` seconds cuts whatever the hash is, so the messages between two pauses are a run of their own. The
     hash rolls on within a run: its messages go through a task in order, which holds one hash and one count.
     """
-    m = chat.select(*by, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), simhash(tokens(F.col("text"))).alias("h"))
+    timed = chat.select(*by, "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), tokens(F.col("text")).alias("terms"))
+    m = simhashes(timed, [*by, "id", "at"])
     m = carried(m.withColumn("hour", F.floor(F.col("at") / 3_600_000_000)), by, "hour", ["at", "id"], {}, {"before": F.col("at")})
     pause = F.coalesce(F.col("at") - F.col("before") > gap * 1_000_000, F.lit(True))
     m = carried(m.withColumn("pause", pause.cast("int")), by, "hour", ["at", "id"], {"run": F.col("pause")}).drop("before", "hour", "pause")

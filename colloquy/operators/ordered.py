@@ -21,9 +21,10 @@ def carried(rows: DataFrame, keys: list[str], bucket: str, order: list[str], sum
 
     bucket is a column that never falls along the order, such as a day. Windows go over one bucket of a key; what the
     key's earlier buckets bring is taken from one summary row of each, so a key of very many rows is spread over tasks.
-    Null keys are a key. `order` must tell the rows of a bucket apart, else ties fall in any order.
+    Null keys are a key. `order` must tell the rows of a bucket apart, else ties fall in any order. rows are read twice, so
+    they are written to the shared folder first.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, rows = sums or {}, lasts or {}, saved(rows, "ordered")
     own = [*keys, bucket]
     place = F.struct(*order)
     parts = [F.sum(c).alias(f"__{n}") for n, c in sums.items()] + [F.max_by(c, F.when(c.isNotNull(), place)).alias(f"__{n}") for n, c in lasts.items()]

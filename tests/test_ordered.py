@@ -90,6 +90,13 @@ def test_missing_pairs(spark):
         basics.missing_pairs(df, "l", "r", df, most=2)
 
 
+def test_simhashes(spark):
+    data = [(i, [f"t{random.Random(i).randrange(50)}" for _ in range(i)]) for i in range(30)] + [(99, None)]
+    df = spark.createDataFrame(data, "id long, terms array<string>")
+    got = {r.id: r.h for r in dialogue.simhashes(df, ["id"]).collect()}
+    assert got == {r.id: r.h or 0 for r in df.select("id", dialogue.simhash(F.col("terms")).alias("h")).collect()} and len(set(got.values())) > 20
+
+
 def test_segments_of_long_chats(spark):
     """Runs between pauses, many messages and equal times, against a loop over the same hashes."""
     rng = random.Random(6)

@@ -352,7 +352,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, most: int = 7, share: float = 0.
     if bands:
         banded = texts.select(F.explode("bands").alias("u"), F.col("text_key").alias("v"))
         met = banded.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = materialise(join_least(banded, met, texts.count() * bands), "bands")
+        # most bands are of one text and end here; a band of very many makes a large partition, which Spark splits
+        shared = materialise(banded.join(met, "u").select("u", "v", "m"), "bands")
         edges = edges.unionByName(shared.where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")))
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialise(edges, "candidates")

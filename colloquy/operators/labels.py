@@ -149,18 +149,22 @@ def structure(files: DataFrame, depth: int = 2) -> DataFrame:
     return files.where(F.col("depth") <= depth).groupBy("extension").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.count_if(name.isin(*ENTRIES)).alias("entries"))
 
 
-def hit_evidence(hits: DataFrame, sessions: DataFrame, messages: DataFrame, decision: str, n: int = 8) -> DataFrame:
-    """The sessions of a bounded table of hits, with their first user messages and decisions.
+def hit_evidence(hits: DataFrame, sessions: DataFrame, messages: DataFrame, decision: str, n: int = 8, errors: DataFrame | None = None, most_errors: int = 5) -> DataFrame:
+    """The sessions of a bounded table of hits, with their first user messages, decisions and summaries (150 characters of the
+    first user message), and the first tool errors of errors(session_id, seq, text).
 
-    Messages are reduced to those sessions before anything is gathered.
+    Messages and errors are reduced to those sessions before anything is gathered.
     """
     keys = F.broadcast(hits.select("session_id"))  # at most the hits' limit
-    m = messages.join(keys, "session_id", "left_semi").where("role = 'USER'")
-    w = Window.partitionBy("session_id").orderBy("seq")
-    e = m.withColumn("k", F.row_number().over(w)).groupBy("session_id").agg(
-        F.count_if(F.col("text").rlike(decision)).alias("decisions"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= n, F.struct("k", F.substring("text", 1, 40).alias("text"))))), lambda x: x["text"]), "|").alias("said")
+    first = lambda k, length: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= k, F.struct("k", F.substring("text", 1, length).alias("text"))))), lambda x: x["text"]), "|")
+    numbered = lambda rows: rows.join(keys, "session_id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")))
+    e = numbered(messages.where("role = 'USER'")).groupBy("session_id").agg(
+        F.count_if(F.col("text").rlike(decision)).alias("decisions"), first(n, 40).alias("said"), F.substring(F.min_by("text", "k"), 1, 150).alias("summary")
     )
-    return hits.join(sessions.join(keys, "session_id", "left_semi"), "session_id", "left").join(e, "session_id", "left")
+    out = hits.join(sessions.join(keys, "session_id", "left_semi"), "session_id", "left").join(e, "session_id", "left")
+    if errors is None:
+        return out
+    return out.join(numbered(errors).groupBy("session_id").agg(F.count(F.lit(1)).alias("errors"), first(most_errors, 60).alias("failed")), "session_id", "left")
 
 
 def empty_facts(prepared: DataFrame, rows: DataFrame, by: str, text: str = "text") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import basics as ba
 from ..operators import labels as op
 from ..operators import search
 from ..operators.chat import DECISION
 from ..sources import chats as ch
 from . import register
+from . import search as plans_search
 from .sources import _pages
 
 c = F.col
@@ -64,14 +66,18 @@ register("h10_structure", lambda t: op.structure(ch.file_list(_pages(t))), "SELE
 
 
 def _evidence(t):
-    m = t.v_messages
-    hits = m.where(F.contains("text", F.lit("parquet"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "session_id").limit(20)
-    return op.hit_evidence(hits, m.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")), m, DECISION)
-
-
-register("s6_search_evidence", _evidence, r"""
-WITH h AS (SELECT session_id, count(*) AS hits FROM v_messages WHERE contains(text, 'parquet') GROUP BY session_id ORDER BY hits DESC, session_id LIMIT 20), n AS (SELECT session_id, count(*) AS messages FROM v_messages GROUP BY session_id),
-u AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM v_messages WHERE role = 'USER'),
-e AS (SELECT session_id, count(*) FILTER (regexp_matches(text, '(?i)\b(decided|decision|agreed|conclusion|let''s go with|we will use)\b|结论|决定|确定')) AS decisions, coalesce(string_agg(substring(text, 1, 40), '|' ORDER BY k) FILTER (k <= 8), '') AS said FROM u GROUP BY session_id)
-SELECT * FROM h LEFT JOIN n USING (session_id) LEFT JOIN e USING (session_id)""")
+    """Sessions that name a word, found in the stored index, with what their users said and what their tools failed in."""
+    turns = plans_search.turns(t)
+    hits = plans_search.turn_index(t).facets("parquet", "session_id").orderBy(F.desc("hits"), "session_id").limit(20)
+    failed = turns.where((c("role") == "TOOL") & (ba.classify_error(c("text")) != "UNKNOWN"))
+    return op.hit_evidence(hits, turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")), turns, DECISION, errors=failed)
+
+
+register("s6_search_evidence", _evidence, rf"""
+WITH {plans_search.turn_hits(["parquet"])}, k AS (SELECT session_id, count(*) AS hits FROM h GROUP BY session_id ORDER BY hits DESC, session_id LIMIT 20), n AS (SELECT session_id, count(*) AS messages FROM m GROUP BY session_id),
+u AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM m WHERE role = 'USER'),
+e AS (SELECT session_id, count(*) FILTER (regexp_matches(text, '(?i)\b(decided|decision|agreed|conclusion|let''s go with|we will use)\b|结论|决定|确定')) AS decisions, coalesce(string_agg(substring(text, 1, 40), '|' ORDER BY k) FILTER (k <= 8), '') AS said, substring(arg_min(text, k), 1, 150) AS summary FROM u GROUP BY session_id),
+f AS (SELECT session_id, text, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM m WHERE role = 'TOOL' AND ({plans_search.ERROR_SQL}) <> 'UNKNOWN'),
+x AS (SELECT session_id, count(*) AS errors, string_agg(substring(text, 1, 60), '|' ORDER BY k) FILTER (k <= 5) AS failed FROM f GROUP BY session_id)
+SELECT * FROM k LEFT JOIN n USING (session_id) LEFT JOIN e USING (session_id) LEFT JOIN x USING (session_id)""")
 register("s7_empty_facts", lambda t: op.empty_facts(search.prepare_queries(t.spark.range(1).select(F.lit("Timed out").alias("text"))), t.v_messages, "role"), "SELECT role, count(*) FILTER (contains(lower(text), 'timed out')) AS hits, NULL::VARCHAR AS reason FROM v_messages GROUP BY role")

@@ -1,10 +1,14 @@
 """Queries on follow-ups and incremental builds."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chat
+from ..sources import store
 from ..streaming import followups as fu
 from ..streaming import incremental as inc
+from ..streaming import stored
 from . import register
 
 c = F.col
@@ -41,6 +45,57 @@ WITH s AS (SELECT session_id AS path, session_id::BIGINT AS k, count(*) AS n FRO
 SELECT path, CASE WHEN action = 'compute' AND k % 4 <> 3 THEN n ELSE n + 100 END AS messages, CASE WHEN k % 10 <> 0 THEN 't' || path END AS tag FROM a WHERE action <> 'prune' AND (k % 10 <> 0 OR k % 4 <> 3)""")
 
 
+def _folder(t, name):
+    return f"{store.shared_folder(t.spark)}/colloquy/{t.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _rebuilt(t):
+    """A stored table after two builds: of most sources, then of changed, new, failing and vanished ones."""
+    k = c("path").cast("long")
+    lines = lambda changed: _lines(t, changed).withColumn("agent", F.concat(F.lit("a"), k % 3))
+    counts = lambda more: lambda rows: rows.groupBy("path").agg((F.count(F.lit(1)) + more).alias("messages"))
+    table = stored.SessionTable(t.spark, _folder(t, "sessions"), "messages long", parts=16)
+    table.build(lines(c("session_id").cast("long") % 7 == 1).where(k % 10 != 0), counts(100))
+    table.build(lines(F.lit(False)).where(k % 13 != 5), lambda rows: counts(0)(rows).where(k % 4 != 3))  # a quarter fails
+    return table.read().select("path", "agent", "messages")
+
+
+register("p1_rebuild", _rebuilt, """
+WITH s AS (SELECT session_id AS path, session_id::BIGINT AS k, count(*) AS n FROM v_messages GROUP BY ALL)
+SELECT path, 'a' || (k % 3) AS agent, CASE WHEN (k % 10 = 0 OR k % 7 = 1) AND k % 4 <> 3 THEN n ELSE n + 100 END AS messages FROM s WHERE k % 13 <> 5 AND (k % 10 <> 0 OR k % 4 <> 3)""")
+
+
+def _guarded(t):
+    """A build of one agent, and one whose listing lost most of another agent's sources."""
+    k = c("path").cast("long")
+    lines = _lines(t, F.lit(False)).withColumn("agent", F.concat(F.lit("a"), k % 3))
+    count = lambda rows: rows.groupBy("path").agg(F.count(F.lit(1)).alias("messages"))
+    table = stored.SessionTable(t.spark, _folder(t, "sessions"), "messages long", parts=16)
+    table.build(lines, count)
+    table.build(lines.where((k % 3 != 0) | (k % 5 != 1)), count, agent="a0")
+    table.build(lines.where(((k % 3 == 1) & (k % 5 == 1)) | ((k % 3 == 2) & (k % 5 != 2))), count)
+    return table.read().select("path", "agent", "messages")
+
+
+register("p2_guarded_rebuild", _guarded, """
+WITH s AS (SELECT session_id AS path, session_id::BIGINT AS k, count(*) AS messages FROM v_messages GROUP BY ALL)
+SELECT path, 'a' || (k % 3) AS agent, messages FROM s WHERE CASE k % 3 WHEN 0 THEN k % 5 <> 1 WHEN 2 THEN k % 5 <> 2 ELSE true END""")
+
+
+def _told(t):
+    """The second digest of the chats, after a first one of their older messages."""
+    rows, told = t.v_chat.select("id", "chat_id", "sender", "ts"), []
+    marks = stored.DigestMarks(t.spark, _folder(t, "marks"))
+    marks.tell(rows.where("id < 120 AND (chat_id IS NULL OR chat_id <> 'src4')"), lambda digest: None)
+    marks.tell(rows, told.append)
+    return told[0]
+
+
+register("p10_stored_marks", _told, """
+WITH m AS (SELECT chat_id, max(ts) AS mark FROM v_chat WHERE id < 120 AND (chat_id IS NULL OR chat_id <> 'src4') GROUP BY chat_id)
+SELECT c.chat_id, count(*) AS messages, count(DISTINCT sender) AS senders, min(ts) AS first, max(ts) AS last FROM v_chat c LEFT JOIN m ON m.chat_id IS NOT DISTINCT FROM c.chat_id WHERE mark IS NULL OR ts > mark GROUP BY c.chat_id""")
+
+
 def _sync(t):
     rows = t.v_chat.select("id", "chat_id", F.when(c("id") % 50 == 41, c("ts") - F.expr("INTERVAL '60' DAY")).otherwise(c("ts")).alias("ts"))
     return inc.append_above(rows.where("id < 200 AND chat_id <> 'src4'"), rows, "id", "chat_id", "ts")

@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import attach, in_small_batches, materialise
 from .text import Words, mix64, powers, slices, words
 
 WINDOW = 20
@@ -36,31 +37,51 @@ def window_hashes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return mix64((total[at + window] - total[at]) * powers(n, inverse)[at]), at
 
 
-def packed(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> bytes:
+def packed(h: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> bytes:
     """Places with ascending hashes, as compressed byte planes of the differences."""
-    planes = [np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, doc.astype("<i8").view(np.uint8).reshape(-1, 8).T, at.astype("<i4").view(np.uint8).reshape(-1, 4).T]
+    planes = [np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, *(x.astype("<i8").view(np.uint8).reshape(-1, 8).T for x in (doc, tie)), at.astype("<i4").view(np.uint8).reshape(-1, 4).T]
     return zstandard.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes), 1)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(20, -1)
-    own = [np.ascontiguousarray(planes[a:b].T).view(t)[:, 0] for a, b, t in ((0, 8, "<u8"), (8, 16, "<i8"), (16, 20, "<i4"))]
-    return np.cumsum(own[0]), own[1], own[2]
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(28, -1)
+    own = [np.ascontiguousarray(planes[a:b].T).view(t)[:, 0] for a, b, t in ((0, 8, "<u8"), (8, 16, "<i8"), (16, 24, "<i8"), (24, 28, "<i4"))]
+    return np.cumsum(own[0]), own[1], own[2], own[3]
 
 
-def parted(doc: np.ndarray, at: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+def starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins."""
+    n = len(sorted_columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_columns])
+    return np.flatnonzero(new)
+
+
+def parted(doc: np.ndarray, tie: np.ndarray, at: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
     """Places packed by the part of their document, so that a row tells many documents."""
-    ids, which = np.unique(doc, return_inverse=True)
-    part = np.fromiter((zlib.crc32(str(i).encode()) % parts for i in ids.tolist()), np.int64, len(ids))[which]
-    order = np.lexsort((at, doc, part))
-    part, doc, at = part[order], doc[order], at[order]
-    some, edge = np.unique(part, return_index=True)
-    edge = np.append(edge, len(part))
-    return some.tolist(), [packed(np.zeros(b - a, np.uint64), doc[a:b], at[a:b]) for a, b in zip(edge, edge[1:])]
+    order = np.lexsort((at, tie, doc))
+    doc, tie, at = doc[order], tie[order], at[order]
+    first = starts(doc, tie)
+    each = np.fromiter((zlib.crc32(f"{d}:{t}".encode()) % parts for d, t in zip(doc[first].tolist(), tie[first].tolist())), np.int64, len(first))
+    part = np.repeat(each, np.diff(np.append(first, len(doc))))
+    order = np.argsort(part, kind="stable")
+    part, doc, tie, at = part[order], doc[order], tie[order], at[order]
+    edge = np.append(starts(part), len(part))
+    return part[edge[:-1]].tolist(), [packed(np.zeros(b - a, np.uint64), doc[a:b], tie[a:b], at[a:b]) for a, b in zip(edge, edge[1:])]
 
 
 def part_of(parts: int) -> Column:
-    return (F.crc32(F.col("doc_id").cast("string")) % parts).alias("part")
+    return (F.crc32(F.encode(F.concat_ws(":", "doc_id", "tie"), "UTF-8")) % parts).alias("part")
+
+
+def later_places(h: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of places in the order of hash, document and start: those that are not the first of their hash."""
+    first = np.zeros(len(h), np.int64)
+    edge = starts(h)
+    first[edge] = edge
+    first = np.maximum.accumulate(first) if len(h) else first
+    return (doc != doc[first]) | (tie != tie[first]) | (at != at[first])
 
 
 def repeats(docs: DataFrame, window: int, buckets: int, slice_bytes: int = 4 << 20) -> DataFrame:
@@ -73,22 +94,21 @@ def repeats(docs: DataFrame, window: int, buckets: int, slice_bytes: int = 4 <<
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", slice_bytes):
-            ids = np.asarray(batch.column(0))
-            order = np.argsort(ids, kind="stable")
+            ids, ties = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            order = np.lexsort((ties, ids))
             w = words([texts[i] for i in order])
             h, at = window_hashes(w, window)
-            doc, at = ids[order][w.doc[at]], at - w.first[:-1][w.doc[at]]
+            doc, tie, at = ids[order][w.doc[at]], ties[order][w.doc[at]], at - w.first[:-1][w.doc[at]]
             order = np.argsort(h, kind="stable")  # equal hashes stay in the order of their places
-            h, doc, at = h[order], doc[order], at[order]
-            same = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
-            run = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else same.astype(int)
-            later = same & ((doc != doc[run]) | (at != at[run]))
-            parts, found = parted(doc[later], at[later], buckets)
-            h, doc, at = h[~same], doc[~same], at[~same]
+            h, doc, tie, at = h[order], doc[order], tie[order], at[order]
+            later = later_places(h, doc, tie, at)
+            parts, found = parted(doc[later], tie[later], at[later], buckets)
+            first = starts(h)
+            h, doc, tie, at = h[first], doc[first], tie[first], at[first]
             bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(edge))
-            blobs = [packed(h[a:b], doc[a:b], at[a:b]) for a, b in zip(edge[some], edge[some + 1])]
+            blobs = [packed(h[a:b], doc[a:b], tie[a:b], at[a:b]) for a, b in zip(edge[some], edge[some + 1])]
             keys = [*some.tolist(), *parts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([False] * len(some) + [True] * len(parts)), pa.array(blobs + found, pa.binary())], names=["bucket", "told", "blob"])
 
@@ -98,20 +118,18 @@ def repeats(docs: DataFrame, window: int, buckets: int, slice_bytes: int = 4 <<
         blobs = t.filter(pa.compute.invert(t["told"]))["blob"].to_pylist()
         if not blobs:
             return told
-        h, doc, at = (np.concatenate(x) for x in zip(*map(unpacked, blobs)))
+        h, doc, tie, at = (np.concatenate(x) for x in zip(*map(unpacked, blobs)))
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
         rows = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        h, doc, at = h[rows], doc[rows], at[rows]
-        order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        same = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
-        run = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else same.astype(int)
-        later = same & ((doc != doc[run]) | (at != at[run]))
-        parts, found = parted(doc[later], at[later], buckets)
+        h, doc, tie, at = h[rows], doc[rows], tie[rows], at[rows]
+        order = np.lexsort((at, tie, doc, h))
+        h, doc, tie, at = h[order], doc[order], tie[order], at[order]
+        later = later_places(h, doc, tie, at)
+        parts, found = parted(doc[later], tie[later], at[later], buckets)
         return pa.concat_tables([told, pa.table({"part": pa.array(parts, pa.int64()), "blob": pa.array(found, pa.binary())})])
 
-    rows = docs.mapInArrow(hashed, "bucket long, told boolean, blob binary")
+    rows = in_small_batches(docs).mapInArrow(hashed, "bucket long, told boolean, blob binary")
     return rows.groupBy("bucket").applyInArrow(lambda key, t: counted(key, t), "part long, blob binary")
 
 
@@ -121,24 +139,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 8
     A word goes if a window of `window` words over it also starts at an earlier place: in a smaller doc_id, or
     earlier in the same document. Windows are judged on the input, and overlapping ones merge.
 
-    Null and empty texts, and texts shorter than a window, lose nothing. Rows with the same doc_id are one document
-    whose equal starts are one place, so exact copies of a row stay. A null doc_id sorts before all others. An
-    empty table gives no rows. Other columns are ignored.
+    Null and empty texts, and texts shorter than a window, lose nothing. A null doc_id sorts before all others. Different
+    texts without an id, or with one id, are documents of their own, in the order of a hash of the text; rows of one id
+    and text are one document, so exact copies of a row stay. An empty table gives no rows. Other columns are ignored.
     """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), "text")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+    # only rows whose id is not theirs alone need the hash, so it takes no room elsewhere
+    shared = own.where(F.col("doc_id") != _NULL_ID).groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("shared"))
+    own = attach(own, materialise(shared, "shared-ids"), ["doc_id"], F.col("tie"))
+    own = own.select("doc_id", F.when(F.col("shared") | (F.col("doc_id") == _NULL_ID), F.col("tie")).otherwise(0).alias("tie"), "text")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     found = repeats(own, window, buckets)
 
     def cut(texts: pa.Table, blobs: pa.Table) -> pa.Table:
         parts = [unpacked(x)[1:] for x in blobs["blob"].to_pylist()]
-        doc, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        order = np.argsort(doc, kind="stable")
-        doc, at = doc[order], at[order]
-        ids = np.asarray(texts["doc_id"])
-        lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+        doc, tie, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        order = np.lexsort((tie, doc))
+        doc, tie, at = doc[order], tie[order], at[order]
+        edge = np.append(starts(doc, tie), len(doc))
+        held = {(d, t): (a, b) for d, t, a, b in zip(doc[edge[:-1]].tolist(), tie[edge[:-1]].tolist(), edge.tolist(), edge[1:].tolist())}
         rows = []
-        for i, text, a, b in zip(ids.tolist(), texts["text"], lo, hi):
+        for i, t, text in zip(texts["doc_id"].to_pylist(), texts["tie"].to_pylist(), texts["text"]):
+            a, b = held.get((i, t), (0, 0))
             own = (text.as_py() or "").encode().split()
             left = own
             if a < b:

@@ -55,6 +55,19 @@ def test_substring(docs, empty, texts):
     assert substring.remove_repeats(docs.union(docs)).count() == 2 * len(texts)
 
 
+@pytest.mark.parametrize("bucket_bytes", [8 << 20, 500])
+def test_substring_of_shared_ids(spark, bucket_bytes):
+    """Rows without an id or with one id are documents of their own: text that repeats nowhere stays, what repeats goes."""
+    rng = np.random.default_rng(17)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, lone = words(40), words(80)
+    rows = [(None, f"{passage} {passage}"), (None, lone), (5, f"{words(10)} {passage}"), (5, words(70)), (5, f"{passage} x"), (7, words(60)), (7, lone)]
+    rows += [rows[1], rows[3], (None, None), (5, "")]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, tie int").repartition(3), bucket_bytes=bucket_bytes).collect())
+    want = collections.Counter({(None, 80, 40): 1, (None, 80, 0): 2, (5, 50, 40): 1, (5, 70, 0): 2, (5, 41, 40): 1, (7, 60, 0): 1, (7, 80, 80): 1, (None, 0, 0): 1, (5, 0, 0): 1})
+    assert got == want
+
+
 def fingerprint(text):
     w = (text or "").encode().lower().split()
     shingles = [b" ".join(w[j : j + 4]) for j in range(max(1, len(w) - 3))] if w else []

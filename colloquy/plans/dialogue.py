@@ -26,11 +26,14 @@ def _intent(name: str) -> str:
     return f"SELECT session_id, seq, '{name}' AS intent, {list(rules.INTENTS).index(name)} AS place, round({' + '.join(map(one, keys))}, 6) AS score, {hits} AS hits FROM m"
 
 
-def _topic() -> str:
-    def points(ws, ts):
-        return " + ".join([f"2 * contains(lower(text), {_q(w)})::INT" for w in ws] + [f"3 * contains(tools, {_q(t)})::INT" for t in ts])
-
-    sums = [(i, points(ws, ts)) for i, ws, ts in rules.TOPICS]
+def _topic() -> tuple[str, str]:
+    def points(ws, ts, code, sure):
+        own = [f"2 * contains(lower(text), {_q(w)})::INT" for w in ws] + [f"3 * contains(tools, {_q(t)})::INT" for t in ts]
+        if code:
+            own.append(f"CASE WHEN NOT regexp_matches(lower(text), {_q(code)}) THEN 0 WHEN {' OR '.join(f'contains(lower(text), {_q(w)})' for w in sure)} THEN 3 ELSE 1 END")
+        return " + ".join(own)
+
+    sums = [(i, points(*rest)) for i, *rest in rules.TOPICS]
     return ", ".join(f"{p} AS p{i}" for i, p in sums), "CASE WHEN greatest(" + ", ".join(f"p{i}" for i, _ in sums) + ") = 0 THEN 0 " + " ".join(f"WHEN p{i} = greatest({', '.join(f'p{j}' for j, _ in sums)}) THEN {i}" for i, _ in sums) + " END"
 
 
@@ -39,7 +42,8 @@ _POINTS, _PICK = _topic()
 
 def _topics(t):
     tool = F.concat(F.lit("tool_"), F.pmod(F.col("seq"), F.lit(7)).cast("string"))
-    return t.v_messages.select("session_id", "seq", "ts", F.ceil(F.length("text") / 4).alias("tokens"), op.topic_of(F.col("text"), tool).alias("topic"))
+    rows = t.v_messages.select("session_id", "seq", "ts", "text", tool.alias("tools"), F.ceil(F.length("text") / 4).alias("tokens"))
+    return op.with_topics(rows).drop("text", "tools")
 
 
 _TOPIC_SQL = f"WITH p AS (SELECT session_id, seq, ts, ceil(length(text) / 4)::BIGINT AS tokens, {_POINTS} FROM (SELECT *, 'tool_' || (seq % 7) AS tools FROM v_messages)), x AS (SELECT session_id, seq, ts, tokens, {_PICK} AS topic FROM p)"

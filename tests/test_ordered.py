@@ -119,3 +119,13 @@ def test_segments_of_long_chats(spark):
             last = ts
         want.add((k, segment, first, n))
     assert {tuple(r) for r in dialogue.simhash_segments(df, ["chat_id"]).collect()} == want and len(want) > 100
+
+
+def test_topics(spark):
+    """Overlapping words, either case, codes with and without a confirming word, ties, nulls and clashing columns."""
+    table = ((7, ("skill", "skills", "Kill"), (), None, ()), (3, ("库",), ("Read",), "[0-9]{4}", ("CODE",)), (9, (), ("read", "write"), None, ()))
+    rows = [("Skills", None), ("skill", "x"), ("数据库 1234", ""), ("1234", "READ"), ("1234 code", None), (None, "Write"), (None, None), ("", ""), ("12345", "rewrite"), ("库", "write")]
+    df = spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "id int, text string, tools string, points int")
+    got = {r.id: r.topic for r in dialogue.with_topics(df, table).collect()}
+    assert got == {0: 7, 1: 7, 2: 3, 3: 3, 4: 3, 5: 9, 6: 0, 7: 0, 8: 9, 9: 9} and dialogue.with_topics(df, ()).where("topic <> 0").count() == 0
+    assert dialogue.with_topics(df, table).columns == ["id", "text", "tools", "points", "topic"]

@@ -89,9 +89,20 @@ def chat_quality(chat: DataFrame) -> DataFrame:
     norm = F.lower(F.regexp_replace(F.regexp_replace("text", URL, "<url>"), r"[0-9]+", "#"))
     flag = lambda name, pattern: F.count_if(F.col("text").rlike(pattern)).alias(name)
     # counted by template and chat first, so a template that very many messages copy has one row for each chat
-    r = chat.groupBy("chat_id", F.md5(norm).alias("norm")).agg(F.min("chat_name").alias("chat_name"), F.count(F.lit(1)).alias("n"), F.count("text").alias("texts"), flag("links", URL), flag("asks", "[?？]"))
+    r = (
+        chat.groupBy("chat_id", F.md5(norm).alias("norm"))
+        .agg(F.min("chat_name").alias("chat_name"), F.count(F.lit(1)).alias("n"), F.count("text").alias("texts"), flag("links", URL), flag("asks", "[?？]"))
+    )
     across = r.groupBy("norm").agg(F.count("chat_id").alias("chats")).where("chats >= 3").select("norm", F.lit(1).alias("copied"))
-    s = r.join(across, "norm", "left").groupBy("chat_id").agg(F.min("chat_name").alias("chat_name"), F.sum("n").alias("n"), (F.sum("links") / F.sum("texts")).alias("links"), (F.sum("asks") / F.sum("texts")).alias("asks"), F.sum(F.when(F.col("copied") == 1, F.col("n")).otherwise(0)).alias("copied"))
+    s = (
+        r.join(across, "norm", "left")
+        .groupBy("chat_id")
+        .agg(
+            F.min("chat_name").alias("chat_name"), F.sum("n").alias("n"), (F.sum("links") / F.sum("texts")).alias("links"),
+            (F.sum("asks") / F.sum("texts")).alias("asks"),
+            F.sum(F.when(F.col("copied") == 1, F.col("n")).otherwise(0)).alias("copied"),
+        )
+    )
     top = chat.groupBy("chat_id", "sender").count().groupBy("chat_id").agg(F.max("count").alias("top"))
     s = s.join(top, "chat_id")
     score = F.when(F.col("chat_name").rlike("优惠|红包|福利|返利"), 30).otherwise(0) + F.when(F.col("top") / F.col("n") >= 0.8, 20).otherwise(0) + F.when(F.col("links") >= 0.5, 20).otherwise(0) + F.when(F.col("copied") / F.col("n") >= 0.3, 15).otherwise(0) + F.when(F.col("asks") < 0.05, 15).otherwise(0)
@@ -132,7 +143,12 @@ def tail_state(messages: DataFrame, short: int = 12) -> DataFrame:
 def reactivations(chat: DataFrame, now: str, days: int, top: int = 20) -> DataFrame:
     last = chat.groupBy("chat_id").agg(F.max(F.struct("ts", "id", "sender")).alias("m"))
     idle = F.datediff(F.lit(now).cast("date"), F.to_date("m.ts"))
-    return last.select("chat_id", F.col("m.ts").alias("last"), F.col("m.sender").alias("sender"), idle.alias("idle_days")).where(F.col("idle_days") >= days).orderBy(F.desc("idle_days"), "chat_id").limit(top)
+    return (
+        last.select("chat_id", F.col("m.ts").alias("last"), F.col("m.sender").alias("sender"), idle.alias("idle_days"))
+        .where(F.col("idle_days") >= days)
+        .orderBy(F.desc("idle_days"), "chat_id")
+        .limit(top)
+    )
 
 
 def mine_context(chat: DataFrame, me: str, around: int = 2) -> DataFrame:

@@ -39,7 +39,12 @@ def profiles(chat: DataFrame, terms: int = 5, quotes: int = 3) -> DataFrame:
     size = F.length("text")
     by = chat.groupBy("sender").agg(F.count(F.lit(1)).alias("messages"), F.avg(size).alias("mean"), F.count_if(F.col("text").rlike("[?？]")).alias("asks"))
     total = chat.agg(F.count(F.lit(1)).alias("total"))  # one row
-    role = F.when(F.col("mean") > 40, "writer").when(F.col("asks") > 0.3 * F.col("messages"), "asker").when(F.col("messages") >= F.greatest(F.lit(5.0), 0.2 * F.col("total")), "core").otherwise("active")
+    role = (
+        F.when(F.col("mean") > 40, "writer")
+        .when(F.col("asks") > 0.3 * F.col("messages"), "asker")
+        .when(F.col("messages") >= F.greatest(F.lit(5.0), 0.2 * F.col("total")), "core")
+        .otherwise("active")
+    )
     counts = chat.select("sender", F.explode(tokens(F.col("text"))).alias("term")).where(F.length("term") >= 2).groupBy("sender", "term").agg(F.count(F.lit(1)).alias("n"))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda e: e[c]), "|")
     top = _top(counts, ["sender"], terms).groupBy("sender").agg(listed("term").alias("terms"))
@@ -62,7 +67,13 @@ def topics(segments: DataFrame, by: list[str], most: int = 8) -> DataFrame:
     score = F.round(F.col("tf") * (F.log((F.col("segments") + 1) / (F.col("df") + 1)) + 1), 6)
     seeds = weights.select("term", score.alias("weight")).orderBy(F.desc("weight"), "term").limit(3 * most)
     best = counts.join(F.broadcast(seeds), "term").groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("weight"), "term")).alias("m"))
-    return best.select(F.col("m.term").alias("topic"), (-F.col("m.n")).alias("n")).groupBy("topic").agg(F.count(F.lit(1)).alias("segments"), F.sum("n").alias("mentions")).orderBy(F.desc("segments"), "topic").limit(most)
+    return (
+        best.select(F.col("m.term").alias("topic"), (-F.col("m.n")).alias("n"))
+        .groupBy("topic")
+        .agg(F.count(F.lit(1)).alias("segments"), F.sum("n").alias("mentions"))
+        .orderBy(F.desc("segments"), "topic")
+        .limit(most)
+    )
 
 
 def brand_periods(chat: DataFrame, brands: dict[str, str], unit: str = "month") -> DataFrame:
@@ -75,7 +86,10 @@ def brand_periods(chat: DataFrame, brands: dict[str, str], unit: str = "month")
     before = F.coalesce(F.lag("mentions").over(Window.partitionBy("brand").orderBy("period")), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("mentions"), "brand"))
     confidence = F.when(F.col("senders") >= 5, "high").when(F.col("senders") >= 2, "medium").otherwise("low")
-    return s.select("period", "brand", "mentions", "senders", (rank == 1).alias("is_primary"), confidence.alias("confidence"), ((F.col("mentions") > 2) & (before < 0.2 * F.col("mentions"))).alias("emerging"))
+    return s.select(
+        "period", "brand", "mentions", "senders", (rank == 1).alias("is_primary"), confidence.alias("confidence"),
+        ((F.col("mentions") > 2) & (before < 0.2 * F.col("mentions"))).alias("emerging"),
+    )
 
 
 def with_topics(rows: DataFrame, table: tuple = rules.TOPICS, text: str = "text", tools: str = "tools", name: str = "topic") -> DataFrame:
@@ -119,15 +133,31 @@ def with_topics(rows: DataFrame, table: tuple = rules.TOPICS, text: str = "text"
 
 def topic_stats(rows: DataFrame) -> DataFrame:
     """Rows, sessions, tokens, cost at $3 a million tokens, share of cost and span by topic."""
-    g = rows.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("session_id").alias("sessions"), F.sum("tokens").alias("tokens"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    g = (
+        rows.groupBy("topic")
+        .agg(
+            F.count(F.lit(1)).alias("messages"), F.count_distinct("session_id").alias("sessions"),
+            F.sum("tokens").alias("tokens"), F.min("ts").alias("first"), F.max("ts").alias("last"),
+        )
+    )
     return g.withColumn("cost", F.round(F.col("tokens") * 3 / 1e6, 6)).withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 4))  # one row a topic
 
 
 def participants(chat: DataFrame, quotes: int = 20) -> DataFrame:
     """Messages, hour histogram and newest quotes of each sender, as a profile that merge_profiles adds up."""
-    hours = chat.groupBy("sender", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n")).groupBy("sender").agg(F.sum("n").alias("messages"), F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("hours"))
+    hours = (
+        chat.groupBy("sender", F.hour("ts").alias("hour"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("sender")
+        .agg(F.sum("n").alias("messages"), F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("hours"))
+    )
     newest = Window.partitionBy("sender").orderBy(F.desc("ts"), F.desc("id"))
-    said = chat.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= quotes).groupBy("sender").agg(F.array_sort(F.collect_list(F.struct("ts", "id", F.substring("text", 1, 60).alias("text")))).alias("quotes"))
+    said = (
+        chat.withColumn("k", F.row_number().over(newest))
+        .where(F.col("k") <= quotes)
+        .groupBy("sender")
+        .agg(F.array_sort(F.collect_list(F.struct("ts", "id", F.substring("text", 1, 60).alias("text")))).alias("quotes"))
+    )
     return hours.join(said, "sender")
 
 
@@ -136,7 +166,11 @@ def merge_profiles(old: DataFrame, new: DataFrame, quotes: int = 20) -> DataFram
     o, n = old.select("sender", F.struct("messages", "hours", "quotes").alias("o")), new.select("sender", F.struct("messages", "hours", "quotes").alias("n"))
     both = o.join(n, "sender", "full_outer")
     zero = F.lit(0).cast("long")
-    hours = F.when(F.col("o").isNull(), F.col("n.hours")).when(F.col("n").isNull(), F.col("o.hours")).otherwise(F.map_zip_with("o.hours", "n.hours", lambda k, a, b: F.coalesce(a, zero) + F.coalesce(b, zero)))
+    hours = (
+        F.when(F.col("o").isNull(), F.col("n.hours"))
+        .when(F.col("n").isNull(), F.col("o.hours"))
+        .otherwise(F.map_zip_with("o.hours", "n.hours", lambda k, a, b: F.coalesce(a, zero) + F.coalesce(b, zero)))
+    )
     every = F.array_sort(F.concat(F.coalesce("o.quotes", F.slice("n.quotes", 1, 0)), F.coalesce("n.quotes", F.slice("o.quotes", 1, 0))))
     kept = F.slice(every, F.greatest(F.size(every) - quotes + 1, F.lit(1)), quotes)
     return both.select("sender", (F.coalesce("o.messages", zero) + F.coalesce("n.messages", zero)).alias("messages"), hours.alias("hours"), kept.alias("quotes"))
@@ -167,7 +201,13 @@ def intents(rows: DataFrame, text: str = "text") -> DataFrame:
     def hits(keys: tuple) -> Column:
         return F.size(F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(low, k)))
 
-    ranked = F.reverse(F.array_sort(F.array(*[F.struct(F.round(score(w, ks), 6).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("intent"), hits(ks).alias("hits")) for i, (name, (w, ks)) in enumerate(rules.INTENTS.items())])))
+    ranked = F.reverse(
+        F.array_sort(
+            F.array(
+                *[F.struct(F.round(score(w, ks), 6).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("intent"), hits(ks).alias("hits")) for i, (name, (w, ks)) in enumerate(rules.INTENTS.items())],
+            ),
+        ),
+    )
     r = rows.withColumn("ranked", ranked)
     best, second = F.col("ranked")[0], F.col("ranked")[1]
     sure = best["score"] / (best["score"] + second["score"])

@@ -38,7 +38,12 @@ def rich_stats(calls: DataFrame, error_rate: float = 0.25, turns: int = 40, retr
     by_tool = calls.groupBy("session_id", "name").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_error()).alias("bad"))
     entry = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(v) > 0, F.struct("name", F.col(v).alias("value"))))))
     s = by_tool.groupBy("session_id").agg(entry("n").alias("tool_usage"), entry("bad").alias("tool_errors"), F.sum("n").alias("calls"), F.sum("bad").alias("errors"), F.max("n").alias("most"))
-    flags = F.array_compact(F.array(F.when(F.col("errors") / F.col("calls") > error_rate, F.lit("high_error_rate")), F.when(F.col("calls") > turns, F.lit("long_conversation")), F.when(F.col("most") > retries, F.lit("retry_loop"))))
+    flags = F.array_compact(
+        F.array(
+            F.when(F.col("errors") / F.col("calls") > error_rate, F.lit("high_error_rate")),
+            F.when(F.col("calls") > turns, F.lit("long_conversation")), F.when(F.col("most") > retries, F.lit("retry_loop")),
+        ),
+    )
     return s.select("session_id", "tool_usage", "tool_errors", "calls", "errors", flags.alias("flags"))
 
 
@@ -51,7 +56,14 @@ def tool_perf(calls: DataFrame) -> DataFrame:
     w = Window.partitionBy("name")
     run = bins.withColumn("upto", F.sum("n").over(w.orderBy("duration_ms"))).withColumn("all", F.sum("n").over(w))
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * p / 100), F.col("all") - 1), F.col("duration_ms")))
-    return run.groupBy("name").agg(F.sum("n").alias("calls"), F.sum("bad").alias("errors"), rate(F.sum("bad"), F.sum("n")).alias("error_rate"), F.round(F.sum(F.col("n") * F.col("duration_ms")) / F.sum("n"), 4).alias("avg_ms"), at(50).alias("p50_ms"), at(95).alias("p95_ms"), F.sum(F.col("n") * F.col("duration_ms")).alias("total_ms"))
+    return (
+        run.groupBy("name")
+        .agg(
+            F.sum("n").alias("calls"), F.sum("bad").alias("errors"), rate(F.sum("bad"), F.sum("n")).alias("error_rate"),
+            F.round(F.sum(F.col("n") * F.col("duration_ms")) / F.sum("n"), 4).alias("avg_ms"), at(50).alias("p50_ms"),
+            at(95).alias("p95_ms"), F.sum(F.col("n") * F.col("duration_ms")).alias("total_ms"),
+        )
+    )
 
 
 def retry_runs(calls: DataFrame, least: int = 3) -> DataFrame:
@@ -60,13 +72,23 @@ def retry_runs(calls: DataFrame, least: int = 3) -> DataFrame:
     key = F.concat_ws("|", "name", "status")
     runs = calls.withColumn("key", key).withColumn("change", F.coalesce((F.lag("key").over(w) != F.col("key")).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("change").over(w)).where(is_error())
-    return runs.groupBy("session_id", "run", "name").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended")).where(F.col("n") >= least).select("session_id", "name", "n", "started", "ended")
+    return (
+        runs.groupBy("session_id", "run", "name")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended"))
+        .where(F.col("n") >= least)
+        .select("session_id", "name", "n", "started", "ended")
+    )
 
 
 def call_results(calls: DataFrame, results: DataFrame, on: list[str]) -> DataFrame:
     """Calls with their results; a call without one counts as ok."""
     r = results.withColumn("has_result", F.lit(True))
-    return calls.join(r, on, "left").withColumn("status", F.coalesce("status", F.lit("ok"))).withColumn("result", F.when(F.col("has_result"), F.col("result")).otherwise(F.lit("(no result captured)"))).drop("has_result")
+    return (
+        calls.join(r, on, "left")
+        .withColumn("status", F.coalesce("status", F.lit("ok")))
+        .withColumn("result", F.when(F.col("has_result"), F.col("result")).otherwise(F.lit("(no result captured)")))
+        .drop("has_result")
+    )
 
 
 def active_minutes(rows: DataFrame) -> DataFrame:
@@ -86,4 +108,8 @@ def fair_merge(rows: DataFrame, limit: int = 20) -> DataFrame:
 
 def candidate_rules(runs: DataFrame) -> DataFrame:
     """A rule text for each tool with retry runs."""
-    return runs.groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest")).withColumn("rule", F.format_string("check inputs before calling %s again (%d runs, longest %d)", "name", "runs", "longest"))
+    return (
+        runs.groupBy("name")
+        .agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest"))
+        .withColumn("rule", F.format_string("check inputs before calling %s again (%d runs, longest %d)", "name", "runs", "longest"))
+    )

@@ -71,7 +71,11 @@ class PhraseIndex:
         ranged = spread.repartitionByRange("bucket", "term", "key").groupBy("bucket", "term", "key").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
         ranged.sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(at.format("postings"))
         own = self.spark.read.schema(POSTINGS).parquet(at.format("postings"))
-        own.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at.format("terms"))
+        (
+            own.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite")
+            .partitionBy("bucket")
+            .parquet(at.format("terms"))
+        )
         done = self.spark.read.parquet(at.format("rows")).agg(F.lit(number).alias("batch"), F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("terms"))
         added = done.first()
         done.coalesce(1).write.mode("append").parquet(f"{self.path}/batches")

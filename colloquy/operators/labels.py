@@ -87,7 +87,13 @@ def agent_family(agent: Column) -> Column:
 
 
 def chat_kind(user: Column) -> Column:
-    return F.when(F.endswith(user, F.lit("@chatroom")), "group").when(F.startswith(user, F.lit("gh_")), "official").when(F.endswith(user, F.lit("@openim")), "openim").when(F.startswith(user, F.lit("wxid_wi_")), "wework").otherwise("single")
+    return (
+        F.when(F.endswith(user, F.lit("@chatroom")), "group")
+        .when(F.startswith(user, F.lit("gh_")), "official")
+        .when(F.endswith(user, F.lit("@openim")), "openim")
+        .when(F.startswith(user, F.lit("wxid_wi_")), "wework")
+        .otherwise("single")
+    )
 
 
 def best_skills(patterns: DataFrame, skills: DataFrame, key: str = "pattern_id") -> DataFrame:
@@ -136,7 +142,14 @@ def modules(files: DataFrame) -> DataFrame:
     f = files.select(F.regexp_replace("path", "/?[^/]*$", "").alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
     lang = F.create_map(*[F.lit(x) for p in LANGUAGES.items() for x in p])[F.regexp_extract("file", r"(\.[^.]+)$", 1)]
     by = f.withColumn("lang", lang).groupBy("folder", "lang").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("file").isin(*MARKERS)).alias("marked"))
-    m = by.groupBy("folder").agg(F.sum("n").alias("files"), F.bool_or("marked").alias("marked"), F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("n")).alias("n"), "lang"))).alias("top")).where("marked")
+    m = (
+        by.groupBy("folder")
+        .agg(
+            F.sum("n").alias("files"), F.bool_or("marked").alias("marked"),
+            F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("n")).alias("n"), "lang"))).alias("top"),
+        )
+        .where("marked")
+    )
     parts = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     outer = m.where(F.contains("folder", F.lit("/"))).select(F.explode(above).alias("folder")).distinct().withColumn("outer", F.lit(True))

@@ -34,7 +34,11 @@ def prepare_queries(queries: DataFrame, text: str = "text", most: int = 12) -> D
     """Each row's keyword as one phrase of terms, or the reason why it cannot be one; a lone ASCII word is a prefix."""
     terms = F.col("terms")
     reason = F.when(F.size(terms) == 0, "no_terms").when(F.size(terms) > most, "too_many_terms")
-    return queries.withColumn("terms", tokens(F.col(text))).withColumn("reason", reason).withColumn("prefix", (F.size(terms) == 1) & F.element_at(F.concat(terms, F.array(F.lit(""))), 1).rlike("^[a-z0-9_]+$"))
+    return (
+        queries.withColumn("terms", tokens(F.col(text)))
+        .withColumn("reason", reason)
+        .withColumn("prefix", (F.size(terms) == 1) & F.element_at(F.concat(terms, F.array(F.lit(""))), 1).rlike("^[a-z0-9_]+$"))
+    )
 
 
 def page_with_total(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:

@@ -17,7 +17,14 @@ def period(ts: Column, unit: str) -> Column:
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Sessions, calls, error rate and mean length of sessions with one, by columns."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("sessions"), F.sum("messages").alias("turns"), F.sum("tool_calls").alias("tool_calls"), rate(F.sum("errors"), F.sum("tool_calls"), 3).alias("error_rate"), F.round(F.avg(F.when(F.col("duration_seconds") > 0, F.col("duration_seconds"))), 3).alias("mean_seconds"))
+    return (
+        rows.groupBy(*by)
+        .agg(
+            F.count(F.lit(1)).alias("sessions"), F.sum("messages").alias("turns"), F.sum("tool_calls").alias("tool_calls"),
+            rate(F.sum("errors"), F.sum("tool_calls"), 3).alias("error_rate"),
+            F.round(F.avg(F.when(F.col("duration_seconds") > 0, F.col("duration_seconds"))), 3).alias("mean_seconds"),
+        )
+    )
 
 
 def direction(delta: Column, good: int = -1, least: float = 0.01) -> Column:
@@ -38,14 +45,32 @@ def tool_changes(calls: DataFrame, unit: str = "week", least: float = 0.10) -> D
     by = calls.groupBy("name", period(F.col("ts"), unit).alias("period")).agg((F.count_if(is_error()) / F.count(F.lit(1))).alias("r"))
     ends = by.groupBy("name").agg(F.min_by("r", "period").alias("first"), F.max_by("r", "period").alias("last"), F.count(F.lit(1)).alias("periods")).where("periods >= 2")
     change = F.round(F.col("last") - F.col("first"), 4)
-    return ends.select("name", F.round("first", 4).alias("first_rate"), F.round("last", 4).alias("last_rate"), change.alias("change"), F.when(change >= least, "regression").when(change <= -least, "improvement").alias("kind")).where("kind IS NOT NULL")
+    return (
+        ends.select(
+            "name", F.round("first", 4).alias("first_rate"), F.round("last", 4).alias("last_rate"), change.alias("change"),
+            F.when(change >= least, "regression").when(change <= -least, "improvement").alias("kind"),
+        )
+        .where("kind IS NOT NULL")
+    )
 
 
 def anomalies(rows: DataFrame, calls: DataFrame, error_rate: float = 0.25, retries: int = 15, messages: int = 50, newest: int = 50) -> DataFrame:
     """Sessions with many errors (newest first), with a tool called often, or that are long."""
     order = [F.desc("created"), F.asc("session_id")]
-    high = rows.where(F.col("errors") / F.col("tool_calls") >= error_rate).orderBy(*order).limit(newest).select("session_id", F.lit("high_error_rate").alias("kind"), rate(F.col("errors"), F.col("tool_calls")).alias("value"))
-    loops = calls.groupBy("session_id", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= retries).groupBy("session_id").agg(F.max("n").cast("double").alias("value")).select("session_id", F.lit("retry_loop").alias("kind"), "value")
+    high = (
+        rows.where(F.col("errors") / F.col("tool_calls") >= error_rate)
+        .orderBy(*order)
+        .limit(newest)
+        .select("session_id", F.lit("high_error_rate").alias("kind"), rate(F.col("errors"), F.col("tool_calls")).alias("value"))
+    )
+    loops = (
+        calls.groupBy("session_id", "name")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= retries)
+        .groupBy("session_id")
+        .agg(F.max("n").cast("double").alias("value"))
+        .select("session_id", F.lit("retry_loop").alias("kind"), "value")
+    )
     long = rows.where(F.col("messages") >= messages).orderBy(*order).limit(newest).select("session_id", F.lit("long_conversation").alias("kind"), F.col("messages").cast("double").alias("value"))
     return high.unionByName(loops).unionByName(long)
 
@@ -93,7 +118,14 @@ def half_trend(rows: DataFrame, buckets: int = 64) -> DataFrame:
     days = days.withColumn("before", F.sum("count").over(w) - F.col("count")).withColumn("all", F.sum("count").over(Window.partitionBy())).select(F.col("day").alias("the_day"), "before", "all")
     ranked = rows.join(days, day == F.col("the_day")).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("the_day").orderBy("created", "session_id")))
     half = F.when(F.col("rank") <= F.floor(F.col("all") / 2), "first").otherwise("second")
-    return ranked.groupBy(half.alias("half")).agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("messages"), 4).alias("avg_messages"), F.round(F.avg("errors"), 4).alias("errors_per_session"), F.round(F.sum("duration_seconds") / 60, 2).alias("minutes"))
+    return (
+        ranked.groupBy(half.alias("half"))
+        .agg(
+            F.count(F.lit(1)).alias("sessions"), F.round(F.avg("messages"), 4).alias("avg_messages"),
+            F.round(F.avg("errors"), 4).alias("errors_per_session"),
+            F.round(F.sum("duration_seconds") / 60, 2).alias("minutes"),
+        )
+    )
 
 
 def env_health(calls: DataFrame, family: Column) -> DataFrame:
@@ -102,7 +134,10 @@ def env_health(calls: DataFrame, family: Column) -> DataFrame:
     out = by.groupBy("family").agg(F.sum("n").alias("calls"), F.sum("bad").alias("errors"), F.count(F.lit(1)).alias("tools"), F.max(F.struct("bad", "name")).alias("worst"))
     r = F.col("errors") / F.col("calls")
     dominant = F.when((F.col("worst.bad") >= 5) & (F.col("worst.bad") / F.col("errors") >= 0.3), F.col("worst.name"))
-    return out.select("family", "calls", "tools", F.round(r, 4).alias("error_rate"), dominant.alias("dominant_tool"), F.when(F.col("calls") < 10, "UNKNOWN").when(r >= 0.08, "CRITICAL").when(r >= 0.04, "WARNING").otherwise("OK").alias("status"))
+    return out.select(
+        "family", "calls", "tools", F.round(r, 4).alias("error_rate"), dominant.alias("dominant_tool"),
+        F.when(F.col("calls") < 10, "UNKNOWN").when(r >= 0.08, "CRITICAL").when(r >= 0.04, "WARNING").otherwise("OK").alias("status"),
+    )
 
 
 def issue_scores(issues: DataFrame, penalty: dict[str, float], weights: dict[str, float]) -> DataFrame:

@@ -29,7 +29,11 @@ def by_model(usage: DataFrame) -> DataFrame:
 def primary_model(usage: DataFrame, weight: int = 3) -> DataFrame:
     """The session's first useful model, else the one with most votes."""
     votes = usage.groupBy("session_id", "model").agg((F.count(F.lit(1)) * weight).alias("votes"), F.min("request_seq").alias("seq"))
-    return votes.groupBy("session_id").agg(F.min_by("model", F.struct("seq", "model")).alias("first"), F.max_by("model", F.struct("votes", -F.col("seq"), "model")).alias("most")).select("session_id", F.when(F.col("first") != "NO", F.col("first")).otherwise(F.col("most")).alias("model"))
+    return (
+        votes.groupBy("session_id")
+        .agg(F.min_by("model", F.struct("seq", "model")).alias("first"), F.max_by("model", F.struct("votes", -F.col("seq"), "model")).alias("most"))
+        .select("session_id", F.when(F.col("first") != "NO", F.col("first")).otherwise(F.col("most")).alias("model"))
+    )
 
 
 def cumulative_max(usage: DataFrame) -> DataFrame:
@@ -55,14 +59,33 @@ def by_mode(usage: DataFrame, tree: DataFrame) -> DataFrame:
     """Usage by model counted per family, per root session, and raw, in one pass."""
     r = rooted(usage, tree)
     kept = F.when(F.col("child"), F.array(F.lit("raw"), F.lit("family"))).otherwise(F.array(F.lit("raw"), F.lit("family"), F.lit("session")))
-    return r.withColumn("mode", F.explode(kept)).groupBy("mode", "model").agg(F.count_distinct(F.when(F.col("mode") == "family", F.col("root")).otherwise(F.col("session_id"))).alias("units"), *[F.sum(c).alias(c) for c in LEGS])
+    return (
+        r.withColumn("mode", F.explode(kept))
+        .groupBy("mode", "model")
+        .agg(
+            F.count_distinct(F.when(F.col("mode") == "family", F.col("root")).otherwise(F.col("session_id"))).alias("units"),
+            *[F.sum(c).alias(c) for c in LEGS],
+        )
+    )
 
 
 def family_report(usage: DataFrame, tree: DataFrame) -> DataFrame:
     """Per family: standalone without children; separate if a child model's input exceeds the parent's; else rollup."""
     r = rooted(usage, tree)
-    by = r.groupBy("root", "model").agg(F.sum(F.when(~F.col("child"), F.col("input_tokens")).otherwise(0)).alias("own"), F.sum(F.when(F.col("child"), F.col("input_tokens")).otherwise(0)).alias("below"), F.max("child").alias("child"))
-    s = by.groupBy("root").agg(F.max("child").alias("child"), F.bool_or(F.col("below") > F.col("own")).alias("over"), F.sum("own").alias("own"), F.sum("below").alias("below"), F.sum(F.greatest(F.col("own") - F.col("below"), F.lit(0))).alias("net"))
+    by = (
+        r.groupBy("root", "model")
+        .agg(
+            F.sum(F.when(~F.col("child"), F.col("input_tokens")).otherwise(0)).alias("own"),
+            F.sum(F.when(F.col("child"), F.col("input_tokens")).otherwise(0)).alias("below"), F.max("child").alias("child"),
+        )
+    )
+    s = (
+        by.groupBy("root")
+        .agg(
+            F.max("child").alias("child"), F.bool_or(F.col("below") > F.col("own")).alias("over"), F.sum("own").alias("own"),
+            F.sum("below").alias("below"), F.sum(F.greatest(F.col("own") - F.col("below"), F.lit(0))).alias("net"),
+        )
+    )
     kind = F.when(~F.col("child"), "standalone").when(F.col("over"), "separate").otherwise("rollup")
     return s.select("root", kind.alias("accounting"), F.when(kind == "rollup", F.col("net")).otherwise(F.col("own")).alias("parent_input"), F.col("below").alias("children_input"))
 
@@ -86,12 +109,25 @@ def cache_tables(rates: DataFrame, group: Column, least: int = 3) -> DataFrame:
     """Eligible and excluded sessions by group, model and both, in one pass."""
     why = F.when(F.col("rate").isNull(), "no_rate").when(F.col("rate") == 0, "zero").otherwise("eligible")
     r = rates.withColumn("grp", group).withColumn("why", why)
-    out = r.groupingSets([["grp"], ["grp", "model"], []], "grp", "model").agg(F.count_if(F.col("why") == "eligible").alias("eligible"), F.count_if(F.col("why") == "zero").alias("zero"), F.count_if(F.col("why") == "no_rate").alias("no_rate"), mean_rate(F.col("rate")).alias("mean_rate"))
+    out = (
+        r.groupingSets([["grp"], ["grp", "model"], []], "grp", "model")
+        .agg(
+            F.count_if(F.col("why") == "eligible").alias("eligible"), F.count_if(F.col("why") == "zero").alias("zero"),
+            F.count_if(F.col("why") == "no_rate").alias("no_rate"), mean_rate(F.col("rate")).alias("mean_rate"),
+        )
+    )
     return out.where(F.col("eligible") >= least)
 
 
 def cache_audit(rates: DataFrame) -> DataFrame:
-    s = rates.groupBy("model").agg(F.count(F.lit(1)).alias("sessions"), mean_rate(F.col("rate")).alias("mean_rate"), cache_rate(F.sum("cache_read_tokens"), F.sum("input_tokens"), F.lit(True)).alias("weighted_rate"), F.count_if(F.col("rate") == 0).alias("zero"), F.count_if(F.col("rate").isNull()).alias("missing"))
+    s = (
+        rates.groupBy("model")
+        .agg(
+            F.count(F.lit(1)).alias("sessions"), mean_rate(F.col("rate")).alias("mean_rate"),
+            cache_rate(F.sum("cache_read_tokens"), F.sum("input_tokens"), F.lit(True)).alias("weighted_rate"),
+            F.count_if(F.col("rate") == 0).alias("zero"), F.count_if(F.col("rate").isNull()).alias("missing"),
+        )
+    )
     return s.withColumn("grade", F.when(F.col("weighted_rate") >= 0.8, "A").when(F.col("weighted_rate") >= 0.5, "B").when(F.col("weighted_rate") >= 0.2, "C").otherwise("D"))
 
 
@@ -161,8 +197,19 @@ def month_forecast(rows: DataFrame, months: int = 6) -> DataFrame:
     order = Window.orderBy("month")
     w = order.rowsBetween(-months, -1)
     s = by.withColumn("x", F.row_number().over(order).cast("double"))
-    s = s.withColumn("n", F.count("y").over(w)).withColumn("sx", F.sum("x").over(w)).withColumn("sy", F.sum("y").over(w)).withColumn("sxy", F.sum(F.col("x") * F.col("y")).over(w)).withColumn("sxx", F.sum(F.col("x") * F.col("x")).over(w)).withColumn("syy", F.sum(F.col("y") * F.col("y")).over(w)).where(F.col("n") == months)
-    s = s.withColumn("slope", (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))).withColumn("cut", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
+    s = (
+        s.withColumn("n", F.count("y").over(w))
+        .withColumn("sx", F.sum("x").over(w))
+        .withColumn("sy", F.sum("y").over(w))
+        .withColumn("sxy", F.sum(F.col("x") * F.col("y")).over(w))
+        .withColumn("sxx", F.sum(F.col("x") * F.col("x")).over(w))
+        .withColumn("syy", F.sum(F.col("y") * F.col("y")).over(w))
+        .where(F.col("n") == months)
+    )
+    s = (
+        s.withColumn("slope", (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")))
+        .withColumn("cut", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n"))
+    )
     rest = F.greatest(F.col("syy") - F.col("cut") * F.col("sy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
     sigma = F.sqrt(rest / F.col("n"))
     off = F.col("y") - (F.col("cut") + F.col("slope") * F.col("x"))

@@ -40,9 +40,12 @@ def _refresh(t):
     return inc.refresh(stored, plan, computed, ["tag"])
 
 
-register("p1_refresh", _refresh, """
+register(
+    "p1_refresh", _refresh,
+    """
 WITH s AS (SELECT session_id AS path, session_id::BIGINT AS k, count(*) AS n FROM v_messages GROUP BY ALL), a AS (SELECT *, CASE WHEN k % 13 = 5 THEN 'prune' WHEN k % 10 = 0 OR k % 7 = 1 THEN 'compute' ELSE 'skip' END AS action FROM s)
-SELECT path, CASE WHEN action = 'compute' AND k % 4 <> 3 THEN n ELSE n + 100 END AS messages, CASE WHEN k % 10 <> 0 THEN 't' || path END AS tag FROM a WHERE action <> 'prune' AND (k % 10 <> 0 OR k % 4 <> 3)""")
+SELECT path, CASE WHEN action = 'compute' AND k % 4 <> 3 THEN n ELSE n + 100 END AS messages, CASE WHEN k % 10 <> 0 THEN 't' || path END AS tag FROM a WHERE action <> 'prune' AND (k % 10 <> 0 OR k % 4 <> 3)""",
+)
 
 
 def _folder(t, name):
@@ -91,9 +94,12 @@ def _told(t):
     return told[0]
 
 
-register("p10_stored_marks", _told, """
+register(
+    "p10_stored_marks", _told,
+    """
 WITH m AS (SELECT chat_id, max(ts) AS mark FROM v_chat WHERE id < 120 AND (chat_id IS NULL OR chat_id <> 'src4') GROUP BY chat_id)
-SELECT c.chat_id, count(*) AS messages, count(DISTINCT sender) AS senders, min(ts) AS first, max(ts) AS last FROM v_chat c LEFT JOIN m ON m.chat_id IS NOT DISTINCT FROM c.chat_id WHERE mark IS NULL OR ts > mark GROUP BY c.chat_id""")
+SELECT c.chat_id, count(*) AS messages, count(DISTINCT sender) AS senders, min(ts) AS first, max(ts) AS last FROM v_chat c LEFT JOIN m ON m.chat_id IS NOT DISTINCT FROM c.chat_id WHERE mark IS NULL OR ts > mark GROUP BY c.chat_id""",
+)
 
 
 def _sync(t):
@@ -101,10 +107,13 @@ def _sync(t):
     return inc.append_above(rows.where("id < 200 AND chat_id <> 'src4'"), rows, "id", "chat_id", "ts")
 
 
-register("p3_high_water_sync", _sync, """
+register(
+    "p3_high_water_sync", _sync,
+    """
 WITH r AS (SELECT id, chat_id, CASE WHEN id % 50 = 41 THEN ts - INTERVAL 60 DAY ELSE ts END AS ts FROM v_chat), m AS (SELECT chat_id, max(id) AS mark, max(ts) AS latest FROM r WHERE id < 200 AND chat_id <> 'src4' GROUP BY chat_id),
 n AS (SELECT r.*, latest FROM r LEFT JOIN m ON r.chat_id IS NOT DISTINCT FROM m.chat_id AND m.chat_id IS NOT NULL WHERE mark IS NULL OR id > mark)
-SELECT id, chat_id, ts, coalesce(ts >= greatest(latest, max(ts) OVER (PARTITION BY chat_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), true) AS in_order FROM n""")
+SELECT id, chat_id, ts, coalesce(ts >= greatest(latest, max(ts) OVER (PARTITION BY chat_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), true) AS in_order FROM n""",
+)
 
 
 def signal_events(t):
@@ -135,8 +144,57 @@ r AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY ts, decision IS NOT
 i AS (SELECT key, chat_id, round, arg_max(decision, (ts, decision)) FILTER (decision IS NOT NULL) AS decision, max(hints) FILTER (accepted) AS hints, count(*) FILTER (accepted) AS n, max(ts) FILTER (accepted AND (decided IS NULL OR decided IN ('won', 'lost'))) + 1209600 AS expires FROM r GROUP BY ALL),
 items AS (SELECT *, CASE decision WHEN 'pursue' THEN 'open' WHEN 'wait' THEN 'waiting' WHEN 'pause' THEN 'paused' WHEN 'ignore' THEN 'ignored' WHEN 'won' THEN 'won' WHEN 'lost' THEN 'lost' ELSE CASE WHEN expires <= """ + str(_AT) + """ THEN 'stale' ELSE 'new' END END AS status, CASE WHEN hints >= 2 THEN 'high' ELSE 'medium' END AS confidence, least(5, 2 + greatest(0, hints - 1)) AS priority FROM i)"""
 
-register("p5_followup_state", lambda t: fu.follow_up(signal_events(t)).groupBy("chat_id", "round").agg(F.count(F.lit(1)).alias("items"), F.sum("reinforcement").cast("long").alias("signals"), F.count_if(c("status") == "won").alias("won")), f"WITH {_EVENTS} SELECT chat_id, round, count(*) AS items, sum(n)::BIGINT AS signals, count(*) FILTER (status = 'won') AS won FROM items GROUP BY chat_id, round")
-register("p6_expire_triage", lambda t: fu.follow_up(signal_events(t), at=_AT).groupBy("status", "confidence").agg(F.count(F.lit(1)).alias("items"), F.max("priority").alias("priority"), F.sum("reinforcement").alias("signals")), f"WITH {_EVENTS} SELECT status, confidence, count(*) AS items, max(priority) AS priority, sum(n)::BIGINT AS signals FROM items GROUP BY status, confidence")
-register("p6_feedback", lambda t: fu.feedback(signal_events(t)).groupBy(F.split_part("target", F.lit(":"), F.lit(1)).alias("of"), "verdict", "note").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")), f"WITH {_EVENTS}, d AS (SELECT * FROM b WHERE decision IS NOT NULL) SELECT 'item' AS of, CASE decision WHEN 'ignore' THEN 'ignore' ELSE 'confirmed' END AS verdict, 'triage:' || decision AS note, count(*) AS n, max(ts) AS last FROM d WHERE decision IN ('pursue', 'wait', 'won', 'ignore') GROUP BY decision UNION ALL SELECT 'chat', 'ignore', 'triage:ignore', count(*), max(ts) FROM d WHERE decision = 'ignore' HAVING count(*) > 0")
-register("p6_purge", lambda t: fu.purge(fu.follow_up(signal_events(t)), t.v_chat.where("sender = 's0'").select("chat_id")).groupBy("chat_id").agg(F.count(F.lit(1)).alias("items")), f"WITH {_EVENTS} SELECT chat_id, count(*) AS items FROM items WHERE chat_id IN (SELECT chat_id FROM v_chat WHERE sender = 's0') GROUP BY chat_id")
-register("p7_tier_ttl", lambda t: fu.alive(t.documents.select("doc_id", (F.lit(_AT) - c("doc_id") % 1000 * 1000).alias("ts"), F.element_at(F.array(F.lit("permanent"), F.lit("periodic"), F.lit("once"), F.lit(None)), (c("doc_id") % 4 + 1).cast("int")).alias("tier")), _AT), f"SELECT * FROM (SELECT doc_id, {_AT} - doc_id % 1000 * 1000 AS ts, list_extract(['permanent', 'periodic', 'once', NULL], (doc_id % 4 + 1)::INT) AS tier FROM documents) WHERE tier IS NULL OR tier = 'permanent' OR {_AT} - ts <= CASE tier WHEN 'periodic' THEN 604800 ELSE 86400 END")
+register(
+    "p5_followup_state",
+    lambda t: (
+        fu.follow_up(signal_events(t))
+        .groupBy("chat_id", "round")
+        .agg(F.count(F.lit(1)).alias("items"), F.sum("reinforcement").cast("long").alias("signals"), F.count_if(c("status") == "won").alias("won"))
+    ),
+    f"WITH {_EVENTS} SELECT chat_id, round, count(*) AS items, sum(n)::BIGINT AS signals, count(*) FILTER (status = 'won') AS "
+    f"won FROM items GROUP BY chat_id, round",
+)
+register(
+    "p6_expire_triage",
+    lambda t: (
+        fu.follow_up(signal_events(t), at=_AT)
+        .groupBy("status", "confidence")
+        .agg(F.count(F.lit(1)).alias("items"), F.max("priority").alias("priority"), F.sum("reinforcement").alias("signals"))
+    ),
+    f"WITH {_EVENTS} SELECT status, confidence, count(*) AS items, max(priority) AS priority, sum(n)::BIGINT AS signals FROM items "
+    f"GROUP BY status, confidence",
+)
+register(
+    "p6_feedback",
+    lambda t: (
+        fu.feedback(signal_events(t))
+        .groupBy(F.split_part("target", F.lit(":"), F.lit(1)).alias("of"), "verdict", "note")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+    ),
+    f"WITH {_EVENTS}, d AS (SELECT * FROM b WHERE decision IS NOT NULL) SELECT 'item' AS of, CASE decision WHEN 'ignore' THEN "
+    f"'ignore' ELSE 'confirmed' END AS verdict, 'triage:' || decision AS note, count(*) AS n, max(ts) AS last FROM d WHERE decision "
+    f"IN ('pursue', 'wait', 'won', 'ignore') GROUP BY decision UNION ALL SELECT 'chat', 'ignore', 'triage:ignore', count(*), max(ts) "
+    f"FROM d WHERE decision = 'ignore' HAVING count(*) > 0",
+)
+register(
+    "p6_purge",
+    lambda t: (
+        fu.purge(fu.follow_up(signal_events(t)), t.v_chat.where("sender = 's0'").select("chat_id")).groupBy("chat_id").agg(F.count(F.lit(1)).alias("items"))
+    ),
+    f"WITH {_EVENTS} SELECT chat_id, count(*) AS items FROM items WHERE chat_id IN (SELECT chat_id FROM v_chat WHERE sender = 's0') GROUP BY chat_id",
+)
+register(
+    "p7_tier_ttl",
+    lambda t: (
+        fu.alive(
+            t.documents.select(
+                "doc_id", (F.lit(_AT) - c("doc_id") % 1000 * 1000).alias("ts"),
+                F.element_at(F.array(F.lit("permanent"), F.lit("periodic"), F.lit("once"), F.lit(None)), (c("doc_id") % 4 + 1).cast("int")).alias("tier"),
+            ),
+            _AT,
+        )
+    ),
+    f"SELECT * FROM (SELECT doc_id, {_AT} - doc_id % 1000 * 1000 AS ts, list_extract(['permanent', 'periodic', 'once', NULL], "
+    f"(doc_id % 4 + 1)::INT) AS tier FROM documents) WHERE tier IS NULL OR tier = 'permanent' OR {_AT} - ts <= CASE tier WHEN "
+    f"'periodic' THEN 604800 ELSE 86400 END",
+)

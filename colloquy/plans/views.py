@@ -34,9 +34,18 @@ class Tables:
         e = self.events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("dd", F.dayofmonth("ts"))
         u, k, dd = F.col("user_id"), F.col("k"), F.col("dd")
         user = u.cast("string")
-        session = F.when(u % 3 == 0, F.concat(user, F.lit("-m"))).when(u % 3 == 1, F.concat(user, F.lit("-w"), F.floor((dd - 1) / 7).cast("string"))).otherwise(F.concat(user, F.lit("-d"), dd.cast("string")))
+        session = (
+            F.when(u % 3 == 0, F.concat(user, F.lit("-m")))
+            .when(u % 3 == 1, F.concat(user, F.lit("-w"), F.floor((dd - 1) / 7).cast("string")))
+            .otherwise(F.concat(user, F.lit("-d"), dd.cast("string")))
+        )
         failed = (F.col("event_type") == "error") | ((u % 11 == 3) & (k % 2 == 0)) | ((k % 3 == 1) & (dd >= 22) & (k % 5 == 0)) | ((k % 3 == 2) & (dd <= 7) & (k % 5 == 1))
-        return e.select(session.alias("session_id"), F.col("event_id").alias("seq"), F.concat(F.lit("tool_"), (k % 3).cast("string")).alias("name"), "ts", F.when(failed, "error").otherwise("ok").alias("status"), F.floor(F.col("value") * 10).cast("long").alias("duration_ms"), "user_id", "event_type", "k", "dd")
+        return e.select(
+            session.alias("session_id"), F.col("event_id").alias("seq"),
+            F.concat(F.lit("tool_"), (k % 3).cast("string")).alias("name"), "ts",
+            F.when(failed, "error").otherwise("ok").alias("status"),
+            F.floor(F.col("value") * 10).cast("long").alias("duration_ms"), "user_id", "event_type", "k", "dd",
+        )
 
     @property
     def v_sessions(self) -> DataFrame:
@@ -68,7 +77,13 @@ class Tables:
     def v_usage(self) -> DataFrame:
         c = F.col
         tokens = F.when(c("l_tax") == 0, 0.0).otherwise(c("l_quantity") * 100)
-        return self.lineitem.select(c("l_orderkey").alias("session_id"), c("l_linenumber").alias("request_seq"), F.concat("l_returnflag", "l_linestatus").alias("model"), F.round(tokens).cast("long").alias("input_tokens"), F.round(tokens * F.round(c("l_discount") * 100) * 5 / 100).cast("long").alias("cache_read_tokens"), F.round(c("l_tax") * 1000).cast("long").alias("output_tokens"), c("l_quantity").cast("long").alias("calls"), c("l_shipdate").alias("ts"), c("l_suppkey").alias("supp"))
+        return self.lineitem.select(
+            c("l_orderkey").alias("session_id"), c("l_linenumber").alias("request_seq"),
+            F.concat("l_returnflag", "l_linestatus").alias("model"), F.round(tokens).cast("long").alias("input_tokens"),
+            F.round(tokens * F.round(c("l_discount") * 100) * 5 / 100).cast("long").alias("cache_read_tokens"),
+            F.round(c("l_tax") * 1000).cast("long").alias("output_tokens"), c("l_quantity").cast("long").alias("calls"),
+            c("l_shipdate").alias("ts"), c("l_suppkey").alias("supp"),
+        )
 
     @property
     def v_tree(self) -> DataFrame:

@@ -53,9 +53,17 @@ def normalise(rows: DataFrame, v: str = "v", source: str = "unknown") -> DataFra
     f = {k: field(F.col(v), *paths) for k, paths in ALIASES.items()}
     names = F.create_map(*[F.lit(x) for p in TYPES.items() for x in p])
     kind = F.coalesce(names[F.coalesce(f["msg_type"], F.lit("1"))], F.lit("other"))
-    r = rows.select(*[x.alias(k) for k, x in f.items() if k not in ("ts", "msg_type", "text")], epoch(f["ts"]).alias("ts"), kind.alias("msg_type"), clean(F.coalesce(f["text"], F.lit("")), kind).alias("text"))
+    r = rows.select(
+        *[x.alias(k) for k, x in f.items() if k not in ("ts", "msg_type", "text")], epoch(f["ts"]).alias("ts"),
+        kind.alias("msg_type"), clean(F.coalesce(f["text"], F.lit("")), kind).alias("text"),
+    )
     made = F.md5(F.concat_ws(":", "chat_id", F.col("ts").cast("string"), "sender", "text"))
-    return r.select(F.coalesce("id", made).alias("id"), "chat_id", "chat_name", F.coalesce("sender", "nickname").alias("sender"), F.coalesce("nickname", "sender").alias("nickname"), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "ts", "text", "msg_type", "reply_to", F.lit(source).alias("source"))
+    return r.select(
+        F.coalesce("id", made).alias("id"), "chat_id", "chat_name", F.coalesce("sender", "nickname").alias("sender"),
+        F.coalesce("nickname", "sender").alias("nickname"),
+        F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "ts", "text",
+        "msg_type", "reply_to", F.lit(source).alias("source"),
+    )
 
 
 def import_json(docs: DataFrame, raw: str = "raw") -> DataFrame:
@@ -140,7 +148,11 @@ def memories(files: DataFrame) -> DataFrame:
     many = F.count_if(~F.col("is_index")).over(Window.partitionBy("folder"))
     m = notes.withColumn("others", many).where(~F.col("is_index") | (F.col("others") == 0)).withColumn("fm", F.when(head != "", fm))
     body = F.regexp_replace("content", r"^---[ \t]*\n(?s:.*?)\n---[ \t]*(\n|$)", "")
-    return m.select("path", F.col("fm")["name"].alias("name"), F.col("fm")["description"].alias("description"), F.coalesce(F.col("fm")["type"], F.lit("unknown")).alias("type"), F.when(head != "", body).otherwise(F.col("content")).alias("content"))
+    return m.select(
+        "path", F.col("fm")["name"].alias("name"), F.col("fm")["description"].alias("description"),
+        F.coalesce(F.col("fm")["type"], F.lit("unknown")).alias("type"),
+        F.when(head != "", body).otherwise(F.col("content")).alias("content"),
+    )
 
 
 def file_list(files: DataFrame, excluded: tuple[str, ...] = ("node_modules", ".git", "__pycache__", "dist", "build", ".venv")) -> DataFrame:
@@ -148,7 +160,12 @@ def file_list(files: DataFrame, excluded: tuple[str, ...] = ("node_modules", ".g
     parts = F.split("path", "/")
     r = files.where(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in excluded])))
     text = F.coalesce("content", F.lit(""))
-    return r.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"), F.octet_length(text).alias("size_bytes"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).alias("lines"), (F.size(parts) - 1).alias("depth"), F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("").alias("parent"))
+    return r.select(
+        "path", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"),
+        F.octet_length(text).alias("size_bytes"),
+        F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).alias("lines"), (F.size(parts) - 1).alias("depth"),
+        F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("").alias("parent"),
+    )
 
 
 def manifests(files: DataFrame) -> DataFrame:
@@ -169,5 +186,11 @@ def manifests(files: DataFrame) -> DataFrame:
 
     go = r"^(?:require\s+)?([a-zA-Z0-9./_-]+)\s+(v[0-9.a-z-]+)"
     mods = F.transform(F.filter(lines, lambda x: x.rlike(go)), lambda x: dep(F.regexp_extract(x, go, 1), F.regexp_extract(x, go, 2), F.lit("runtime"), "go"))
-    deps = F.when(name == "package.json", npm).when(name == "requirements.txt", pip).when(name == "pyproject.toml", toml(r"project\.dependencies|tool\.poetry\.dependencies", "runtime", "pip")).when(name == "Cargo.toml", F.concat(toml("dependencies", "runtime", "cargo"), toml("dev-dependencies", "dev", "cargo"))).when(name == "go.mod", mods)
+    deps = (
+        F.when(name == "package.json", npm)
+        .when(name == "requirements.txt", pip)
+        .when(name == "pyproject.toml", toml(r"project\.dependencies|tool\.poetry\.dependencies", "runtime", "pip"))
+        .when(name == "Cargo.toml", F.concat(toml("dependencies", "runtime", "cargo"), toml("dev-dependencies", "dev", "cargo")))
+        .when(name == "go.mod", mods)
+    )
     return files.select("path", F.explode(deps).alias("d")).select("path", "d.*")

@@ -108,7 +108,13 @@ def request_usage(lines: DataFrame, dialect: str) -> DataFrame:
     names = ("input_tokens", "output_tokens", "cached_tokens")
     line = F.concat(F.lit("line "), F.col("line_no").cast("string"))
     request = F.coalesce(*[field(v, p) for p in own.request], line) if own.request else line
-    u = records(lines).select("path", "line_no", request.alias("request"), *[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(legs, names)], (legs[0].isNotNull() | legs[1].isNotNull()).alias("told")).where("told")
+    u = (
+        records(lines).select(
+            "path", "line_no", request.alias("request"), *[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(legs, names)],
+            (legs[0].isNotNull() | legs[1].isNotNull()).alias("told"),
+        )
+        .where("told")
+    )
     return u.groupBy("path", "request").agg(F.max(F.struct("line_no", *names)).alias("u")).select("path", "request", "u.*")
 
 

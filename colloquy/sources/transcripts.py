@@ -40,7 +40,13 @@ def field(v: Column, *paths: str, kind: str = "string") -> Column:
 def blocks_text(v: Column, path: str) -> Column:
     """Text at a path: a string as it is, the text of a list's blocks joined by newlines."""
     blocks = F.try_variant_get(v, path, "array<variant>")
-    parts = F.filter(F.transform(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string")))), lambda x: x.isNotNull())
+    parts = F.filter(
+        F.transform(
+            blocks,
+            lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
     return F.when(blocks.isNotNull(), F.array_join(parts, "\n")).otherwise(F.when(F.try_variant_get(v, path, "map<string,variant>").isNull(), F.try_variant_get(v, path, "string")))
 
 
@@ -152,13 +158,24 @@ def flatten_content(content: Column) -> Column:
     schema = "array<struct<type:string,text:string,thinking:string,name:string,input:map<string,string>>>"
     blocks = F.from_json(F.when(F.startswith(F.ltrim(content), F.lit("[")), content), schema)
     one = lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "thinking", F.concat(F.lit("[THINKING] "), b["thinking"])).when(b["type"] == "tool_use", F.rtrim(F.concat(F.lit("[TOOL: "), b["name"], F.lit("] "), tool_key(b["name"], b["input"]))))
-    return F.when(blocks.isNotNull(), F.array_join(F.filter(F.transform(blocks, one), lambda x: x.isNotNull()), "\n")).otherwise(F.coalesce(F.get_json_object(F.concat(F.lit('{"a":'), content, F.lit("}")), "$.a"), content))
+    return (
+        F.when(blocks.isNotNull(), F.array_join(F.filter(F.transform(blocks, one), lambda x: x.isNotNull()), "\n"))
+        .otherwise(F.coalesce(F.get_json_object(F.concat(F.lit('{"a":'), content, F.lit("}")), "$.a"), content))
+    )
 
 
 def tool_key(name: Column, given: Column) -> Column:
     """The field of a tool's input that tells most."""
     get = lambda k: F.coalesce(F.element_at(given, F.lit(k)), F.lit(""))
-    return F.when(name.isin("Read", "Write", "Edit", "MultiEdit"), get("file_path")).when(name == "Bash", F.substring(get("command"), 1, 80)).when(name.isin("Grep", "Glob"), get("pattern")).when(name == "Task", get("description")).when(name == "WebSearch", get("query")).when(name == "WebFetch", get("url")).otherwise("")
+    return (
+        F.when(name.isin("Read", "Write", "Edit", "MultiEdit"), get("file_path"))
+        .when(name == "Bash", F.substring(get("command"), 1, 80))
+        .when(name.isin("Grep", "Glob"), get("pattern"))
+        .when(name == "Task", get("description"))
+        .when(name == "WebSearch", get("query"))
+        .when(name == "WebFetch", get("url"))
+        .otherwise("")
+    )
 
 
 def stored_sessions(sessions: DataFrame, messages: DataFrame, usage: DataFrame) -> DataFrame:

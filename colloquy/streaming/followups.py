@@ -34,7 +34,13 @@ def events(signals: DataFrame, decisions: DataFrame | None = None, head: int = 8
     s = signals.select(key.alias("key"), "chat_id", "kind", "ts", "hints", F.substring("text", 1, 200).alias("text"), F.lit(None).cast("string").alias("decision"))
     if decisions is None:
         return s
-    return s.unionByName(decisions.select("key", F.split_part("key", F.lit("|"), F.lit(1)).alias("chat_id"), F.split_part("key", F.lit("|"), F.lit(2)).alias("kind"), "ts", F.lit(0).alias("hints"), F.lit("").alias("text"), "decision"))
+    return s.unionByName(
+        decisions.select(
+            "key", F.split_part("key", F.lit("|"), F.lit(1)).alias("chat_id"),
+            F.split_part("key", F.lit("|"), F.lit(2)).alias("kind"), "ts", F.lit(0).alias("hints"), F.lit("").alias("text"),
+            "decision",
+        ),
+    )
 
 
 def _effective(rows: DataFrame, bucket: int) -> DataFrame:
@@ -81,7 +87,11 @@ def follow_up(rows: DataFrame, at: int | None = None, bucket: int = 86_400) -> D
     stale = F.lit(False) if at is None else F.col("expires") <= at
     status = F.coalesce(_lookup(DECISIONS, F.col("decision")), F.when(stale, "stale").otherwise("new"))
     confidence = F.when(F.col("rank") == 2, "high").otherwise("medium")
-    return items.select("key", F.col("round").cast("int").alias("round"), "chat_id", "kind", status.alias("status"), confidence.alias("confidence"), "priority", "reinforcement", "first_seen", "last_signal", "expires", evidence.alias("evidence"))
+    return items.select(
+        "key", F.col("round").cast("int").alias("round"), "chat_id", "kind", status.alias("status"),
+        confidence.alias("confidence"), "priority", "reinforcement", "first_seen", "last_signal", "expires",
+        evidence.alias("evidence"),
+    )
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:

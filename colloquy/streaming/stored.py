@@ -111,7 +111,12 @@ class DigestMarks:
     def tell(self, rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
         """Hands the digest of the new rows (chat_id, messages, senders, first, last) to `write`, then advances the marks; the
         number of chats. If `write` fails the marks stay, and the next digest holds the same rows and newer ones."""
-        digest = saved(self.new(rows).groupBy("chat_id").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("sender").alias("senders"), F.min("ts").alias("first"), F.max("ts").alias("last")), "digest")
+        digest = saved(
+            self.new(rows)
+            .groupBy("chat_id")
+            .agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("sender").alias("senders"), F.min("ts").alias("first"), F.max("ts").alias("last")),
+            "digest",
+        )
         write(digest)
         digest.select("chat_id", F.col("last").alias("mark")).write.mode("append").parquet(self.path)
         return digest.count()

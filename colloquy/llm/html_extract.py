@@ -20,7 +20,7 @@ from .tables import in_small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math head title textarea select button canvas audio video xmp noembed noframes".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split(),
 )
 CLOSES_P = BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 SELF_CLOSING = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
@@ -173,7 +173,18 @@ def features(b: Block) -> list[float]:
     n, n_words = len(b.text), b.text.count(" ") + 1
     marks = sum(b.text.count(c) for c in ",;:")
     digits = sum(map(str.isdigit, b.text))
-    return [1.0, min(4.0, math.log1p(n_words)), min(1.0, b.linked / n), float(b.text[-1] in ".!?:;\"')»”"), min(1.0, 4 * marks / n_words), digits / n, b.tag == "p", b.tag == "li", b.tag[0] == "h" and b.tag[1:].isdigit(), b.tag == "td"]
+    return [
+        1.0,
+        min(4.0, math.log1p(n_words)),
+        min(1.0, b.linked / n),
+        float(b.text[-1] in ".!?:;\"')»”"),
+        min(1.0, 4 * marks / n_words),
+        digits / n,
+        b.tag == "p",
+        b.tag == "li",
+        b.tag[0] == "h" and b.tag[1:].isdigit(),
+        b.tag == "td",
+    ]
 
 
 def fit(x: np.ndarray, good: np.ndarray, prior: float = 50.0, steps: int = 25) -> np.ndarray:

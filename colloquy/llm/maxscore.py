@@ -93,7 +93,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, shard_rows: int = 81
         x = stacked(t["x"].to_numpy())
         dims = np.asarray(x.shape, "<i8").tobytes()
         held = [[np.asarray(t[c]).astype("<i8").tobytes()] for c in ("number", "vec_id")]
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array(h, pa.binary()) for h in held), pa.array([dims + x.astype("<f8").tobytes()], pa.binary())], names=["part", "numbers", "ids", "data"])
+        return pa.table(
+            [pa.array([key[0].as_py()], pa.int64()), *(pa.array(h, pa.binary()) for h in held), pa.array([dims + x.astype("<f8").tobytes()], pa.binary())],
+            names=["part", "numbers", "ids", "data"],
+        )
 
     def blocked(df: DataFrame, n: int) -> DataFrame:
         numbered = df.select(F.col("vec_id").cast("long").alias("vec_id"), "x", F.monotonically_increasing_id().alias("number"))

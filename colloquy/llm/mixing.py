@@ -28,7 +28,10 @@ def water_fill(sources: DataFrame, weights: tuple = (5, 2, 1), multiple: float =
     s = s.withColumn("caps_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     s = s.withColumn("weight_left", F.sum("weight").over(everything) - F.col("weight_before"))
     s = s.withColumn("clamped", F.col("ratio") * F.col("weight_left") <= F.col("goal") - F.col("caps_before"))
-    s = s.withColumn("level", (F.col("goal") - F.sum(F.when(F.col("clamped"), F.col("cap")).otherwise(0.0)).over(everything)) / F.nullif(F.sum(F.when(F.col("clamped"), F.lit(0.0)).otherwise(F.col("weight"))).over(everything), F.lit(0.0)))
+    s = s.withColumn(
+        "level",
+        (F.col("goal") - F.sum(F.when(F.col("clamped"), F.col("cap")).otherwise(0.0)).over(everything)) / F.nullif(F.sum(F.when(F.col("clamped"), F.lit(0.0)).otherwise(F.col("weight"))).over(everything), F.lit(0.0)),
+    )
     s = s.withColumn("target", F.when(F.col("clamped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("level"))))
     return s.select("source", "source_size", "source_rows", "target")
 

@@ -32,7 +32,14 @@ def vector() -> list[Column]:
 
     length = F.log2(F.when(F.col("n_words") > 0, F.col("word_chars") / F.col("n_words")).otherwise(1.0))
     letters = "n_letters"
-    return [length.alias("x0"), share("n_symbols", "n_chars").alias("x1"), share("n_repeat_words", "n_words").alias("x2"), share("n_dup_lines", "n_all_lines").alias("x3"), share("n_upper", letters).alias("x4"), share(F.col("n_marks") + F.col("n_bang"), "n_chars").alias("x5")]
+    return [
+        length.alias("x0"),
+        share("n_symbols", "n_chars").alias("x1"),
+        share("n_repeat_words", "n_words").alias("x2"),
+        share("n_dup_lines", "n_all_lines").alias("x3"),
+        share("n_upper", letters).alias("x4"),
+        share(F.col("n_marks") + F.col("n_bang"), "n_chars").alias("x5"),
+    ]
 
 
 def chi2_quantile(p: int, q: float) -> float:
@@ -125,7 +132,13 @@ def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
     both = centre.join(spread, on)
-    return both.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("middle"))).alias(f"m{i}") for i in range(p)], *[F.max(F.when(F.col("i") == i, F.col("spread"))).alias(f"d{i}") for i in range(p)])
+    return (
+        both.groupBy(*keys)
+        .agg(
+            *[F.max(F.when(F.col("i") == i, F.col("middle"))).alias(f"m{i}") for i in range(p)],
+            *[F.max(F.when(F.col("i") == i, F.col("spread"))).alias(f"d{i}") for i in range(p)],
+        )
+    )
 
 
 def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:

@@ -80,7 +80,10 @@ def _places(text: Column, pattern: str) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
 
     def placed(s: Column) -> Column:
-        pairs = F.zip_with(F.slice(s["pieces"], 1, F.size(s["matches"])), s["matches"], lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("n"), m.alias("match"), F.right(p, F.lit(72)).alias("before")))
+        pairs = F.zip_with(
+            F.slice(s["pieces"], 1, F.size(s["matches"])), s["matches"],
+            lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("n"), m.alias("match"), F.right(p, F.lit(72)).alias("before")),
+        )
         ends = lambda x: _running(F.transform(x, lambda y: y["skip"] + y["n"]), lambda a, b: a + b)
         told = lambda y, end: F.struct((end - y["n"]).alias("start"), end.alias("end"), y["match"].alias("match"), y["before"].alias("before"))
         return F.when(F.size(s["matches"]) > 0, _let(pairs, lambda x: F.zip_with(x, ends(x), told))).otherwise(none)
@@ -121,7 +124,10 @@ def candidates(text: Column) -> Column:
         return F.struct(start.alias("start"), m["end"].alias("end"), F.concat(lead, F.lit(" "), form).alias("pattern"), F.md5(value).alias("instance"), F.lower(before).rlike(LABEL).alias("seed"))
 
     long_enough = lambda c: c["end"] - c["start"] >= 5
-    return F.when(text.rlike("[0-9]"), F.filter(F.transform(_places(text, IDENTIFIER), shaped), long_enough)).otherwise(F.array().cast("array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>"))
+    return (
+        F.when(text.rlike("[0-9]"), F.filter(F.transform(_places(text, IDENTIFIER), shaped), long_enough))
+        .otherwise(F.array().cast("array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>"))
+    )
 
 
 def discover(found: DataFrame, confidence: float = 0.5, z: float = 1.2816) -> DataFrame:

@@ -39,7 +39,11 @@ def window_hashes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(h: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> bytes:
     """Places with ascending hashes, as compressed byte planes of the differences."""
-    planes = [np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, *(x.astype("<i8").view(np.uint8).reshape(-1, 8).T for x in (doc, tie)), at.astype("<i4").view(np.uint8).reshape(-1, 4).T]
+    planes = [
+        np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T,
+        *(x.astype("<i8").view(np.uint8).reshape(-1, 8).T for x in (doc, tie)),
+        at.astype("<i4").view(np.uint8).reshape(-1, 4).T,
+    ]
     return zstandard.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes), 1)
 
 

@@ -26,7 +26,21 @@ def test_pages(page, text):
 
 def test_labels_of_whole_pages():
     rng = np.random.default_rng(3)
-    parts = ["<p>Some words, and more of them.</p>", "<li><a href=x>go</a></li>", "<div class=ad>Buy it now.</div>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "<h2>Head</h2>", "plain words here", "<p>x", "<div class=content>"]
+    parts = [
+        "<p>Some words, and more of them.</p>",
+        "<li><a href=x>go</a></li>",
+        "<div class=ad>Buy it now.</div>",
+        "<div>",
+        "</div>",
+        "<article>",
+        "</article>",
+        "<nav>",
+        "</nav>",
+        "<h2>Head</h2>",
+        "plain words here",
+        "<p>x",
+        "<div class=content>",
+    ]
     for _ in range(60):
         page = "".join(rng.choice(parts, int(rng.integers(2, 16))))
         found = H.blocks(page)
@@ -54,7 +68,15 @@ def test_cut_of_long_chains():
 
 
 def test_long_and_deep_pages():
-    pages = ["<body>" + "<p>some words in a paragraph, more.</p>" * 25000, "".join(f"<div class={'ad' if i % 7 == 0 else 'x'}><p>word {i}</p></div>" for i in range(20000)), "<div>" * 60000 + "text", "<p>" + "<b>x" * 60000, "<p " + "a=\"b'" * 200000 + ">x", "<" * 300000, "<div>" * 20000 + "</b>x</p>" * 20000]
+    pages = [
+        "<body>" + "<p>some words in a paragraph, more.</p>" * 25000,
+        "".join(f"<div class={'ad' if i % 7 == 0 else 'x'}><p>word {i}</p></div>" for i in range(20000)),
+        "<div>" * 60000 + "text",
+        "<p>" + "<b>x" * 60000,
+        "<p " + "a=\"b'" * 200000 + ">x",
+        "<" * 300000,
+        "<div>" * 20000 + "</b>x</p>" * 20000,
+    ]
     for page in pages:
         began = time.process_time()
         H.extract(page)

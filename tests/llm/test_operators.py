@@ -352,7 +352,11 @@ def test_trie(tmp_path):
     firsts = sorted({g[0] for g in grams})
     pairs = sorted({g[:2] for g in grams})
     value = {g: -float(i) for i, g in enumerate(grams)}
-    levels = [(np.zeros(len(firsts), np.int64), np.asarray(firsts), []), (np.asarray([firsts.index(p[0]) for p in pairs]), np.asarray([p[1] for p in pairs]), []), (np.asarray([pairs.index(g[:2]) for g in grams]), np.asarray([g[2] for g in grams]), [np.asarray([value[g] for g in grams])])]
+    levels = [
+        (np.zeros(len(firsts), np.int64), np.asarray(firsts), []),
+        (np.asarray([firsts.index(p[0]) for p in pairs]), np.asarray([p[1] for p in pairs]), []),
+        (np.asarray([pairs.index(g[:2]) for g in grams]), np.asarray([g[2] for g in grams]), [np.asarray([value[g] for g in grams])]),
+    ]
     (tmp_path / "trie").write_bytes(elias_fano.Trie.encode(levels))
     trie = elias_fano.Trie(str(tmp_path / "trie"))
     ask = np.asarray([*grams, *rng.integers(0, 45, (2000, 3)).tolist(), (1 << 40, 3, 3)])
@@ -476,7 +480,11 @@ def test_pii_identifiers(spark):
 
 
 def test_html(spark):
-    page = "<html><head><title>T</title><script>x='<p>'</script></head><body><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class='ad'>Buy this now.</div><article><h1>Head &amp; line</h1><p>One  two\nthree.<p>Four <b>five</b> six&nbsp;seven.</p></article><div id=comments><p>I disagree with all of this.</p></div><aside>Side</aside><footer>&copy; me</footer></body></html>"
+    page = (
+        "<html><head><title>T</title><script>x='<p>'</script></head><body><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class='ad'>Buy "
+        "this now.</div><article><h1>Head &amp; line</h1><p>One  two\nthree.<p>Four <b>five</b> six&nbsp;seven.</p></article><div "
+        "id=comments><p>I disagree with all of this.</p></div><aside>Side</aside><footer>&copy; me</footer></body></html>"
+    )
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", page[:200], "x"), (1, "u", page, "x")], "page_id long, url string, html string, text string")
     rows = html_extract.extract_pages(df).collect()
     assert [r.text for r in rows if r.page_id == 1] == ["Head & line\nOne two three.\nFour five six seven."] * 2

@@ -22,7 +22,14 @@ def statistics(t):
     lines = [x for x in t.split("\n") if WORD.search(x)]
     upper, lower = (sum(a <= c <= b for c in t) for a, b in ("AZ", "az"))
     share = lambda a, b: math.sqrt(a / b) if b else 0.0
-    x = [math.log2(sum(map(len, w)) / len(w)) if w else 0.0, share(sum(c in "#*$%&|<>" for c in t), len(t)), share(again, len(w)), share(len(lines) - len(set(lines)), t.count("\n") + 1), share(upper, upper + lower), share(sum(c in ",;:'\"()-!?" for c in t), len(t))]
+    x = [
+        math.log2(sum(map(len, w)) / len(w)) if w else 0.0,
+        share(sum(c in "#*$%&|<>" for c in t), len(t)),
+        share(again, len(w)),
+        share(len(lines) - len(set(lines)), t.count("\n") + 1),
+        share(upper, upper + lower),
+        share(sum(c in ",;:'\"()-!?" for c in t), len(t)),
+    ]
     return x, len(w) < 50 or 100 * again > 50 * len(w)
 
 

@@ -32,7 +32,29 @@ def told(found):
 
 def test_base_spans(spark):
     rng = np.random.default_rng(7)
-    bits = ["a.b@c.de", "é", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "+1 (788) 555-2942", " ", "\n", "-", ".", "@", "+", "0", "12", "x_y", "😀", "4111111111111111", "@q.r", "...", "token: ", "ab12cd34"]
+    bits = [
+        "a.b@c.de",
+        "é",
+        "1.2.3.4",
+        "999.1.1.1",
+        "4111 1111 1111 1111",
+        "+1 (788) 555-2942",
+        " ",
+        "\n",
+        "-",
+        ".",
+        "@",
+        "+",
+        "0",
+        "12",
+        "x_y",
+        "😀",
+        "4111111111111111",
+        "@q.r",
+        "...",
+        "token: ",
+        "ab12cd34",
+    ]
     rows = [(i, "".join(rng.choice(bits, int(rng.integers(1, 40))))) for i in range(600)]
     rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")

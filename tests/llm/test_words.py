@@ -218,7 +218,35 @@ def test_token_counts_of_random_words():
     rng = np.random.default_rng(1)
     p = token_counts.Pieces(TOKENIZER)
     assert p.plain
-    chars = [*"abzAZ019'.,<>|-_ \n", "é", "É", "ß", "÷", "×", "ÿ", "Þ", "\u0301", "ſ", "Σ", "İ", "中", "한", "ᄀ", "ᅡ", "\u200b", "\u00a0", "\x85", "\x1c", "ﬁ", "\U0001f469", "\u200d", "ª", "µ", "²", "<|endoftext|>"]
+    chars = [
+        *"abzAZ019'.,<>|-_ \n",
+        "é",
+        "É",
+        "ß",
+        "÷",
+        "×",
+        "ÿ",
+        "Þ",
+        "\u0301",
+        "ſ",
+        "Σ",
+        "İ",
+        "中",
+        "한",
+        "ᄀ",
+        "ᅡ",
+        "\u200b",
+        "\u00a0",
+        "\x85",
+        "\x1c",
+        "ﬁ",
+        "\U0001f469",
+        "\u200d",
+        "ª",
+        "µ",
+        "²",
+        "<|endoftext|>",
+    ]
     texts = ["".join(rng.choice(chars, int(rng.integers(1, 25)))) for _ in range(4000)]
     want = [len(p.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [p.total(t) for t in texts] == want

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import carried
+
 # Error classes in the order in which they are tried, each with the phrases that tell it.
 ERROR_CLASSES = {
     "COMMAND_NOT_FOUND": ("command not found", "not recognized as an internal or external command"),
@@ -149,12 +151,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
     return both.select(key, F.coalesce("new", "hash").alias("hash"), change.alias("change"))
 
 
-def gap_fill(rich: DataFrame, archive: DataFrame, head: int = 80) -> DataFrame:
-    """rich's messages and those of the archive that have no message of the session, time and opening in it."""
-    opening = F.substring("text", 1, head).alias("h")
-    keys = rich.select("session_id", "ts", opening)
-    missing = archive.select("session_id", "seq", "ts", opening).join(keys, ["session_id", "ts", "h"], "left_anti")
-    return rich.select("session_id", "seq", "ts", F.lit("rich").alias("layer")).unionByName(missing.select("session_id", "seq", "ts", F.lit("archive").alias("layer")))
+def gap_fill(rich: DataFrame, archive: DataFrame) -> DataFrame:
+    """rich's messages and those of the archive before the session's first one in rich, numbered by time (place, from 1).
+
+    The rich layer is whole from its first message on, so later ones of the archive are the same messages or were
+    dropped on purpose. A session without rich messages comes from the archive alone; undated messages of the archive
+    of other sessions fall.
+    """
+    start = rich.groupBy("session_id").agg(F.min("ts").alias("start"))
+    older = archive.join(start, "session_id", "left").where(F.col("start").isNull() | (F.col("ts") < F.col("start")))
+    layer = lambda rows, name: rows.select("session_id", "seq", "ts", F.lit(name).alias("layer"))
+    both = layer(rich, "rich").unionByName(layer(older, "archive")).withColumn("day", F.to_date("ts"))
+    return carried(both, ["session_id"], "day", ["ts", "seq"], {"place": F.lit(1)}).drop("day")
 
 
 def drop_tool_lines(text: Column, mark: str = "[TOOL: ") -> Column:

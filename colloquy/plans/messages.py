@@ -73,10 +73,12 @@ register(
     "SELECT session_id, max(ts) AS last FROM v_messages GROUP BY session_id HAVING max(ts) FILTER (seq < 3) IS NULL OR max(ts) > max(ts) FILTER (seq < 3)",
 )
 register(
-    "c9_gap_fill", lambda t: ba.gap_fill(t.v_messages.where("seq >= 2 OR session_id LIKE '%3'"), t.v_messages),
-    "WITH r AS (SELECT * FROM v_messages WHERE seq >= 2 OR session_id LIKE '%3') SELECT session_id, seq, ts, 'rich' AS layer "
-    "FROM r UNION ALL SELECT session_id, seq, ts, 'archive' FROM v_messages m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.session_id "
-    "= m.session_id AND r.ts = m.ts AND substring(r.text, 1, 80) = substring(m.text, 1, 80))",
+    "c9_gap_fill", lambda t: ba.gap_fill(t.v_messages.where("seq >= 2 AND seq <> 3 AND session_id NOT LIKE '%3'"), t.v_messages),
+    "WITH r AS (SELECT * FROM v_messages WHERE seq >= 2 AND seq <> 3 AND session_id NOT LIKE '%3'), "
+    "s AS (SELECT session_id, min(ts) AS start FROM r GROUP BY session_id), "
+    "b AS (SELECT session_id, seq, ts, 'rich' AS layer FROM r "
+    "UNION ALL SELECT session_id, seq, ts, 'archive' FROM v_messages m LEFT JOIN s USING (session_id) WHERE start IS NULL OR ts < start) "
+    "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS place FROM b",
 )
 register(
     "p10_digest_since_last", lambda t: ba.most_active(t.v_messages, F.lit("2024-01-02").cast("timestamp_ntz")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import saved
 from .facts import seconds_between
 from .ordered import bordered, carried, ranked
 from .search import tokens
@@ -66,14 +67,68 @@ def _any(text: Column, words: tuple) -> Column:
     return out
 
 
-def sentiment(chat: DataFrame) -> DataFrame:
-    """Daily counts of messages by lexicon label; a word behind not, don't or 不 counts the other way."""
-    low = F.lower("text")
+def mood(text: Column) -> Column:
+    """positive, negative or neutral by lexicon; a word behind not or don't counts the other way."""
+    low = F.lower(text)
     hits = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
-    flipped = sum(((F.contains(low, F.lit(f"not {w}")) | F.contains(low, F.lit(f"don't {w}"))).cast("int") for w in (*POSITIVE[:5], *NEGATIVE[:5])), F.lit(0))
+    negated = lambda w: F.contains(low, F.lit(f"not {w}")) | F.contains(low, F.lit(f"don't {w}"))
+    flipped = sum((negated(w).cast("int") for w in (*POSITIVE[:5], *NEGATIVE[:5])), F.lit(0))
     score = hits(POSITIVE) - hits(NEGATIVE) + flipped
-    label = F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral")
-    return chat.groupBy(F.to_date("ts").alias("day"), label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral")
+
+
+def sentiment(chat: DataFrame) -> DataFrame:
+    """Daily counts of messages by mood."""
+    return chat.groupBy(F.to_date("ts").alias("day"), mood(F.col("text")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def trend_series(chat: DataFrame, top: int = 3, shortest: int = 2) -> DataFrame:
+    """Each month's messages, senders, positive less negative messages, and most frequent terms (ties by term).
+
+    Terms are counted by month before they are ranked, so a month's messages never meet in one task.
+    """
+    m = chat.withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("mood", mood(F.col("text")))
+    net = F.count_if(F.col("mood") == "positive") - F.count_if(F.col("mood") == "negative")
+    by = m.groupBy("month").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("sender").alias("active"), net.alias("net"))
+    terms = m.select("month", F.explode(tokens(F.col("text"))).alias("term")).where(F.length("term") >= shortest)
+    counts = terms.groupBy("month", "term").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("month").orderBy(F.desc("n"), "term")
+    best = counts.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
+    listed = best.groupBy("month").agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("t"))
+    return by.join(listed.select("month", F.array_join(F.col("t")["term"], ",").alias("terms")), "month", "left")
+
+
+def chat_stats(chat: DataFrame, kind: str = "kind", top: int = 10) -> DataFrame:
+    """(of, name, n): all messages, those of each kind and hour, and of the `top` senders (ties by name), in one reading."""
+    keys = {"kind": F.col(kind).cast("string"), "sender": F.col("sender"), "hour": F.hour("ts").cast("string")}
+    each = chat.select(*[c.alias(k) for k, c in keys.items()])
+    g = each.groupingSets([[k] for k in keys] + [[]], *keys).agg(F.count(F.lit(1)).alias("n"), *[F.grouping(k).alias(f"__{k}") for k in keys])
+    of = F.coalesce(*[F.when(F.col(f"__{k}") == 0, k) for k in keys], F.lit("all"))
+    g = saved(g.select(of.alias("of"), F.coalesce(*keys).alias("name"), "n"), "chat-stats")
+    senders = g.where("of = 'sender'").orderBy(F.desc("n"), "name").limit(top)
+    return g.where("of <> 'sender'").unionByName(senders)
+
+
+def chat_list(chat: DataFrame, read: DataFrame, only_unread: bool = False) -> DataFrame:
+    """Each chat's last message, its number of senders, and its unread messages: those after read(chat_id, read_ts), or all
+    where nothing was read; with only_unread the chats that have any."""
+    marks = read.groupBy("chat_id").agg(F.max("read_ts").alias("read_ts"))
+    late = F.col("read_ts").isNull() | (F.col("ts") > F.col("read_ts"))
+    # a chat of very many messages meets its one mark in a large partition, which Spark splits
+    out = chat.join(marks, "chat_id", "left").groupBy("chat_id").agg(
+        F.count_distinct("sender").alias("senders"), F.count_if(late).alias("unread"), F.max(F.struct("ts", "id", "sender", F.substring("text", 1, 40).alias("text"))).alias("m")
+    )
+    out = out.select("chat_id", "senders", "unread", F.col("m.ts").alias("last"), F.col("m.sender").alias("sender"), F.col("m.text").alias("opening"))
+    return out.where("unread > 0") if only_unread else out
+
+
+def members(chat: DataFrame, listed: DataFrame) -> DataFrame:
+    """(chat_id, member, is_owner, messages): the members that listed(chat_id, member, is_owner) names, with the messages they
+    sent; of chats that it does not know, their senders."""
+    sent = chat.groupBy("chat_id", F.col("sender").alias("member")).agg(F.count(F.lit(1)).alias("messages"))
+    named = listed.groupBy("chat_id", "member").agg(F.bool_or("is_owner").alias("is_owner")).join(sent, ["chat_id", "member"], "left")
+    others = sent.join(listed.select("chat_id").distinct(), "chat_id", "left_anti").withColumn("is_owner", F.lit(False))
+    return named.withColumn("messages", F.coalesce("messages", F.lit(0))).unionByName(others.select("chat_id", "member", "is_owner", "messages"))
 
 
 def signals(chat: DataFrame) -> DataFrame:

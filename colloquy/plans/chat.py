@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import basics as ba
 from ..operators import chat as op, search
 from . import register
+from .search import _TOK
 
 
 def _has(words, column="lower(text)"):
@@ -77,11 +78,14 @@ register(
     f"> 0",
 )
 register(
-    "g12_trend_series",
-    lambda t: (
-        t.v_chat.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("sender").alias("active"))
-    ),
-    "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS messages, count(DISTINCT sender) AS active FROM v_chat GROUP BY 1",
+    "g12_trend_series", lambda t: op.trend_series(t.v_chat),
+    f"""
+WITH m AS (SELECT strftime(ts, '%Y-%m') AS month, sender, text, {_SCORE} AS s FROM v_chat),
+c AS (SELECT month, term, count(*) AS n FROM (SELECT month, unnest({_TOK}) AS term FROM m) WHERE length(term) >= 2 GROUP BY ALL),
+k AS (SELECT month, term, row_number() OVER (PARTITION BY month ORDER BY n DESC, term) AS k FROM c QUALIFY k <= 3),
+t AS (SELECT month, string_agg(term, ',' ORDER BY k) AS terms FROM k GROUP BY month),
+b AS (SELECT month, count(*) AS messages, count(DISTINCT sender) AS active, count(*) FILTER (s > 0) - count(*) FILTER (s < 0) AS net FROM m GROUP BY month)
+SELECT * FROM b LEFT JOIN t USING (month)""",
 )
 register(
     "g14_chat_quality", lambda t: op.chat_quality(t.v_chat),
@@ -104,13 +108,12 @@ register(
 )
 register(
     "g16_chat_stats",
-    lambda t: (
-        t.v_chat.select("chat_id", "sender", F.hour("ts").alias("hour"))
-        .groupingSets([["chat_id"], ["sender"], ["hour"]], "chat_id", "sender", "hour")
-        .agg(F.count(F.lit(1)).alias("n"))
-    ),
-    "SELECT chat_id, sender, hour, count(*) AS n FROM (SELECT chat_id, sender, hour(ts)::INT AS hour FROM v_chat) GROUP BY GROUPING "
-    "SETS ((chat_id), (sender), (hour))",
+    lambda t: op.chat_stats(t.v_chat.withColumn("kind", ba.message_kind(F.col("id").bitwiseAND(F.lit(0xFFFF)) % 50))),
+    """
+WITH m AS (SELECT CASE (id & 65535) % 50 WHEN 1 THEN 'text' WHEN 3 THEN 'image' WHEN 34 THEN 'voice' WHEN 43 THEN 'video' WHEN 47 THEN 'sticker' WHEN 49 THEN 'link' ELSE 'other' END AS kind, sender, hour(ts)::VARCHAR AS hour FROM v_chat),
+s AS (SELECT sender, count(*) AS n FROM m GROUP BY sender ORDER BY n DESC, sender LIMIT 10)
+SELECT 'all' AS of, NULL::VARCHAR AS name, count(*) AS n FROM m UNION ALL SELECT 'kind', kind, count(*) FROM m GROUP BY kind
+UNION ALL SELECT 'hour', hour, count(*) FROM m GROUP BY hour UNION ALL SELECT 'sender', sender, n FROM s""",
 )
 register(
     "g17_digest_stats",
@@ -119,14 +122,38 @@ register(
     ),
     "SELECT sender, count(*) AS n, max(ts) AS last FROM v_chat GROUP BY sender HAVING count(*) >= 3 ORDER BY n DESC, sender LIMIT 10",
 )
+
+
+def _read(t):
+    """Until when some chats were read."""
+    return t.v_chat.where("id % 7 < 3 AND id < 300 AND chat_id <> 'src5'").select("chat_id", F.col("ts").alias("read_ts"))
+
+
+def _listed(t):
+    """Members of some chats, some of whom never spoke."""
+    n = (F.col("id") + 1) % 12
+    return t.v_chat.where("chat_id < 'src3'").select("chat_id", F.concat(F.lit("s"), n).alias("member"), (n == 4).alias("is_owner"))
+
+
+_READ = "SELECT chat_id, max(ts) AS read_ts FROM v_chat WHERE id % 7 < 3 AND id < 300 AND chat_id <> 'src5' GROUP BY chat_id"
 register(
-    "g18_chat_list",
-    lambda t: (
-        t.v_chat.groupBy("chat_id")
-        .agg(F.max(F.struct("ts", "id", "sender")).alias("m"), F.count_distinct("sender").alias("members"))
-        .select("chat_id", "members", F.col("m.ts").alias("last"), F.col("m.sender").alias("sender"))
-    ),
-    "SELECT chat_id, count(DISTINCT sender) AS members, max(ts) AS last, arg_max(sender, (ts, id)) AS sender FROM v_chat GROUP BY chat_id",
+    "g18_chat_list", lambda t: op.chat_list(t.v_chat, _read(t)),
+    f"""
+WITH r AS ({_READ})
+SELECT c.chat_id, count(DISTINCT sender) AS senders, count(*) FILTER (read_ts IS NULL OR ts > read_ts) AS unread, max(ts) AS last, arg_max(sender, (ts, id)) AS sender, substring(arg_max(text, (ts, id)), 1, 40) AS opening
+FROM v_chat c LEFT JOIN r USING (chat_id) GROUP BY c.chat_id""",
+)
+register(
+    "g18_unread", lambda t: op.chat_list(t.v_chat.where("id < 320"), _read(t), only_unread=True).select("chat_id", "unread"),
+    f"WITH r AS ({_READ}) SELECT chat_id, count(*) AS unread FROM v_chat LEFT JOIN r USING (chat_id) WHERE id < 320 AND (read_ts IS NULL OR ts > read_ts) GROUP BY chat_id",
+)
+_LISTED = "SELECT DISTINCT chat_id, 's' || ((id + 1) % 12) AS member, (id + 1) % 12 = 4 AS is_owner FROM v_chat WHERE chat_id < 'src3'"
+register(
+    "g18_members", lambda t: op.members(t.v_chat, _listed(t)),
+    f"""
+WITH l AS ({_LISTED}), s AS (SELECT chat_id, sender AS member, count(*) AS messages FROM v_chat GROUP BY ALL)
+SELECT chat_id, member, is_owner, coalesce(messages, 0) AS messages FROM l LEFT JOIN s USING (chat_id, member)
+UNION ALL SELECT chat_id, member, false, messages FROM s WHERE chat_id NOT IN (SELECT chat_id FROM l)""",
 )
 register(
     "w10_reactivations", lambda t: op.reactivations(t.v_chat, "2024-02-10", 20),

@@ -22,4 +22,4 @@ def register(name: str, plan: Callable[[Tables], DataFrame], sql: str | None = N
 
 
 def load() -> None:
-    from . import chat, dialogue, facts, labels, live, messages, search, sources, traces, trends, upkeep, usage  # noqa: F401
+    from . import chat, dialogue, facts, labels, live, messages, reports, search, sources, traces, trends, upkeep, usage  # noqa: F401

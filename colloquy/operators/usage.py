@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried
+
 #: Added before rounding, so that halves round up in every engine.
 _HALF = 1e-9
 LEGS = ("input_tokens", "output_tokens", "cache_read_tokens")
@@ -174,6 +176,25 @@ def session_commits(sessions: DataFrame, commits: DataFrame, by: list[str] = (),
     return s.join(c, [*by, "level", "bucket"]).where((F.col("ts") >= F.col("created")) & (F.col("ts") <= F.col("modified"))).drop("level", "bucket")
 
 
+def session_commit_counts(sessions: DataFrame, commits: DataFrame, by: list[str] = (), bucket: int = 3600) -> DataFrame:
+    """session_id and the number of commits whose time lies within the session, of the same `by` columns, where there are any.
+
+    A session's number is the running count of commits up to its end less that before its start, so no pair of a session and
+    a commit is built; work grows with the rows, however many commits the sessions share. Running counts go by buckets of seconds.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    made = commits.where(known).select(*by, micros("ts").alias("at")).where("at IS NOT NULL").groupBy(*by, "at").agg(F.count(F.lit(1)).alias("n"))
+    ends = F.explode(F.array(F.struct(micros("created").alias("at"), F.lit(0).alias("side")), F.struct(micros("modified").alias("at"), F.lit(2).alias("side"))))
+    ends = sessions.where("created <= modified").where(known).select("session_id", *by, ends.alias("e")).select("session_id", *by, "e.at", "e.side", F.lit(0).cast("long").alias("n"))
+    rows = ends.unionByName(made.withColumn("side", F.lit(1)), allowMissingColumns=True).withColumn("bucket", F.floor(F.col("at") / (bucket * 1_000_000)))
+    run = carried(rows, list(by), "bucket", ["at", "side"], {"upto": F.col("n")})
+    counted = F.sum(F.when(F.col("side") == 2, F.col("upto")).otherwise(-F.col("upto")))
+    return run.where("side <> 1").groupBy("session_id").agg(counted.alias("commits")).where("commits > 0")
+
+
 def snapshot_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     x, y = a.select(key, F.col(value).alias("old")), b.select(key, F.col(value).alias("new"))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")

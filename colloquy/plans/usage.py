@@ -213,12 +213,10 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY author ORDER BY ts, hash)::BIGINT AS
 register(
     "c14_session_commits",
     lambda t: (
-        op.session_commits(
+        op.session_commit_counts(
             t.v_sessions.select("session_id", "created", "modified"),
             t.v_commits.select("hash", (F.col("ts") + F.make_dt_interval(F.lit(9862))).alias("ts")),
         )
-        .groupBy("session_id")
-        .agg(F.count(F.lit(1)).alias("commits"))
     ),
     "SELECT session_id, count(*) AS commits FROM v_sessions JOIN (SELECT hash, ts + INTERVAL 9862 DAY AS committed FROM v_commits) "
     "ON committed BETWEEN created AND modified GROUP BY session_id",

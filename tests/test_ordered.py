@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -82,6 +83,25 @@ def test_session_commits(spark):
     assert usage.session_commits(s.limit(0), c.drop("project")).count() == 0
 
 
+def test_session_commit_counts(spark):
+    rng = random.Random(6)
+    at = lambda s: START + datetime.timedelta(seconds=s)
+    spans = [(a, a + rng.choice([-1, 0, 30, 5000, 10**6])) for a in (rng.randrange(10**6) for _ in range(80))]
+    sessions = [(f"s{i % 70}", "pq"[i % 2], at(a), at(b)) for i, (a, b) in enumerate(spans)] + [("n", None, at(0), at(10**7)), (None, "p", at(0), at(9))]
+    commits = [(i, rng.choice(["p", "q", None]), at(rng.randrange(10**6) // 100 * 100)) for i in range(300)] + [(300 + i, s[1], t) for i, s in enumerate(sessions) for t in s[2:]] + [(900, "p", None)]
+    s = spark.createDataFrame(sessions, "session_id string, project string, created timestamp_ntz, modified timestamp_ntz")
+    c = spark.createDataFrame(commits, "hash long, project string, ts timestamp_ntz")
+    for by in ([], ["project"]):
+        counts = usage.session_commit_counts(s, c.drop(*({"project"} - set(by))), by)
+        pairs = usage.session_commits(s, c.drop(*({"project"} - set(by))), by)
+        want = Counter(r.session_id for r in pairs.collect())
+        assert {r.session_id: r.commits for r in counts.collect()} == want and len(want) > 50
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()  # what is joined are summaries of buckets, no commits
+        assert plan.count("Join") == 1 and "__upto" in plan
+    assert usage.session_commit_counts(s.limit(0), c, []).count() == 0
+    assert usage.session_commit_counts(s, c.limit(0), []).count() == 0
+
+
 def test_missing_pairs(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None), ("b", "x"), (None, "z")], "l string, r string")
     got = {tuple(r) for r in basics.missing_pairs(df, "l", "r", df.where("r <> 'z'")).collect()}

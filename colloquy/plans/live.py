@@ -119,7 +119,9 @@ SELECT id, chat_id, ts, coalesce(ts >= greatest(latest, max(ts) OVER (PARTITION
 def signal_events(t):
     """Signals of the chats, keyed by the opening of their texts, and decisions on some of them in the weeks after their first."""
     s = chat.signals(t.v_chat).join(t.v_chat.select("id", "text", F.unix_seconds(c("ts").cast("timestamp")).alias("ts")), "id")
-    e = fu.events(s.withColumn("hints", F.size(F.split("words", ","))), head=8)
+    # a deal's hints are its deal words alone; a commitment has no others than its own
+    own = F.filter(F.split("words", ","), lambda w: (c("kind") != "deal") | w.isin(*chat.DEAL))
+    e = fu.events(s.withColumn("hints", F.size(own)), head=8)
     first = e.groupBy("key", "chat_id").agg(F.min("ts").alias("first"))
     number = F.regexp_extract("chat_id", "([0-9]+)$", 1).cast("int")
     names = F.array(*[F.lit(x) for x in _DECISIONS])

@@ -1,5 +1,6 @@
 """Follow-ups and roll-ups: streams give what tables give, and tables what a plain loop gives."""
 
+import datetime
 import random
 
 import pytest
@@ -92,6 +93,19 @@ def test_feedback_and_purge(spark):
     assert fu.follow_up(df.limit(0)).count() == 0 and fu.feedback(df.limit(0)).count() == 0
 
 
+def test_hints_are_of_the_kind_alone(spark):
+    """Words of a commitment in a deal's text do not count among the deal's hints."""
+    from types import SimpleNamespace
+
+    from colloquy.plans import live
+
+    texts = ["deal, will send", "budget and quote, i'll send", "will send, i'll send", "nothing"]
+    chats = [(i, None, f"m{i}", datetime.datetime(2024, 1, 1), x) for i, x in enumerate(texts)]
+    t = SimpleNamespace(v_chat=spark.createDataFrame(chats, "id long, chat_id string, sender string, ts timestamp_ntz, text string"))
+    got = {r.text: (r.kind, r.hints) for r in live.signal_events(t).where("decision IS NULL").collect()}
+    assert got == {texts[0]: ("deal", 1), texts[1]: ("deal", 2), texts[2]: ("commitment", 2)}
+
+
 @pytest.fixture
 def rocks(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")

@@ -79,6 +79,37 @@ def test_scores_depend_on_texts_alone(spark, labelled):
     assert len(far) > 20 and sum(r.predicted == (r.doc_id % 3 > 0) for r in far) >= 0.95 * len(far)
 
 
+@pytest.mark.parametrize("block, rare, piece", [(128, 16, 1024), (8, 3, 5)])
+def test_learning_takes_all_labels(spark, labelled, monkeypatch, block, rare, piece):
+    """Counts and the threshold equal those over all labelled rows, and the weights those of all pairs of each block."""
+    for name, v in {"BLOCK": block, "RARE": rare, "PIECE": piece, "RANGES": 4}.items():
+        monkeypatch.setattr(bradley_terry, name, v)
+    rows, marks = labelled
+    x, train, quality = plain_scores(rows, marks)
+    x, good = x[train], np.array(quality) == 1
+    stat = counts([(rows[k][1] or "").encode() for k in train])
+    known = [(k, int(rows[k][0]), *(int(stat[c][i]) for c in COUNTS), int(good[i])) for i, k in enumerate(train)]
+    df = spark.createDataFrame(known, "draw long, doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", quality int").repartition(3)
+    model = bradley_terry.learned(df, 1e-2)
+    assert np.allclose(model["centre"], x.mean(axis=0)) and np.allclose(model["spread"], np.maximum(x.std(axis=0), 1e-6))
+    z = (x - model["centre"]) / model["spread"]
+    assert model["threshold"] == pytest.approx(np.quantile(z @ model["w"], (~good).mean()))
+    blocks = bradley_terry.compared(df, int(good.sum()), int((~good).sum()), model["centre"], model["spread"]).collect()
+    pairs = [[np.frombuffer(v).reshape(-1, x.shape[1]) for v in (r.good, r.bad)] for r in blocks]
+    held = {row.tobytes() for p in pairs for side in p for row in np.round(side, 9)}
+    assert held == {row.tobytes() for row in np.round(z, 9)}
+    d = np.concatenate([(a[:, None] - b).reshape(-1, x.shape[1]) for a, b in pairs])
+    p = 1 / (1 + np.exp(-(d @ model["w"])))
+    assert np.abs(d.T @ (1 - p) / len(d) - 1e-2 * model["w"]).max() < 1e-6
+
+
+def test_order_statistics(spark):
+    values = sorted([-5.0, -5.0, 0.1, 0.1, 0.1, 1e9, 3.0, 2.5, 2.5000001, -1e-12] * 3 + [7.0])
+    df = spark.createDataFrame([(v,) for v in values], "s double").repartition(3)
+    for k in (0, 1, 5, 6, 14, 20, 29, 30):
+        assert bradley_terry.order_statistics(df, k) == (values[k], values[min(k + 1, 30)])
+
+
 def test_fingerprints_without_ids(spark):
     rows = [(None, "a b c d e f"), (None, "A b c d e f"), (7, "a b c d e f"), (7, "q r s t u v w x y"), (9, None), (None, ""), (4, "z y x w v u t s"), (4, "z y x w v u t s"), (None, "only here 1 2 3 4 5 6")]
     got = collections.Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())

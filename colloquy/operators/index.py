@@ -3,17 +3,43 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import exists
+from ..sources.store import exists, in_small_batches
 from .search import tokens
 
 POSTINGS = "term string, key long, positions array<int>, batch int, bucket int"
 TERMS = "term string, df long, batch int, bucket int"
 BATCHES = "batch int, docs long, terms long"
+#: Tasks over which the rows of a bucket are dealt, and most rows that come back from Python at once.
+PARTS, ROWS = 8, 20_000
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, key and positions (from 0) of the terms of each row (key, terms), by one sort of a batch's terms."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        code, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+        place = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        pair = code * len(sizes) + row
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        ends = np.concatenate([first, [len(pair)]]).astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order]))
+        columns = [coded.dictionary.take(pa.array(code[order[first]])), batch.column(0).take(pa.array(row[order[first]])), positions]
+        for at in range(0, len(first), ROWS):
+            yield pa.RecordBatch.from_arrays([x.slice(at, ROWS) for x in columns], names=["term", "key", "positions"])
 
 
 def _minus(n: int):
@@ -60,16 +86,19 @@ class PhraseIndex:
         and empty texts have no terms, but count as rows; a null key is left out.
         """
         number = (self.batches().agg(F.max("batch")).first()[0] or 0) + 1
-        new = docs.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("long").alias("key"), *self.kept, tokens(F.coalesce(F.col(text), F.lit(""))).alias("__terms"))
+        new = docs.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("long").alias("key"), *self.kept, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+        if not new.groupBy("key").count().where("count > 1").isEmpty():  # else texts need no exchange
+            new = new.dropDuplicates(["key"])
         if number > 1:
             new = new.join(self.rows().select("key"), "key", "left_anti")
-        new = new.dropDuplicates(["key"])
+        new = new.select("key", *self.kept, tokens(F.col("__text")).alias("__terms"))
         at = f"{self.path}/{{}}/batch={number}"
         new.select("key", F.size("__terms").alias("len"), *self.kept).write.mode("overwrite").parquet(at.format("rows"))
-        spread = new.select("key", F.posexplode("__terms").alias("pos", "term")).withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % self.buckets).cast("int"))
-        # ranges of (bucket, term, key): a frequent term is spread over tasks, and its rows need no second exchange
-        ranged = spread.repartitionByRange("bucket", "term", "key").groupBy("bucket", "term", "key").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        ranged.sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(at.format("postings"))
+        # positions are gathered in each row's own task; a bucket's rows go to several tasks by key, so a frequent term is spread
+        found = in_small_batches(new.select("key", "__terms")).mapInArrow(_postings, "term string, key long, positions array<int>")
+        spread = found.withColumn("bucket", (F.crc32(F.encode("term", "UTF-8")) % self.buckets).cast("int"))
+        dealt = spread.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+        dealt.sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(at.format("postings"))
         own = self.spark.read.schema(POSTINGS).parquet(at.format("postings"))
         (
             own.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite")

@@ -39,3 +39,11 @@ def saved(rows: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/colloquy/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def in_small_batches(rows: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """rows, which go to Python in batches of about `size` bytes, where the session sets no limit itself."""
+    conf = rows.sparkSession.conf
+    if not conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return rows

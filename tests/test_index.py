@@ -99,3 +99,21 @@ def test_unfinished_batch(spark, tmp_path):
     assert own.append(spark.createDataFrame([(2, "one two", "c", None)], SCHEMA)) == 1
     assert {r.key for r in own.hits("one two").collect()} == {1, 2}
     assert own.append(spark.createDataFrame([], SCHEMA)) == 0
+
+
+def test_positions_are_gathered_before_the_exchange(spark, tmp_path):
+    """One row of a term and a text is shuffled, however often the term stands there; texts of unique keys are not."""
+    def shuffled():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None))
+        return sum(s.shuffleWriteRecords() for s in stages)
+
+    docs = spark.createDataFrame([(i, " ".join(["alpha", "beta"] * 2000)) for i in range(30)] + [(30, None), (31, "")], "id long, text string")
+    before = shuffled()
+    index = PhraseIndex(spark, f"{tmp_path}/index", "id", {})
+    assert index.append(docs) == 32
+    assert shuffled() - before < 1000
+    assert {(r.key, r.tf) for r in index.hits("beta alpha").collect()} == {(i, 1999) for i in range(30)}
+    assert index.append(docs.union(spark.createDataFrame([(40, "alpha"), (40, "alpha")], docs.schema))) == 1
+    assert {(r.term, r.df) for r in index.completions("alp").collect()} == {("alpha", 31)}

@@ -99,9 +99,11 @@ def chat_kind(user: Column) -> Column:
 def best_skills(patterns: DataFrame, skills: DataFrame, key: str = "pattern_id") -> DataFrame:
     """(pattern_id, skill, score): the skill whose words hold most of a pattern's keywords; ties to the first name.
 
-    Keywords meet skills by equal words, so no pattern is compared with every skill.
+    Keywords meet skills by equal words, so no pattern is compared with every skill. Patterns are dealt to tasks before they
+    grow into pairs with skills, as a small file that one task reads makes many pairs.
     """
-    p = patterns.select(key, F.explode(F.array_distinct("keywords")).alias("word"))
+    parts = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = patterns.repartition(parts, key).select(key, F.explode(F.array_distinct("keywords")).alias("word"))
     s = skills.select(F.col("name").alias("skill"), F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "name", "description")), "[^a-z0-9]+"))).alias("word"))
     n = p.withColumn("word", F.lower("word")).join(s, "word").groupBy(key, "skill").agg(F.count(F.lit(1)).alias("score"))
     best = n.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("score"), "skill")).alias("m"))

@@ -149,3 +149,22 @@ def test_topics(spark):
     got = {r.id: r.topic for r in dialogue.with_topics(df, table).collect()}
     assert got == {0: 7, 1: 7, 2: 3, 3: 3, 4: 3, 5: 9, 6: 0, 7: 0, 8: 9, 9: 9} and dialogue.with_topics(df, ()).where("topic <> 0").count() == 0
     assert dialogue.with_topics(df, table).columns == ["id", "text", "tools", "points", "topic"]
+
+
+def test_best_skills_deals_patterns_first(spark):
+    """Patterns of one partition are dealt to tasks before they meet the skills, and pairs need no exchange of their own."""
+    from colloquy.operators import labels
+
+    words = ["red", "green", "blue", "dark"]
+    patterns = spark.createDataFrame([(i, [words[i % 4], words[i % 3], words[i % 4]]) for i in range(40)] + [(99, ["none"])], "pattern_id long, keywords array<string>").coalesce(1)
+    skills = spark.createDataFrame([("b", "red green"), ("a", "Green, blue"), ("c", "dark red")], "name string, description string")
+    held = {"b": {"b", "red", "green"}, "a": {"a", "green", "blue"}, "c": {"c", "dark", "red"}}
+    want = {}
+    for i in range(40):
+        n = {k: len({words[i % 4], words[i % 3]} & v) for k, v in held.items()}
+        best = min(n, key=lambda k: (-n[k], k))
+        want[i] = (best, n[best])
+    out = labels.best_skills(patterns, skills)
+    assert {r.pattern_id: (r.skill, r.score) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(pattern_id#" in plan

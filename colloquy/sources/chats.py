@@ -119,7 +119,8 @@ def union_shards(tables: dict[str, DataFrame], candidates: dict[str, tuple[str,
 def feeds(rows: DataFrame, payload: str = "payload", author: str | None = None, keyword: str | None = None, start: int | None = None, limit: int = 0) -> DataFrame:
     """Posts of XML payloads by author, keyword and time, newest first; what is not XML falls."""
     p = F.from_xml(payload, "author STRING, createTime LONG, contentDesc STRING")
-    r = rows.select(p.alias("p")).select("p.author", F.col("p.createTime").alias("ts"), F.col("p.contentDesc").alias("text")).where("author IS NOT NULL AND ts IS NOT NULL")
+    # each payload is parsed once: conditions are not pushed through the generator, where each would parse it anew
+    r = rows.select(F.explode(F.array(p)).alias("p")).select("p.author", F.col("p.createTime").alias("ts"), F.col("p.contentDesc").alias("text")).where("author IS NOT NULL AND ts IS NOT NULL")
     if author:
         r = r.where(F.col("author") == author)
     if keyword:

@@ -76,3 +76,13 @@ def test_modes(spark):
     chat = spark.createDataFrame([("c", 1, "s", "hello there")], "chat_id string, id long, sender string, text string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
     assert set(dialogue.analyse(chat, "topics")) == {"segments", "brands"}
     assert all(df.count() >= 0 for df in dialogue.analyse(chat, "full").values())
+
+
+def test_feeds_parse_each_payload_once(spark):
+    from colloquy.sources import chats
+
+    post = "<T><author>{}</author><createTime>{}</createTime><contentDesc>{}</contentDesc></T>"
+    rows = [(post.format("a", 5, "one"),), (post.format("b", 9, "two"),), (post.format("a", 1, "one"),), ("no xml",), (None,)]
+    out = chats.feeds(spark.createDataFrame(rows, "payload string"), author="a", keyword="one", start=3)
+    assert [tuple(r) for r in out.collect()] == [("a", 5, "one")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_xml") + out._jdf.queryExecution().optimizedPlan().toString().count("xmltostructs") == 1

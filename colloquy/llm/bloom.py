@@ -75,10 +75,10 @@ def build(keys: DataFrame, hashed: Callable[[pa.RecordBatch], tuple[np.ndarray,
 
     def placed(batches):
         for batch in batches:
-            part, h = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            part, h = hashed(batch)
             n = np.array([blocks[p] for p in np.unique(part).tolist()], np.uint64)[np.unique(part, return_inverse=True)[1]] if len(part) else h
             block = ((h >> np.uint64(32)) * n) >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((block // np.uint64(shard)).astype(np.int32)), batch.column(1)], names=["part", "shard", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array((block // np.uint64(shard)).astype(np.int32)), pa.array(h.view(np.int64))], names=["part", "shard", "h"])
 
     def set_bits(key, t: pa.Table) -> pa.Table:
         part, at = key[0].as_py(), key[1].as_py()
@@ -89,7 +89,7 @@ def build(keys: DataFrame, hashed: Callable[[pa.RecordBatch], tuple[np.ndarray,
             np.bitwise_or.at(out, first + (bit >> np.uint64(6)), np.uint64(1) << (bit & np.uint64(63)))
         return pa.table({"part": [part], "shard": [at], "bits": [out.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("bits", pa.binary())]))
 
-    found = rows.mapInArrow(placed, "part int, shard int, h long").groupBy("part", "shard").applyInArrow(lambda key, t: set_bits(key, t), "part int, shard int, bits binary").collect()
+    found = keys.mapInArrow(placed, "part int, shard int, h long").groupBy("part", "shard").applyInArrow(lambda key, t: set_bits(key, t), "part int, shard int, bits binary").collect()
     out = {p: np.zeros(8 * n, np.uint64) for p, n in blocks.items()}
     for r in found:
         own = np.frombuffer(r.bits, np.uint64)

@@ -94,6 +94,29 @@ def test_last_pass_counts_phrases(spark, rows):
     assert sorted(found) == sorted(want) and len(want) > 50
 
 
+@pytest.mark.parametrize("sample, count", [(0.0, 2), (0.2, 2), (1.0, 1)])
+def test_texts_are_read_by_two_full_passes(spark, rows, monkeypatch, sample, count):
+    """Beside the sample's, however many words a phrase has and however much the sample missed."""
+    read = []
+    for name in ("count", "spelled"):
+        monkeypatch.setattr(phrases, name, lambda *a, own=getattr(phrases, name), **b: read.append(1) or own(*a, **b))
+    got = phrases.collocations(frame(spark, rows), most=5, sample=sample, sample_count=count).collect()
+    assert sorted(map(tuple, got)) == sorted(collocations(rows, 5)) and len(read) == 3
+
+
+def test_phrases_of_many_buckets_and_odd_langs(spark, rows, monkeypatch):
+    """Tasks that deal out what they hold again and again, to more buckets than there are words; langs with line ends and
+    spaces, and one that is empty."""
+    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "HELD_BYTES", 400)
+    langs = {"en": "e\nn", "de": "new york", "und": "", "fr": "\n", None: None}
+    odd = [(i, t, langs[lang]) for i, t, lang in rows] + [(90, "new york " * 30, "\ne\n")]
+    got = [tuple(r) for r in phrases.collocations(frame(spark, odd), slice_bytes=300, bucket_bytes=100).collect()]
+    want = [tuple(x) for x in collocations([(i, t, "EMPTY" if lang == "" else lang) for i, t, lang in odd])]
+    assert sorted(got) == sorted(("" if x[0] == "EMPTY" else x[0], *x[1:]) for x in want) and len(want) > 20
+    assert {"e\nn", "new york", "", "\ne\n"} <= {x[0] for x in got}
+
+
 def words_of(rows, shortest=7, least=2):
     n = collections.Counter()
     for i, t, *_ in rows:
